@@ -106,6 +106,16 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, copies) of the sequences that hold `counts` pieces of each length.
 
+    Exact combinations of many pieces use up short ones that later gaps may need, so
+    the plan is made with gaps filled by single lengths only, by pairs too, and by
+    triples too; the one with the fewest sequences is taken, the fuller index on a tie.
+    """
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda bins: sum(copies for _, copies in bins))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """One plan, with exact combinations of up to `most` lengths.
+
     Lengths from the longest: its gap is filled exactly by one, two or three
     available lengths, found by their sums, as many copies at once as there are; what
     has no exact partner is packed best-fit, longest first.
@@ -130,9 +140,9 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tu
             for x, n in need.items():
                 left[x] -= n * copies
 
-    def pairs(total: int, most: int) -> list[int]:
-        """The larger halves a <= most of available pairs (a, total - a)."""
-        low, high = (total + 1) // 2, min(most, total - 1)
+    def pairs(total: int, top: int) -> list[int]:
+        """The larger halves a <= top of available pairs (a, total - a)."""
+        low, high = (total + 1) // 2, min(top, total - 1)
         if high < low:
             return []
         a = np.arange(high, low - 1, -1)
@@ -142,12 +152,12 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tu
         gap = capacity - length
         if left[length] and left[gap]:
             take((length, gap))
-        if left[length]:
+        if left[length] and most > 1:
             for a in pairs(gap, length):
                 take((length, a, gap - a))
                 if not left[length]:
                     break
-        if left[length]:
+        if left[length] and most > 2:
             for a in range(min(gap - 2, length), 0, -1):
                 if not left[a]:
                     continue
