@@ -49,17 +49,21 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> DataF
     name. An empty table gives an empty result.
     """
     keys = line_keys(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), min_chars)
-    repeated = repeated_keys(keys, min_docs)
+    # The join is keyed otherwise than the counts: so both of its sides are dealt out for it alone, and the share of a
+    # line that very many documents hold can be split among tasks.
+    key = (F.col("h1").bitwiseXOR(F.col("h2")).alias("k"), "h2")
+    repeated = repeated_keys(keys, min_docs).select(*key, "first")
     drops = (
-        keys.join(repeated, ["h1", "h2"])
+        keys.select("doc_id", "row", "pos", *key)
+        .join(repeated, ["k", "h2"])
         .where(F.col("doc_id") > F.col("first"))
         .groupBy("doc_id", "row")
         .agg(F.collect_set("pos").alias("drops"))
         .withColumnsRenamed({"doc_id": "drop_id", "row": "drop_row"})
     )
     rows = docs.select(F.struct("*").alias("doc"))
-    key, text = F.col("doc.doc_id").cast("long"), F.col("doc.text").cast("string")
-    joined = rows.join(drops, (key == F.col("drop_id")) & (F.xxhash64(text) == F.col("drop_row")), "left")
+    doc_id, text = F.col("doc.doc_id").cast("long"), F.col("doc.text").cast("string")
+    joined = rows.join(drops, (doc_id == F.col("drop_id")) & (F.xxhash64(text) == F.col("drop_row")), "left")
 
     def without(drops: Column) -> Column:
         return let(
