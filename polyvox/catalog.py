@@ -1,10 +1,849 @@
-"""Queries over the driver's tables, one per operator, with their SQL twins."""
+"""Queries over the driver's tables, one per operator, each with its SQL twin where SQL can say the same.
+
+Bindings: the response sets are the conversations (prompt: the first user turn; responses: the
+assistant turns in order). Groups of texts are documents by source and language; stages are languages, prompts
+are sources. Labels come from `labels`, vectors from `embeddings`.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from polyvox.functions import text as T
+from polyvox.operators import curves, fits, length, lexical, pairwise, stats, tables
+from polyvox.plans import scorers
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that two engines can be compared; minus zero becomes zero."""
+    return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# --- bindings -------------------------------------------------------------
+
+
+def response_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """set_id, k, prompt, response."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    said = turns.where("role = 'assistant'").select(F.col("conv_id").alias("set_id"), F.row_number().over(order).cast("long").alias("k"), F.col("text").alias("response"))
+    asked = turns.where("role = 'user'").groupBy(F.col("conv_id").alias("set_id")).agg(F.min_by("text", "turn").alias("prompt"))
+    return said.join(asked, "set_id", "left").select("set_id", "k", F.coalesce("prompt", F.lit("")).alias("prompt"), "response")
+
+
+_SETS = """turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+asked AS (SELECT conv_id AS set_id, arg_min(text, turn) AS prompt FROM turns WHERE role = 'user' GROUP BY 1),
+said AS (SELECT conv_id AS set_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, text AS response FROM turns WHERE role = 'assistant'),
+sets AS (SELECT set_id, k, coalesce(prompt, '') AS prompt, response FROM said LEFT JOIN asked USING (set_id))"""
+
+
+def _words(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+_COUNTS = f"""rows0 AS (SELECT set_id, k, unnest({_words('response')}) AS word FROM sets
+  UNION ALL SELECT set_id, 0 AS k, unnest({_words('prompt')}) AS word FROM sets WHERE k = 1),
+counts AS (SELECT set_id, k, word, count(*) AS c FROM rows0 GROUP BY ALL),
+types AS (SELECT set_id, count(DISTINCT word) AS types FROM counts GROUP BY 1),
+slots AS (SELECT set_id, k, sum(c)::BIGINT AS n FROM counts GROUP BY 1, 2),
+totals AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY set_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS total FROM slots),
+hist AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY set_id, word ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS h FROM counts)"""
+
+
+def _prequential(history: str, alpha: float = 0.5) -> str:
+    """CTEs ending in `bits`: set_id, k, bits."""
+    return f"""gain AS (SELECT set_id, k, sum(list_sum(list_transform(range(c), lambda i: log2(h + {alpha} + i)))) AS gain FROM {history} WHERE k > 0 GROUP BY 1, 2)"""
+
+
+_CURVE = (
+    _prequential("hist")
+    + """,
+curve AS (SELECT s.set_id, s.k, octet_length(encode(s.response)) AS bytes,
+  coalesce(list_sum(list_transform(range(t.n), lambda i: log2(t.total + 0.5 * (y.types + 1) + i))) - g.gain, 0) AS bits
+  FROM sets s LEFT JOIN totals t USING (set_id, k) LEFT JOIN types y ON y.set_id = s.set_id LEFT JOIN gain g ON g.set_id = s.set_id AND g.k = s.k)"""
+)
+_ALONE = """ph AS (SELECT a.set_id, a.k, a.c, coalesce(p.c, 0) AS h FROM counts a LEFT JOIN counts p ON p.set_id = a.set_id AND p.word = a.word AND p.k = 0 WHERE a.k > 0),
+again AS (SELECT set_id, k, sum(list_sum(list_transform(range(c), lambda i: log2(h + 0.5 + i)))) AS gain FROM ph GROUP BY 1, 2),
+pn AS (SELECT set_id, n AS pn FROM slots WHERE k = 0),
+alone AS (SELECT s.set_id, s.k, octet_length(encode(s.response)) AS bytes,
+  coalesce(list_sum(list_transform(range(t.n), lambda i: log2(coalesce(pn, 0) + 0.5 * (y.types + 1) + i))) - g.gain, 0) AS bits
+  FROM sets s LEFT JOIN slots t USING (set_id, k) LEFT JOIN types y ON y.set_id = s.set_id LEFT JOIN pn ON pn.set_id = s.set_id
+  LEFT JOIN again g ON g.set_id = s.set_id AND g.k = s.k)"""
+_BASE = f"WITH {_SETS}, {_COUNTS}, {_CURVE}"
+_FULL = f"{_BASE}, {_ALONE}"
+_CURVE_SCORES = """ends AS (SELECT set_id, max(k) AS n, arg_max(bits, k) AS a_n, arg_min(bits, k) AS a_1, arg_max(CASE WHEN bytes > 0 THEN bits / bytes ELSE 0 END, k) AS pb_n FROM curve GROUP BY 1),
+steps AS (SELECT set_id, k, bits, bytes, lead(bits) OVER (PARTITION BY set_id ORDER BY k) AS nxt FROM curve),
+scores AS (SELECT set_id, any_value(n) AS n, sum(bits - a_n) AS e, sum(CASE WHEN bytes > 0 THEN bits / bytes ELSE 0 END - pb_n) AS e_rate,
+  any_value(a_1) AS a_1, any_value(a_n) AS a_n, any_value(pb_n) AS a_n_per_byte, bool_and(nxt IS NULL OR bits >= nxt) AS is_monotone
+  FROM steps JOIN ends USING (set_id) GROUP BY 1),
+coh AS (SELECT set_id, pow(2.0, -avg(CASE WHEN bytes > 0 THEN bits / bytes ELSE 0 END)) AS c,
+  stddev_pop(CASE WHEN bytes > 0 THEN bits / bytes ELSE 0 END) AS sigma, avg(bytes) AS mean_byte_length FROM alone GROUP BY 1)"""
+
+
+def _round(cols: str, digits: int = 6) -> str:
+    return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in cols.split())
+
+
+# --- sets, layouts, texts -------------------------------------------------
+
+
+@query(f"WITH {_SETS} SELECT set_id, any_value(prompt) AS prompt, count(*) AS n, string_agg(response, chr(30) ORDER BY k) AS responses FROM sets GROUP BY 1")
+def sets_ordered(spark, sf):
+    rows = response_sets(spark, sf).groupBy("set_id").agg(F.first("prompt").alias("prompt"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("k", "response"))).alias("r"))
+    return rows.select("set_id", "prompt", "n", F.array_join(F.transform("r", lambda x: x["response"]), "\x1e").alias("responses"))
+
+
+_LABEL = "CASE WHEN k <= 26 THEN chr((64 + k)::INTEGER) ELSE chr((64 + (k - 1) // 26)::INTEGER) || chr((65 + (k - 1) % 26)::INTEGER) END"
+
+
+@query(f"WITH {_SETS} SELECT set_id, k, {_LABEL} AS label FROM sets")
+def labels_az(spark, sf):
+    return response_sets(spark, sf).select("set_id", "k", T.response_label(F.col("k") - 1).alias("label"))
+
+
+@query(f"""WITH {_SETS} SELECT set_id, any_value(prompt) || string_agg(chr(10) || chr(10) || 'Response ' || {_LABEL} || ': ' || response, '' ORDER BY k) AS layout
+FROM sets GROUP BY set_id""")
+def layout_instruct(spark, sf):
+    rows = response_sets(spark, sf).groupBy("set_id", "prompt").agg(F.array_sort(F.collect_list(F.struct("k", "response"))).alias("r"))
+    return rows.select("set_id", T.instruct_layout(F.col("prompt"), F.transform("r", lambda x: x["response"])).alias("layout"))
+
+
+@query(f"""WITH {_SETS} SELECT set_id, string_agg(k || '. ' || prompt || ' ' || response, chr(10) || chr(10) ORDER BY k) AS layout FROM sets GROUP BY set_id""")
+def layout_completion(spark, sf):
+    rows = response_sets(spark, sf).groupBy("set_id", "prompt").agg(F.array_sort(F.collect_list(F.struct("k", "response"))).alias("r"))
+    return rows.select("set_id", T.completion_layout(F.col("prompt"), F.transform("r", lambda x: x["response"])).alias("layout"))
+
+
+@query("SELECT source, lang, count(*) AS n, avg(octet_length(encode(coalesce(text, '')))) AS mean_bytes, avg(length(coalesce(text, ''))) AS mean_chars FROM documents GROUP BY 1, 2")
+def byte_lengths(spark, sf):
+    docs = table(spark, sf, "documents")
+    return docs.groupBy("source", "lang").agg(F.count("*").alias("n"), F.avg(T.n_bytes(F.col("text"))).alias("mean_bytes"), F.avg(F.char_length(F.coalesce("text", F.lit("")))).alias("mean_chars"))
+
+
+def _cut(n: int) -> str:
+    cuts = []
+    for back in range(4):
+        h = f"left(hex(encode(text)), {2 * (n - back)})"
+        after = f"substr(hex(encode(text)), {2 * (n - back) + 1}, 1)"
+        cuts.append(f"WHEN {after} NOT IN ('8', '9', 'A', 'B') THEN decode(unhex({h}))")
+    return "CASE " + " ".join(cuts) + " END"
+
+
+@query(f"SELECT doc_id, {_cut(101)} AS prefix FROM documents WHERE text IS NOT NULL")
+def utf8_prefix(spark, sf):
+    docs = table(spark, sf, "documents").where("text is not null")
+    return docs.select("doc_id", T.utf8_prefix(F.col("text"), 101).alias("prefix"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS collapsed,
+CASE WHEN length(text) <= 60 THEN text ELSE coalesce(nullif(regexp_extract(left(text, 60), '(?s)^(.*) ', 1), ''), left(text, 60)) || '...' END AS cut,
+upper(left(text, 1)) || substr(text, 2) AS capital, CASE WHEN regexp_matches(lower(text), '^[aeiou]') THEN 'an' ELSE 'a' END AS article,
+replace(replace(text, ' ', '▁'), chr(10), '↵') AS shown FROM documents WHERE text IS NOT NULL""")
+def text_forms(spark, sf):
+    t = F.col("text")
+    docs = table(spark, sf, "documents").where("text is not null")
+    return docs.select("doc_id", T.collapse_blanks(t).alias("collapsed"), T.truncate_words(t, 60).alias("cut"), T.capitalized(t).alias("capital"), T.article(t).alias("article"), T.token_display(t).alias("shown"))
+
+
+@query(r"""SELECT DISTINCT p_name, trim(regexp_replace(lower(regexp_extract('org/' || p_name, '([^/]*)/?$', 1)), '[^a-z0-9.]+', '-', 'g'), '-') AS tag,
+replace(replace('{brand}: {name}', '{brand}', p_brand), '{name}', p_name) AS filled FROM part""")
+def run_tags(spark, sf):
+    part = table(spark, sf, "part")
+    values = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("name"), F.col("p_name"))
+    return part.select("p_name", T.run_tag(F.concat(F.lit("org/"), F.col("p_name"))).alias("tag"), T.fill_slots(F.lit("{brand}: {name}"), values).alias("filled")).distinct()
+
+
+# --- lexical and embedding diversity --------------------------------------
+
+
+def _groups(spark, sf):
+    return table(spark, sf, "documents").select("source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _ngram_sql(words: str, text: str = "coalesce(text, '')", sizes: str = "1, 2, 3, 4, 5") -> str:
+    return f"""w AS (SELECT source, lang, {words.format(t=text)} AS w FROM documents),
+g AS (SELECT source, lang, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(list_slice(w, i, i + n - 1), ' '))) AS gram FROM w, (SELECT unnest([{sizes}]) AS n)),
+grid AS (SELECT DISTINCT source, lang, n FROM documents, (SELECT unnest([{sizes}]) AS n)),
+d AS (SELECT grid.source, grid.lang, grid.n, count(DISTINCT gram) AS uniq, count(gram) AS total, coalesce(count(DISTINCT gram) / nullif(count(gram), 0), 0) AS distinct_n
+  FROM grid LEFT JOIN g ON g.source = grid.source AND g.lang = grid.lang AND g.n = grid.n GROUP BY ALL)"""
+
+
+_DOT = "list_filter(string_split(replace(replace({t}, '.', ''), chr(10), ''), ' '), lambda x: x <> '')"
+_WS = _words("{t}")
+
+
+@query(f"WITH {_ngram_sql(_DOT)} SELECT source, lang, n, uniq, total, round(distinct_n, 6) AS \"distinct\" FROM d")
+def distinct_n_dot(spark, sf):
+    return rounded(lexical.distinct_ngrams(_groups(spark, sf), ["source", "lang"], T.dot_words))
+
+
+@query(f"WITH {_ngram_sql(_WS)} SELECT source, lang, n, uniq, total, round(distinct_n, 6) AS \"distinct\" FROM d")
+def distinct_n_ws(spark, sf):
+    return rounded(lexical.distinct_ngrams(_groups(spark, sf), ["source", "lang"], T.ws_words))
+
+
+@query(f"WITH {_ngram_sql(_DOT)} SELECT source, lang, round(avg(distinct_n), 6) AS avg_distinct FROM d GROUP BY 1, 2")
+def distinct_n_avg(spark, sf):
+    d = lexical.distinct_ngrams(_groups(spark, sf), ["source", "lang"], T.dot_words)
+    return rounded(lexical.averaged_distinct(d, ["source", "lang"]).drop("per_n"))
+
+
+@query(f"""WITH {_ngram_sql(_WS)} SELECT source, lang, round(avg(CASE WHEN total = 0 THEN 0 ELSE uniq / (50257 * (1 - pow(50256.0::DOUBLE / 50257, total))) END), 6) AS ead FROM d GROUP BY 1, 2""")
+def ead_avg(spark, sf):
+    d = lexical.distinct_ngrams(_groups(spark, sf), ["source", "lang"], T.ws_words)
+    return rounded(lexical.expectation_adjusted(d, ["source", "lang"]))
+
+
+@query(f"""WITH {_ngram_sql(_DOT, sizes='1, 2')}, a AS (SELECT lang, avg(distinct_n) AS raw FROM (SELECT source, lang, avg(distinct_n) AS distinct_n FROM d GROUP BY 1, 2) GROUP BY 1),
+{_ngram_sql(_DOT, text="lower(coalesce(text, ''))", sizes='1, 2').replace('w AS (', 'w2 AS (', 1).replace(' FROM w,', ' FROM w2,').replace('g AS (', 'g2 AS (', 1).replace('LEFT JOIN g ON', 'LEFT JOIN g2 g ON').replace('grid AS (', 'grid2 AS (').replace('FROM grid LEFT', 'FROM grid2 grid LEFT').replace('d AS (SELECT grid', 'd2 AS (SELECT grid')},
+b AS (SELECT lang, avg(distinct_n) AS lowered FROM (SELECT source, lang, avg(distinct_n) AS distinct_n FROM d2 GROUP BY 1, 2) GROUP BY 1)
+SELECT lang, round(raw, 6) AS raw, round(lowered, 6) AS lowered FROM a JOIN b USING (lang)""")
+def distinct_n_case(spark, sf):
+    keys = ["source", "lang"]
+
+    def mean(lowered: bool, name: str) -> DataFrame:
+        texts = _groups(spark, sf)
+        texts = texts.withColumn("text", F.lower("text")) if lowered else texts
+        d = lexical.averaged_distinct(lexical.distinct_ngrams(texts, keys, T.dot_words, (1, 2)), keys)
+        return d.groupBy("lang").agg(F.avg("avg_distinct").alias(name))
+
+    return rounded(mean(False, "raw").join(mean(True, "lowered"), "lang"))
+
+
+_COS = """u AS (SELECT label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y)))) AS u FROM embeddings),
+d AS (SELECT label, unnest(u) AS v, generate_subscripts(u, 1) AS i FROM u),
+s AS (SELECT label, i, sum(v) AS s, sum(v * v) AS q, count(*) AS n FROM d GROUP BY 1, 2),
+m AS (SELECT label, max(n) AS n, sum(s * s - q) / (max(n) * (max(n) - 1)) AS mean_cosine FROM s GROUP BY 1)"""
+
+
+@query(f"WITH {_COS} SELECT label, n, round(mean_cosine, 6) AS mean_cosine FROM m")
+def cosine_mean(spark, sf):
+    return rounded(lexical.mean_pairwise_cosine(table(spark, sf, "embeddings"), ["label"]))
+
+
+@query(f"WITH {_COS} SELECT label, round(-mean_cosine, 6) AS negated, round(1 - mean_cosine, 6) AS one_minus FROM m")
+def embedding_diversity(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    a = lexical.mean_pairwise_cosine(rows, ["label"]).select("label", (-F.col("mean_cosine")).alias("negated"))
+    b = lexical.mean_pairwise_cosine(rows, ["label"], clip=1e-8).select("label", (1 - F.col("mean_cosine")).alias("one_minus"))
+    return rounded(a.join(b, "label"))
+
+
+# --- curves and scores ----------------------------------------------------
+
+
+@query(f"WITH {_SETS} SELECT set_id, k, round(len({_words('response')}) * log2(50257), 6) AS bits, octet_length(encode(response)) AS bytes FROM sets")
+def uniform_curve(spark, sf):
+    return rounded(scorers.uniform(response_sets(spark, sf), ["set_id"], 50_257))
+
+
+@query(f"{_BASE} SELECT set_id, k, round(bits, 4) + 0.0 AS bits, bytes FROM curve")
+def preq_curve(spark, sf):
+    return rounded(scorers.prequential(response_sets(spark, sf), ["set_id"]), 4)
+
+
+@query(f"{_FULL} SELECT set_id, k, round(bits, 4) + 0.0 AS bits, bytes FROM alone")
+def preq_uncond(spark, sf):
+    return rounded(scorers.prequential(response_sets(spark, sf), ["set_id"], alone=True), 4)
+
+
+_ALL_SCORES = f"""{_FULL}, {_CURVE_SCORES}, r AS (SELECT *, c * a_n_per_byte AS d_c_an, c * e AS d_c_e, c * e_rate AS d_c_e_rate, c * pow(2.0, sigma) AS c_plus,
+c * pow(2.0, -sigma) AS c_minus, c * pow(2.0, sigma) * e_rate AS d_plus, c * pow(2.0, -sigma) * e_rate AS d_minus FROM scores JOIN coh USING (set_id))"""
+_SCORE_NAMES = "e e_rate a_1 a_n a_n_per_byte c sigma mean_byte_length d_c_an d_c_e d_c_e_rate c_plus c_minus d_plus d_minus"
+
+
+def _scores(spark, sf):
+    sets = response_sets(spark, sf)
+    return curves.diversity(scorers.prequential(sets, ["set_id"]), scorers.prequential(sets, ["set_id"], alone=True), ["set_id"])
+
+
+@query(f"{_ALL_SCORES} SELECT set_id, n, is_monotone, {_round(_SCORE_NAMES, 4)} FROM r")
+def diversity_scores(spark, sf):
+    return rounded(_scores(spark, sf), 4)
+
+
+@query(f"{_ALL_SCORES} SELECT n AS scale, count(*) AS sets, count_if(is_monotone)::BIGINT AS monotone, {', '.join(f'round(avg({c}), 4) + 0.0 AS {c}' for c in 'd_c_an d_c_e e e_rate c sigma'.split())} FROM r GROUP BY n")
+def scale_means(spark, sf):
+    s = _scores(spark, sf)
+    return rounded(s.groupBy(F.col("n").alias("scale")).agg(F.count("*").alias("sets"), F.count_if("is_monotone").alias("monotone"), *[F.avg(c).alias(c) for c in ("d_c_an", "d_c_e", "e", "e_rate", "c", "sigma")]), 4)
+
+
+@query(f"""WITH {_SETS}, {_COUNTS}, temps AS (SELECT unnest([0.5, 1.0, 2.0]::DOUBLE[]) AS temperature),
+z AS (SELECT set_id, temperature, k, sum(c) AS n, sum(c * log2(h + 0.5) / temperature) AS gain, sum(pow(h + c + 0.5, 1 / temperature) - pow(h + 0.5, 1 / temperature)) AS delta FROM hist, temps GROUP BY ALL),
+y AS (SELECT *, coalesce(sum(delta) OVER (PARTITION BY set_id, temperature ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grown FROM z),
+b AS (SELECT y.set_id, temperature, k, n * log2((types + 1) * pow(0.5, 1 / temperature) + grown) - gain AS bits FROM y JOIN types USING (set_id) WHERE k > 0)
+SELECT s.set_id, temps.temperature, s.k, round(coalesce(bits, 0), 4) + 0.0 AS bits, octet_length(encode(response)) AS bytes
+FROM sets s CROSS JOIN temps LEFT JOIN b ON b.set_id = s.set_id AND b.k = s.k AND b.temperature = temps.temperature""")
+def multi_temperature(spark, sf):
+    return rounded(scorers.static(response_sets(spark, sf), ["set_id"], (0.5, 1.0, 2.0)), 4)
+
+
+@query(f"""WITH {_SETS}, {_COUNTS}, b AS (SELECT hist.set_id, hist.k, sum(-c * log2(greatest(((h + 0.1) / (total + 0.1 * (types + 1)) + (h + 1.0) / (total + 1.0 * (types + 1))) / 2, 1e-45))) AS bits
+FROM hist JOIN totals USING (set_id, k) JOIN types ON types.set_id = hist.set_id WHERE k > 0 GROUP BY 1, 2)
+SELECT s.set_id, s.k, round(coalesce(bits, 0), 4) + 0.0 AS bits, octet_length(encode(response)) AS bytes FROM sets s LEFT JOIN b USING (set_id, k)""")
+def ensemble(spark, sf):
+    return rounded(scorers.ensemble(response_sets(spark, sf), ["set_id"], (0.1, 1.0)), 4)
+
+
+PERMS = 3
+_PERM_SETS = f"""{_SETS}, base AS (SELECT * FROM sets), psets AS (SELECT set_id * {PERMS} + perm AS set_id, row_number() OVER (PARTITION BY set_id, perm ORDER BY md5(perm || ':' || k), k) AS k, prompt, response
+FROM base, (SELECT unnest(range({PERMS})) AS perm))"""
+_PERM_BASE = f"WITH {_PERM_SETS}, " + f"{_COUNTS}, {_CURVE}".replace("FROM sets", "FROM psets")
+_PERM_CURVE = f"{_PERM_BASE}, pcurve AS (SELECT set_id // {PERMS} AS set_id, set_id % {PERMS} AS perm, k, bits, bytes FROM curve)"
+
+
+def _perm_curves(spark, sf):
+    return scorers.prequential(scorers.hash_permutations(response_sets(spark, sf), ["set_id"], PERMS), ["set_id", "perm"])
+
+
+@query(f"{_PERM_CURVE} SELECT set_id, perm, k, round(bits, 4) + 0.0 AS bits, bytes FROM pcurve")
+def perm_curves(spark, sf):
+    return rounded(_perm_curves(spark, sf).withColumn("perm", F.col("perm").cast("long")), 4)
+
+
+@query(f"{_PERM_CURVE} SELECT set_id, k, round(avg(bits / nullif(bytes, 0)), 6) + 0.0 AS per_byte FROM pcurve GROUP BY 1, 2")
+def mor_curve(spark, sf):
+    return rounded(curves.mean_of_ratios(_perm_curves(spark, sf), ["set_id"]))
+
+
+@query(f"{_PERM_CURVE} SELECT set_id, k, round(coalesce(avg(bits) / nullif(avg(bytes), 0), 0), 6) + 0.0 AS per_byte FROM pcurve GROUP BY 1, 2")
+def rom_curve(spark, sf):
+    return rounded(curves.ratio_of_means(_perm_curves(spark, sf), ["set_id"]))
+
+
+@query(f"{_PERM_CURVE} SELECT set_id, k, round(avg(bits), 4) + 0.0 AS bits, round(avg(CASE WHEN bytes > 0 THEN bits / bytes ELSE 0 END), 6) + 0.0 AS per_byte, round_even(avg(bytes), 0)::BIGINT AS bytes FROM pcurve GROUP BY 1, 2")
+def perm_mean_curve(spark, sf):
+    m = curves.mean_curves(_perm_curves(spark, sf), ["set_id"])
+    return m.select("set_id", "k", (F.round("bits", 4) + 0.0).alias("bits"), (F.round("per_byte", 6) + 0.0).alias("per_byte"), "bytes")
+
+
+@query()
+def perm_std(spark, sf):
+    alone = scorers.prequential(response_sets(spark, sf), ["set_id"], alone=True)
+    return rounded(curves.permutation_spread(_perm_curves(spark, sf), alone, ["set_id"]), 4)
+
+
+_TOKENS = f"""raw AS (SELECT set_id, k, unnest({_words('response')}) AS word, generate_subscripts({_words('response')}, 1) AS i FROM sets)"""
+
+
+@query(f"""WITH {_SETS}, spans AS (SELECT set_id, k, (sum(length(response)) OVER w - length(response))::BIGINT AS s_start, (sum(length(response)) OVER w)::BIGINT AS s_end FROM sets WINDOW w AS (PARTITION BY set_id ORDER BY k)),
+size AS (SELECT set_id, max(s_end) AS total FROM spans GROUP BY 1),
+tokens AS (SELECT set_id, t, 7 * t AS c_start, 7 * t + 7 AS c_end FROM (SELECT set_id, unnest(range((total + 6) // 7)) AS t FROM size))
+SELECT s.set_id, s.k, min(t) AS first, max(t) + 1 AS stop, count(*)::DOUBLE AS bits FROM tokens t JOIN spans s ON s.set_id = t.set_id AND c_end > s_start AND c_start < s_end WHERE s_end > s_start GROUP BY 1, 2""")
+def span_overlap(spark, sf):
+    """Tokens of seven characters over the joined responses: those at a border belong to both sides."""
+    order = Window.partitionBy("set_id").orderBy("k")
+    size = F.char_length("response").cast("long")
+    spans = response_sets(spark, sf).select("set_id", "k", (F.sum(size).over(order) - size).alias("s_start"), F.sum(size).over(order).alias("s_end"))
+    total = spans.groupBy("set_id").agg(F.max("s_end").alias("total")).where("total > 0")
+    tokens = total.select("set_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / 7))).alias("t"))
+    tokens = tokens.select("set_id", "t", (F.col("t") * 7).alias("c_start"), (F.col("t") * 7 + 7).alias("c_end"), F.lit(1.0).alias("bits"))
+    return scorers.span_overlap(tokens, spans.where("s_end > s_start"), ["set_id"])
+
+
+# --- joins, sets, checks --------------------------------------------------
+
+
+@query("SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def resume_anti(spark, sf):
+    return tables.remaining(table(spark, sf, "documents"), table(spark, sf, "labels"), ["doc_id"]).select("doc_id", "source")
+
+
+@query("SELECT doc_id, source, lang FROM documents WHERE source NOT IN (SELECT source FROM documents d JOIN labels l USING (doc_id) GROUP BY source HAVING count(DISTINCT lang) >= 4)")
+def complete_semi(spark, sf):
+    docs = table(spark, sf, "documents")
+    done = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    return tables.incomplete(docs, done, ["source"], "lang", 4).select("doc_id", "source", "lang")
+
+
+@query("""SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars < 2000)""")
+def skip_reconcile(spark, sf):
+    docs = table(spark, sf, "documents")
+    missing = tables.remaining(docs, table(spark, sf, "labels"), ["doc_id"])
+    return tables.unexplained(missing, docs.where("n_chars < 2000"), ["doc_id"])
+
+
+def _stage_means(spark, sf):
+    return table(spark, sf, "documents").groupBy("source", "lang").agg(F.avg("n_chars").alias("score"), F.count("*").alias("n"))
+
+
+_MEANS = "m AS (SELECT source, lang, avg(n_chars) AS score, count(*) AS n FROM documents GROUP BY 1, 2)"
+_PAIR = f"WITH {_MEANS}, p AS (SELECT a.source, a.score AS a, b.score AS b, a.score - b.score AS diff FROM m a JOIN m b USING (source) WHERE a.lang = 'en' AND b.lang = 'de')"
+
+
+def _pairs(spark, sf):
+    return tables.paired(_stage_means(spark, sf), "lang", "source", "score", "en", "de")
+
+
+@query(f"{_PAIR} SELECT source, {_round('a b diff')} FROM p")
+def paired_stage(spark, sf):
+    return rounded(_pairs(spark, sf))
+
+
+@query(f"WITH {_MEANS} SELECT source FROM m GROUP BY 1 HAVING count(DISTINCT lang) = 4")
+def nway_common(spark, sf):
+    return tables.complete_keys(_stage_means(spark, sf), "lang", "source", 4)
+
+
+_EN = "SELECT DISTINCT text FROM documents WHERE lang = 'en'"
+_QUALITY = "SELECT DISTINCT text FROM documents JOIN labels USING (doc_id) WHERE quality = 1"
+
+
+def _en_and_good(spark, sf):
+    docs = table(spark, sf, "documents")
+    good = docs.join(table(spark, sf, "labels").where("quality = 1"), "doc_id")
+    return docs.where("lang = 'en'").select("text").distinct(), good.select("text").distinct()
+
+
+@query(f"SELECT md5(text) AS h FROM ({_EN} INTERSECT {_QUALITY})")
+def set_intersect(spark, sf):
+    a, b = _en_and_good(spark, sf)
+    return a.intersect(b).select(F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+@query(f"SELECT md5(text) AS h FROM ({_EN} EXCEPT {_QUALITY})")
+def set_except(spark, sf):
+    a, b = _en_and_good(spark, sf)
+    return a.subtract(b).select(F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+@query(f"SELECT md5(text) AS h, side FROM (SELECT *, 'left' AS side FROM ({_EN} EXCEPT {_QUALITY}) UNION ALL SELECT *, 'right' AS side FROM ({_QUALITY} EXCEPT {_EN}))")
+def set_symdiff(spark, sf):
+    a, b = _en_and_good(spark, sf)
+    return tables.symmetric_difference(a, b).select(F.md5(F.col("text").cast("binary")).alias("h"), "side")
+
+
+@query("SELECT md5(text) AS h, count(DISTINCT source) AS labels, count(*) AS n FROM documents GROUP BY text HAVING count(DISTINCT source) > 1")
+def conflict_labels(spark, sf):
+    return tables.conflicting(table(spark, sf, "documents"), "text", "source").select(F.md5(F.col("text").cast("binary")).alias("h"), "labels", "n")
+
+
+@query("""WITH k AS (SELECT doc_id, md5(text) AS h FROM documents) SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY h) = 1 THEN h
+ELSE h || '__row' || row_number() OVER (PARTITION BY h ORDER BY doc_id) END AS unique_key FROM k""")
+def dup_keys(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
+    return tables.disambiguate(rows, "h", "doc_id").select("doc_id", "unique_key")
+
+
+@query("SELECT text_id, arg_max(doc_id, doc_id) AS doc_id, count(*) AS n FROM (SELECT md5(text) AS text_id, doc_id FROM documents) GROUP BY 1")
+def last_wins(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_id"))
+    return tables.last_wins(rows, ["text_id"], "doc_id").join(rows.groupBy("text_id").agg(F.count("*").alias("n")), "text_id")
+
+
+@query("""SELECT d.doc_id, coalesce(a.quality, b.quality) AS quality FROM documents d LEFT JOIN labels a ON a.doc_id = d.doc_id LEFT JOIN labels b ON b.doc_id = d.doc_id - 1""")
+def fallback_lookup(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") - 1).alias("legacy_id"))
+    return tables.lookup(docs, table(spark, sf, "labels").select(F.col("doc_id").alias("key"), "quality"), "doc_id", "legacy_id", "key", "quality").select("doc_id", "quality")
+
+
+@query("""WITH a AS (SELECT source, avg(n_chars) AS v FROM documents WHERE lang IN ('en', 'de') GROUP BY 1), b AS (SELECT source, avg(length(text)) AS v FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1)
+SELECT source, round(a.v, 6) AS left_value, round(b.v, 6) AS right_value FROM a FULL JOIN b USING (source) WHERE a.v IS NULL OR b.v IS NULL OR abs(a.v - b.v) > 50""")
+def drift_report(spark, sf):
+    docs = table(spark, sf, "documents")
+    a = docs.where("lang in ('en', 'de')").groupBy("source").agg(F.avg("n_chars").alias("v"))
+    b = docs.where("lang in ('en', 'fr')").groupBy("source").agg(F.avg(F.char_length("text")).alias("v"))
+    return rounded(tables.drift(a, b, ["source"], "v", 50))
+
+
+@query("""WITH m AS (SELECT doc_id, n_chars::DOUBLE AS chars, octet_length(encode(text))::DOUBLE AS bytes, (length(text) - length(replace(text, chr(10), '')) + 1)::DOUBLE AS lines FROM documents)
+UNPIVOT m ON chars, bytes, lines INTO NAME metric VALUE score""")
+def wide_unpivot(spark, sf):
+    return tables.unpivot_metrics(_doc_metrics(spark, sf), ["doc_id"], ["chars", "bytes", "lines"])
+
+
+@query("SELECT source, quality, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2")
+def labelled_join(spark, sf):
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    return rounded(rows.groupBy("source", "quality").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars")))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, len(json_keys(props)) AS n_keys FROM events")
+def json_props(spark, sf):
+    props = F.from_json("props", "map<string,string>")
+    rows = table(spark, sf, "events").select("event_id", "props", F.json_object_keys("props").alias("keys"))
+    return rows.select("event_id", F.try_element_at(F.from_json("props", "map<string,string>"), F.element_at("keys", 1)).alias("first_value"), F.size("keys").cast("long").alias("n_keys"))
+
+
+# --- lengths --------------------------------------------------------------
+
+
+def _doc_metrics(spark, sf):
+    return table(spark, sf, "documents").select(
+        "doc_id", "source", "lang", F.col("n_chars").cast("double").alias("chars"), T.n_bytes(F.col("text")).cast("double").alias("bytes"), F.size(F.split("text", "\n")).cast("double").alias("lines")
+    )
+
+
+@query("SELECT source, min(octet_length(encode(text))) AS min_bytes, arg_min(lang, struct_pack(b := octet_length(encode(text)), d := doc_id)) AS lang, arg_min(doc_id, struct_pack(b := octet_length(encode(text)), d := doc_id)) AS doc_id FROM documents GROUP BY 1")
+def shortest_by_prompt(spark, sf):
+    rows = table(spark, sf, "documents").select("source", "lang", "doc_id", F.col("text").alias("response"), F.col("doc_id").alias("ord"))
+    return length.shortest(rows, "source", ["lang", "doc_id"], "ord")
+
+
+@query("""WITH p AS (SELECT lang, source, min(octet_length(encode(text))) AS t FROM documents GROUP BY 1, 2 HAVING min(octet_length(encode(text))) >= 50)
+SELECT d.doc_id, octet_length(encode(d.text)) AS original_bytes, p.t AS truncation_bytes FROM documents d JOIN p USING (lang, source)""")
+def length_match(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "lang", "source").alias("prompt"), F.col("text").alias("response"))
+    out = length.length_matched(rows, "prompt", 50)
+    return out.select("doc_id", "original_bytes", "truncation_bytes")
+
+
+@query("""SELECT lang, count(*) AS n, min(x) AS min, quantile_cont(x, 0.5) AS median, round(avg(x), 6) AS mean, max(x) AS max, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.9), 6) AS p90,
+round(stddev_samp(x) / avg(x), 6) AS cv FROM (SELECT lang, n_chars::DOUBLE AS x FROM documents) GROUP BY 1""")
+def length_report(spark, sf):
+    return rounded(length.length_report(table(spark, sf, "documents"), ["lang"], "n_chars"))
+
+
+@query("""WITH r AS (SELECT lang, n_chars::DOUBLE AS v, row_number() OVER (PARTITION BY lang ORDER BY n_chars) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+p AS (SELECT *, greatest(1, least(n, 0.1 * (n + 1)))::DOUBLE AS p FROM r)
+SELECT lang, round(sum(CASE WHEN r = floor(p) THEN (1 - (p - floor(p))) * v ELSE (p - floor(p)) * v END), 4) AS quantile FROM p WHERE r = floor(p) OR r = floor(p) + 1 GROUP BY 1""")
+def exclusive_quantile(spark, sf):
+    return rounded(length.exclusive_quantile(table(spark, sf, "documents"), ["lang"], "n_chars", 0.1), 4)
+
+
+@query("""WITH b AS (SELECT CASE WHEN n_chars >= 0 AND n_chars < 500 THEN 0 WHEN n_chars < 1500 THEN 1 WHEN n_chars < 5000 THEN 2 WHEN n_chars < 1000000 THEN 3 END AS bin, quality FROM documents JOIN labels USING (doc_id))
+SELECT bin, count(*) AS n, round(avg(quality), 6) AS mean_label, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN quality = 0 THEN 1.0 ELSE 0.0 END), 6) AS gap FROM b GROUP BY 1""")
+def length_bins(spark, sf):
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    share = lambda v: F.avg(F.when(F.col("quality") == v, 1.0).otherwise(0.0))
+    return rounded(tables.binned(rows, "n_chars", [0, 500, 1500, 5000, 1_000_000]).groupBy("bin").agg(F.count("*").alias("n"), F.avg("quality").alias("mean_label"), (share(1) - share(0)).alias("gap")))
+
+
+@query(f"""WITH {_MEANS}, s AS (SELECT source, lang, score - lag(score) OVER (PARTITION BY source ORDER BY lang) AS d FROM m)
+SELECT source, coalesce(bool_and(d > 0), false) AS rising, coalesce(bool_and(d < 0), false) AS falling FROM s GROUP BY 1""")
+def monotone_trend(spark, sf):
+    return length.monotone_trend(_stage_means(spark, sf), ["source"], "lang", "score")
+
+
+# --- statistics -----------------------------------------------------------
+
+
+def _labelled(spark, sf):
+    return _doc_metrics(spark, sf).join(table(spark, sf, "labels"), "doc_id")
+
+
+_LAB = "l AS (SELECT d.doc_id, lang, source, n_chars::DOUBLE AS chars, (length(text) - length(replace(text, chr(10), '')) + 1)::DOUBLE AS lines, quality, toxic FROM documents d JOIN labels USING (doc_id))"
+_RANK = "(rank() OVER (PARTITION BY lang ORDER BY {x}) + (count(*) OVER (PARTITION BY lang, {x}) - 1) / 2.0)"
+
+
+@query(f"WITH {_LAB}, r AS (SELECT lang, {_RANK.format(x='chars')} AS a, {_RANK.format(x='lines')} AS b FROM l) SELECT lang, count(*) AS n, round(corr(a, b), 6) AS rho FROM r GROUP BY 1")
+def spearman(spark, sf):
+    return rounded(stats.spearman(_labelled(spark, sf), ["lang"], "chars", "lines"))
+
+
+@query(f"WITH {_LAB} SELECT lang, count(*) AS n, round(corr(chars, lines), 6) AS r FROM l GROUP BY 1")
+def pearson(spark, sf):
+    return rounded(stats.pearson(_labelled(spark, sf), ["lang"], "chars", "lines"))
+
+
+@query(f"""WITH {_MEANS}, c AS (SELECT lang, round(score) AS x, n AS y FROM m), p AS (SELECT a.lang, sign(a.x - b.x) * sign(a.y - b.y) AS s, a.x = b.x AS tx, a.y = b.y AS ty FROM (SELECT *, row_number() OVER () AS i FROM c) a JOIN (SELECT *, row_number() OVER () AS i FROM c) b ON a.lang = b.lang AND a.i < b.i),
+q AS (SELECT lang, count(*) AS n FROM c GROUP BY 1)
+SELECT lang, any_value(n) AS n, round(sum(s) / sqrt((count(*) - count_if(tx))::DOUBLE * (count(*) - count_if(ty))), 6) AS tau FROM p JOIN q USING (lang) GROUP BY 1""")
+def kendall(spark, sf):
+    return rounded(stats.kendall(_stage_means(spark, sf).withColumn("score", F.round("score")), ["lang"], "score", "n"))
+
+
+_U = f"""r AS (SELECT lang, quality, {_RANK.format(x='chars')} AS r FROM l), t AS (SELECT lang, sum(c * c * c - c) AS ties FROM (SELECT lang, chars, count(*)::DOUBLE AS c FROM l GROUP BY 1, 2) GROUP BY 1),
+u AS (SELECT lang, count_if(quality = 1)::BIGINT AS n_pos, count_if(quality = 0)::BIGINT AS n_neg, sum(CASE WHEN quality = 1 THEN r END) - count_if(quality = 1) * (count_if(quality = 1) + 1) / 2.0 AS u FROM r GROUP BY 1)"""
+
+
+@query(f"""WITH {_LAB}, {_U} SELECT lang, n_pos, n_neg, u::DOUBLE AS u, round(CASE WHEN n_pos >= 2 AND n_neg >= 2 THEN u / (n_pos * n_neg) END, 6) AS auc,
+round((u - n_pos * n_neg / 2.0 - 0.5) / sqrt(n_pos * n_neg / 12.0 * (n_pos + n_neg + 1 - ties / ((n_pos + n_neg) * (n_pos + n_neg - 1)))), 6) AS z FROM u JOIN t USING (lang)""")
+def mann_whitney_auc(spark, sf):
+    return rounded(stats.rank_sum(_labelled(spark, sf), ["lang"], "chars", "quality"))
+
+
+@query(f"""WITH {_LAB}, o AS (SELECT lang, row_number() OVER w AS pos, sum(quality) OVER w AS tp, sum(1 - quality) OVER w AS fp FROM l WINDOW w AS (PARTITION BY lang ORDER BY chars DESC, doc_id ROWS UNBOUNDED PRECEDING)),
+n AS (SELECT lang, sum(quality) AS p, sum(1 - quality) AS q FROM l GROUP BY 1) SELECT o.lang, pos::INTEGER AS pos, round(fp / q, 6) AS fpr, round(tp / p, 6) AS tpr FROM o JOIN n USING (lang)""")
+def roc(spark, sf):
+    return rounded(stats.roc_points(_labelled(spark, sf), ["lang"], "chars", "quality", "doc_id"))
+
+
+@query(f"""WITH {_LAB}, c AS (SELECT lang, chars, sum(quality) AS p, sum(1 - quality) AS q FROM l GROUP BY 1, 2),
+r AS (SELECT lang, sum(p) OVER w + sum(q) OVER (PARTITION BY lang) - sum(q) OVER w AS hit, sum(q) OVER (PARTITION BY lang) AS none, sum(p + q) OVER (PARTITION BY lang) AS n FROM c WINDOW w AS (PARTITION BY lang ORDER BY chars DESC ROWS UNBOUNDED PRECEDING))
+SELECT lang, max(n)::BIGINT AS n, round(greatest(max(hit), max(none)) / max(n), 6) AS oca FROM r GROUP BY 1""")
+def oca_best(spark, sf):
+    return rounded(stats.best_threshold_accuracy(_labelled(spark, sf), ["lang"], "chars", "quality"))
+
+
+@query(f"""WITH {_LAB}, m AS (SELECT lang, quantile_cont(chars, 0.5) AS m FROM l GROUP BY 1) SELECT lang, count(*) AS n, round(avg(CASE WHEN (chars > m)::INTEGER = quality THEN 1.0 ELSE 0.0 END), 6) AS oca FROM l JOIN m USING (lang) GROUP BY 1""")
+def oca_median(spark, sf):
+    return rounded(stats.median_split_accuracy(_labelled(spark, sf), ["lang"], "chars", "quality"))
+
+
+@query(f"""{_PAIR}, d AS (SELECT abs(diff) AS a, diff > 0 AS s FROM p WHERE diff <> 0), r AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS r FROM d),
+t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM d GROUP BY a))
+SELECT 1 AS one, count(*) AS n, sum(CASE WHEN s THEN r ELSE 0 END)::DOUBLE AS w_plus, round((sum(CASE WHEN s THEN r ELSE 0 END) - count(*) * (count(*) + 1) / 4.0) / sqrt(count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24.0 - any_value(ties) / 48), 6) AS z FROM r, t""")
+def wilcoxon(spark, sf):
+    return rounded(stats.signed_rank(_pairs(spark, sf).withColumn("one", F.lit(1)), ["one"], "diff"))
+
+
+@query(f"""WITH {_LAB}, g AS (SELECT lang, count_if(quality = 1)::BIGINT AS n1, count_if(quality = 0)::BIGINT AS n0, avg(chars) FILTER (quality = 1) AS m1, avg(chars) FILTER (quality = 0) AS m0, var_samp(chars) FILTER (quality = 1) / count_if(quality = 1) AS a, var_samp(chars) FILTER (quality = 0) / count_if(quality = 0) AS b FROM l GROUP BY 1)
+SELECT lang, n1, n0, round(m1 - m0, 4) AS diff, round(sqrt(a + b), 4) AS se, round((m1 - m0) / sqrt(a + b), 4) AS t, round((a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n0 - 1)), 4) AS df FROM g""")
+def welch(spark, sf):
+    return rounded(stats.welch(_labelled(spark, sf), ["lang"], "chars", "quality"), 4)
+
+
+@query(f"{_PAIR} SELECT 1 AS one, count(*) AS n, round(avg(diff) / (stddev_samp(diff) / sqrt(count(*))), 6) AS t FROM p")
+def one_sample_t(spark, sf):
+    return rounded(stats.one_sample_t(_pairs(spark, sf).withColumn("one", F.lit(1)), ["one"], "diff"))
+
+
+@query(f"{_PAIR} SELECT 1 AS one, count(*) AS n, round(avg(diff) / stddev_samp(diff), 6) AS dz FROM p")
+def cohen_dz(spark, sf):
+    return rounded(stats.cohen_dz(_pairs(spark, sf).withColumn("one", F.lit(1)), ["one"], "diff"))
+
+
+@query("""WITH g AS (SELECT lang, count(*) AS n, avg(n_chars) AS m, var_samp(n_chars) AS v FROM documents GROUP BY 1),
+x AS (SELECT lang, lead(lang) OVER w AS next_group, n, m, v, lead(n) OVER w AS n2, lead(m) OVER w AS m2, lead(v) OVER w AS v2 FROM g WINDOW w AS (ORDER BY lang))
+SELECT lang, next_group, round((m2 - m) / sqrt(((n - 1) * v + (n2 - 1) * v2) / (n + n2 - 2)), 6) AS d FROM x WHERE next_group IS NOT NULL""")
+def cohen_adjacent(spark, sf):
+    return rounded(stats.adjacent_cohen_d(table(spark, sf, "documents"), "lang", "n_chars"))
+
+
+def _test_p(spark, sf):
+    rows = _stage_means(spark, sf).select("lang", "source", (1 / (1 + F.col("score"))).alias("p"))
+    return rows
+
+
+_P = f"WITH {_MEANS}, p AS (SELECT lang, source, 1 / (1 + score) AS p FROM m)"
+
+
+@query(f"{_P} SELECT lang, source, round(least(1.0, p * count(*) OVER (PARTITION BY lang)), 6) AS p_bonferroni FROM p")
+def bonferroni(spark, sf):
+    rows = _test_p(spark, sf)
+    return rounded(rows.select("lang", "source", stats.bonferroni(F.col("p"), F.count("*").over(Window.partitionBy("lang"))).alias("p_bonferroni")))
+
+
+@query(f"""{_P}, s AS (SELECT lang, source, p, (count(*) OVER (PARTITION BY lang) - row_number() OVER (PARTITION BY lang ORDER BY p, source) + 1) * p AS step FROM p)
+SELECT lang, source, round(least(1.0, max(step) OVER (PARTITION BY lang ORDER BY p, source ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM s""")
+def holm(spark, sf):
+    return rounded(stats.holm(_test_p(spark, sf), ["lang"], "p", "source").select("lang", "source", "p_holm"))
+
+
+@query(f"WITH {_MEANS} SELECT source, lang, round((score - avg(score) OVER w) / stddev_samp(score) OVER w, 6) + 0.0 AS z FROM m WINDOW w AS (PARTITION BY lang)")
+def zscore(spark, sf):
+    return rounded(stats.zscores(_stage_means(spark, sf), ["lang"], "score").select("source", "lang", "z"))
+
+
+@query(f"""WITH {_LAB}, g AS (SELECT doc_id, round(abs(quality - coalesce((chars - min(chars) OVER w) / nullif(max(chars) OVER w - min(chars) OVER w, 0), 0)), 6) AS gap FROM l WINDOW w AS (PARTITION BY lang))
+SELECT doc_id, gap, (row_number() OVER (ORDER BY gap DESC, doc_id))::INTEGER AS rank FROM g ORDER BY gap DESC, doc_id LIMIT 50""")
+def minmax_disagreement(spark, sf):
+    """The fifty largest gaps between label and scaled score (a report: fifty is its length)."""
+    rows = stats.minmax(_labelled(spark, sf), ["lang"], "chars").select("doc_id", F.round(F.abs(F.col("quality") - F.col("norm")), 6).alias("gap"))
+    top = rows.orderBy(F.desc("gap"), "doc_id").limit(50)
+    return top.withColumn("rank", F.rank().over(Window.orderBy(F.desc("gap"), "doc_id")))
+
+
+# --- decomposition --------------------------------------------------------
+
+
+@query(f"""WITH {_MEANS}, x AS (SELECT score AS v, avg(score) OVER (PARTITION BY source) AS r, avg(score) OVER (PARTITION BY lang) AS c, avg(score) OVER () AS g FROM m),
+s AS (SELECT sum(pow(r - g, 2)) AS ss_row, sum(pow(c - g, 2)) AS ss_col, sum(pow(v - r - c + g, 2)) AS ss_inter, sum(pow(v - g, 2)) AS ss_total FROM x)
+SELECT round(ss_row, 2) AS ss_row, round(ss_col, 2) AS ss_col, round(ss_inter, 2) AS ss_inter, round(ss_total, 2) AS ss_total, round(ss_row / ss_total, 6) AS frac_row, round(ss_col / ss_total, 6) AS frac_col, round(ss_inter / ss_total, 6) AS frac_inter FROM s""")
+def two_way(spark, sf):
+    d = tables.two_way(_stage_means(spark, sf), "source", "lang", "score")
+    return d.select(*[F.round(c, 2).alias(c) if c.startswith("ss_") else F.round(c, 6).alias(c) for c in d.columns])
+
+
+def _cube(spark, sf):
+    long = tables.unpivot_metrics(_doc_metrics(spark, sf), ["source", "lang"], ["chars", "bytes", "lines"])
+    return long.groupBy("source", "lang", "metric").agg(F.avg(F.log2(F.col("score") + 1)).alias("v"))
+
+
+_CUBE = """d AS (SELECT source, lang, n_chars::DOUBLE AS chars, octet_length(encode(coalesce(text, '')))::DOUBLE AS bytes, (length(text) - length(replace(text, chr(10), '')) + 1)::DOUBLE AS lines FROM documents),
+u AS (UNPIVOT d ON chars, bytes, lines INTO NAME metric VALUE score), c AS (SELECT source, lang, metric, avg(log2(score + 1)) AS v FROM u GROUP BY ALL)"""
+
+
+@query(f"""WITH {_CUBE}, x AS (SELECT v, avg(v) OVER () AS g, avg(v) OVER (PARTITION BY source) AS a, avg(v) OVER (PARTITION BY lang) AS b, avg(v) OVER (PARTITION BY metric) AS m,
+avg(v) OVER (PARTITION BY source, lang) AS ab, avg(v) OVER (PARTITION BY source, metric) AS am, avg(v) OVER (PARTITION BY lang, metric) AS bm FROM c),
+s AS (SELECT sum(pow(a - g, 2)) AS source, sum(pow(b - g, 2)) AS lang, sum(pow(m - g, 2)) AS metric, sum(pow(ab - a - b + g, 2)) AS source_lang, sum(pow(am - a - m + g, 2)) AS source_metric,
+sum(pow(bm - b - m + g, 2)) AS lang_metric, sum(pow(v - ab - am - bm + a + b + m - g, 2)) AS source_lang_metric, sum(pow(v - g, 2)) AS total FROM x),
+e AS (UNPIVOT s ON source, lang, metric, source_lang, source_metric, lang_metric, source_lang_metric INTO NAME effect VALUE ss)
+SELECT effect, round(ss, 4) AS ss, round(ss / total, 6) AS fraction FROM e""")
+def three_way(spark, sf):
+    d = tables.three_way(_cube(spark, sf), ["source", "lang", "metric"], "v")
+    return d.select("effect", F.round("ss", 4).alias("ss"), F.round("fraction", 6).alias("fraction"))
+
+
+@query(f"WITH {_CUBE} SELECT metric, lang, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std FROM c GROUP BY 1, 2")
+def theta_stage_matrix(spark, sf):
+    return rounded(_cube(spark, sf).groupBy("metric", "lang").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")))
+
+
+@query(f"""WITH {_MEANS}, s AS (SELECT lang, avg(score) AS score FROM m GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY lang) AS rank FROM s)
+SELECT count_if(a.score > b.score)::BIGINT AS passes, count(*) AS pairs FROM r a JOIN r b ON a.rank < b.rank""")
+def ordering_passes(spark, sf):
+    means = _stage_means(spark, sf).groupBy("lang").agg(F.avg("score").alias("score")).withColumn("rank", F.row_number().over(Window.orderBy("lang")))
+    return tables.ordering_passes(means, "rank", "score")
+
+
+# --- cross-mode -----------------------------------------------------------
+
+
+def _mode_samples(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("mode"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.withColumn("k", F.row_number().over(Window.partitionBy("mode").orderBy("doc_id")).cast("long") - 1)
+
+
+def _mode_bits(spark, sf):
+    samples = _mode_samples(spark, sf)
+    words = samples.select("mode", "k", F.explode(T.ws_words(F.col("text"))).alias("word")).groupBy("mode", "k", "word").agg(F.count("*").alias("c"))
+    return pairwise.conditional_bits(pairwise.rotated_pairs(samples.select("mode", "k"), "mode", "k"), words)
+
+
+_MODES = f"""s AS (SELECT lang AS mode, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k, coalesce(text, '') AS text FROM documents),
+wc AS (SELECT mode, k, word, count(*) AS c FROM (SELECT mode, k, unnest({_words('text')}) AS word FROM s) GROUP BY ALL),
+ty AS (SELECT count(DISTINCT word) AS types FROM wc), tot AS (SELECT mode, k, sum(c)::BIGINT AS total FROM wc GROUP BY 1, 2),
+sz AS (SELECT min(n) AS m FROM (SELECT mode, count(*) AS n FROM s GROUP BY 1)),
+pr AS (SELECT c.mode AS ctx, t.mode AS tgt, t.k, c.k AS ctx_k FROM s t JOIN sz ON t.k < m JOIN s c ON c.k = (t.k + 1) % m),
+bits AS (SELECT pr.ctx, pr.tgt, pr.k, pr.ctx_k, sum(-w.c * log2((coalesce(h.c, 0) + 0.5) / (total + 0.5 * (types + 1)))) AS bits, sum(w.c * log2(types + 1.0)) AS alone
+  FROM pr JOIN wc w ON w.mode = pr.tgt AND w.k = pr.k LEFT JOIN wc h ON h.mode = pr.ctx AND h.k = pr.ctx_k AND h.word = w.word JOIN tot ON tot.mode = pr.ctx AND tot.k = pr.ctx_k, ty GROUP BY ALL),
+mx AS (SELECT ctx, tgt, avg(alone - bits) AS mean, stddev_pop(alone - bits) AS std, stddev_pop(alone - bits) / sqrt(count(*)) AS sem FROM bits GROUP BY 1, 2)"""
+
+
+def _matrix(spark, sf):
+    return pairwise.reduction(_mode_bits(spark, sf))
+
+
+@query(f"WITH {_MODES} SELECT ctx, tgt, {_round('mean std sem', 4)} FROM mx")
+def pairwise_reduction(spark, sf):
+    return rounded(_matrix(spark, sf), 4)
+
+
+@query(f"WITH {_MODES}, g AS (SELECT ctx, avg(mean) AS mean, sqrt(sum(sem * sem)) / count(*) AS sem FROM mx GROUP BY 1) SELECT ctx, {_round('mean sem', 4)}, row_number() OVER (ORDER BY g.mean DESC, ctx)::INTEGER AS rank FROM g")
+def row_means(spark, sf):
+    return rounded(pairwise.margins(_matrix(spark, sf), "ctx"), 4)
+
+
+@query(f"WITH {_MODES} SELECT a.ctx, a.tgt, round(a.mean - b.mean, 4) + 0.0 AS gap FROM mx a JOIN mx b ON a.ctx = b.tgt AND a.tgt = b.ctx WHERE a.ctx < a.tgt")
+def asymmetry(spark, sf):
+    return rounded(pairwise.asymmetry(_matrix(spark, sf)), 4)
+
+
+@query(f"""WITH {_MODES} SELECT round(avg(mean) FILTER (ctx = tgt), 4) AS diagonal, round(avg(mean) FILTER (ctx <> tgt), 4) AS off_diagonal, round(avg(CASE WHEN mean > 0 THEN 1.0 ELSE 0.0 END) FILTER (ctx <> tgt), 4) AS frac_positive FROM mx""")
+def diagonal_means(spark, sf):
+    return rounded(pairwise.diagonal_means(_matrix(spark, sf)), 4)
+
+
+@query(f"""WITH {_MODES}, c AS (SELECT ctx, tgt, mean FROM mx WHERE ctx <> tgt) SELECT ctx, tgt, round(mean, 4) AS mean, side FROM (
+(SELECT *, 'top' AS side FROM c ORDER BY mean DESC, ctx, tgt LIMIT 3) UNION ALL (SELECT *, 'bottom' AS side FROM c ORDER BY mean, ctx, tgt LIMIT 3))""")
+def top_bottom_pairs(spark, sf):
+    return rounded(pairwise.extremes(_matrix(spark, sf), 3), 4)
+
+
+@query(f"""WITH {_MODES}, p AS (SELECT a.mean AS x, b.mean AS y FROM mx a JOIN mx b ON a.ctx = b.tgt AND a.tgt = b.ctx WHERE a.ctx < a.tgt)
+SELECT round(regr_slope(y, x), 4) AS slope, round(regr_intercept(y, x), 4) AS intercept, round(regr_r2(y, x), 4) AS r2 FROM p""")
+def symmetry_fit(spark, sf):
+    return rounded(pairwise.symmetry_fit(_matrix(spark, sf)), 4)
+
+
+@query("""WITH t AS (SELECT l_orderkey AS id, l_linenumber - 1 AS t, l_extendedprice / 1000 - 30 AS delta FROM lineitem), n AS (SELECT id, count(*) AS n, sum(delta) AS total FROM t GROUP BY 1)
+SELECT id, n, round(CASE WHEN abs(total) > 0.1 THEN share / total END, 4) + 0.0 AS share FROM (SELECT id, any_value(n) AS n, any_value(total) AS total, sum(CASE WHEN t < n // 4 THEN delta ELSE 0 END) AS share FROM t JOIN n USING (id) GROUP BY 1)""")
+def token_first_quarter(spark, sf):
+    tokens = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") - 1).alias("t"), (F.col("l_extendedprice") / 1000 - 30).alias("delta"))
+    return rounded(pairwise.first_quarter_share(tokens, ["id"]), 4)
+
+
+# --- closed forms, fits, bootstraps ---------------------------------------
+
+
+@query(r"""WITH c AS (SELECT lang, source, count(*) AS c FROM documents GROUP BY 1, 2), n AS (SELECT lang, sum(c)::BIGINT AS n FROM c GROUP BY 1),
+k AS (SELECT lang, c, n, unnest(range(least(10, n))) AS k FROM c JOIN n USING (lang))
+SELECT lang, k, round(1 - sum(c / n * coalesce(list_product(list_transform(range(k), lambda i: greatest(0.0, (n - c - i) / (n - 1 - i)))), 1.0)), 6) + 0.0 AS p FROM k GROUP BY 1, 2""")
+def p_rep(spark, sf):
+    counts = table(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("c"))
+    return rounded(fits.seen_before(counts, ["lang"], "c", 10))
+
+
+@query()
+def predicted_curves(spark, sf):
+    counts = table(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("c"))
+    p = fits.seen_before(counts, ["lang"], "c", 10).groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda x: x["p"]).alias("p"))
+    return p.select("lang", fits.additive_curve(F.lit(100.0), F.lit(40.0), F.col("p")).alias("additive"), fits.fractional_curve(F.lit(100.0), F.lit(0.3), F.col("p")).alias("fractional"))
+
+
+@query()
+def fit_exponential(spark, sf):
+    return rounded(fits.fit_curves(scorers.prequential(response_sets(spark, sf), ["set_id"]), ["set_id"], "bits"), 3)
+
+
+@query()
+def fit_sigmoid(spark, sf):
+    return rounded(fits.fit_curves(scorers.prequential(response_sets(spark, sf), ["set_id"]), ["set_id"], "bits", "sigmoid", 4), 3)
+
+
+@query()
+def bootstrap_ratio(spark, sf):
+    return rounded(fits.bootstrap_ratio(_pairs(spark, sf), [], "a", "b", 2000))
+
+
+@query(f"{_FULL}, {_CURVE_SCORES} SELECT n AS m, count(*) AS sets, round(avg(a_n / nullif(a_1, 0)), 4) AS drop_ratio FROM scores GROUP BY n")
+def drop_ratio(spark, sf):
+    s = curves.excess_entropy(scorers.prequential(response_sets(spark, sf), ["set_id"]), ["set_id"])
+    return rounded(s.groupBy(F.col("n").alias("m")).agg(F.count("*").alias("sets"), F.avg(F.try_divide("a_n", "a_1")).alias("drop_ratio")), 4)
+
+
+@query(f"""WITH {_MEANS}, a AS (SELECT avg(score) FILTER (lang = 'en') AS lo, avg(score) FILTER (lang = 'fr') AS hi FROM m), g AS (SELECT lang, avg(score) AS v FROM m GROUP BY 1)
+SELECT lang, round((v - lo) / nullif(hi - lo, 0), 4) + 0.0 AS position FROM g, a""")
+def norm_position(spark, sf):
+    m = _stage_means(spark, sf)
+    anchors = m.agg(F.avg(F.when(F.col("lang") == "en", F.col("score"))).alias("lo"), F.avg(F.when(F.col("lang") == "fr", F.col("score"))).alias("hi"))
+    g = m.groupBy("lang").agg(F.avg("score").alias("v"))
+    return rounded(g.join(F.broadcast(anchors)).select("lang", F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")).alias("position")), 4)
+
+
+@query(f"""{_FULL} SELECT round(quantile_cont(h, 0.05), 4) AS p5, round(quantile_cont(h, 0.95), 4) AS p95, round(pow(2, -quantile_cont(h, 0.5)), 4) AS c_median, count(*) AS n FROM (SELECT bits / bytes AS h FROM alone WHERE bytes > 0)""")
+def coherence_percentiles(spark, sf):
+    alone = scorers.prequential(response_sets(spark, sf), ["set_id"], alone=True).where("bytes > 0")
+    at = lambda q: F.percentile(F.col("bits") / F.col("bytes"), F.lit(q))
+    return rounded(alone.agg(at(0.05).alias("p5"), at(0.95).alias("p95"), F.pow(F.lit(2.0), -at(0.5)).alias("c_median"), F.count("*").alias("n")), 4)
+
+
+@query(f"""WITH {_MEANS}, a AS (SELECT source, rank() OVER (ORDER BY avg(score) DESC) AS r FROM m GROUP BY 1), b AS (SELECT source, rank() OVER (ORDER BY max(score) DESC) AS r FROM m GROUP BY 1)
+SELECT count_if(a.r <> b.r)::BIGINT AS moved, count(*) AS n FROM a JOIN b USING (source)""")
+def rank_sensitivity(spark, sf):
+    m = _stage_means(spark, sf).groupBy("source").agg(F.avg("score").alias("a"), F.max("score").alias("b"))
+    ranked = m.select(F.rank().over(Window.orderBy(F.desc("a"))).alias("ra"), F.rank().over(Window.orderBy(F.desc("b"))).alias("rb"))
+    return ranked.agg(F.count_if(F.col("ra") != F.col("rb")).alias("moved"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {_MEANS}, r AS (SELECT lang, source, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, source) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM m)
+SELECT lang, source, round(score, 4) AS score FROM r WHERE rn = n // 4 + 1""")
+def quartile_pick(spark, sf):
+    w = Window.partitionBy("lang")
+    r = _stage_means(spark, sf).select("lang", "source", "score", F.row_number().over(w.orderBy(F.desc("score"), "source")).alias("rn"), F.count("*").over(w).alias("n"))
+    return rounded(r.where(F.col("rn") == F.floor(F.col("n") / 4) + 1).select("lang", "source", "score"), 4)
+
+
+@query("SELECT CASE WHEN n_chars < 200 THEN 'short' WHEN n_chars > 20000 THEN 'over_limit' ELSE 'scored' END AS status, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY 1")
+def processing_status(spark, sf):
+    status = F.when(F.col("n_chars") < 200, "short").when(F.col("n_chars") > 20_000, "over_limit").otherwise("scored")
+    return table(spark, sf, "documents").groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+
+
+@query("SELECT lang, count(*) AS samples, count(*) * 60 AS calls, (sum(length(text)) * 60)::BIGINT AS tokens, round(sum(length(text)) * 60 * 0.12 / 1000000, 6) AS cost FROM documents GROUP BY 1")
+def cost_estimate(spark, sf):
+    size = F.sum(F.char_length("text"))
+    return rounded(table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("samples"), (F.count("*") * 60).alias("calls"), (size * 60).alias("tokens"), (size * 60 * 0.12 / 1_000_000).alias("cost")))
