@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable
 
@@ -76,6 +78,14 @@ def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.large_binary()).to_pylist()
 
 
+def kept_by_worker(key: str, make: Callable[[], object]):
+    """make(), once in a worker's life: tasks that share the worker share what it made."""
+    kept = sys.modules.setdefault("polyvox_worker", types.ModuleType("polyvox_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for as long as there is room."""
 
@@ -120,20 +130,22 @@ ROWS_PER_PART = 2_000
 MAX_BROADCAST_GROUPS = 50_000
 
 
-def salted_rank(rows: DataFrame, group: str, order: list[str], rank: str) -> DataFrame:
+def salted_rank(rows: DataFrame, group: str, order: list[str], rank: str, sizes: Column | None = None) -> DataFrame:
     """rows with the rank (from 0, no gaps) of each within its group, though a group may be a third of all rows.
 
     A group is dealt by hash into parts of about ROWS_PER_PART rows; parts are
     numbered within their group by running sums of their sizes, and rows within their
     part by `order`. Rows that agree in group and order may stand in either order.
-    group must not be null.
+    group must not be null. sizes: the number of rows of a row's group, where it is known.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_size"))
-    small = len(sizes.limit(MAX_BROADCAST_GROUPS + 1).take(MAX_BROADCAST_GROUPS + 1)) <= MAX_BROADCAST_GROUPS
-    parts = F.ceil(F.col("_size") / ROWS_PER_PART).cast("long")
-    dealt = rows.join(F.broadcast(sizes) if small else sizes, group).withColumn(
-        "_part", F.pmod(F.xxhash64(F.lit(7), *order), F.greatest(parts, F.lit(1).cast("long")))
-    )
+    if sizes is None:
+        table = rows.groupBy(group).agg(F.count("*").alias("_size"))
+        small = len(table.limit(MAX_BROADCAST_GROUPS + 1).take(MAX_BROADCAST_GROUPS + 1)) <= MAX_BROADCAST_GROUPS
+        sized = rows.join(F.broadcast(table) if small else table, group)
+    else:
+        sized = rows.withColumn("_size", sizes)
+    parts = F.greatest(F.ceil(F.col("_size") / ROWS_PER_PART).cast("long"), F.lit(1).cast("long"))
+    dealt = sized.withColumn("_part", F.pmod(F.xxhash64(F.lit(7), *order), parts)).drop("_size")
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         dealt.groupBy(group, "_part")
@@ -141,8 +153,4 @@ def salted_rank(rows: DataFrame, group: str, order: list[str], rank: str) -> Dat
         .select(group, "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     )
     within = Window.partitionBy(group, "_part").orderBy(*order)
-    return (
-        dealt.join(starts, [group, "_part"])
-        .withColumn(rank, F.col("_start") + F.row_number().over(within) - 1)
-        .drop("_size", "_part", "_start")
-    )
+    return dealt.join(starts, [group, "_part"]).withColumn(rank, F.col("_start") + F.row_number().over(within) - 1).drop("_part", "_start")

@@ -8,9 +8,10 @@ which sequences; pieces get their rank within their length by salted parts.
 
 from __future__ import annotations
 
+import array
 import bisect
+import json
 import re
-import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,53 +21,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE_LIMIT, column_bytes, salted_rank, stored
+from .common import column_bytes, kept_by_worker, salted_rank, stored
 
 CAPACITY = 2048
 END_ID = 0
 
 # --- token ids ------------------------------------------------------------
 
-#: Up to here the word pattern below and the tokenizer's own agree; other texts go to the tokenizer whole.
-_LAST_KNOWN = 0x24F
+#: How byte-level BPE splits a text into words.
+_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters of which both libraries are sure to know the same classes, and runs of blanks that both can read.
+_UNSURE = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\u024f]|\\s{1000}")
 
 
-def _char_class(kind: str) -> str:
-    return "".join(re.escape(chr(c)) for c in range(_LAST_KNOWN + 1) if unicodedata.category(chr(c))[0] == kind)
+def _byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it can be printed, else the next one from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    letters, more = {}, 256
+    for byte in range(256):
+        letters[chr(byte if byte in shown else more)] = byte
+        more += byte not in shown
+    return letters
 
 
-def _patterns() -> tuple[re.Pattern, re.Pattern]:
-    """Words as byte-level BPE splits them, and the characters for which this holds."""
-    letter, digit = _char_class("L"), _char_class("N")
-    words = rf"'(?:[sdmt]|ll|ve|re)| ?[{letter}]+| ?[{digit}]+| ?[^\s{letter}{digit}]+|\s+(?!\S)|\s+"
-    return re.compile(words), re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-ɏ]")
+class Encoder:
+    """Ids of texts as little-endian 32-bit bytes.
 
-
-class Encoder(dict):
-    """Ids of texts as little-endian 32-bit bytes; ids of words already seen are kept while there is room."""
+    The tokenizer file rules. Where it is a plain byte-level BPE, tiktoken with the
+    same vocabulary gives the same ids several times faster, so it takes all texts of
+    ordinary characters without special tokens; the others go to the tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words, self.unknown = _patterns()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORD_TABLE_LIMIT:
-            self.clear()
-        ids = self[word] = self.whole(word)
-        return ids
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.fast = self._same_by_ranks()
+
+    def _same_by_ranks(self):
+        import tiktoken
+
+        told = json.loads(self.tokenizer.to_str())
+        model, split = told["model"], told["pre_tokenizer"] or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"] and told["normalizer"] is None
+        options = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        ids = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model.get("merges", ())]
+        if not plain or model["type"] != "BPE" or options or None in ids or ids != sorted(ids):
+            return None
+        letters = _byte_letters()
+        ranks = {bytes(letters[c] for c in word): i for word, i in model["vocab"].items() if word not in self.special}
+        return tiktoken.Encoding("ranks", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if self.unknown.search(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        if len(text) > 1_000_000:  # no list of all its words
-            return b"".join(self[m.group()] for m in self.words.finditer(text))
-        return b"".join(map(self.__getitem__, self.words.findall(text)))
+        if self.fast is None or _UNSURE.search(text) or any(s in text for s in self.special):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return array.array("I", ids).tobytes()
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -77,7 +89,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = kept_by_worker(f"encoder {tokenizer_path}", lambda: Encoder(tokenizer_path))
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             out: list[list[int | None]] = [[], [], [], [], []]
@@ -244,5 +256,6 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     if not counts:
         return docs.sparkSession.createDataFrame([], schema)
-    ranked = salted_rank(pieces, "length", ["doc_id", "piece", "ids_crc32"], "rank")
+    sizes = F.element_at(F.array(*[F.lit(counts.get(n, 0)) for n in range(1, capacity + 1)]), F.col("length").cast("int"))
+    ranked = salted_rank(pieces, "length", ["doc_id", "piece", "ids_crc32"], "rank", sizes)
     return ranked.select(*names, "rank").mapInArrow(place, schema)
