@@ -569,13 +569,13 @@ u AS (SELECT lang, count_if(quality = 1)::BIGINT AS n_pos, count_if(quality = 0)
 
 
 @query(f"""WITH {_LAB}, {_U} SELECT lang, n_pos, n_neg, u::DOUBLE AS u, round(CASE WHEN n_pos >= 2 AND n_neg >= 2 THEN u / (n_pos * n_neg) END, 6) AS auc,
-round((u - n_pos * n_neg / 2.0 - 0.5) / sqrt(n_pos * n_neg / 12.0 * (n_pos + n_neg + 1 - ties / ((n_pos + n_neg) * (n_pos + n_neg - 1)))), 6) AS z FROM u JOIN t USING (lang)""")
+round((u - n_pos * n_neg / 2.0 - 0.5) / nullif(sqrt(n_pos * n_neg / 12.0 * (n_pos + n_neg + 1 - ties / ((n_pos + n_neg) * (n_pos + n_neg - 1)))), 0), 6) AS z FROM u JOIN t USING (lang)""")
 def mann_whitney_auc(spark, sf):
     return rounded(stats.rank_sum(_labelled(spark, sf), ["lang"], "chars", "quality"))
 
 
 @query(f"""WITH {_LAB}, o AS (SELECT lang, row_number() OVER w AS pos, sum(quality) OVER w AS tp, sum(1 - quality) OVER w AS fp FROM l WINDOW w AS (PARTITION BY lang ORDER BY chars DESC, doc_id ROWS UNBOUNDED PRECEDING)),
-n AS (SELECT lang, sum(quality) AS p, sum(1 - quality) AS q FROM l GROUP BY 1) SELECT o.lang, pos::INTEGER AS pos, round(fp / q, 6) AS fpr, round(tp / p, 6) AS tpr FROM o JOIN n USING (lang)""")
+n AS (SELECT lang, sum(quality) AS p, sum(1 - quality) AS q FROM l GROUP BY 1) SELECT o.lang, pos::INTEGER AS pos, round(fp / nullif(q, 0), 6) AS fpr, round(tp / nullif(p, 0), 6) AS tpr FROM o JOIN n USING (lang)""")
 def roc(spark, sf):
     return rounded(stats.roc_points(_labelled(spark, sf), ["lang"], "chars", "quality", "doc_id"))
 

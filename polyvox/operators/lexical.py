@@ -17,10 +17,10 @@ def distinct_ngrams(texts: DataFrame, keys: Sequence[str], words: Callable[[Colu
     """
     if any(n < 1 for n in sizes):
         raise ValueError("n-gram sizes start at 1")
-    split = texts.select(*keys, words(F.col("text")).alias("w"))
-    all_sizes = [F.struct(F.lit(n).alias("n"), ngrams(F.col("w"), n).alias("grams")) for n in sizes]
-    grams = split.select(*keys, F.explode(F.array(*all_sizes)).alias("g")).select(*keys, F.col("g.n").alias("n"), F.explode("g.grams").alias("gram"))
-    counted = grams.groupBy(*keys, "n", "gram").agg(F.count("*").alias("c")).groupBy(*keys, "n").agg(F.count("*").alias("uniq"), F.sum("c").alias("total"))
+    split = texts.select(*keys, words(F.col("text")).alias("_words"))
+    all_sizes = [F.struct(F.lit(n).alias("n"), ngrams(F.col("_words"), n).alias("grams")) for n in sizes]
+    grams = split.select(*keys, F.explode(F.array(*all_sizes)).alias("_g")).select(*keys, F.col("_g.n").alias("n"), F.explode("_g.grams").alias("_gram"))
+    counted = grams.groupBy(*keys, "n", "_gram").agg(F.count("*").alias("c")).groupBy(*keys, "n").agg(F.count("*").alias("uniq"), F.sum("c").alias("total"))
     grid = texts.select(*keys).distinct().withColumn("n", F.explode(F.array(*[F.lit(n) for n in sizes])))
     zero = F.lit(0).cast("long")
     return grid.join(counted, [*keys, "n"], "left").select(

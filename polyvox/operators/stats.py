@@ -31,17 +31,22 @@ def _when_enough(n: int, value: Column) -> Column:
     return F.when(F.col("n") >= n, value)
 
 
+def safe_corr(x: str, y: str) -> Column:
+    """Pearson's r, null where a side does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 5) -> DataFrame:
     """keys, n, rho; null with fewer than `least` pairs."""
     keys = list(keys)
     rows = real_pairs(df, x, y).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
     ranked = average_rank(average_rank(rows, keys, "_x", "_rx"), keys, "_y", "_ry")
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho")).select(*keys, "n", _when_enough(least, F.col("rho")).alias("rho"))
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), safe_corr("_rx", "_ry").alias("rho")).select(*keys, "n", _when_enough(least, F.col("rho")).alias("rho"))
 
 
 def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
     rows = real_pairs(df, x, y)
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(x, y).alias("r")).select(*keys, "n", _when_enough(least, F.col("r")).alias("r"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), safe_corr(x, y).alias("r")).select(*keys, "n", _when_enough(least, F.col("r")).alias("r"))
 
 
 def kendall(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

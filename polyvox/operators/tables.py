@@ -89,15 +89,11 @@ def unpivot_metrics(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str]
 def two_way(cells: DataFrame, row: str, col: str, value: str) -> DataFrame:
     """One row: sums of squares of rows, columns and interaction of a balanced table, and their fractions."""
     marginal = lambda *by: F.avg(value).over(Window.partitionBy(*by))
-    x = cells.select(F.col(value).alias("v"), marginal(row).alias("r"), marginal(col).alias("c"), F.lit(0).alias("_one"), row, col)
-    grand = cells.agg(F.avg(value).alias("g"))
-    x = x.join(F.broadcast(grand))
-    sums = x.agg(
-        F.sum(F.pow(F.col("r") - F.col("g"), F.lit(2.0))).alias("ss_row"),
-        F.sum(F.pow(F.col("c") - F.col("g"), F.lit(2.0))).alias("ss_col"),
-        F.sum(F.pow(F.col("v") - F.col("r") - F.col("c") + F.col("g"), F.lit(2.0))).alias("ss_inter"),
-        F.sum(F.pow(F.col("v") - F.col("g"), F.lit(2.0))).alias("ss_total"),
-    )
+    x = cells.select(F.col(value).alias("_v"), marginal(row).alias("_r"), marginal(col).alias("_c"))
+    x = x.join(F.broadcast(cells.agg(F.avg(value).alias("_g"))))
+    v, r, c, g = (F.col(name) for name in ("_v", "_r", "_c", "_g"))
+    square = lambda d: F.sum(F.pow(d, F.lit(2.0)))
+    sums = x.agg(square(r - g).alias("ss_row"), square(c - g).alias("ss_col"), square(v - r - c + g).alias("ss_inter"), square(v - g).alias("ss_total"))
     return sums.select("*", *[F.try_divide(F.col(f"ss_{k}"), F.col("ss_total")).alias(f"frac_{k}") for k in ("row", "col", "inter")])
 
 
