@@ -7,18 +7,17 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyvox.functions.text import ngrams
-
 
 def distinct_ngrams(texts: DataFrame, keys: Sequence[str], words: Callable[[Column], Column], sizes: Sequence[int] = (1, 2, 3, 4, 5)) -> DataFrame:
     """keys, n, uniq, total, distinct: n-grams pooled over the texts of a group, every size of every group; 0 without n-grams.
 
-    Grams are counted per group and size first (with map-side sums), so no group's grams ever meet in one place.
+    Grams stand as 128-bit hashes and are counted per group and size first (with map-side sums), so no group's grams
+    ever meet in one place.
     """
     if any(n < 1 for n in sizes):
         raise ValueError("n-gram sizes start at 1")
     split = texts.select(*keys, words(F.col("text")).alias("_words"))
-    all_sizes = [F.struct(F.lit(n).alias("n"), ngrams(F.col("_words"), n).alias("grams")) for n in sizes]
+    all_sizes = [F.struct(F.lit(n).alias("n"), _gram_hashes(F.col("_words"), n).alias("grams")) for n in sizes]
     grams = split.select(*keys, F.explode(F.array(*all_sizes)).alias("_g")).select(*keys, F.col("_g.n").alias("n"), F.explode("_g.grams").alias("_gram"))
     counted = grams.groupBy(*keys, "n", "_gram").agg(F.count("*").alias("c")).groupBy(*keys, "n").agg(F.count("*").alias("uniq"), F.sum("c").alias("total"))
     grid = texts.select(*keys).distinct().withColumn("n", F.explode(F.array(*[F.lit(n) for n in sizes])))
@@ -32,6 +31,13 @@ def distinct_ngrams(texts: DataFrame, keys: Sequence[str], words: Callable[[Colu
     )
 
 
+def _gram_hashes(words: Column, n: int) -> Column:
+    """Two hashes of each run of n words."""
+    run = lambda i: [F.get(words, i + j) for j in range(n)]
+    grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(F.xxhash64(*run(i)).alias("a"), F.xxhash64(F.lit(n), *run(i)).alias("b")))
+    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<struct<a: bigint, b: bigint>>"))
+
+
 def averaged_distinct(distinct: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, avg_distinct and a map from size to value."""
     per_n = F.map_from_entries(F.array_sort(F.collect_list(F.struct("n", "distinct"))))
