@@ -114,7 +114,7 @@ def quality(docs: DataFrame, min_words: int = 50, max_lost: float = MAX_LOST) ->
         F.size("failed").cast("long").alias("n_failed_lines"),
     )
     cleaned = F.array_join(F.filter("lines", lambda x: ~line_fails(F.btrim(x, F.lit(BLANKS)))), "\n")
-    return verdict.select(
+    out = verdict.select(
         "doc",
         "n_words",
         "word_chars",
@@ -126,3 +126,5 @@ def quality(docs: DataFrame, min_words: int = 50, max_lost: float = MAX_LOST) ->
         (~F.col("base_failed") & ~F.col("lost_too_much")).alias("kept"),
         F.when(F.size("failed") == 0, F.col("doc.text").cast("string")).otherwise(cleaned).alias("cleaned"),
     )
+    # A filter on a verdict must stay above: moved below, it would have every expression worked out anew inside it.
+    return out.select(F.explode(F.array(F.struct("*"))).alias("row")).select("row.*")

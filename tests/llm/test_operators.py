@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from polyvox.llm import chat, jaccard, license_scan, line_dedup, mixing, packing, quality, substring, topk, urlfilter
+from polyvox.llm import chat, common, jaccard, license_scan, line_dedup, mixing, packing, quality, substring, topk, urlfilter
 from polyvox.llm.components import components
 from polyvox.llm.queries import tokenizer_path
 
@@ -143,6 +143,17 @@ def test_substring_dedup_in_small_batches(spark, table, monkeypatch):
     same([tuple(r) for r in got.collect()], brute_substrings(table, 50))
 
 
+def test_word_hashes():
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abé\x00ß日", k=rng.choice([1, 2, 3, 9]))).encode() for _ in range(60_000)] + [b"x" * 200_000, b"y" * 65_536]
+    text = b"".join(w + rng.choice([b" ", b"\n\t", b"\x0b"]) for w in words)
+    got = common.word_hashes(text).tolist()
+    assert len(got) == len(words) and len(set(got)) == len(set(words)) == len(set(zip(words, got, strict=True)))
+    for w in rng.sample(words, 50) + words[-2:]:
+        assert common.word_hashes(b" " + w + b" ").tolist() == [got[words.index(w)]]
+    assert not len(common.word_hashes(b"")) and not len(common.word_hashes(b" " * 200_000))
+
+
 def shingle_set(text):
     w = WORDS.findall(lower(text))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
