@@ -268,6 +268,15 @@ def preq_uncond(spark, sf):
     return rounded(scorers.prequential(response_sets(spark, sf), ["set_id"], alone=True), 4)
 
 
+@query(f"""WITH {_SETS}, raw AS (SELECT set_id, k, unnest({_words('response')}) AS word, generate_subscripts({_words('response')}, 1) - 1 AS t FROM sets
+  UNION ALL SELECT set_id, 0, unnest({_words('prompt')}), generate_subscripts({_words('prompt')}, 1) - 1 FROM sets WHERE k = 1),
+ty AS (SELECT set_id, count(DISTINCT word) AS types FROM raw GROUP BY 1),
+b AS (SELECT *, -log2((row_number() OVER (PARTITION BY set_id, word ORDER BY k, t) - 0.5) / (row_number() OVER (PARTITION BY set_id ORDER BY k, t) - 1 + 0.5 * (types + 1))) AS bits FROM raw JOIN ty USING (set_id))
+SELECT set_id, k, t::INTEGER AS t, word, round(bits, 6) + 0.0 AS bits FROM b WHERE k > 0""")
+def token_bits(spark, sf):
+    return rounded(scorers.token_bits(response_sets(spark, sf), ["set_id"]))
+
+
 _ALL_SCORES = f"""{_FULL}, {_CURVE_SCORES}, r AS (SELECT *, c * a_n_per_byte AS d_c_an, c * e AS d_c_e, c * e_rate AS d_c_e_rate, c * pow(2.0, sigma) AS c_plus,
 c * pow(2.0, -sigma) AS c_minus, c * pow(2.0, sigma) * e_rate AS d_plus, c * pow(2.0, -sigma) * e_rate AS d_minus FROM scores JOIN coh USING (set_id))"""
 _SCORE_NAMES = "e e_rate a_1 a_n a_n_per_byte c sigma mean_byte_length d_c_an d_c_e d_c_e_rate c_plus c_minus d_plus d_minus"
@@ -799,6 +808,23 @@ def bootstrap_ratio(spark, sf):
     return rounded(fits.bootstrap_ratio(_pairs(spark, sf), [], "a", "b", 2000))
 
 
+@query()
+def bootstrap_fit(spark, sf):
+    sets = response_sets(spark, sf)
+    curve = scorers.prequential(sets, ["set_id"]).join(sets.groupBy("set_id").agg(F.count("*").alias("m")), "set_id")
+    return rounded(fits.bootstrap_fit(curve, ["m"], "set_id", "bits", 50), 3)
+
+
+@query()
+def subsample_rho(spark, sf):
+    return rounded(fits.subsample_rho(_labelled(spark, sf), ["lang"], "chars", "lines", (5, 10, 25, 50)))
+
+
+@query("SELECT lang, round(avg(n_chars), 4) AS mean, avg(n_chars) > 2000 AS passed FROM documents GROUP BY 1")
+def threshold_checks(spark, sf):
+    return rounded(stats.threshold_checks(table(spark, sf, "documents"), ["lang"], "n_chars", 2000), 4)
+
+
 @query(f"{_FULL}, {_CURVE_SCORES} SELECT n AS m, count(*) AS sets, round(avg(a_n / nullif(a_1, 0)), 4) AS drop_ratio FROM scores GROUP BY n")
 def drop_ratio(spark, sf):
     s = curves.excess_entropy(scorers.prequential(response_sets(spark, sf), ["set_id"]), ["set_id"])

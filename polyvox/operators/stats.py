@@ -202,6 +202,12 @@ def minmax(df: DataFrame, keys: Sequence[str], value: str, out: str = "norm") ->
     return df.join(stats, list(keys)).withColumn(out, scaled).drop("_lo", "_hi")
 
 
+def threshold_checks(df: DataFrame, keys: Sequence[str], value: str, threshold: float, above: bool = True) -> DataFrame:
+    """keys, mean, passed: whether a group's mean is on the asked side of a threshold."""
+    mean = F.avg(value)
+    return df.groupBy(*keys).agg(mean.alias("mean"), ((mean > threshold) if above else (mean < threshold)).alias("passed"))
+
+
 # --- p-values, for driver-side use on aggregate rows ------------------------
 
 

@@ -141,3 +141,16 @@ def hash_permutations(responses: DataFrame, keys: Sequence[str], count: int) ->
     many = responses.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     order = Window.partitionBy(*keys, "perm").orderBy(F.md5(F.concat_ws(":", "perm", "k").cast("binary")), "k")
     return many.withColumn("idx", F.col("k")).withColumn("k", F.row_number().over(order).cast("long"))
+
+
+def token_bits(responses: DataFrame, keys: Sequence[str], alpha: float = 0.5) -> DataFrame:
+    """keys, k, t (from 0), word, bits: what each word costs after everything before it, in order. The sum over a response is `prequential`."""
+    keys = _keys(responses, keys)
+    said = responses.select(*keys, "k", F.posexplode(ws_words(F.col("response"))).alias("t", "word"))
+    asked = responses.where("k = 1").select(*keys, F.lit(0).cast("long").alias("k"), F.posexplode(ws_words(F.col("prompt"))).alias("t", "word"))
+    rows = said.unionByName(asked)
+    types = rows.groupBy(*keys).agg(F.count_distinct("word").alias("types"))
+    order = Window.partitionBy(*keys).orderBy("k", "t")
+    same = Window.partitionBy(*keys, "word").orderBy("k", "t")
+    p = (F.row_number().over(same) - 1 + alpha) / (F.row_number().over(order) - 1 + alpha * (F.col("types") + 1))
+    return rows.join(types, keys).withColumn("bits", -F.log2(p)).where("k > 0").select(*keys, "k", "t", "word", "bits")
