@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import types
@@ -10,7 +12,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +20,6 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Entries a worker's word table may hold before it starts again.
-WORD_TABLE_LIMIT = 400_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,13 +52,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 # --- tables cut off from their lineage ------------------------------------
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own, gone at exit, where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='polyvox-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="polyvox-"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+    return f"file://{_own_folder[0]}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -86,17 +93,57 @@ def kept_by_worker(key: str, make: Callable[[], object]):
     return kept[key]
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for as long as there is room."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_TABLE_LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+#: Bytes of a text that are hashed at once.
+_PIECE = 1 << 16
+_BASE = 0x9E3779B97F4A7C15
+_IS_BLANK = np.isin(np.arange(256), list(BLANKS.encode()))
+
+
+def _powers(base: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(_PIECE, base, dtype=np.uint64)], dtype=np.uint64)
+
+
+_POWERS, _INVERSES = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words between ASCII blanks, as a polynomial of their bytes that running sums give for all at once."""
+    if len(text) <= _PIECE:
+        return _mixed(_piece_hashes(np.frombuffer(text, dtype=np.uint8)))
+    data, out, start = np.frombuffer(text, dtype=np.uint8), [], 0
+    while start < len(data):
+        piece = data[start : start + _PIECE]
+        if start + _PIECE < len(data):
+            blanks = np.nonzero(_IS_BLANK[piece])[0]
+            if not len(blanks):  # a word longer than a piece: its parts' sums, each raised to its place
+                value, place = 0, 0
+                while start < len(data) and not _IS_BLANK[data[start]]:
+                    part = data[start : start + _PIECE]
+                    ends = np.nonzero(_IS_BLANK[part])[0]
+                    part = part[: ends[0]] if len(ends) else part
+                    total = int(((part.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(part)]).sum())
+                    value = (value + total * pow(_BASE, place, 1 << 64)) % (1 << 64)
+                    place += len(part)
+                    start += len(part)
+                out.append(np.array([value], dtype=np.uint64))
+                continue
+            piece = piece[: blanks[-1] + 1]
+        out.append(_piece_hashes(piece))
+        start += len(piece)
+    return _mixed(np.concatenate(out))
+
+
+def _piece_hashes(data: np.ndarray) -> np.ndarray:
+    edges = np.diff(np.concatenate([[True], _IS_BLANK[data], [True]]).view(np.int8))
+    starts, stops = np.nonzero(edges == -1)[0], np.nonzero(edges == 1)[0]
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(data)], out=sums[1:])
+    return (sums[stops] - sums[starts]) * _INVERSES[starts]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:

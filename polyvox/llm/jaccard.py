@@ -2,15 +2,18 @@
 
 1. Every text becomes a set of shingle hashes; equal sets are one node.
 2. Prefix filter: two sets as similar as the threshold share a token among the first
-   few of each in one global order, in which tokens that many documents hold come
-   last. Only tokens that two nodes share there go on; a task settles repeats
-   within its batch itself and sends each token on once.
-3. Each node is checked against the node that it shares most with; what links so
-   partitions similar documents into groups.
-4. For each group (in parts of bounded size) the union of its members' tokens is
-   stored. A node that shares a prefix token with another group is held against that
-   union: only if the overlap could still reach the threshold is the group opened and
-   its members compared exactly. Pairs inside a group are linked already.
+   few of each in one global order, rarest first (by a counter of fixed size over
+   all tokens). Only tokens that two nodes share there go on; a task settles
+   repeats within its batch itself and sends each token on once.
+3. Each node is held against nodes that are first for one of its tokens. A parity bitmap of
+   each set gives an upper bound of any overlap; the closest node is compared exactly, and what
+   links so partitions similar documents into groups.
+4. The matrix says which tokens (of the prefixes) each group's members have between them.
+   The number of a node's tokens in a group's column bounds its overlap with every
+   member; only if that could reach the threshold is the group opened: in parts of
+   bounded size the members' bitmaps are looked through, and the closest member is compared
+   exactly. Where it isn't similar, all members that their bitmaps leave are. Pairs inside a
+   group, and further pairs with a group that a node is linked to, need no comparison.
 5. Components of all links.
 """
 
@@ -24,14 +27,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column_bytes, gram_hashes, stored
+from .common import column_bytes, gram_hashes, stored, word_hashes
 from .components import components
 
 WORDS, PERCENT = 5, 80
-#: Slots of the token counter; a slot is of note once a task finds it this much above the mean.
-SLOT_BITS, HOT_LEAST, HOT_TIMES = 20, 32, 8
-#: Prefix tokens per part of the posting table; documents per part of a group.
-TOKENS_PER_PART, DOCS_PER_GROUP_PART = 200_000, 64
+#: Slots of the token counter, and slots per row that it is sent in.
+SLOT_BITS, CHUNK_BITS = 22, 14
+#: Prefix tokens per part of the posting table; slots of the filter that keeps texts nobody asks for off the network.
+TOKENS_PER_PART, FILTER_SLOTS = 200_000, 1 << 20
+#: Members per part of an opened group; bits of a bitmap per token of its set, at least.
+MEMBERS_PER_PART, BITS_PER_TOKEN = 64, 1.7
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
@@ -39,49 +44,97 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(gram_hashes(words, min(size, len(words)))) if len(words) else words
 
 
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """For each of a power of two of slots, whether an odd number of tokens falls in it."""
+    size = 64
+    while size < BITS_PER_TOKEN * len(tokens):
+        size *= 2
+    odd = np.bincount((tokens >> np.uint64(8)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def most_shared(a: bytes, n: int, b: bytes, m: int) -> int:
+    """Upper bound of the overlap of sets of n and m tokens: each odd slot of the two together is a token that one lacks."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return (n + m - int(np.bitwise_count(x ^ y).sum())) // 2
+
+
+def _closeness(a: bytes, n: int, b: bytes, m: int, percent: int) -> float | None:
+    """The greatest similarity that the bitmaps leave possible, or None if that is below the threshold."""
+    both = most_shared(a, n, b, m)
+    return both / (n + m - both) if 100 * both >= percent * (n + m - both) else None
+
+
 def _need(n, percent: int):
     """Least overlap of a set of n with any set as similar as the threshold."""
     return -(-percent * n // 100)
 
 
+def _slots(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def _set_reader(size: int, seed: int):
-    """Kind 0: doc_id, n, node and check hash of each set. Kind 1: slots that many tokens fall in."""
+    """Kind 0: doc_id, n, node and check hash of each set. Kind 1: this task's count of tokens by slot, in chunks."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(1 << SLOT_BITS, dtype=np.int64)
-        names = ["kind", "doc_id", "n", "node", "check"]
+        counts = np.zeros(1 << SLOT_BITS, dtype=np.int32)
+        names = ["kind", "doc_id", "n", "node", "check", "raw"]
         for batch in batches:
-            sets = [shingles(hashes.of((t or b"").lower().split()), size) for t in column_bytes(batch, "text")]
+            sets = [shingles(word_hashes((t or b"").lower()), size) for t in column_bytes(batch, "text")]
             if sets:
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(counts))
+                counts += np.bincount(_slots(np.concatenate(sets)), minlength=len(counts)).astype(np.int32)
             keys = [xxhash.xxh3_128_intdigest(s.tobytes(), seed=seed) for s in sets]
             halves = np.array([(k >> 64, k & (2**64 - 1)) for k in keys], dtype=np.uint64).reshape(-1, 2)
             columns = [np.zeros(len(sets), np.int32), batch.column("doc_id"), np.array([len(s) for s in sets], np.int64)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.array(h.view(np.int64)) for h in halves.T.copy())], names=names)
-        hot = np.nonzero(counts >= max(HOT_LEAST, HOT_TIMES * counts.mean()))[0]
-        columns = [np.ones(len(hot), np.int32), np.zeros(len(hot), np.int64), counts[hot], hot, np.zeros(len(hot), np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+            columns = [*map(pa.array, columns), *(pa.array(h.view(np.int64)) for h in halves.T.copy()), pa.array(map(parity_bits, sets), pa.binary(), size=len(sets))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        chunks = counts.reshape(-1, 1 << CHUNK_BITS)
+        used = np.nonzero(chunks.any(axis=1))[0]
+        zeros = np.zeros(len(used), np.int64)
+        columns = [np.ones(len(used), np.int32), zeros, zeros, used, zeros]
+        raw = pa.array([np.minimum(chunks[i], 65_535).astype("<u2").tobytes() for i in used], pa.binary())
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), raw], names=names)
 
     return read
 
 
-def _posting_sender(size: int, percent: int, seed: int, hot: dict[int, int], parts: int):
-    """Rows (part, kind, pairs): 0 settled pairs, 1 pairs that wait for others, 2 tokens already known as shared."""
-    slots, values = np.array([*hot], dtype=np.int64), np.array([*hot.values()], dtype=np.int64)
+def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per chunk, its counts summed and put on a scale of 256 levels; rows come sorted by chunk."""
+
+    def out(chunk: int, total: np.ndarray) -> pa.RecordBatch:
+        levels = np.minimum(16 * np.log2(1.0 + total), 255).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([levels.tobytes()], pa.binary())], names=["node", "raw"])
 
+    now, total = None, None
+    for batch in batches:
+        for chunk, raw in zip(batch.column("node").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+            if chunk != now:
+                if now is not None:
+                    yield out(now, total)
+                now, total = chunk, np.zeros(1 << CHUNK_BITS, dtype=np.int64)
+            total += np.frombuffer(raw, dtype="<u2")
+    if now is not None:
+        yield out(now, total)
+
+
+def _posting_sender(size: int, percent: int, seed: int, levels: bytes, parts: int):
+    """Rows (part, kind, pairs): 0 settled pairs, 1 pairs that wait for others, 2 tokens already known as shared."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.zeros(1 << SLOT_BITS, dtype=np.int64)
-        order[slots] = values
-        hashes = WordHashes()
+        order = np.frombuffer(levels, dtype=np.uint8)
         for batch in batches:
             tokens, nodes = [], []
             for text in column_bytes(batch, "text"):
-                s = shingles(hashes.of((text or b"").lower().split()), size)
+                s = shingles(word_hashes((text or b"").lower()), size)
                 if len(s):
                     n = len(s) - _need(len(s), percent) + 1
-                    rank = order[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                    rank = order[_slots(s)]
                     tokens.append(s[np.argsort(rank, kind="stable")[:n]])  # equal ranks stay in hash order
-                    nodes.append(np.full(n, xxhash.xxh3_128_intdigest(s.tobytes(), seed=seed) >> 64, dtype=np.uint64))
+                    nodes.append(np.full(n, _node(s, seed), dtype=np.uint64))
             if tokens:
                 yield from _sent(np.concatenate(tokens), np.concatenate(nodes), parts)
 
@@ -139,32 +192,42 @@ def _posting_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield out(pairs[0], pairs[1])
             else:
                 (waiting if kind == 1 else known).append(pairs)
-                if kind == 2:
-                    continue
     yield from settle(waiting, known)
 
 
-def _token_reader(size: int, seed: int):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+def _comparer(size: int, percent: int, seed: int):
+    """Of rows (a, b, text_a, text_b) the pairs of nodes whose sets are similar."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sets = [], []
-            for node, text in zip(batch.column("node").to_pylist(), column_bytes(batch, "text"), strict=True):
-                s = shingles(hashes.of((text or b"").lower().split()), size)
-                if xxhash.xxh3_128_intdigest(s.tobytes(), seed=seed) >> 64 == node % 2**64:  # else a row that only shares the id
-                    nodes.append(node)
-                    sets.append(s.view(np.int64))
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            values = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), tokens], names=["node", "tokens"])
+            keep = []
+            for at, (a, b, *texts) in enumerate(zip(*(batch.column(c).to_pylist() for c in "ab"), column_bytes(batch, "text_a"), column_bytes(batch, "text_b"), strict=True)):
+                x, y = (shingles(word_hashes((t or b"").lower()), size) for t in texts)
+                same = _node(x, seed) == a % 2**64 and _node(y, seed) == b % 2**64  # else rows that only share an id with these
+                both = len(np.intersect1d(x, y, assume_unique=True)) if same else 0
+                if both and 100 * both >= percent * (len(x) + len(y) - both):
+                    keep.append(at)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return compare
+
+
+def _node(tokens: np.ndarray, seed: int) -> int:
+    return xxhash.xxh3_128_intdigest(tokens.tobytes(), seed=seed) >> 64
 
-    return read
 
+def _ceil(a: Column, b: int) -> Column:
+    return F.ceil(a / b).cast("long")
 
-def _similar(a: Column, b: Column, percent: int) -> Column:
-    both = F.size(F.array_intersect(a, b)).cast("long")
-    return 100 * both >= percent * (F.size(a) + F.size(b) - both)
+
+def _least_shared(n: Column, other: Column, percent: int) -> Column:
+    """How many prefix tokens sets of n and `other` tokens must share at least, to be as similar as the threshold.
+
+    Beyond the prefix that ends first, at most (least overlap of that set) - 1 tokens can
+    be shared; the rest of the overlap that the pair needs must lie in both prefixes.
+    """
+    overlap = _ceil(percent * (n + other), 100 + percent)
+    return F.greatest(overlap - _ceil(percent * F.greatest(n, other), 100) + 1, F.lit(1).cast("long"))
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -178,102 +241,132 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sets, hot, seed = _read_sets(rows, words)
+    sets, levels, seed = _read_sets(rows, words)
     real = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    nodes = real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    links = _links(rows, nodes, sets, hot, seed, words, percent)
+    nodes = real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    links = _links(rows, nodes, sets, levels, seed, words, percent)
     twice = real.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     own = real.join(twice.select("doc_id"), "doc_id", "left_semi").join(nodes.select("node", "rep"), "node").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(own)).withColumnRenamed("id", "rep")
     labels = nodes.select("node", "rep").join(found, "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
     empty = (F.col("n") == 0) | F.col("doc_id").isNull()
     key = F.when(~empty, F.col("node"))
-    joined = sets.withColumn("key", key).join(labels.withColumnRenamed("node", "key"), "key", "left")
+    joined = sets.drop("bits").withColumn("key", key).join(labels.withColumnRenamed("node", "key"), "key", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
-def _read_sets(rows: DataFrame, words: int) -> tuple[DataFrame, dict[int, int], int]:
-    """The table of sets, counts of the busiest slots, and a seed under which no two sets share a node."""
+def _read_sets(rows: DataFrame, words: int) -> tuple[DataFrame, bytes, int]:
+    """The table of sets, the level of every counter slot, and a seed under which no two sets share a node."""
     seed = 0
     while True:
-        read = stored(rows.mapInArrow(_set_reader(words, seed), "kind int, doc_id long, n long, node long, check long"), "sets")
-        sets = read.where("kind = 0").drop("kind")
+        read = stored(rows.mapInArrow(_set_reader(words, seed), "kind int, doc_id long, n long, node long, check long, raw binary"), "sets")
+        sets = read.where("kind = 0").select("doc_id", "n", "node", "check", F.col("raw").alias("bits"))
         clash = sets.groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low < high")
         if not clash.take(1):
             break
         seed += 1
-    # At most one entry per slot, however much is counted.
-    hot = read.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).collect()
-    return sets, {r["node"]: r["n"] for r in hot}, seed
+    chunks = read.where("kind = 1").select("node", "raw").repartition("node").sortWithinPartitions("node").mapInArrow(_sum_chunks, "node long, raw binary")
+    levels = np.zeros(1 << SLOT_BITS, dtype=np.uint8).reshape(-1, 1 << CHUNK_BITS)
+    for row in chunks.collect():  # one byte per slot, however much is counted
+        levels[row["node"]] = np.frombuffer(row["raw"], dtype=np.uint8)
+    return sets, levels.tobytes(), seed
 
 
-def _links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, hot: dict[int, int], seed: int, words: int, percent: int) -> DataFrame:
+def _links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, levels: bytes, seed: int, words: int, percent: int) -> DataFrame:
     """Links (a, b) between the smallest documents of nodes: enough of them to join all that are connected."""
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(64, total * (100 - percent) // 100 // TOKENS_PER_PART)
-    sent = rows.where(F.col("doc_id").isNotNull()).mapInArrow(_posting_sender(words, percent, seed, hot, parts), "part long, kind int, pairs binary")
-    shared = stored(sent.repartition("part").sortWithinPartitions("part").mapInArrow(_posting_reader, "token long, node long"), "shared")
-
-    # Each node and the node that it shares most with, of those that are first for a token.
-    first = shared.groupBy("token").agg(F.min("node").alias("lead"))
-    tries = shared.join(first, "token").where(F.col("node") != F.col("lead")).groupBy("node", "lead").agg(F.count("*").alias("c"))
-    lead = tries.groupBy("node").agg(F.max(F.struct("c", "lead")).alias("best")).select("node", F.col("best.lead").alias("lead"))
-    lead = stored(lead, "leads")
-    used = lead.select("node").unionByName(lead.select(F.col("lead").alias("node"))).distinct()
-    tokens = _tokens(rows, nodes, used, words, seed)
-    near = (
-        lead.join(tokens.withColumnsRenamed({"tokens": "mine"}), "node")
-        .join(tokens.withColumnsRenamed({"node": "lead", "tokens": "other"}), "lead")
-        .where(_similar(F.col("mine"), F.col("other"), percent))
-        .select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    )
-    near = stored(near, "links")
+    sent = rows.where(F.col("doc_id").isNotNull()).mapInArrow(_posting_sender(words, percent, seed, levels, parts), "part long, kind int, pairs binary")
+    postings = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_posting_reader, "token long, node long")
+    shared = stored(postings.join(nodes.select("node", "n"), "node").select("token", "node", "n"), "shared")
+
+    # Each node and the closest of the nodes that are first for one of its tokens: a choice of groups only, so
+    # no pair need be looked at here that these tokens or the bitmaps rule out.
+    first = shared.groupBy("token").agg(F.min(F.struct("node", "n")).alias("f")).select("token", F.col("f.node").alias("other"), F.col("f.n").alias("other_n"))
+    tries = shared.join(first, "token").where(F.col("node") != F.col("other")).groupBy("node", "n", "other", "other_n").agg(F.count("*").alias("c"))
+    tries = tries.where(F.col("c") >= _least_shared(F.col("n"), F.col("other_n"), percent)).select("node", "other")
+    bits = nodes.select("node", "n", "bits")
+    theirs = bits.select(F.col("node").alias("other"), F.array(F.struct(F.col("node").alias("other"), "n", "bits")).alias("members"))
+    near = _verified(rows, nodes, _closest(_left(tries.join(theirs, "other").select("node", F.lit(0).cast("long").alias("target"), "members"), bits, percent)), seed, words, percent)
     groups = components(near).withColumnsRenamed({"id": "node", "component": "grp"})
-    far = _open_groups(rows, nodes, shared, groups, seed, words, percent)
+    opened = _opened_groups(shared, groups, percent)
+    left = stored(_left(_in_parts(opened, groups, bits), bits, percent), "left")
+    far = _verified(rows, nodes, _closest(left), seed, words, percent)
+
+    # Where the closest member isn't similar, all that are left; joined by then, a node and a group need no more.
+    merged = components(near.unionByName(far)).withColumnsRenamed({"id": "node", "component": "now"})
+    other = merged.withColumnsRenamed({"node": "target", "now": "then"})
+    apart = F.coalesce("now", "node") != F.coalesce("then", "target")
+    still = left.join(merged, "node", "left").join(other, "target", "left").where(apart).select("node", F.explode("left").alias("m")).select("node", F.col("m.other").alias("other"))
+    rest = _verified(rows, nodes, still.distinct(), seed, words, percent)
     rep = nodes.select("node", "rep")
-    both = near.unionByName(far)
+    both = near.unionByName(far).unionByName(rest)
     both = both.join(rep.withColumnsRenamed({"node": "a", "rep": "ra"}), "a").join(rep.withColumnsRenamed({"node": "b", "rep": "rb"}), "b")
     return both.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
-def _tokens(rows: DataFrame, nodes: DataFrame, used: DataFrame, words: int, seed: int) -> DataFrame:
-    """node and tokens of the nodes in `used`, from the text of their smallest document."""
-    wanted = nodes.join(used, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node")
-    return rows.join(wanted, "doc_id").select("node", "text").mapInArrow(_token_reader(words, seed), "node long, tokens array<long>")
-
-
-def _open_groups(rows: DataFrame, nodes: DataFrame, shared: DataFrame, groups: DataFrame, seed: int, words: int, percent: int) -> DataFrame:
-    """Links across groups: the token-group matrix bounds which groups a node must be compared with."""
-    own = F.coalesce(F.col("grp"), F.col("node"))
-    sized = nodes.select("node", "n")
-    posts = shared.join(groups, "node", "left").join(sized, "node").select("token", "node", "n", own.alias("grp"))
-    per_group = posts.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    several = per_group.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a < b").select("token")
+def _opened_groups(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """node and target: the groups that the token-group matrix leaves to be looked into for a node."""
+    posts = shared.join(groups, "node", "left").select("token", "node", "n", F.coalesce("grp", "node").alias("grp"))
+    several = posts.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("token")
     posts = stored(posts.join(several, "token", "left_semi"), "posts")
-    target = posts.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high")).withColumnRenamed("grp", "target")
+    matrix = posts.groupBy("token", F.col("grp").alias("target")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     fits = (F.col("grp") > F.col("target")) & (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
-    asked = stored(posts.join(target, "token").where(fits).select("node", "n", "target").distinct(), "asked")
-
-    members = groups.select("node", "grp").unionByName(nodes.select("node", F.col("node").alias("grp")).join(groups, "node", "left_anti"))
-    members = members.join(asked.select(F.col("target").alias("grp")).distinct(), "grp", "left_semi")
-    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / DOCS_PER_GROUP_PART).cast("long").alias("parts"))
-    members = stored(members.join(sizes, "grp").select("grp", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node"), "members")
-    used = asked.select("node").unionByName(members.select("node")).distinct()
-    tokens = stored(_tokens(rows, nodes, used, words, seed), "tokens")
-    filled = members.join(tokens, "node")
-    matrix = filled.groupBy("grp", "part").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("all"))
-    parts = members.groupBy("grp").agg(F.first("parts").alias("parts")).withColumnRenamed("grp", "target")
-    queries = asked.join(parts, "target").select("node", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    bound = (
-        queries.join(tokens, "node")
-        .join(matrix.withColumnRenamed("grp", "target"), ["target", "part"])
-        .where(100 * F.size(F.array_intersect("tokens", "all")).cast("long") >= percent * F.size("tokens"))
-        .select("node", "tokens", "target", "part")
-    )
-    inside = filled.select(F.col("grp").alias("target"), "part", F.col("node").alias("other"), F.col("tokens").alias("theirs"))
-    return (
-        bound.join(inside, ["target", "part"])
-        .where(_similar(F.col("tokens"), F.col("theirs"), percent))
-        .select(F.col("node").alias("a"), F.col("other").alias("b"))
-        .distinct()
-    )
+    counted = posts.join(matrix, "token").where(fits).groupBy("node", "n", "target").agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # Over the sizes of a group's members the bound is lowest at one end of those that could match at all.
+    low = F.greatest(F.col("low"), _ceil(percent * F.col("n"), 100))
+    high = F.least(F.col("high"), F.floor(100 * F.col("n") / percent).cast("long"))
+    bound = F.least(_least_shared(F.col("n"), low, percent), _least_shared(F.col("n"), high, percent))
+    return stored(counted.where(F.col("c") >= bound).select("node", "target"), "opened")
+
+
+def _in_parts(opened: DataFrame, groups: DataFrame, bits: DataFrame) -> DataFrame:
+    """node, target, members: each opened group in parts of about MEMBERS_PER_PART, however large it is."""
+    alone = opened.select(F.col("target").alias("node")).distinct().join(groups, "node", "left_anti").select("node", F.col("node").alias("grp"))
+    members = groups.select("node", "grp").join(opened.select(F.col("target").alias("grp")).distinct(), "grp", "left_semi").select("node", "grp").unionByName(alone)
+    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / MEMBERS_PER_PART).cast("long").alias("parts"))
+    dealt = members.join(sizes, "grp").join(bits, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    parts = dealt.groupBy(F.col("grp").alias("target"), "part").agg(F.collect_list(F.struct(F.col("node").alias("other"), "n", "bits")).alias("members"))
+    return opened.join(parts, "target").select("node", "target", "members")
+
+
+def _left(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """node, target, left: of the members those whose bitmap leaves a similarity at the threshold possible, with how much."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                close = [(m["other"], _closeness(row["bits"], row["n"], m["bits"], m["n"], percent)) for m in row["members"]]
+                left = [{"other": other, "most": most} for other, most in close if most is not None]
+                if left:
+                    rows.append({"node": row["node"], "target": row["target"], "left": left})
+            yield pa.RecordBatch.from_pylist(rows, schema=kind)
+
+    kind = pa.schema([("node", pa.int64()), ("target", pa.int64()), ("left", pa.list_(pa.struct([("other", pa.int64()), ("most", pa.float64())])))])
+    return pairs.join(bits, "node").mapInArrow(look, "node long, target long, left array<struct<other: long, most: double>>")
+
+
+def _closest(left: DataFrame) -> DataFrame:
+    """node and other: the member left for each node and target with the greatest possible similarity, ties to the smaller node."""
+    top = F.array_max(F.transform("left", lambda m: F.struct(m["most"].alias("most"), (-m["other"]).alias("minus"))))
+    best = left.select("node", "target", top.alias("top")).groupBy("node", "target").agg(F.max("top").alias("top"))
+    return stored(best.select("node", (-F.col("top.minus")).alias("other")), "pairs")
+
+
+def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, seed: int, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar, from the texts of their smallest documents.
+
+    Texts are smaller than sets, so it is they that travel, once by id and once with the other end of their pair.
+    """
+    rep = nodes.select("node", "rep")
+    ends = pairs.select(F.col("node").alias("a"), F.col("other").alias("b"))
+    ends = ends.join(rep.withColumnsRenamed({"node": "a", "rep": "doc_a"}), "a").join(rep.withColumnsRenamed({"node": "b", "rep": "doc_b"}), "b")
+    ends = stored(ends, "ends")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_SLOTS)).alias("slot")
+    slots = ends.select(slot("doc_a")).unionByName(ends.select(slot("doc_b"))).distinct()  # never more rows than slots
+    texts = rows.withColumn("slot", slot("doc_id")).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+    first = texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a"))
+    second = texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b"))
+    both = ends.join(first, "doc_a").join(second, "doc_b").select("a", "b", "text_a", "text_b")
+    return stored(both.mapInArrow(_comparer(words, percent, seed), "a long, b long").distinct(), "links")

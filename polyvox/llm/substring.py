@@ -24,12 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column_bytes, gram_hashes
+from .common import column_bytes, gram_hashes, word_hashes
 
 WINDOW, ANCHOR = 50, 10
 #: Text, in bytes, whose windows a mapper compares at once; windows a group task compares at once.
-BATCH_BYTES = 24_000_000
-WINDOWS_PER_CHUNK = 2_000_000
+BATCH_BYTES = 8_000_000
+WINDOWS_PER_CHUNK = 1_000_000
 
 _SENT = "kind int, prefix long, doc_id long, row long, start int, stop int, paths binary"
 
@@ -102,12 +102,11 @@ def _sender(window: int, anchor: int):
         )
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         held, size = [], 0
         for batch in batches:
             columns = (batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), column_bytes(batch, "text"))
             for doc_id, row, text in zip(*columns, strict=True):
-                paths, prefixes = windows_of(hashes.of(text.split()), window, anchor)
+                paths, prefixes = windows_of(word_hashes(text), window, anchor)
                 if len(paths):
                     held.append((doc_id, row, paths, prefixes))
                     size += len(text)
