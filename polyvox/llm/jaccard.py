@@ -5,11 +5,11 @@
    few of each in one global order, rarest first (by a counter of fixed size over
    all tokens). Only tokens that two nodes share there go on; a task settles
    repeats within its batch itself and sends each token on once.
-3. Each node is held against nodes that are first for one of its tokens. A parity bitmap of
-   each set gives an upper bound of any overlap; the closest node is compared exactly, and what
-   links so partitions similar documents into groups.
-4. The matrix says which tokens (of the prefixes) each group's members have between them.
-   The number of a node's tokens in a group's column bounds its overlap with every
+3. In a few rounds each node is held against the node that leads most of its tokens. A parity
+   bitmap of each set gives an upper bound of any overlap; what that leaves is compared exactly,
+   and what links so partitions similar documents into groups.
+4. The matrix says which tokens (of the prefixes) each group's members have between them, and how
+   many tokens follow there. The first token that a node shares with a group bounds its overlap with every
    member; only if that could reach the threshold is the group opened: in parts of
    bounded size the members' bitmaps are looked through, and the closest member is compared
    exactly. Where it isn't similar, all members that their bitmaps leave are. Pairs inside a
@@ -37,6 +37,8 @@ SLOT_BITS, CHUNK_BITS = 22, 14
 TOKENS_PER_PART, FILTER_SLOTS = 200_000, 1 << 20
 #: Members per part of an opened group; bits of a bitmap per token of its set, at least.
 MEMBERS_PER_PART, BITS_PER_TOKEN = 64, 1.7
+#: Rounds in which groups form; more of them leave fewer pairs of groups to look into.
+ROUNDS = 2
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
@@ -127,7 +129,7 @@ def _posting_sender(size: int, percent: int, seed: int, levels: bytes, parts: in
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.frombuffer(levels, dtype=np.uint8)
         for batch in batches:
-            tokens, nodes = [], []
+            tokens, nodes, places = [], [], []
             for text in column_bytes(batch, "text"):
                 s = shingles(word_hashes((text or b"").lower()), size)
                 if len(s):
@@ -135,51 +137,52 @@ def _posting_sender(size: int, percent: int, seed: int, levels: bytes, parts: in
                     rank = order[_slots(s)]
                     tokens.append(s[np.argsort(rank, kind="stable")[:n]])  # equal ranks stay in hash order
                     nodes.append(np.full(n, _node(s, seed), dtype=np.uint64))
+                    places.append(np.arange(n, dtype=np.uint32))
             if tokens:
-                yield from _sent(np.concatenate(tokens), np.concatenate(nodes), parts)
+                yield _sent(np.concatenate(tokens), np.concatenate(nodes), np.concatenate(places), parts)
 
     return send
 
 
-def _unique_pairs(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (token, node), sorted, and whether the token has two nodes."""
+def _unique_pairs(tokens: np.ndarray, nodes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (token, node, place), sorted, and whether the token has two nodes."""
     at = np.lexsort((nodes, tokens))
-    tokens, nodes = tokens[at], nodes[at]
+    tokens, nodes, places = tokens[at], nodes[at], places[at]
     new = np.r_[True, (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])]
-    tokens, nodes = tokens[new], nodes[new]
+    tokens, nodes, places = tokens[new], nodes[new], places[new]
     same = np.r_[False, tokens[1:] == tokens[:-1]]
-    return tokens, nodes, same | np.r_[same[1:], False]
+    return tokens, nodes, places, same | np.r_[same[1:], False]
 
 
-def _sent(tokens: np.ndarray, nodes: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    tokens, nodes, shared = _unique_pairs(tokens, nodes)
+def _sent(tokens: np.ndarray, nodes: np.ndarray, places: np.ndarray, parts: int) -> pa.RecordBatch:
+    tokens, nodes, places, shared = _unique_pairs(tokens, nodes, places)
     first = np.r_[True, tokens[1:] != tokens[:-1]]
     rows: list[tuple[int, int, bytes]] = []
     for kind, at in ((0, shared), (1, ~shared), (2, shared & first)):
-        t, n = tokens[at], nodes[at]
+        t, n, p = tokens[at], nodes[at], places[at]
         # Settled pairs go anywhere; the others to the part of their token.
         part = ((n if kind == 0 else t) >> np.uint64(11)) % np.uint64(parts)
         by = np.argsort(part, kind="stable")
-        t, n, part = t[by], n[by], part[by]
+        t, n, p, part = t[by], n[by], p[by], part[by]
         cuts = np.r_[0, np.nonzero(part[1:] != part[:-1])[0] + 1, len(part)] if len(part) else np.zeros(1, int)
-        rows += [(int(part[a]), kind, np.stack([t[a:b], n[a:b]]).tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+        rows += [(int(part[a]), kind, t[a:b].tobytes() + n[a:b].tobytes() + p[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
     columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))]
-    yield pa.RecordBatch.from_arrays(columns, names=["part", "kind", "pairs"])
+    return pa.RecordBatch.from_arrays(columns, names=["part", "kind", "pairs"])
 
 
 def _posting_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, node) of the tokens that two nodes share; rows come sorted by part."""
+    """(token, node, place) of the tokens that two nodes share; rows come sorted by part."""
 
-    def out(tokens: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (tokens, nodes)], names=["token", "node"])
+    def out(tokens: np.ndarray, nodes: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(tokens.view(np.int64)), pa.array(nodes.view(np.int64)), pa.array(places.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["token", "node", "place"])
 
-    def settle(waiting: list[np.ndarray], known: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def settle(waiting: list[tuple], known: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if waiting:
-            tokens, nodes = np.concatenate(waiting, axis=1)
-            tokens, nodes, shared = _unique_pairs(tokens, nodes)
+            tokens, nodes, places, shared = _unique_pairs(*map(np.concatenate, zip(*waiting, strict=True)))
             if known:
-                shared = shared | np.isin(tokens, np.concatenate(known, axis=1)[0])
-            yield out(tokens[shared], nodes[shared])
+                shared = shared | np.isin(tokens, np.concatenate(known))
+            yield out(tokens[shared], nodes[shared], places[shared])
 
     part, waiting, known = None, [], []
     for batch in batches:
@@ -187,11 +190,14 @@ def _posting_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if at != part:
                 yield from settle(waiting, known)
                 part, waiting, known = at, [], []
-            pairs = np.frombuffer(raw, dtype=np.uint64).reshape(2, -1)
+            n = len(raw) // 20
+            row = (np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint64, n, 8 * n), np.frombuffer(raw, np.uint32, n, 16 * n))
             if kind == 0:
-                yield out(pairs[0], pairs[1])
+                yield out(*row)
+            elif kind == 1:
+                waiting.append(row)
             else:
-                (waiting if kind == 1 else known).append(pairs)
+                known.append(row[0])
     yield from settle(waiting, known)
 
 
@@ -220,14 +226,9 @@ def _ceil(a: Column, b: int) -> Column:
     return F.ceil(a / b).cast("long")
 
 
-def _least_shared(n: Column, other: Column, percent: int) -> Column:
-    """How many prefix tokens sets of n and `other` tokens must share at least, to be as similar as the threshold.
-
-    Beyond the prefix that ends first, at most (least overlap of that set) - 1 tokens can
-    be shared; the rest of the overlap that the pair needs must lie in both prefixes.
-    """
-    overlap = _ceil(percent * (n + other), 100 + percent)
-    return F.greatest(overlap - _ceil(percent * F.greatest(n, other), 100) + 1, F.lit(1).cast("long"))
+def _needed(n: Column, other: Column, percent: int) -> Column:
+    """Overlap that sets of n and `other` tokens need at least to be as similar as the threshold."""
+    return _ceil(percent * (n + other), 100 + percent)
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -277,19 +278,17 @@ def _links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, levels: bytes, se
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(64, total * (100 - percent) // 100 // TOKENS_PER_PART)
     sent = rows.where(F.col("doc_id").isNotNull()).mapInArrow(_posting_sender(words, percent, seed, levels, parts), "part long, kind int, pairs binary")
-    postings = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_posting_reader, "token long, node long")
-    shared = stored(postings.join(nodes.select("node", "n"), "node").select("token", "node", "n"), "shared")
-
-    # Each node and the closest of the nodes that are first for one of its tokens: a choice of groups only, so
-    # no pair need be looked at here that these tokens or the bitmaps rule out.
-    first = shared.groupBy("token").agg(F.min(F.struct("node", "n")).alias("f")).select("token", F.col("f.node").alias("other"), F.col("f.n").alias("other_n"))
-    tries = shared.join(first, "token").where(F.col("node") != F.col("other")).groupBy("node", "n", "other", "other_n").agg(F.count("*").alias("c"))
-    tries = tries.where(F.col("c") >= _least_shared(F.col("n"), F.col("other_n"), percent)).select("node", "other")
+    postings = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_posting_reader, "token long, node long, place int")
     bits = nodes.select("node", "n", "bits")
-    theirs = bits.select(F.col("node").alias("other"), F.array(F.struct(F.col("node").alias("other"), "n", "bits")).alias("members"))
-    near = _verified(rows, nodes, _closest(_left(tries.join(theirs, "other").select("node", F.lit(0).cast("long").alias("target"), "members"), bits, percent)), seed, words, percent)
-    groups = components(near).withColumnsRenamed({"id": "node", "component": "grp"})
-    opened = _opened_groups(shared, groups, percent)
+    # after: tokens from this one on. If it is the first that two sets share, they share no more than either has after it.
+    posts = stored(postings.join(nodes.select("node", "n"), "node").select("token", "node", "n", (F.col("n") - F.col("place")).alias("after"), F.col("node").alias("grp")), "posts")
+    near = groups = None
+    for turn in range(ROUNDS):
+        found = _verified(rows, nodes, _leads(posts, bits, turn, percent), seed, words, percent)
+        near = found if near is None else near.unionByName(found)
+        groups = components(near).withColumnsRenamed({"id": "node", "component": "grp"})
+        posts = _across(posts, groups)
+    opened = _opened_groups(posts, percent)
     left = stored(_left(_in_parts(opened, groups, bits), bits, percent), "left")
     far = _verified(rows, nodes, _closest(left), seed, words, percent)
 
@@ -305,19 +304,36 @@ def _links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, levels: bytes, se
     return both.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
-def _opened_groups(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """node and target: the groups that the token-group matrix leaves to be looked into for a node."""
-    posts = shared.join(groups, "node", "left").select("token", "node", "n", F.coalesce("grp", "node").alias("grp"))
+def _across(posts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Posts with their groups of now, of the tokens that more than one group has."""
+    posts = posts.drop("grp").join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
     several = posts.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("token")
-    posts = stored(posts.join(several, "token", "left_semi"), "posts")
-    matrix = posts.groupBy("token", F.col("grp").alias("target")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    return stored(posts.join(several, "token", "left_semi").select("token", "node", "n", "after", "grp"), "posts")
+
+
+def _leads(posts: DataFrame, bits: DataFrame, turn: int, percent: int) -> DataFrame:
+    """node and other: for each node the node of another group that leads most of its tokens, where they could be similar.
+
+    Which of a token's nodes leads is a matter of hash and turn, so that most tokens of a group of copies have the same leader.
+    """
+    lead = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), *[F.col(c).alias(f"lead_{c}") for c in ("node", "n", "after", "grp")])
+    first = posts.groupBy("token").agg(F.min(lead).alias("lead")).select("token", "lead.*")
+    need = _needed(F.col("n"), F.col("lead_n"), percent)
+    tries = posts.join(first, "token").where((F.col("grp") != F.col("lead_grp")) & (F.col("after") >= need) & (F.col("lead_after") >= need))
+    counted = tries.groupBy("node", "lead_node").agg(F.count("*").alias("c"))
+    best = counted.groupBy("node").agg(F.max(F.struct("c", "lead_node")).alias("best")).select("node", F.col("best.lead_node").alias("other"))
+    theirs = bits.select(F.col("node").alias("other"), F.array(F.struct(F.col("node").alias("other"), "n", "bits")).alias("members"))
+    return _closest(_left(best.join(theirs, "other").select("node", F.lit(0).cast("long").alias("target"), "members"), bits, percent))
+
+
+def _opened_groups(posts: DataFrame, percent: int) -> DataFrame:
+    """node and target: the groups that the token-group matrix leaves to be looked into for a node."""
+    matrix = posts.groupBy("token", F.col("grp").alias("target")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("after").alias("most_after"))
+    # The least overlap that any member needs is that of the smallest one which could match at all.
+    need = _needed(F.col("n"), F.greatest(F.col("low"), _ceil(percent * F.col("n"), 100)), percent)
     fits = (F.col("grp") > F.col("target")) & (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
-    counted = posts.join(matrix, "token").where(fits).groupBy("node", "n", "target").agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
-    # Over the sizes of a group's members the bound is lowest at one end of those that could match at all.
-    low = F.greatest(F.col("low"), _ceil(percent * F.col("n"), 100))
-    high = F.least(F.col("high"), F.floor(100 * F.col("n") / percent).cast("long"))
-    bound = F.least(_least_shared(F.col("n"), low, percent), _least_shared(F.col("n"), high, percent))
-    return stored(counted.where(F.col("c") >= bound).select("node", "target"), "opened")
+    opened = posts.join(matrix, "token").where(fits & (F.col("after") >= need) & (F.col("most_after") >= need))
+    return stored(opened.select("node", "target").distinct(), "opened")
 
 
 def _in_parts(opened: DataFrame, groups: DataFrame, bits: DataFrame) -> DataFrame:
