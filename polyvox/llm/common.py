@@ -80,6 +80,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 # --- on Python workers ----------------------------------------------------
 
 
+#: Rows of text that are sent to a worker at once, where the session has Spark's default.
+ROWS_PER_BATCH = 2_000
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def in_small_batches(texts: DataFrame) -> DataFrame:
+    """texts, which are long rows, in a session that sends fewer of them at once than it would by default."""
+    conf = texts.sparkSession.conf
+    if conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        conf.set(_BATCH_SETTING, str(ROWS_PER_BATCH))
+    return texts
+
+
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding it."""
     return batch.column(name).cast(pa.large_binary()).to_pylist()

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, gram_hashes, stored, word_hashes
+from .common import column_bytes, gram_hashes, in_small_batches, stored, word_hashes
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -35,6 +35,8 @@ WORDS, PERCENT = 5, 80
 SLOT_BITS, CHUNK_BITS = 22, 14
 #: Prefix tokens per part of the posting table; slots of the filter that keeps texts nobody asks for off the network.
 TOKENS_PER_PART, FILTER_SLOTS = 200_000, 1 << 20
+#: Prefix tokens that a mapper compares at once.
+TOKENS_PER_BATCH = 1_000_000
 #: Members per part of an opened group; bits of a bitmap per token of its set, at least.
 MEMBERS_PER_PART, BITS_PER_TOKEN = 64, 1.7
 #: Rounds in which groups form; more of them leave fewer pairs of groups to look into.
@@ -128,8 +130,8 @@ def _posting_sender(size: int, percent: int, seed: int, levels: bytes, parts: in
     """Rows (part, kind, pairs): 0 settled pairs, 1 pairs that wait for others, 2 tokens already known as shared."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.frombuffer(levels, dtype=np.uint8)
+        tokens, nodes, places, held = [], [], [], 0
         for batch in batches:
-            tokens, nodes, places = [], [], []
             for text in column_bytes(batch, "text"):
                 s = shingles(word_hashes((text or b"").lower()), size)
                 if len(s):
@@ -138,8 +140,12 @@ def _posting_sender(size: int, percent: int, seed: int, levels: bytes, parts: in
                     tokens.append(s[np.argsort(rank, kind="stable")[:n]])  # equal ranks stay in hash order
                     nodes.append(np.full(n, _node(s, seed), dtype=np.uint64))
                     places.append(np.arange(n, dtype=np.uint32))
-            if tokens:
-                yield _sent(np.concatenate(tokens), np.concatenate(nodes), np.concatenate(places), parts)
+                    held += n
+                if held >= TOKENS_PER_BATCH:
+                    yield _sent(np.concatenate(tokens), np.concatenate(nodes), np.concatenate(places), parts)
+                    tokens, nodes, places, held = [], [], [], 0
+        if held:
+            yield _sent(np.concatenate(tokens), np.concatenate(nodes), np.concatenate(places), parts)
 
     return send
 
@@ -241,7 +247,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     doc_id gets no component and links nothing. An empty table gives an empty result; other
     columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = in_small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     sets, levels, seed = _read_sets(rows, words)
     real = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     nodes = real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes
+from .common import column_bytes, in_small_batches
 
 #: Fixed phrases and labels of query op5.
 PHRASES = (
@@ -130,7 +130,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, thresho
     An empty table gives an empty result; other columns are not read.
     """
     vocabulary = frozenset(w for _, text in templates for w in words_of(text.encode()))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = in_small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     order = document_frequencies(rows, vocabulary)
     table = Templates(templates, order, threshold)
     split = [(words_of(p.encode()), label) for p, label in phrases]

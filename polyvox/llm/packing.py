@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, kept_by_worker, salted_rank, stored
+from .common import column_bytes, in_small_batches, kept_by_worker, salted_rank, stored
 
 CAPACITY = 2048
 END_ID = 0
@@ -108,7 +108,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
                 [pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = in_small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

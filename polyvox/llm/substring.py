@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, gram_hashes, word_hashes
+from .common import column_bytes, gram_hashes, in_small_batches, word_hashes
 
 WINDOW, ANCHOR = 50, 10
 #: Text, in bytes, whose windows a mapper compares at once; windows a group task compares at once.
@@ -176,7 +176,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     and removes nothing. A null text has no words. An empty table gives an empty
     result; other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = in_small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     found = (
         repeated_windows(rows, window, anchor)
         .groupBy("doc_id", "row")
