@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_bytes, gram_hashes, in_small_batches, stored, word_hashes
@@ -287,7 +287,7 @@ def _links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, levels: bytes, se
     postings = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_posting_reader, "token long, node long, place int")
     bits = nodes.select("node", "n", "bits")
     # after: tokens from this one on. If it is the first that two sets share, they share no more than either has after it.
-    posts = stored(postings.join(nodes.select("node", "n"), "node").select("token", "node", "n", (F.col("n") - F.col("place")).alias("after"), F.col("node").alias("grp")), "posts")
+    posts = stored(postings.join(nodes.select("node", "n"), "node").select("token", "node", "n", (F.col("n") - F.col("place")).alias("after"), F.col("node").alias("grp"), F.lit(1).cast("long").alias("size")), "posts")
     near = groups = None
     for turn in range(ROUNDS):
         found = _verified(rows, nodes, _leads(posts, bits, turn, percent), seed, words, percent)
@@ -312,17 +312,19 @@ def _links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, levels: bytes, se
 
 def _across(posts: DataFrame, groups: DataFrame) -> DataFrame:
     """Posts with their groups of now, of the tokens that more than one group has."""
-    posts = posts.drop("grp").join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    sized = groups.join(groups.groupBy("grp").agg(F.count("*").alias("size")), "grp")
+    posts = posts.drop("grp", "size").join(sized, "node", "left").withColumns({"grp": F.coalesce("grp", "node"), "size": F.coalesce("size", F.lit(1).cast("long"))})
     several = posts.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("token")
-    return stored(posts.join(several, "token", "left_semi").select("token", "node", "n", "after", "grp"), "posts")
+    return stored(posts.join(several, "token", "left_semi").select("token", "node", "n", "after", "grp", "size"), "posts")
 
 
 def _leads(posts: DataFrame, bits: DataFrame, turn: int, percent: int) -> DataFrame:
     """node and other: for each node the node of another group that leads most of its tokens, where they could be similar.
 
-    Which of a token's nodes leads is a matter of hash and turn, so that most tokens of a group of copies have the same leader.
+    Of a token's nodes one of the largest group leads; which one is a matter of hash and turn, so that most tokens of a
+    group of copies have the same leader, and another one each turn.
     """
-    lead = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), *[F.col(c).alias(f"lead_{c}") for c in ("node", "n", "after", "grp")])
+    lead = F.struct((-F.col("size")).alias("s"), F.xxhash64(F.lit(turn), "node").alias("h"), *[F.col(c).alias(f"lead_{c}") for c in ("node", "n", "after", "grp")])
     first = posts.groupBy("token").agg(F.min(lead).alias("lead")).select("token", "lead.*")
     need = _needed(F.col("n"), F.col("lead_n"), percent)
     tries = posts.join(first, "token").where((F.col("grp") != F.col("lead_grp")) & (F.col("after") >= need) & (F.col("lead_after") >= need))
@@ -333,11 +335,25 @@ def _leads(posts: DataFrame, bits: DataFrame, turn: int, percent: int) -> DataFr
 
 
 def _opened_groups(posts: DataFrame, percent: int) -> DataFrame:
-    """node and target: the groups that the token-group matrix leaves to be looked into for a node."""
-    matrix = posts.groupBy("token", F.col("grp").alias("target")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("after").alias("most_after"))
+    """node and target: the groups that the token-group matrix leaves to be looked into for a node.
+
+    What counts is the first token shared. Where the token before it, too, is the same in a node and in all of a group's members
+    that have it, it isn't the first, and the pair is found there: a passage is met once and not at each of its tokens.
+    """
+    posts = posts.withColumn("prev", F.lag("token").over(Window.partitionBy("node").orderBy(F.desc("after"))))
+    matrix = posts.groupBy("token", F.col("grp").alias("target")).agg(
+        F.first("size").alias("target_size"),
+        F.min("n").alias("low"),
+        F.max("n").alias("high"),
+        F.max("after").alias("most_after"),
+        F.when((F.min("prev") == F.max("prev")) & (F.count("prev") == F.count("*")), F.min("prev")).alias("one_prev"),
+    )
+    later = F.coalesce(F.col("prev") == F.col("one_prev"), F.lit(False))
+    # Of two groups the members of the smaller one ask: they are the fewer rows.
+    asks = (F.col("size") < F.col("target_size")) | ((F.col("size") == F.col("target_size")) & (F.col("grp") > F.col("target")))
     # The least overlap that any member needs is that of the smallest one which could match at all.
     need = _needed(F.col("n"), F.greatest(F.col("low"), _ceil(percent * F.col("n"), 100)), percent)
-    fits = (F.col("grp") > F.col("target")) & (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
+    fits = asks & ~later & (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
     opened = posts.join(matrix, "token").where(fits & (F.col("after") >= need) & (F.col("most_after") >= need))
     return stored(opened.select("node", "target").distinct(), "opened")
 
