@@ -716,10 +716,10 @@ def _mode_samples(spark, sf):
     return docs.withColumn("k", F.row_number().over(Window.partitionBy("mode").orderBy("doc_id")).cast("long") - 1)
 
 
-def _mode_bits(spark, sf):
+def _mode_bits(spark, sf, pairs=pairwise.rotated_pairs):
     samples = _mode_samples(spark, sf)
     words = samples.select("mode", "k", F.explode(T.ws_words(F.col("text"))).alias("word")).groupBy("mode", "k", "word").agg(F.count("*").alias("c"))
-    return pairwise.conditional_bits(pairwise.rotated_pairs(samples.select("mode", "k"), "mode", "k"), words)
+    return pairwise.conditional_bits(pairs(samples.select("mode", "k"), "mode", "k"), words)
 
 
 _MODES = f"""s AS (SELECT lang AS mode, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k, coalesce(text, '') AS text FROM documents),
@@ -768,6 +768,52 @@ def symmetry_fit(spark, sf):
     return rounded(pairwise.symmetry_fit(_matrix(spark, sf)), 4)
 
 
+# The same over all documents: the six above hold to the numbers that the smallest language has, as their SQL does.
+
+_WHOLE_PAIRS = """sz AS (SELECT mode, count(*) AS n FROM s GROUP BY 1),
+pr AS (SELECT c.mode AS ctx, t.mode AS tgt, t.k, c.k AS ctx_k FROM s t CROSS JOIN sz JOIN s c ON c.mode = sz.mode AND c.k = (t.k + 1) % n WHERE c.mode <> t.mode OR c.k <> t.k),
+"""
+
+
+def _whole(name: str) -> str:
+    sql = ORACLE_SQL[name]
+    return sql[: sql.index("sz AS (")] + _WHOLE_PAIRS + sql[sql.index("bits AS (") :]
+
+
+def _whole_matrix(spark, sf):
+    return pairwise.reduction(_mode_bits(spark, sf, pairwise.whole_pairs))
+
+
+@query(_whole("pairwise_reduction"))
+def pairwise_reduction_whole(spark, sf):
+    return rounded(_whole_matrix(spark, sf), 4)
+
+
+@query(_whole("row_means"))
+def row_means_whole(spark, sf):
+    return rounded(pairwise.margins(_whole_matrix(spark, sf), "ctx"), 4)
+
+
+@query(_whole("asymmetry"))
+def asymmetry_whole(spark, sf):
+    return rounded(pairwise.asymmetry(_whole_matrix(spark, sf)), 4)
+
+
+@query(_whole("diagonal_means"))
+def diagonal_means_whole(spark, sf):
+    return rounded(pairwise.diagonal_means(_whole_matrix(spark, sf)), 4)
+
+
+@query(_whole("top_bottom_pairs"))
+def top_bottom_pairs_whole(spark, sf):
+    return rounded(pairwise.extremes(_whole_matrix(spark, sf), 3), 4)
+
+
+@query(_whole("symmetry_fit"))
+def symmetry_fit_whole(spark, sf):
+    return rounded(pairwise.symmetry_fit(_whole_matrix(spark, sf)), 4)
+
+
 @query("""WITH t AS (SELECT l_orderkey AS id, l_linenumber - 1 AS t, l_extendedprice / 1000 - 30 AS delta FROM lineitem), n AS (SELECT id, count(*) AS n, sum(delta) AS total FROM t GROUP BY 1)
 SELECT id, n, round(CASE WHEN abs(total) > 0.1 THEN share / total END, 4) + 0.0 AS share FROM (SELECT id, any_value(n) AS n, any_value(total) AS total, sum(CASE WHEN t < n // 4 THEN delta ELSE 0 END) AS share FROM t JOIN n USING (id) GROUP BY 1)""")
 def token_first_quarter(spark, sf):

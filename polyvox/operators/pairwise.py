@@ -19,6 +19,21 @@ def rotated_pairs(samples: DataFrame, mode: str, k: str) -> DataFrame:
     return tgt.join(ctx, "ctx_k")
 
 
+def whole_pairs(samples: DataFrame, mode: str, k: str) -> DataFrame:
+    """ctx, tgt, k, ctx_k: each sample k (from 0) of each target mode with sample (k + 1) mod n of every context mode.
+
+    n is the number of samples of that context mode, so every sample is a target, where rotated_pairs
+    leaves out what the smallest mode has no number for. A sample is never its own context: a mode of one
+    sample isn't paired with itself. Samples without a mode are in no pair. Mode and sample number
+    are equality keys, so the pairs are linear in the samples.
+    """
+    ctx = samples.select(F.col(mode).alias("ctx"), F.col(k).alias("ctx_k"))
+    sizes = ctx.groupBy("ctx").agg(F.count("*").alias("n"))
+    tgt = samples.select(F.col(mode).alias("tgt"), F.col(k).alias("k")).where("tgt IS NOT NULL")
+    dealt = tgt.join(F.broadcast(sizes)).select("ctx", "tgt", "k", ((F.col("k") + 1) % F.col("n")).alias("ctx_k"))
+    return dealt.where("ctx <> tgt OR k <> ctx_k").join(ctx, ["ctx", "ctx_k"])
+
+
 def conditional_bits(pairs: DataFrame, words: DataFrame, alpha: float = 0.5) -> DataFrame:
     """Adds bits and alone: bits of the target sample's words after the context sample, and without it.
 

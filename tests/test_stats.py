@@ -164,3 +164,11 @@ def test_pairwise(spark):
     assert {(r.ctx, r.tgt): r.gap for r in pairwise.asymmetry(matrix).collect()} == {("a", "b"): -3.0, ("a", "c"): -6.0, ("b", "c"): -3.0}
     assert [r.ctx for r in pairwise.margins(matrix, "ctx").orderBy("rank").collect()] == ["c", "b", "a"]
     assert {(r.ctx, r.tgt, r.side) for r in pairwise.extremes(matrix, 1).collect()} == {("c", "a", "top"), ("a", "c", "bottom")}
+
+
+def test_whole_pairs(spark):
+    sizes = {"a": 7, "b": 3, "c": 1}
+    samples = spark.createDataFrame([(m, k) for m, n in sizes.items() for k in range(n)] + [(None, 0)], "mode string, k long")
+    pairs = pairwise.whole_pairs(samples, "mode", "k").collect()
+    want = {(c, t, k, (k + 1) % sizes[c]) for c in sizes for t in sizes for k in range(sizes[t])} - {("c", "c", 0, 0)}
+    assert len(pairs) == len(want) and {(r.ctx, r.tgt, r.k, r.ctx_k) for r in pairs} == want
