@@ -1,13 +1,15 @@
-"""Substring dedup by prefix-partitioned suffix trees, cut at the depth that matters.
+"""Substring dedup by fingerprints of fixed windows, grouped by an anchor within them.
 
-A passage counts as repeated from `window` words on, so a suffix tree need not be
-deeper than that: a node at that depth with suffixes of two documents below it is a
-repeat, and overlapping ones join to maximal repeats. The suffixes are dealt into
-groups by a prefix of variable length: it runs from the suffix's start to the end
-of the smallest (by hash) run of `anchor` words within its window. Equal windows
-have the same such run at the same place, so they meet in one group, and runs of
-neighbouring suffixes travel together as one row. Within its group a suffix is
-known by the fingerprint of its path of `window` words.
+A passage counts as repeated from `window` words on. No suffix tree or suffix order
+is built: a suffix is known by the fingerprint of its first `window` words, equal ones
+of two documents are a repeat, and overlapping ones join to maximal repeats. The
+windows are dealt into groups by the smallest (by hash) run of `anchor` words within
+them, called the prefix here. Equal windows have the same such run at the same place, so
+they meet in one group, and runs of neighbouring windows travel together as one row.
+
+A group is held in memory, so a first pass over the texts counts the windows of the
+frequent prefixes, and those with more than WINDOWS_PER_GROUP are split by the
+fingerprints of their windows, into as many groups as they need.
 
 Before anything is sent, each task settles the windows that its own batch repeats:
 a later copy there is removed at once, and only the first one goes on. So a passage
@@ -30,6 +32,8 @@ WINDOW, ANCHOR = 50, 10
 #: Text, in bytes, whose windows a mapper compares at once; windows a group task compares at once.
 BATCH_BYTES = 8_000_000
 WINDOWS_PER_CHUNK = 1_000_000
+#: Windows of one group; a prefix with more of them is split. Prefixes with fewer than COUNTED in a mapper's batch aren't counted there.
+WINDOWS_PER_GROUP, COUNTED = 250_000, 64
 
 _SENT = "kind int, prefix long, doc_id long, row long, start int, stop int, paths binary"
 
@@ -72,12 +76,68 @@ def _runs(flags: np.ndarray, *breaks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[keep], stops[keep]
 
 
-def _sender(window: int, anchor: int):
+def _batches(batches: Iterator[pa.RecordBatch], window: int, anchor: int, batch_bytes: int) -> Iterator[list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """doc_id, row, paths and prefixes of the documents that have windows, about batch_bytes of text at once."""
+    held, size = [], 0
+    for batch in batches:
+        columns = (batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), column_bytes(batch, "text"))
+        for doc_id, row, text in zip(*columns, strict=True):
+            paths, prefixes = windows_of(word_hashes(text), window, anchor)
+            if len(paths):
+                held.append((doc_id, row, paths, prefixes))
+                size += len(text)
+            if size >= batch_bytes:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _counter(window: int, anchor: int, counted: int):
+    """Mapper: prefixes with at least `counted` windows to send in a batch, and how many."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _batches(batches, window, anchor, BATCH_BYTES):
+            prefixes = np.concatenate([h[3] for h in held])
+            values, back, n = np.unique(prefixes, return_inverse=True, return_counts=True)
+            at = np.nonzero(n[back] >= counted)[0]
+            docs = np.repeat(np.array([h[0] for h in held]), [len(h[3]) for h in held])
+            at = at[~_later(np.concatenate([h[2] for h in held])[at], docs[at])] if len(at) else at
+            values, n = np.unique(prefixes[at], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values[n >= counted].view(np.int64)), pa.array(n[n >= counted].astype(np.int64))], names=["prefix", "n"])
+
+    return count
+
+
+def hot_prefixes(texts: DataFrame, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefixes, sorted, that have more than WINDOWS_PER_GROUP windows, and the parts that each is split into."""
+    counts = texts.mapInArrow(_counter(window, anchor, COUNTED), "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") > WINDOWS_PER_GROUP).collect()
+    prefixes = np.array([r.prefix for r in rows], dtype=np.int64).view(np.uint64)
+    parts = np.array([-(-r.n // WINDOWS_PER_GROUP) for r in rows], dtype=np.uint64)
+    order = np.argsort(prefixes)
+    return prefixes[order], parts[order]
+
+
+def _split(prefixes: np.ndarray, paths: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The prefixes, those of hot ones made other ones by the part that the path falls to: equal windows stay together."""
+    keys, parts = hot
+    if not len(keys):
+        return prefixes
+    at = np.minimum(np.searchsorted(keys, prefixes), len(keys) - 1)
+    found = keys[at] == prefixes
+    out = prefixes.copy()
+    out[found] += (paths[found] >> np.uint64(7)) % parts[at[found]] * np.uint64(0x9E3779B97F4A7C15)
+    return out
+
+
+def _sender(window: int, anchor: int, hot: tuple[np.ndarray, np.ndarray]):
     """Mapper: kind 0 rows are windows found to be repeats (they only pass the groups), kind 1 rows go to the group of their prefix."""
 
     def settle(held: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         sizes = [len(h[2]) for h in held]
         paths, prefixes = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
+        prefixes = _split(prefixes, paths, hot)
         number = np.repeat(np.arange(len(held)), sizes)
         at = np.arange(len(paths)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
         ids, rows = np.array([h[0] for h in held]), np.array([h[1] for h in held])
@@ -102,19 +162,7 @@ def _sender(window: int, anchor: int):
         )
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            columns = (batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), column_bytes(batch, "text"))
-            for doc_id, row, text in zip(*columns, strict=True):
-                paths, prefixes = windows_of(word_hashes(text), window, anchor)
-                if len(paths):
-                    held.append((doc_id, row, paths, prefixes))
-                    size += len(text)
-                if size >= BATCH_BYTES:
-                    yield settle(held)
-                    held, size = [], 0
-        if held:
-            yield settle(held)
+        yield from map(settle, _batches(batches, window, anchor, BATCH_BYTES))
 
     return send
 
@@ -156,11 +204,16 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield compare(held)
 
 
+def grouped_windows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
+    """Rows of _SENT, prefix being the group: of the windows of one prefix, or of a part of them where they are many."""
+    return texts.mapInArrow(_sender(window, anchor, hot_prefixes(texts, window, anchor)), _SENT)
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, row, start, stop: ranges of window starts whose windows also start in a smaller doc_id."""
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("row"), "text")
     return (
-        texts.mapInArrow(_sender(window, anchor), _SENT)
+        grouped_windows(texts, window, anchor)
         .repartition("prefix")
         .sortWithinPartitions("prefix")
         .mapInArrow(_group, "doc_id long, row long, start int, stop int")

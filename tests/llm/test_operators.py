@@ -143,6 +143,24 @@ def test_substring_dedup_in_small_batches(spark, table, monkeypatch):
     same([tuple(r) for r in got.collect()], brute_substrings(table, 50))
 
 
+def test_substring_dedup_splits_hot_prefixes(spark, monkeypatch):
+    """A run of words that most documents hold, in different surroundings, makes no group larger than its share."""
+    rng = random.Random(4)
+    other = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = other(12)
+    rows = [(i, f"{other(15)} {shared} {other(15)}", "en", "s", 1) for i in range(120)]
+    rows += [(i + 1000, rows[i][1] + " " + other(3), "en", "s", 1) for i in range(0, 120, 3)]
+    for name, value in (("BATCH_BYTES", 2000), ("WINDOWS_PER_GROUP", 100), ("COUNTED", 4)):
+        monkeypatch.setattr(substring, name, value)
+    df = frame(spark, rows).repartition(3)
+    same([tuple(r) for r in substring.substring_dedup(df, 20, 5).collect()], brute_substrings(rows, 20))
+    texts = df.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    sent, size = substring.grouped_windows(texts, 20, 5).where("kind = 1").collect(), Counter()
+    for r in sent:
+        size[r.prefix] += len(r.paths) // 8
+    assert max(size.values()) <= 2 * 100
+
+
 def test_word_hashes():
     rng = random.Random(8)
     words = ["".join(rng.choices("abé\x00ß日", k=rng.choice([1, 2, 3, 9]))).encode() for _ in range(60_000)] + [b"x" * 200_000, b"y" * 65_536]
