@@ -9,8 +9,7 @@ from polyvox.llm import jaccard, line_dedup, mixing, packing, quality
 from polyvox.llm.common import stored
 from polyvox.llm.queries import tokenizer_path
 
-#: Target weights in parts; sources that are not named have one part each.
-WEIGHTS: dict[str | None, int] = {}
+WEIGHTS = mixing.WEIGHTS
 
 
 def _documents(docs: DataFrame, text: str) -> DataFrame:
@@ -43,14 +42,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in the order of the mix."""
+    """Rows in the order of the mix, which is that of the files' names and of the rows within a file."""
     mixed = mixing.mix(docs, WEIGHTS)
     return mixed.repartitionByRange("position").sortWithinPartitions("position").select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
-    return packing.pack(docs, tokenizer_path())
+    """Pieces of documents with their places in sequences, which follow the order of docs, read from files."""
+    rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    start, starts = 0, []
+    for r in sorted(rows.groupBy("file").agg((F.max("row") + 1).alias("n")).collect()):
+        starts.append((r["file"], start))
+        start += r["n"]
+    files = F.broadcast(spark.createDataFrame(starts, "file string, start long"))
+    placed = rows.join(files, "file").select("doc_id", "text", (F.col("start") + F.col("row")).alias("position"))
+    return packing.pack_in_order(placed, tokenizer_path(), "position")
 
 
 STAGES = [

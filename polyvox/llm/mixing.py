@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import salted_rank
 
 BLOCK_DOCS = 16
+#: Target weights, in parts, of the registered query and the pipeline; sources that are not named have one part each.
+WEIGHTS: dict[str | None, int] = {"src0": 8, "src1": 4, "src2": 2}
 #: Schedule rows that are broadcast; a larger schedule is joined by a shuffle.
 MAX_BROADCAST_ROWS = 200_000
 

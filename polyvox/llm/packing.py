@@ -25,6 +25,8 @@ from .common import column_bytes, in_small_batches, kept_by_worker, salted_rank,
 
 CAPACITY = 2048
 END_ID = 0
+#: Documents that are packed together where their order counts.
+RUN_DOCS = 8_192
 
 # --- token ids ------------------------------------------------------------
 
@@ -81,8 +83,8 @@ class Encoder:
         return array.array("I", ids).tobytes()
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: each document's ids and the end id, cut only where longer than capacity.
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, position: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, and position if named: each document's ids and the end id, cut only where longer than capacity.
 
     The first piece of a longer document is the shorter one. A null text is empty;
     rows with null or repeated ids are documents of their own.
@@ -92,24 +94,24 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
         encoder = kept_by_worker(f"encoder {tokenizer_path}", lambda: Encoder(tokenizer_path))
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            out: list[list[int | None]] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), column_bytes(batch, "text"), strict=True):
+            out: list[list[int | None]] = [[] for _ in names]
+            places = batch.column(position).to_pylist() if position else [None] * len(batch)
+            for doc_id, text, place in zip(batch.column("doc_id").to_pylist(), column_bytes(batch, "text"), places, strict=True):
                 ids = encoder.encode((text or b"").decode("utf-8", "replace")) + end
                 size = len(ids) // 4
                 stops = range(size % capacity or capacity, size + 1, capacity) if size > capacity else (size,)
                 start = 0
                 for piece, stop in enumerate(stops):
-                    row = (doc_id, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]))
-                    for column, value in zip(out, row, strict=True):
+                    row = (doc_id, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]), place)
+                    for column, value in zip(out, row, strict=False):
                         column.append(value)
                     start = stop
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
-            )
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=False)], names=names)
 
-    rows = in_small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *([position] if position else [])]
+    rows = in_small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *names[5:]))
+    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + (f", {position} long" if position else ""))
 
 
 # --- the plan -------------------------------------------------------------
@@ -259,3 +261,40 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     sizes = F.element_at(F.array(*[F.lit(counts.get(n, 0)) for n in range(1, capacity + 1)]), F.col("length").cast("int"))
     ranked = salted_rank(pieces, "length", ["doc_id", "piece", "ids_crc32"], "rank", sizes)
     return ranked.select(*names, "rank").mapInArrow(place, schema)
+
+
+def pack_in_order(docs: DataFrame, tokenizer_path: str, position: str, capacity: int = CAPACITY, run_docs: int = RUN_DOCS) -> DataFrame:
+    """What pack gives, with sequences in the order of `position`, a whole number from 0 without gaps.
+
+    Each run of run_docs positions is packed by a plan of its own, in one task's memory, and its sequences
+    come after those of the run before. Within a run pieces of equal length fill their places in the order of
+    position, and sequences are numbered by the smallest position in them.
+    """
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def place(table: pa.Table) -> pa.Table:
+        length, at, piece = (table.column(c).to_numpy() for c in ("length", position, "piece"))
+        values, n = np.unique(length, return_counts=True)
+        places = _places(plan_bins(dict(zip(values.tolist(), n.tolist(), strict=True)), capacity))
+        sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+        order = np.lexsort((piece, at, length))
+        for one, rows in zip(values.tolist(), np.split(order, np.cumsum(n)[:-1]), strict=True):
+            rank, table_of = np.arange(len(rows)), places[one]
+            row = table_of[np.searchsorted(table_of[:, 0], rank, side="right") - 1]
+            sequence[rows], offset[rows] = row[:, 1] + rank - row[:, 0], row[:, 2]
+        first = np.full(sequence.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, sequence, at)
+        number = np.empty(len(first), np.int64)
+        number[np.argsort(first, kind="stable")] = np.arange(len(first))
+        columns = [*(table.column(c) for c in ("run", *names)), pa.array(number[sequence]), pa.array(offset)]
+        return pa.Table.from_arrays(columns, names=["run", *names, "own", "offset"])
+
+    pieces = token_pieces(docs, tokenizer_path, capacity, position).withColumn("run", F.expr(f"{position} div {int(run_docs)}"))
+    schema = "run long, doc_id long, piece int, start long, length long, ids_crc32 long, own long, offset long"
+    placed = stored(pieces.groupBy("run").applyInArrow(place, schema), "placed")
+    base, bases = 0, []
+    for r in sorted(placed.groupBy("run").agg((F.max("own") + 1).alias("n")).collect()):
+        bases.append((r["run"], base))
+        base += r["n"]
+    before = F.broadcast(docs.sparkSession.createDataFrame(bases, "run long, base long"))
+    return placed.join(before, "run").select(*names, (F.col("base") + F.col("own")).alias("sequence_id"), "offset")

@@ -76,3 +76,29 @@ def test_clean_documents_stay(spark):
     clean = [r for r in good.collect() if not brute_quality(r.text)[-1]]
     assert all(r.doc_id in kept for r in clean)
     assert sum(kept[r.doc_id] == r.text for r in clean) >= 0.99 * len(clean)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_run_keeps_the_mix(spark, tmp_path, monkeypatch):
+    """Sequences of run() follow the mix, run of positions by run."""
+    monkeypatch.setattr(corpus_pipeline.packing.pack_in_order, "__defaults__", (2048, 16))
+    docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), {}
+    real = corpus_pipeline.mixing.mix
+
+    def mix(rows, weights):
+        assert len(set(weights.values())) > 1
+        out = real(rows, weights)
+        seen.update((r.doc_id, r.position) for r in out.select("doc.doc_id", "position").collect())
+        return out
+
+    monkeypatch.setattr(corpus_pipeline.mixing, "mix", mix)
+    rows = corpus_pipeline.run(spark, SF).collect()
+    place = {d: n for n, d in enumerate(sorted(seen, key=seen.get))}
+    runs = {}
+    for r in rows:
+        runs.setdefault(r.sequence_id, []).append(place[r.doc_id])
+    assert sorted(runs) == list(range(len(runs)))
+    assert all(len({p // 16 for p in at}) == 1 for at in runs.values())
+    assert [min(runs[s]) // 16 for s in sorted(runs)] == sorted(min(at) // 16 for at in runs.values())
+    firsts = [min(runs[s]) for s in sorted(runs)]
+    assert firsts == sorted(firsts)
