@@ -29,7 +29,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Texts matter to the order by their hash only, so that is all that need travel.
-    out = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("text"), "source"))
+    out = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("text"), "source"), mixing.WEIGHTS)
     return out.select("doc.doc_id", F.col("src").alias("source"), "block", "slot", "release", "deadline", "position")
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from polyvox.llm import chat, common, jaccard, license_scan, line_dedup, mixing, packing, quality, substring, topk, urlfilter
+from polyvox.llm import chat, common, jaccard, license_scan, line_dedup, mixing, packing, quality, queries, substring, topk, urlfilter
 from polyvox.llm.components import components
 from polyvox.llm.queries import tokenizer_path
 
@@ -388,6 +388,14 @@ def test_mixing(spark, weights):
         assert all(abs(seen[s] - (t + 1) * parts[s] / done) < 1 for s in parts)
 
 
+def test_source_mixing_is_weighted(spark, tmp_path):
+    """In the first cycle of the registered query each source has its parts."""
+    rows = [(i, f"text {i}", "en", f"src{i % 4}", 1) for i in range(4 * 16 * 8)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op2_source_mixing(spark, str(tmp_path)).where("slot < 15").select("source", "slot").distinct().collect()
+    assert Counter(r.source for r in out) == {"src0": 8, "src1": 4, "src2": 2, "src3": 1}
+
+
 def test_plan_bins():
     rng = random.Random(6)
     for capacity, n in ((20, 300), (100, 2000), (2048, 3000)):
