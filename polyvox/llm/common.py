@@ -8,10 +8,11 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,17 +81,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 # --- on Python workers ----------------------------------------------------
 
 
-#: Rows of text that are sent to a worker at once, where the session has Spark's default.
-ROWS_PER_BATCH = 2_000
-_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+#: Text, in bytes, that a worker has as Python objects at once. What reaches it at once is bounded by Spark itself
+#: (spark.sql.execution.arrow.maxBytesPerBatch), which no operator changes.
+SLICE_BYTES = 4_000_000
 
 
-def in_small_batches(texts: DataFrame) -> DataFrame:
-    """texts, which are long rows, in a session that sends fewer of them at once than it would by default."""
-    conf = texts.sparkSession.conf
-    if conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
-        conf.set(_BATCH_SETTING, str(ROWS_PER_BATCH))
-    return texts
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose `column` holds about `most` bytes, one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(sizes, dtype=np.int64), 0
+        while start < len(batch):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_bytes, gram_hashes, in_small_batches, stored, word_hashes
+from .common import column_bytes, gram_hashes, slices, stored, word_hashes
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -247,7 +247,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     doc_id gets no component and links nothing. An empty table gives an empty result; other
     columns are not read.
     """
-    rows = in_small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sets, levels, seed = _read_sets(rows, words)
     real = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     nodes = real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, in_small_batches
+from .common import column_bytes, slices
 
 #: Fixed phrases and labels of query op5.
 PHRASES = (
@@ -112,7 +112,7 @@ def document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
-        for batch in batches:
+        for batch in slices(batches, "text"):
             for text in column_bytes(batch, "text"):
                 seen.update(vocabulary.intersection(words_of(text)))
         yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.binary()), pa.array([*seen.values()], pa.int64())], names=["word", "n"])
@@ -130,14 +130,14 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, thresho
     An empty table gives an empty result; other columns are not read.
     """
     vocabulary = frozenset(w for _, text in templates for w in words_of(text.encode()))
-    rows = in_small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     order = document_frequencies(rows, vocabulary)
     table = Templates(templates, order, threshold)
     split = [(words_of(p.encode()), label) for p, label in phrases]
     heads = frozenset(p[0] for p, _ in split)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             out: list[list] = [[] for _ in range(7)]
             for text in column_bytes(batch, "text"):
                 words = words_of(text)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, in_small_batches, kept_by_worker, salted_rank, stored
+from .common import column_bytes, slices, kept_by_worker, salted_rank, stored
 
 CAPACITY = 2048
 END_ID = 0
@@ -93,7 +93,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept_by_worker(f"encoder {tokenizer_path}", lambda: Encoder(tokenizer_path))
         end = np.array([END_ID], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, "text"):
             out: list[list[int | None]] = [[] for _ in names]
             places = batch.column(position).to_pylist() if position else [None] * len(batch)
             for doc_id, text, place in zip(batch.column("doc_id").to_pylist(), column_bytes(batch, "text"), places, strict=True):
@@ -110,7 +110,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=False)], names=names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *([position] if position else [])]
-    rows = in_small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *names[5:]))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *names[5:])
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + (f", {position} long" if position else ""))
 
 

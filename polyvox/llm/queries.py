@@ -84,6 +84,12 @@ QUERIES = {
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+
+def _split(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
 ORACLE_SQL = {
     "op1_line_dedup": f"""
 WITH l AS (
@@ -102,6 +108,17 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) A
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op8_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {_split("text")} AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS k FROM w, unnest(range(1, len(w) - 48)) AS t(i)),
+f AS (SELECT k, min(doc_id) AS first FROM p GROUP BY 1),
+later AS (SELECT doc_id, i FROM p JOIN f USING (k) WHERE doc_id > first),
+gone AS (SELECT DISTINCT doc_id, i + o AS i FROM later, unnest(range(50)) AS t(o)),
+r AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM r ANTI JOIN gone USING (doc_id, i) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op9_url_filter": """
 WITH u AS (
   SELECT page_id, url LIKE '%://%' AS ok, regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)([^?#]*)', 1) AS h,

@@ -1,19 +1,22 @@
-"""Substring dedup by fingerprints of fixed windows, grouped by an anchor within them.
-
-A passage counts as repeated from `window` words on. No suffix tree or suffix order
-is built: a suffix is known by the fingerprint of its first `window` words, equal ones
-of two documents are a repeat, and overlapping ones join to maximal repeats. The
-windows are dealt into groups by the smallest (by hash) run of `anchor` words within
-them, called the prefix here. Equal windows have the same such run at the same place, so
-they meet in one group, and runs of neighbouring windows travel together as one row.
-
-A group is held in memory, so a first pass over the texts counts the windows of the
-frequent prefixes, and those with more than WINDOWS_PER_GROUP are split by the
-fingerprints of their windows, into as many groups as they need.
-
-Before anything is sent, each task settles the windows that its own batch repeats:
-a later copy there is removed at once, and only the first one goes on. So a passage
-that a third of all documents share sends one row per batch, not one per document.
+"""Substring dedup by suffix trees over prefix partitions.
+
+A passage counts as repeated from `window` words on, so trees are cut at that depth.
+
+1. Sampled suffixes. Of the runs of `prefix` words inside a window the one with the smallest hash starts a
+   sampled suffix; equal windows have the same one at the same place, and neighbouring windows mostly share
+   it. A prefix that only one document has leads to no inner node: its suffixes are leaves and go no further.
+2. Groups. Where a prefix is found in several documents, the words around it (all windows that contain it as
+   their sample) go to the group of that prefix, in real words.
+3. Subtrees. A group that fits GROUP_WORDS gets its suffix tree level by level, by prefix doubling: suffixes that
+   agree in 1, 2, 4 ... `window` words are one node of that depth. Inner nodes at the full depth with leaves of two
+   documents are repeats, and neighbouring ones join to maximal repeats. Nodes are made from words, not from hashes.
+4. Longer prefixes. A group that doesn't fit is never held: its suffixes go on one by one to groups by a longer
+   prefix of their own (LENGTHS of the window), as long as it takes. Suffixes that agree in all `window` words are
+   compared with the smallest document's as they come, in no memory to speak of.
+
+Before anything is sent, a task settles the repeats inside its own batch with the same tree, and so does a
+group before its suffixes go on: a later copy is removed at once, and only the first one goes on. So a passage
+that a third of all documents share sends one row per batch, and its next prefix gets one row per GROUP_WORDS.
 """
 
 from __future__ import annotations
@@ -22,205 +25,306 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, gram_hashes, in_small_batches, word_hashes
+from .common import column_bytes, gram_hashes, slices, stored, word_hashes
 
-WINDOW, ANCHOR = 50, 10
-#: Text, in bytes, whose windows a mapper compares at once; windows a group task compares at once.
+WINDOW, PREFIX = 50, 10
+#: Text, in bytes, that a mapper settles at once.
 BATCH_BYTES = 8_000_000
-WINDOWS_PER_CHUNK = 1_000_000
-#: Windows of one group; a prefix with more of them is split. Prefixes with fewer than COUNTED in a mapper's batch aren't counted there.
-WINDOWS_PER_GROUP, COUNTED = 250_000, 64
-
-_SENT = "kind int, prefix long, doc_id long, row long, start int, stop int, paths binary"
-
-
-def windows_of(words: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint of the path of each window, and the hash of its anchor run."""
-    paths = gram_hashes(words, window)
-    if not len(paths):
-        return paths, paths
-    runs = gram_hashes(words, anchor)
-    low, width = runs, 1  # sliding minimum by doubling
-    while width * 2 <= window - anchor + 1:
-        low = np.minimum(low[:-width], low[width:])
+#: Words that a group may have to be held in memory and made a subtree of.
+GROUP_WORDS = 1_500_000
+#: Words of the longer prefixes, as shares of the window; the last is all of it.
+LENGTHS = (0.4, 0.7, 1.0)
+
+#: kind 0: windows start..stop are found repeats; kind 1: words from start on go to the group of `prefix`.
+_SENT = "kind int, prefix long, doc_id long, row long, start int, stop int, words binary"
+_NAMES = ["kind", "prefix", "doc_id", "row", "start", "stop", "words"]
+_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+_SCATTER = 0x9E3779B97F4A7C15
+
+
+def samples(words: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words' hashes: place of each sampled suffix, the first window that has it, and the hash of its prefix.
+
+    The windows of one sample follow each other; the leftmost of equal runs is taken.
+    """
+    none = np.empty(0, np.int64)
+    if len(words) < window:
+        return none, none, words[:0]
+    runs = gram_hashes(words, prefix)
+    low, at, width = runs, np.arange(len(runs)), 1  # sliding minimum by doubling, with its place
+    while width * 2 <= window - prefix + 1:
+        low, at = _lower(low[:-width], at[:-width], low[width:], at[width:])
         width *= 2
-    rest = window - anchor + 1 - width
-    return paths, np.minimum(low[: len(paths)], low[rest : rest + len(paths)])
+    rest, n = window - prefix + 1 - width, len(words) - window + 1
+    if rest:
+        low, at = _lower(low[:n], at[:n], low[rest : rest + n], at[rest : rest + n])
+    first = np.nonzero(np.r_[True, at[1:] != at[:-1]])[0]
+    return at[first], first, runs[at[first]]
+
+
+def _lower(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    right = b < a
+    return np.where(right, b, a), np.where(right, bt, at)
+
+
+# --- subtrees -------------------------------------------------------------
+
 
+def tree_nodes(words: list[bytes], depth: int) -> np.ndarray:
+    """For each suffix of the words the number of its node at `depth`: equal for those that agree in so many words."""
+    known: dict[bytes, int] = {}
+    node = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    level = 1
+    while level * 2 <= depth:
+        node = _children(node[:-level], node[level:])
+        level *= 2
+    return _children(node[: len(node) - depth + level], node[depth - level :]) if level < depth else node
 
-def _later(paths: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """True where the same path also starts in a smaller document."""
-    order = np.lexsort((docs, paths))
-    p, d = paths[order], docs[order]
-    head = np.r_[True, p[1:] != p[:-1]]
-    first = d[np.nonzero(head)[0]][np.cumsum(head) - 1]
-    out = np.empty(len(paths), dtype=bool)
-    out[order] = d > first
-    return out
 
+def _children(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    key = left * (right.max(initial=0) + 1) + right
+    return np.unique(key, return_inverse=True)[1].astype(np.int64)
 
-def _runs(flags: np.ndarray, *breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and stop of each run of true flags with equal values in all of `breaks`."""
-    if not len(flags):
-        return np.empty(0, int), np.empty(0, int)
+
+def later_windows(stretches: list[list[bytes]], docs: np.ndarray, window: int) -> list[np.ndarray]:
+    """For each stretch of words, which of its windows also start in a stretch of a smaller document."""
+    sizes = np.array([len(s) for s in stretches])
+    node = tree_nodes([w for s in stretches for w in s], window)
+    begin = np.cumsum(sizes) - sizes
+    counts = sizes - window + 1
+    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begin, counts)
+    node, doc = node[at], np.repeat(docs, counts)
+    first = np.full(node.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, node, doc)
+    return np.split(doc > first[node], np.cumsum(counts)[:-1])
+
+
+def _runs(flags: np.ndarray, breaks: np.ndarray | None = None) -> list[tuple[int, int, bool]]:
+    """(start, stop, flag) of the runs of equal flags, and equal values in breaks."""
     new = np.r_[True, flags[1:] != flags[:-1]]
-    for b in breaks:
-        new[1:] |= b[1:] != b[:-1]
+    if breaks is not None:
+        new[1:] |= breaks[1:] != breaks[:-1]
     starts = np.nonzero(new)[0]
-    stops = np.r_[starts[1:], len(flags)]
-    keep = flags[starts]
-    return starts[keep], stops[keep]
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(flags)], flags[starts].tolist(), strict=True))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], window: int, anchor: int, batch_bytes: int) -> Iterator[list[tuple[int, int, np.ndarray, np.ndarray]]]:
-    """doc_id, row, paths and prefixes of the documents that have windows, about batch_bytes of text at once."""
-    held, size = [], 0
-    for batch in batches:
-        columns = (batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), column_bytes(batch, "text"))
-        for doc_id, row, text in zip(*columns, strict=True):
-            paths, prefixes = windows_of(word_hashes(text), window, anchor)
-            if len(paths):
-                held.append((doc_id, row, paths, prefixes))
-                size += len(text)
-            if size >= batch_bytes:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
-def _counter(window: int, anchor: int, counted: int):
-    """Mapper: prefixes with at least `counted` windows to send in a batch, and how many."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _batches(batches, window, anchor, BATCH_BYTES):
-            prefixes = np.concatenate([h[3] for h in held])
-            values, back, n = np.unique(prefixes, return_inverse=True, return_counts=True)
-            at = np.nonzero(n[back] >= counted)[0]
-            docs = np.repeat(np.array([h[0] for h in held]), [len(h[3]) for h in held])
-            at = at[~_later(np.concatenate([h[2] for h in held])[at], docs[at])] if len(at) else at
-            values, n = np.unique(prefixes[at], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values[n >= counted].view(np.int64)), pa.array(n[n >= counted].astype(np.int64))], names=["prefix", "n"])
-
-    return count
-
-
-def hot_prefixes(texts: DataFrame, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefixes, sorted, that have more than WINDOWS_PER_GROUP windows, and the parts that each is split into."""
-    counts = texts.mapInArrow(_counter(window, anchor, COUNTED), "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") > WINDOWS_PER_GROUP).collect()
-    prefixes = np.array([r.prefix for r in rows], dtype=np.int64).view(np.uint64)
-    parts = np.array([-(-r.n // WINDOWS_PER_GROUP) for r in rows], dtype=np.uint64)
-    order = np.argsort(prefixes)
-    return prefixes[order], parts[order]
-
-
-def _split(prefixes: np.ndarray, paths: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The prefixes, those of hot ones made other ones by the part that the path falls to: equal windows stay together."""
-    keys, parts = hot
-    if not len(keys):
-        return prefixes
-    at = np.minimum(np.searchsorted(keys, prefixes), len(keys) - 1)
-    found = keys[at] == prefixes
-    out = prefixes.copy()
-    out[found] += (paths[found] >> np.uint64(7)) % parts[at[found]] * np.uint64(0x9E3779B97F4A7C15)
-    return out
-
-
-def _sender(window: int, anchor: int, hot: tuple[np.ndarray, np.ndarray]):
-    """Mapper: kind 0 rows are windows found to be repeats (they only pass the groups), kind 1 rows go to the group of their prefix."""
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], names=_NAMES)
+
+
+def _signed(x: int) -> int:
+    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+# --- 1: prefixes that several documents have ------------------------------
+
+
+def _sampler(window: int, prefix: int):
+    """Mapper: kind 0 samples are known to be shared, kind 1 samples wait, kind 2 rows say that a prefix is shared."""
 
     def settle(held: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         sizes = [len(h[2]) for h in held]
-        paths, prefixes = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
-        prefixes = _split(prefixes, paths, hot)
-        number = np.repeat(np.arange(len(held)), sizes)
-        at = np.arange(len(paths)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
-        ids, rows = np.array([h[0] for h in held]), np.array([h[1] for h in held])
-        later = _later(paths, ids[number])
-        a, b = _runs(later, number)
-        c, d = _runs(~later, number, prefixes)
-        # Of rows that repeat both id and text, all stay here; equal ids never outrank each other.
-        starts, lasts = np.r_[a, c], np.r_[b, d] - 1
-        raw = paths.tobytes()
-        scattered = ids[number[a]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + a.astype(np.uint64)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.r_[np.zeros(len(a), np.int32), np.ones(len(c), np.int32)]),
-                pa.array(np.r_[scattered, prefixes[c]].view(np.int64)),
-                pa.array(ids[number[starts]]),
-                pa.array(rows[number[starts]]),
-                pa.array(at[starts].astype(np.int32)),
-                pa.array((at[lasts] + 1).astype(np.int32)),
-                pa.array([None] * len(a) + [raw[8 * x : 8 * y] for x, y in zip(c, d, strict=True)], pa.binary()),
-            ],
-            names=["kind", "prefix", "doc_id", "row", "start", "stop", "paths"],
-        )
+        prefixes, places = np.concatenate([h[3] for h in held]), np.concatenate([h[2] for h in held])
+        docs, rows = (np.repeat(np.array([h[i] for h in held]), sizes) for i in (0, 1))
+        order = np.lexsort((docs, prefixes))
+        prefixes, places, docs, rows = prefixes[order], places[order], docs[order], rows[order]
+        head = np.nonzero(np.r_[True, prefixes[1:] != prefixes[:-1]])[0]
+        last = np.r_[head[1:], len(prefixes)] - 1
+        several = docs[head] != docs[last]
+        shared = np.repeat(several, last - head + 1)
+        known = prefixes[head[several]]
+        kind = np.r_[np.where(shared, 0, 1), np.full(len(known), 2)].astype(np.int32)
+        scattered = (docs.astype(np.uint64) + places.astype(np.uint64)) * np.uint64(_SCATTER)
+        none = np.zeros(len(known), np.int64)
+        columns = [kind, np.r_[np.where(shared, scattered, prefixes), known].view(np.int64), np.r_[docs, none], np.r_[rows, none], np.r_[places, none].astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "prefix", "doc_id", "row", "place"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from map(settle, _batches(batches, window, anchor, BATCH_BYTES))
+        held, size = [], 0
+        for batch in slices(batches, "text"):
+            columns = (batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), column_bytes(batch, "text"))
+            for doc_id, row, text in zip(*columns, strict=True):
+                places, _, prefixes = samples(word_hashes(text), window, prefix)
+                if len(places):
+                    held.append((doc_id, row, places, prefixes))
+                    size += len(text)
+                if size >= BATCH_BYTES:
+                    yield settle(held)
+                    held, size = [], 0
+        if held:
+            yield settle(held)
 
     return send
 
 
-def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by prefix: whole groups are compared together, many small ones at once."""
-
-    def compare(rows: list[tuple]) -> pa.RecordBatch:
-        paths = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint64)
-        sizes = [len(r[4]) // 8 for r in rows]
-        number = np.repeat(np.arange(len(rows)), sizes)
-        first = np.cumsum([0, *sizes[:-1]])
-        a, b = _runs(_later(paths, np.array([r[1] for r in rows])[number]), number)
-        at, begin = number[a], np.array([r[3] for r in rows]) - first
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.array([r[1] for r in rows])[at]),
-                pa.array(np.array([r[2] for r in rows])[at]),
-                pa.array((a + begin[at]).astype(np.int32)),
-                pa.array((b + begin[at]).astype(np.int32)),
-            ],
-            names=["doc_id", "row", "start", "stop"],
-        )
-
-    held, size, prefix = [], 0, None
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, row, place of the samples whose prefix has two documents; rows come sorted by prefix and are not held beyond that."""
+    names = ["kind", "prefix", "doc_id", "row", "place"]
+    held, known = None, None  # samples of the last prefix, if still of one document; the last prefix found to be shared
     for batch in batches:
-        settled = batch.filter(pc.equal(batch.column("kind"), 0))
-        if len(settled):
-            yield settled.select(["doc_id", "row", "start", "stop"])
-        batch = batch.filter(pc.equal(batch.column("kind"), 1))
-        for row in zip(*(batch.column(c).to_pylist() for c in ("prefix", "doc_id", "row", "start", "paths")), strict=True):
-            if row[0] != prefix and size >= WINDOWS_PER_CHUNK:
-                yield compare(held)
-                held, size = [], 0
-            prefix = row[0]
-            held.append(row)
-            size += len(row[4]) // 8
-    if held:
-        yield compare(held)
-
-
-def grouped_windows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Rows of _SENT, prefix being the group: of the windows of one prefix, or of a part of them where they are many."""
-    return texts.mapInArrow(_sender(window, anchor, hot_prefixes(texts, window, anchor)), _SENT)
-
-
-def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, row, start, stop: ranges of window starts whose windows also start in a smaller doc_id."""
-    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("row"), "text")
-    return (
-        grouped_windows(texts, window, anchor)
-        .repartition("prefix")
-        .sortWithinPartitions("prefix")
-        .mapInArrow(_group, "doc_id long, row long, start int, stop int")
-    )
+        now = pa.Table.from_batches([batch.select(names)])
+        table = (now if held is None else pa.concat_tables([held, now])).combine_chunks()
+        kind, prefix, doc = (table.column(c).to_numpy() for c in names[:3])
+        if not len(kind):
+            continue
+        head = np.nonzero(np.r_[True, prefix[1:] != prefix[:-1]])[0]
+        number = np.cumsum(np.r_[False, prefix[1:] != prefix[:-1]])
+        real = kind == 1
+        low, high = np.full(len(head), np.iinfo(np.int64).max), np.full(len(head), np.iinfo(np.int64).min)
+        np.minimum.at(low, number[real], doc[real])
+        np.maximum.at(high, number[real], doc[real])
+        several = (low < high) | (prefix[head] == known) if known is not None else low < high
+        several[number[kind == 2]] = True
+        take = (kind == 0) | (real & several[number])
+        yield from table.filter(pa.array(take)).select(names[2:]).to_batches()
+        if several[-1]:
+            held, known = None, prefix[-1]
+        else:
+            held = table.filter(pa.array(real & (number == number[-1])))
+
+
+# --- 2: the words around them ---------------------------------------------
+
+
+def _sender(window: int, prefix: int):
+    """Mapper over documents with the places of their shared samples."""
+
+    def settle(held: list[tuple[int, int, int, list[bytes], np.ndarray]]) -> pa.RecordBatch:
+        rows = []
+        later = later_windows([h[3] for h in held], np.array([h[0] for h in held]), window)
+        for (doc_id, row, start, words, prefixes), flags in zip(held, later, strict=True):
+            for a, b, gone in _runs(flags, prefixes):
+                if gone:
+                    rows.append((0, _signed(doc_id * _SCATTER + start + a), doc_id, row, start + a, start + b, None))
+                else:
+                    rows.append((1, int(prefixes[a]), doc_id, row, start + a, start + b, b" ".join(words[a : b + window - 1])))
+        return _table(rows)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0  # stretches of neighbouring windows
+        for batch in slices(batches, "text"):
+            columns = (batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), column_bytes(batch, "text"), batch.column("places"))
+            for doc_id, row, text, some in zip(*columns, strict=True):
+                words = text.split()
+                places, first, prefixes = samples(word_hashes(text), window, prefix)
+                windows = np.diff(np.r_[first, len(words) - window + 1])
+                shared = np.repeat(np.isin(places, some.values.to_numpy()), windows)
+                prefixes = np.repeat(prefixes.view(np.int64), windows)
+                for a, b, found in _runs(shared):
+                    if found:
+                        held.append((doc_id, row, a, words[a : b + window - 1], prefixes[a:b]))
+                        size += 6 * (b - a + window)
+                if size >= BATCH_BYTES:
+                    yield settle(held)
+                    held, size = [], 0
+        if held:
+            yield settle(held)
+
+    return send
+
+
+# --- 3 and 4: groups ------------------------------------------------------
+
+
+def _grouper(window: int, longer: int | None):
+    """Reducer over rows of kind 1, sorted by prefix and doc_id: kind 0 for repeats, kind 1 for what needs `longer` words of prefix."""
+
+    def solve(rows: list[tuple], small: bool) -> pa.RecordBatch:
+        """Repeats among rows (prefix, doc_id, row, start, words); if not small, the others go on by a longer prefix."""
+        stretches, out = [r[4].split() for r in rows], []
+        for (_, doc_id, row, start, _), words, flags in zip(rows, stretches, later_windows(stretches, np.array([r[1] for r in rows]), window), strict=True):
+            for a, b, gone in _runs(flags):
+                if gone:
+                    out.append((0, 0, doc_id, row, start + a, start + b, None))
+                elif not small:
+                    for at in range(a, b):
+                        text = b" ".join(words[at : at + window])
+                        key = xxhash.xxh3_64_intdigest(b" ".join(words[at : at + longer]), seed=longer)
+                        out.append((1, _signed(key), doc_id, row, start + at, start + at + 1, text))
+        return _table(out)
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0  # whole groups, and the last one as far as it is read
+        own, own_size, small = 0, 0, True  # rows and words of the last group among the held ones
+        last = None
+        for batch in batches:
+            settled = batch.filter(pa.array(batch.column("kind").to_numpy() == 0))
+            if len(settled):
+                yield settled
+            batch = batch.filter(pa.array(batch.column("kind").to_numpy() == 1))
+            columns = [batch.column(c).to_pylist() for c in ("prefix", "doc_id", "row", "start", "words")]
+            for row in zip(*columns, strict=True):
+                if row[0] != last:
+                    if held and (not small or size >= GROUP_WORDS):
+                        yield solve(held, small)
+                        held, size = [], 0
+                    last, own, own_size, small = row[0], 0, 0, True
+                words = row[4].count(b" ") + 1
+                if own and own_size + words > GROUP_WORDS:
+                    # Too much for one subtree: what came before it is done with, and it goes on in parts.
+                    if len(held) > own:
+                        yield solve(held[:-own], True)
+                    yield solve(held[len(held) - own :], False)
+                    held, size, own, own_size, small = [], 0, 0, 0, False
+                held.append(row)
+                size, own, own_size = size + words, own + 1, own_size + words
+        if held:
+            yield solve(held, small)
+
+    return group
+
+
+def _equal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reducer over single windows, sorted by the hash of all their words and doc_id: each against the first with the same words."""
+    last, first = None, {}
+    for batch in batches:
+        out = []
+        for key, doc_id, row, start, words in zip(*(batch.column(c).to_pylist() for c in ("prefix", "doc_id", "row", "start", "words")), strict=True):
+            if key != last:
+                last, first = key, {}
+            if first.setdefault(words, doc_id) < doc_id:
+                out.append((0, 0, doc_id, row, start, start + 1, None))
+        yield _table(out)
+
+
+def grouped(rows: DataFrame, reducer) -> DataFrame:
+    return rows.repartition("prefix").sortWithinPartitions("prefix", "doc_id").mapInArrow(reducer, _SENT)
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def shared_samples(texts: DataFrame, window: int, prefix: int) -> DataFrame:
+    """doc_id, row, place of the sampled suffixes whose prefix starts one in another document, too."""
+    sent = texts.mapInArrow(_sampler(window, prefix), "kind int, prefix long, doc_id long, row long, place int")
+    return sent.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_shared, "doc_id long, row long, place int")
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
+    """doc_id, row, start, stop: ranges of window starts whose windows also start in a smaller doc_id.
+
+    row is xxhash64 of the text. Rows without doc_id or text take no part.
+    """
+    prefix = min(prefix, window)
+    # Texts that are too short for a window needn't be looked at.
+    long = F.col("doc_id").isNotNull() & (F.octet_length("text") >= 2 * window - 1)
+    texts = docs.where(long).select("doc_id", F.xxhash64("text").alias("row"), "text")
+    places = shared_samples(texts, window, prefix).groupBy("doc_id", "row").agg(F.collect_set("place").alias("places"))
+    around = texts.join(places, ["doc_id", "row"]).select("doc_id", "row", "text", "places")
+    lengths = [n for n in sorted({max(prefix, round(window * share)) for share in LENGTHS}) if n > prefix] or [window]
+    now = stored(grouped(around.mapInArrow(_sender(window, prefix), _SENT), _grouper(window, lengths[0])), "groups")
+    found = now.where("kind = 0")
+    for length, longer in zip(lengths, [*lengths[1:], None], strict=True):
+        now = now.where("kind = 1")
+        if now.isEmpty():
+            break
+        now = stored(grouped(now, _equal_windows if longer is None else _grouper(window, longer)), f"groups-{length}")
+        found = found.unionByName(now.where("kind = 0"))
+    return found.select("doc_id", "row", "start", "stop")
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, one space between) of each row of docs.
 
     A word goes if a window that covers it also starts in a document with
@@ -229,9 +333,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     and removes nothing. A null text has no words. An empty table gives an empty
     result; other columns are not read.
     """
-    rows = in_small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = (
-        repeated_windows(rows, window, anchor)
+        repeated_windows(rows, window, prefix)
         .groupBy("doc_id", "row")
         .agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
         .select(F.col("doc_id").alias("range_id"), F.col("row").alias("range_row"), F.col("ranges.start").alias("starts"), F.col("ranges.stop").alias("stops"))
@@ -239,7 +343,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     joined = rows.join(found, (F.col("doc_id") == F.col("range_id")) & (F.xxhash64("text") == F.col("range_row")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             out: list[list] = [[], [], []]
             columns = (column_bytes(batch, "text"), batch.column("starts").to_pylist(), batch.column("stops").to_pylist())
             for text, starts, stops in zip(*columns, strict=True):

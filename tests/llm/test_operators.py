@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,36 +130,55 @@ def brute_substrings(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window, anchor", [(50, 10), (12, 5), (50, 50)])
-def test_substring_dedup(spark, table, window, anchor):
+@pytest.mark.parametrize("window, prefix", [(50, 10), (12, 5), (50, 50)])
+def test_substring_dedup(spark, table, window, prefix):
     for rows in (table, special(table)):
-        got = substring.substring_dedup(clashing(frame(spark, rows)).repartition(5), window, anchor)
+        got = substring.substring_dedup(clashing(frame(spark, rows)).repartition(5), window, prefix)
         same([tuple(r) for r in got.collect()], brute_substrings(rows, window))
 
 
-def test_substring_dedup_in_small_batches(spark, table, monkeypatch):
+@pytest.mark.parametrize("words", [60, 400])
+def test_substring_dedup_in_small_groups(spark, table, monkeypatch, words):
+    """Groups that hold next to nothing: all prefixes are lengthened, up to whole windows."""
     monkeypatch.setattr(substring, "BATCH_BYTES", 2000)
-    monkeypatch.setattr(substring, "WINDOWS_PER_CHUNK", 50)
-    got = substring.substring_dedup(frame(spark, table).repartition(3))
-    same([tuple(r) for r in got.collect()], brute_substrings(table, 50))
+    monkeypatch.setattr(substring, "GROUP_WORDS", words)
+    got = substring.substring_dedup(frame(spark, table).repartition(3), 20, 5)
+    same([tuple(r) for r in got.collect()], brute_substrings(table, 20))
 
 
-def test_substring_dedup_splits_hot_prefixes(spark, monkeypatch):
-    """A run of words that most documents hold, in different surroundings, makes no group larger than its share."""
+@pytest.mark.parametrize("around", [0, 15])
+def test_substring_dedup_of_a_passage_in_every_document(spark, monkeypatch, around):
+    """No group is held beyond its share, whether the passage stands in different surroundings or not."""
     rng = random.Random(4)
     other = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
-    shared = other(12)
-    rows = [(i, f"{other(15)} {shared} {other(15)}", "en", "s", 1) for i in range(120)]
-    rows += [(i + 1000, rows[i][1] + " " + other(3), "en", "s", 1) for i in range(0, 120, 3)]
-    for name, value in (("BATCH_BYTES", 2000), ("WINDOWS_PER_GROUP", 100), ("COUNTED", 4)):
+    shared = other(45)
+    rows = [(i, f"{other(around)} {shared} {other(around)}", "en", "s", 1) for i in range(150)]
+    held = []
+    real = substring.later_windows
+    monkeypatch.setattr(substring, "later_windows", lambda stretches, docs, window: held.append(sum(map(len, stretches))) or real(stretches, docs, window))
+    for name, value in (("BATCH_BYTES", 500), ("GROUP_WORDS", 300)):
         monkeypatch.setattr(substring, name, value)
-    df = frame(spark, rows).repartition(3)
-    same([tuple(r) for r in substring.substring_dedup(df, 20, 5).collect()], brute_substrings(rows, 20))
-    texts = df.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    sent, size = substring.grouped_windows(texts, 20, 5).where("kind = 1").collect(), Counter()
-    for r in sent:
-        size[r.prefix] += len(r.paths) // 8
-    assert max(size.values()) <= 2 * 100
+    got = substring.substring_dedup(frame(spark, rows).repartition(3), 20, 5)
+    same([tuple(r) for r in got.collect()], brute_substrings(rows, 20))
+
+    def batch(found):
+        return pa.RecordBatch.from_pylist([{**dict(zip(substring._NAMES, r, strict=True))} for r in found], schema=pa.schema(list(zip(substring._NAMES, substring._TYPES, strict=True))))
+
+    lines = [(1, 7, i, i, 0, 26, shared.encode()) for i in range(150)]
+    out = [r for b in substring._grouper(20, 8)(iter([batch(lines[:70]), batch(lines[70:])])) for r in b.to_pylist()]
+    assert max(held) <= 300 and sum(r["kind"] == 0 for r in out) > 100
+    assert sum(r["kind"] == 1 for r in out) <= 26 * 30
+
+
+def test_tree_nodes():
+    rng = random.Random(3)
+    words = [rng.choice([b"a", b"b", b"c"]) for _ in range(500)]
+    for depth in (1, 2, 3, 5, 8, 13):
+        node = substring.tree_nodes(words, depth)
+        of = {}
+        for i in range(len(words) - depth + 1):
+            assert of.setdefault(tuple(words[i : i + depth]), node[i]) == node[i]
+        assert len(set(of.values())) == len(of) and len(node) == len(words) - depth + 1
 
 
 def test_word_hashes():
