@@ -2,7 +2,8 @@
 
 What is packed depends on lengths only, so the plan is made from the histogram of
 piece lengths, which never has more entries than a sequence has tokens: a small
-table, whatever the corpus. The plan says, for each length, which ranks go to
+table, whatever the corpus. Combinations of one, two and three lengths are looked up by their sum and
+consumed while there are pieces of them, what is left goes best-fit. The plan says, for each length, which ranks go to
 which sequences; pieces get their rank within their length by salted parts.
 """
 
@@ -13,7 +14,7 @@ import bisect
 import json
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,70 +118,74 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 # --- the plan -------------------------------------------------------------
 
 
-def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, copies) of the sequences that hold `counts` pieces of each length.
+class SumIndex:
+    """Single, pair and triple combinations of the lengths that are there, by their sum.
 
-    Exact combinations of many pieces use up short ones that later gaps may need, so
-    the plan is made with gaps filled by single lengths only, by pairs too, and by
-    triples too; the one with the fewest sequences is taken, the fuller index on a tie.
+    A combination is listed once, its longest length first, the most even ones before the others: those use up the fewest
+    short pieces, which alone can fill the gaps that are left in the end. What is listed under a sum is
+    found when it is first asked for; `left` says what is still available of each length.
     """
-    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda bins: sum(copies for _, copies in bins))
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = np.zeros(capacity + 1, dtype=np.int64)
+        for length, n in counts.items():
+            if not 1 <= length <= capacity:
+                raise ValueError(f"no piece of length {length} fits {capacity}")
+            self.left[length] = n
+        self.lengths = np.nonzero(self.left)[0]
+        self._there = self.left > 0
+        self._pairs: dict[int, np.ndarray] = {}
+
+    def pairs(self, total: int, longest: int) -> list[int]:
+        """The longer lengths a <= longest of the available pairs (a, total - a)."""
+        if total not in self._pairs:
+            low, high = np.searchsorted(self.lengths, ((total + 1) // 2, total))
+            a = self.lengths[low:high]
+            self._pairs[total] = a[self._there[total - a]]
+        a = self._pairs[total]
+        a = a[: np.searchsorted(a, longest, side="right")]
+        return a[(self.left[a] > 0) & (self.left[total - a] > 0)].tolist()
+
+    def fillers(self, gap: int, longest: int) -> Iterator[tuple[int, ...]]:
+        """Combinations of one, two and three lengths up to `longest` that fill the gap exactly, of what is available when they are asked for."""
+        if gap <= longest and self.left[gap]:
+            yield (gap,)
+        for a in self.pairs(gap, longest):
+            yield a, gap - a
+        low, high = np.searchsorted(self.lengths, (-(-gap // 3), min(gap - 2, longest) + 1))
+        for a in self.lengths[low:high].tolist():
+            if self.left[a]:
+                for b in self.pairs(gap - a, a):
+                    yield a, b, gap - a - b
 
 
-def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
-    """One plan, with exact combinations of up to `most` lengths.
+def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, copies) of the sequences that hold `counts` pieces of each length.
 
     Lengths from the longest: its gap is filled exactly by one, two or three
     available lengths, found by their sums, as many copies at once as there are; what
     has no exact partner is packed best-fit, longest first.
     """
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in counts.items():
-        if not 1 <= length <= capacity:
-            raise ValueError(f"no piece of length {length} fits {capacity}")
-        left[length] = n
+    index = SumIndex(counts, capacity)
+    left = index.left
     bins: list[tuple[tuple[int, ...], int]] = []
-    if left[capacity]:
-        bins.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
 
     def take(lengths: tuple[int, ...]) -> None:
-        need = defaultdict(int)
-        for x in lengths:
-            need[x] += 1
+        need = Counter(lengths)
         copies = min(int(left[x]) // n for x, n in need.items())
         if copies:
             bins.append((lengths, copies))
             for x, n in need.items():
                 left[x] -= n * copies
 
-    def pairs(total: int, top: int) -> list[int]:
-        """The larger halves a <= top of available pairs (a, total - a)."""
-        low, high = (total + 1) // 2, min(top, total - 1)
-        if high < low:
-            return []
-        a = np.arange(high, low - 1, -1)
-        return a[(left[a] > 0) & (left[total - a] > 0)].tolist()
-
-    for length in range(capacity - 1, 0, -1):
-        gap = capacity - length
-        if left[length] and left[gap]:
-            take((length, gap))
-        if left[length] and most > 1:
-            for a in pairs(gap, length):
-                take((length, a, gap - a))
-                if not left[length]:
-                    break
-        if left[length] and most > 2:
-            for a in range(min(gap - 2, length), 0, -1):
-                if not left[a]:
-                    continue
-                for b in pairs(gap - a, a):
-                    take((length, a, b, gap - a - b))
-                    if not left[length] or not left[a]:
-                        break
-                if not left[length]:
-                    break
+    for length in index.lengths[::-1].tolist():
+        if length == capacity:
+            take((length,))
+            continue
+        for filler in index.fillers(capacity - length, length) if left[length] else ():
+            take((length, *filler))
+            if not left[length]:
+                break
     return bins + _best_fit(left, capacity)
 
 
