@@ -164,8 +164,16 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tu
 
     Lengths from the longest: its gap is filled exactly by one, two or three
     available lengths, found by their sums, as many copies at once as there are; what
-    has no exact partner is packed best-fit, longest first.
+    has no exact partner is packed best-fit, longest first. Exact fillings can do harm where lengths are
+    spread evenly up to the capacity and each long piece has just one partner: should best fit for all pieces need
+    fewer sequences, it is taken.
     """
+    exact = _exact_bins(counts, capacity)
+    plain = _best_fit(SumIndex(counts, capacity).left, capacity)
+    return min(exact, plain, key=lambda bins: sum(copies for _, copies in bins))
+
+
+def _exact_bins(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     index = SumIndex(counts, capacity)
     left = index.left
     bins: list[tuple[tuple[int, ...], int]] = []
