@@ -1,10 +1,12 @@
 """Each operator against a plain version on small tables: nulls, empty and long texts, ties, repeated rows, clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -383,11 +385,26 @@ def test_top_k_few_rows_and_blocks(spark, monkeypatch):
     rows = [(i, [float(i % 5), 1.0]) for i in range(0, 300, 25)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     whole = sorted(map(tuple, topk.top_k(df, k=20).collect()))
-    monkeypatch.setattr(topk, "QUERIES_PER_BLOCK", 2)
+    for name, value in (("QUERIES_PER_ROW", 2), ("QUERIES_PER_PACK", 1), ("ROWS_PER_STRIPE", 3), ("ROWS_PER_BLOCK", 2)):
+        monkeypatch.setattr(topk, name, value)
     assert sorted(map(tuple, topk.top_k(df, k=20).collect())) == whole
     assert len(whole) == 6 * 11
 
 
+def test_top_k_of_large_components(spark):
+    """Exact beyond the integers of doubles; beyond the range of a long the score is the end of that range."""
+    rng = random.Random(1)
+    rows = [(i, [rng.choice([1, -1]) * (2.0**40 + rng.randrange(1000) / 4), float(rng.randrange(10**6)), 0.5]) for i in range(0, 60, 2)]
+    rows += [(i, [float(rng.randrange(10**5)) * 1.25, 2.0**36, -1.0]) for i in range(1, 60, 2)] + [(100, [1e300, 0.0, 0.0])]
+    exact = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50, 100):
+        scores = {c: min(max(sum(a * b for a, b in zip(exact[q], exact[c], strict=True)), -(2**63)), 2**63 - 1) for c in exact if c != q}
+        want += [(q, n + 1, c, scores[c]) for n, c in enumerate(sorted(scores, key=lambda c: (-scores[c], c))[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("weights", [None, {"s0": 5, "s1": 2, None: 3}])
 def test_mixing(spark, weights):
     rng = random.Random(1)
