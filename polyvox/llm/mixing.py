@@ -1,47 +1,53 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
 
-Each source is cut into blocks of documents. Weights are whole parts: in every cycle
-of the schedule a source has as many blocks as it has parts (fewer in the cycle in
-which it runs out, none after it), spread evenly: block j of m in a cycle of M slots
-is released at floor(j M / m) and due at ceil((j + 1) M / m). Of the released blocks the one
-with the earliest deadline takes the slot. That is optimal for one slot at a time, so
-all deadlines are met, and at no time has a source had a whole block more or less
-than its share. Cycles with the same sources in them have the same schedule: it is
-made once for each such stretch (at most two stretches a source), by a fold over its
-slots, and is as small as the configuration.
+Each source is cut into blocks of documents. A source of m parts, of M that all sources have, gets m blocks in each cycle of
+M slots, spread evenly: its block j is released at floor(j M / m) and due at ceil((j + 1) M / m). Of the released
+blocks the one with the earliest deadline takes the slot. That is optimal for one slot at a time, so all deadlines
+are met, and until a source runs out none has had a whole block more or less than its share at any time. The slots of
+a source that has run out stay empty, so that the others go on in the same proportions.
+
+All cycles are alike, and sources of equal weight differ in their turn only. So the schedule is made once, by a fold
+over what the configuration has: for each weight, its blocks of a cycle, each as many slots as there are sources of
+that weight. Its size grows with the weights that are told apart, not with sources or rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import salted_rank
+from .common import MAX_BROADCAST_GROUPS, salted_rank
 
 BLOCK_DOCS = 16
-#: Target weights, in parts, of the registered query and the pipeline; sources that are not named have one part each.
-WEIGHTS: dict[str | None, int] = {"src0": 8, "src1": 4, "src2": 2}
-#: Schedule rows that are broadcast; a larger schedule is joined by a shuffle.
-MAX_BROADCAST_ROWS = 200_000
+#: Target weights of the registered query and the pipeline; sources that are not named weigh 1 each.
+WEIGHTS: dict[str | None, float] = {"src0": 8, "src1": 4, "src2": 2}
+#: Parts of all different weights together, up to which weights are exact; beyond it they are rounded to so many parts.
+MAX_PARTS = 1_000
 
-#: Earliest deadline first over the M slots of one cycle: m is the array of blocks by source, the result the source of each slot.
+#: Earliest deadline first over one cycle: classes are the different weights (m parts, q sources each). A step runs one
+#: class until its block's turn is over or a block of another class is released. runs: class i from its job g on, n slots from `at` on.
 _EARLIEST_DEADLINE = """
 aggregate(
-  sequence(0L, cycle - 1L),
-  named_struct('given', transform(m, x -> 0L), 'picks', cast(array() as array<int>)),
-  (s, t) -> transform(
-    array(array_min(filter(
-      transform(m, (w, i) -> if(
-        s.given[i] < w and (s.given[i] * cycle) div w <= t,
-        named_struct('due', ((s.given[i] + 1L) * cycle + w - 1L) div w, 'i', i),
-        null)),
-      x -> x is not null)).i),
+  sequence(1L, 2L * aggregate(classes, 0L, (a, c) -> a + c.m)),
+  named_struct('t', 0L, 'given', transform(classes, c -> 0L), 'runs', cast(array() as array<struct<i: int, g: bigint, at: bigint, n: bigint>>)),
+  (s, step) -> if(s.t >= cycle, s, transform(
+    transform(
+      array(named_struct(
+        'i', array_min(filter(transform(classes, (c, i) -> if(
+            s.given[i] < c.q * c.m and ((s.given[i] div c.q) * cycle) div c.m <= s.t,
+            named_struct('due', ((s.given[i] div c.q + 1L) * cycle + c.m - 1L) div c.m, 'i', i),
+            null)), x -> x is not null)).i,
+        'until', coalesce(array_min(filter(transform(classes, (c, i) -> if(s.given[i] < c.q * c.m, ((s.given[i] div c.q) * cycle) div c.m, null)), x -> x > s.t)), cycle))),
+      p -> named_struct('i', p.i, 'n', least(classes[p.i].q - s.given[p.i] % classes[p.i].q, p.until - s.t))),
     p -> named_struct(
-      'given', transform(s.given, (g, i) -> if(i = p, g + 1L, g)),
-      'picks', array_append(s.picks, p)))[0],
-  s -> s.picks)
+      't', s.t + p.n,
+      'given', transform(s.given, (g, i) -> if(i = p.i, g + p.n, g)),
+      'runs', array_append(s.runs, named_struct('i', p.i, 'g', s.given[p.i], 'at', s.t, 'n', p.n))))[0]),
+  s -> s.runs)
 """
 
 
@@ -50,65 +56,65 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
 
-def _parts(weights: Mapping[str | None, int] | None) -> Column:
-    """Parts of the source whose key is in column src; 1 where none are given."""
-    if not weights:
-        return F.lit(1).cast("long")
-    if any(n < 1 or n != int(n) for n in weights.values()):
-        raise ValueError("weights are whole numbers of parts, 1 or more")
-    keys = {("null" if s is None else f"={s}"): int(n) for s, n in weights.items()}
+def whole_parts(weights: Mapping[str | None, float] | None) -> tuple[dict[str | None, int], int]:
+    """Parts of the sources that are named, and of each other one, in the proportions of their weights (1 for the others)."""
+    exact = {s: Fraction(str(w)) for s, w in (weights or {}).items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("weights are positive numbers")
+    unit = Fraction(1, math.lcm(1, *(w.denominator for w in exact.values())))
+    every = {Fraction(1), *exact.values()}
+    if sum(every) / unit > MAX_PARTS:
+        unit = sum(every) / MAX_PARTS
+    parts = {w: max(1, round(w / unit)) for w in every}
+    common = math.gcd(*parts.values())
+    return {s: parts[w] // common for s, w in exact.items()}, parts[Fraction(1)] // common
+
+
+def _parts(weights: Mapping[str | None, float] | None) -> Column:
+    """Parts of the source whose key is in column src."""
+    named, other = whole_parts(weights)
+    if not named:
+        return F.lit(other).cast("long")
+    keys = {("null" if s is None else f"={s}"): n for s, n in named.items()}
     table = F.create_map(*[F.lit(x) for pair in keys.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, F.col("src")), F.lit(1)).cast("long")
-
-
-def schedule(sizes: DataFrame) -> DataFrame:
-    """From (src, parts, blocks): for each source and stretch of cycles, slot, release and deadline of its j-th block in a cycle."""
-    row = sizes.agg(F.sort_array(F.collect_list(F.struct("src", "parts", "blocks"))).alias("all"))
-    ends = F.expr("array_sort(array_distinct(concat(array(0L), flatten(transform(all, s -> array(s.blocks div s.parts, (s.blocks + s.parts - 1L) div s.parts))))))")
-    stretches = row.select("all", ends.alias("ends")).select("all", F.expr("explode(transform(sequence(1, size(ends) - 1, 1), k -> named_struct('c0', ends[k - 1], 'c1', ends[k]))) as x"))
-    counted = stretches.select(
-        "all",
-        "x.*",
-        F.expr("transform(all, s -> greatest(0L, least(s.parts, s.blocks - s.parts * x.c0)))").alias("m"),
-        F.expr("aggregate(all, 0L, (a, s) -> a + least(s.parts * x.c0, s.blocks))").alias("before"),
-    ).withColumn("cycle", F.expr("aggregate(m, 0L, (a, x) -> a + x)"))
-    picked = counted.withColumn("picks", F.expr(_EARLIEST_DEADLINE))
-    places = F.expr("filter(transform(picks, (p, t) -> if(p = i, cast(t as bigint), null)), t -> t is not null)")
-    by_source = picked.select("c0", "c1", "before", "cycle", "m", "picks", F.posexplode("all").alias("i", "s")).select(
-        "c0", "c1", "before", "cycle", F.expr("m[i]").alias("own"), F.col("s.src").alias("src"), F.col("s.parts").alias("parts"), places.alias("places")
-    )
-    slots = by_source.select("c0", "c1", "before", "cycle", "own", "src", "parts", F.posexplode("places").alias("j", "place"))
-    return slots.select("src", "parts", "c0", "c1", "before", "cycle", F.col("j").cast("long").alias("j"), "place", F.expr("(j * cycle) div own").alias("from"), F.expr("((j + 1L) * cycle + own - 1L) div own").alias("due"))
+    return F.coalesce(F.try_element_at(table, F.col("src")), F.lit(other)).cast("long")
+
+
+def schedule(sources: DataFrame) -> DataFrame:
+    """From (src, m): cycle, m, q and for each block k of a cycle its runs (first turn e, slot at, n): one row for each weight and block."""
+    classes = sources.groupBy("m").agg(F.count("*").alias("q"))
+    row = classes.agg(F.sort_array(F.collect_list(F.struct("m", "q"))).alias("classes")).withColumn("cycle", F.expr("aggregate(classes, 0L, (a, c) -> a + c.m * c.q)"))
+    runs = row.where("cycle > 0").select("classes", "cycle", F.expr(_EARLIEST_DEADLINE).alias("runs")).select("classes", "cycle", F.explode("runs").alias("r"))
+    of = runs.select("cycle", F.expr("classes[r.i].m").alias("m"), F.expr("classes[r.i].q").alias("q"), "r")
+    by_block = of.groupBy("cycle", "m", "q", F.expr("r.g div q").alias("k"))
+    return by_block.agg(F.collect_list(F.struct(F.expr("r.g % q").alias("e"), F.col("r.at").alias("at"), F.col("r.n").alias("n"))).alias("runs"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, int] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Each row of docs as struct `doc`, with src, block, slot, release, deadline and position.
 
-    All rows come out once, none twice: where a source runs out, the others share
-    its slots by their weights. Sources without a weight (all, by default) have one
-    part. Within a source the order is a hash order that depends on ids and texts only;
-    repeated rows take places of their own. A null source is a source. position orders
+    Weights are positive numbers, whole or not; sources without one (all, by default) weigh 1. All rows come out once, none
+    twice: where a source runs out, its slots stay empty and the others go on by their weights. Within a source the order is a hash order
+    that depends on ids and texts only; repeated rows take places of their own. A null source is a source. position orders
     the whole mix: slot, then place in the block. An empty table gives an empty result.
     """
     row = F.struct("*")
     rows = docs.select(row.alias("doc")).select("doc", _source_key(F.col("doc.source")).alias("src"), F.col("doc.doc_id").cast("long").alias("id"), F.xxhash64("doc.text").alias("th"))
-    ranked = salted_rank(rows, "src", ["id", "th"], "rank").withColumn("block", F.expr(f"rank div {int(block_docs)}"))
-    counts = rows.groupBy("src").agg(F.count("*").alias("n"))
-    sizes = counts.select("src", _parts(weights).alias("parts"), F.expr(f"(n + {int(block_docs) - 1}) div {int(block_docs)}").alias("blocks"))
-    bound = sizes.agg(F.count("*").alias("sources"), F.sum("parts").alias("parts")).first()
-    plan = schedule(sizes)
-    if 2 * bound["sources"] * (bound["parts"] or 0) <= MAX_BROADCAST_ROWS:
-        plan = F.broadcast(plan)
-    placed = ranked.withColumn("parts", _parts(weights)).select("*", F.expr("block div parts").alias("c"), F.expr("block % parts").alias("k"))
-    joined = placed.drop("parts").join(plan.drop("parts").withColumnRenamed("src", "plan_src"), (F.col("src") == F.col("plan_src")) & (F.col("k") == F.col("j")) & (F.col("c") >= F.col("c0")) & (F.col("c") < F.col("c1")))
-    start = F.col("before") + (F.col("c") - F.col("c0")) * F.col("cycle")
-    slot = start + F.col("place")
+    counts = rows.groupBy("src").agg(F.count("*").alias("_size"))
+    turn = F.row_number().over(Window.partitionBy("m").orderBy("src")).cast("long") - 1
+    sources = counts.select("src", "_size", _parts(weights).alias("m")).withColumn("e", turn)
+    small = len(sources.limit(MAX_BROADCAST_GROUPS + 1).take(MAX_BROADCAST_GROUPS + 1)) <= MAX_BROADCAST_GROUPS
+    known = rows.join(F.broadcast(sources) if small else sources, "src")
+    ranked = salted_rank(known, "src", ["id", "th"], "rank", F.col("_size")).withColumn("block", F.expr(f"rank div {int(block_docs)}"))
+    placed = ranked.select("*", F.expr("block div m").alias("c"), F.expr("block % m").alias("k"))
+    joined = placed.join(F.broadcast(schedule(sources.select("src", "m"))), ["m", "k"])
+    slot = F.expr("c * cycle + filter(transform(runs, r -> if(e >= r.e and e < r.e + r.n, r.at + e - r.e, null)), x -> x is not null)[0]")
     return joined.select(
         "doc",
         F.when(F.col("src") == "null", None).otherwise(F.substring("src", 2, 2**31 - 1)).alias("src"),
         "block",
         slot.alias("slot"),
-        (start + F.col("from")).alias("release"),
-        (start + F.col("due")).alias("deadline"),
+        F.expr("c * cycle + (k * cycle) div m").alias("release"),
+        F.expr("c * cycle + ((k + 1L) * cycle + m - 1L) div m").alias("deadline"),
         (slot * block_docs + F.expr(f"rank % {int(block_docs)}")).alias("position"),
     )

@@ -102,6 +102,24 @@ m AS (SELECT k.*, coalesce(k.doc_id > r.first, false) AS gone FROM k LEFT JOIN r
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    # The order within a source, by doc_id here, is that of the operator for sources of up to common.ROWS_PER_PART documents.
+    "op2_source_mixing": """
+WITH RECURSIVE d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rank FROM documents),
+s AS (SELECT source, CASE source WHEN 'src0' THEN 8 WHEN 'src1' THEN 4 WHEN 'src2' THEN 2 ELSE 1 END AS m FROM documents GROUP BY 1),
+o AS (SELECT source, m, (sum(m) OVER ())::BIGINT AS cycle, row_number() OVER (ORDER BY m, source) AS i FROM s),
+c AS (SELECT list(m ORDER BY i) AS m, any_value(cycle) AS cycle FROM o),
+edf AS (
+  SELECT 0::BIGINT AS t, list_transform(m, lambda x: 0::BIGINT) AS given, 0::BIGINT AS pick FROM c
+  UNION ALL
+  SELECT t + 1, list_transform(given, lambda g, i: CASE WHEN i = p THEN g + 1 ELSE g END), p FROM (
+    SELECT t, given, list_min(list_filter(list_transform(m, lambda w, i: CASE
+      WHEN given[i] < w AND given[i] * cycle // w <= t THEN {'due': -((-(given[i] + 1) * cycle) // w), 'i': i} END), lambda x: x IS NOT NULL)).i AS p
+    FROM edf, c WHERE t < cycle)),
+turns AS (SELECT o.*, t - 1 AS place, row_number() OVER (PARTITION BY source ORDER BY t) - 1 AS k FROM edf JOIN o ON edf.pick = o.i WHERE t > 0),
+b AS (SELECT doc_id, d.source, rank, rank // 16 AS block, rank // 16 // o.m AS c, (rank // 16) % o.m AS k FROM d JOIN o ON o.source = d.source)
+SELECT doc_id, b.source, block, c * cycle + place AS slot, c * cycle + b.k * cycle // m AS release,
+       c * cycle + (b.k * cycle + cycle + m - 1) // m AS deadline, (c * cycle + place) * 16 + rank % 16 AS position
+FROM b JOIN turns ON turns.source = b.source AND turns.k = b.k""",
     "op3_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score

@@ -405,7 +405,7 @@ def test_top_k_of_large_components(spark):
     assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(want)
 
 
-@pytest.mark.parametrize("weights", [None, {"s0": 5, "s1": 2, None: 3}])
+@pytest.mark.parametrize("weights", [None, {"s0": 5, "s1": 2, None: 3}, {"s0": 2.5, "s2": 0.25}])
 def test_mixing(spark, weights):
     rng = random.Random(1)
     rows = [(i, f"text {i}", "en", rng.choice(["s0"] * 9 + ["s1", "s2", None]), 1) for i in range(700)]
@@ -414,15 +414,53 @@ def test_mixing(spark, weights):
     assert Counter(r.doc.doc_id for r in out) == Counter(r[0] for r in rows)
     assert len({r.position for r in out}) == len(rows)
     slots = {r.slot: (r.src, r.block) for r in out}
-    assert sorted(slots) == list(range(len(slots))) and len(set(slots.values())) == len(slots)
-    assert all(r.release <= r.slot < r.deadline for r in out)
-    parts = {s: (weights or {}).get(s, 1) for s in ("s0", "s1", "s2", None)}
-    total = {s: len({b for x, b in slots.values() if x == s}) for s in parts}
-    done, seen = sum(parts.values()), Counter()
-    steady = min(total[s] // parts[s] for s in parts) * done
-    for t in range(steady):
+    assert len(set(slots.values())) == len(slots) and all(r.release <= r.slot < r.deadline for r in out)
+    assert [(r.src, r.block, r.slot) for r in out] == [(r.src, r.block, r.position // 4) for r in out]
+    check_shares(slots, {s: (weights or {}).get(s, 1) for s in ("s0", "s1", "s2", None)})
+
+
+def check_shares(slots, weights):
+    """No source is a block off its share before one runs out; after that, the others are less than two off theirs of what they have between them."""
+    total = Counter(s for s, _ in slots.values())
+    every, seen, now, past = sum(weights.values()), Counter(), 0, 0
+    for t in sorted(slots):
+        gone = {s for s in weights if seen[s] == total[s]}
+        assert gone or t == now  # no slot is empty as long as all have blocks
         seen[slots[t][0]] += 1
-        assert all(abs(seen[s] - (t + 1) * parts[s] / done) < 1 for s in parts)
+        now += 1
+        if not gone:
+            assert all(abs(seen[s] - now * weights[s] / every) < 1 for s in weights)
+        left = {s: weights[s] for s in weights if seen[s] < total[s]}
+        past += len(left) > 1
+        assert all(abs(seen[s] - sum(seen[x] for x in left) * w / sum(left.values())) < 2 for s, w in left.items())
+    assert past
+
+
+def test_mixing_of_a_thousand_sources(spark):
+    rng = random.Random(3)
+    weights = {f"s{i}": rng.choice([0.5, 1.5, 2, 7]) for i in range(0, 1000, 3)}
+    rows = [(n, "t", "en", f"s{i}", 1) for n, i in enumerate(i for i in range(1000) for _ in range(rng.randint(1, 3) * 8))]
+    out = mixing.mix(frame(spark, rows), weights, block_docs=1).collect()
+    slots = {r.slot: (r.src, r.block) for r in out}
+    assert len(slots) == len(rows) and all(r.release <= r.slot < r.deadline for r in out)
+    all_weights = {f"s{i}": weights.get(f"s{i}", 1) for i in range(1000)}
+    total, every, seen = Counter(r.src for r in out), sum(all_weights.values()), Counter()
+    for t in range(len(slots)):
+        if any(seen[s] == total[s] for s in seen):
+            break
+        seen[slots[t][0]] += 1
+        assert all(abs(seen[s] - (t + 1) * w / every) < 1 for s, w in all_weights.items())
+    assert t > 1000
+
+
+def test_whole_parts():
+    assert mixing.whole_parts({"a": 2.5, "b": 1}) == ({"a": 5, "b": 2}, 2)
+    assert mixing.whole_parts({"a": 8, "b": 4}) == ({"a": 8, "b": 4}, 1)
+    named, other = mixing.whole_parts({"a": 1 / 3, "b": 1e-9})
+    assert named["b"] == 1 and abs(named["a"] / other - 1 / 3) < 0.01
+    for wrong in (0, -1):
+        with pytest.raises(ValueError):
+            mixing.whole_parts({"a": wrong})
 
 
 def test_source_mixing_is_weighted(spark, tmp_path):
