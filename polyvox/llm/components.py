@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
@@ -26,8 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
     """id and component (smallest id reachable) of every id that an edge (a, b) touches.
 
     Each round is one written table, so a lost executor costs no more than a round; the
-    rounds needed grow with the logarithm of the longest chain. Edges are never
-    collected, and a hub's edges are aggregated before they are dealt out.
+    rounds needed grow with the logarithm of the longest chain, and each drops the table of the one before. Edges are never
+    collected. A hub's edges are summed up before they are dealt out, and meet its smallest neighbour in a join that adaptive
+    execution splits where they are many.
     """
     now = stored(_pairs(edges), "edges")
     mark = None
@@ -36,6 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(size) == mark or not size["n"]:
             break
         mark = tuple(size)
-        now = stored(_stars(now), "edges")
+        before, now = now, stored(_stars(now), "edges")
+        discard(before)
     members = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return members.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -8,9 +8,8 @@
 3. In a few rounds each node is held against the node that leads most of its tokens. A parity
    bitmap of each set gives an upper bound of any overlap; what that leaves is compared exactly,
    and what links so partitions similar documents into groups.
-4. The matrix says which tokens (of the prefixes) each group's members have between them, and how
-   many tokens follow there. The first token that a node shares with a group bounds its overlap with every
-   member; only if that could reach the threshold is the group opened: in parts of
+4. The matrix stores each group's token union (of the prefixes). The tokens of a node in that union, summed up, bound its
+   overlap with every member; only if that could reach the threshold is the group opened: in parts of
    bounded size the members' bitmaps are looked through, and the closest member is compared
    exactly. Where it isn't similar, all members that their bitmaps leave are. Pairs inside a
    group, and further pairs with a group that a node is linked to, need no comparison.
@@ -24,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, gram_hashes, slices, stored, word_hashes
+from .common import column_bytes, discard, gram_hashes, slices, stored, word_hashes
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -86,32 +85,32 @@ def _set_reader(size: int, seed: int):
     """Kind 0: doc_id, n, node and check hash of each set. Kind 1: this task's count of tokens by slot, in chunks."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SLOT_BITS, dtype=np.int32)
+        counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
         names = ["kind", "doc_id", "n", "node", "check", "raw"]
-        for batch in batches:
+        for batch in slices(batches, "text"):
             sets = [shingles(word_hashes((t or b"").lower()), size) for t in column_bytes(batch, "text")]
             if sets:
-                counts += np.bincount(_slots(np.concatenate(sets)), minlength=len(counts)).astype(np.int32)
+                counts += np.bincount(_slots(np.concatenate(sets)), minlength=len(counts))
             keys = [xxhash.xxh3_128_intdigest(s.tobytes(), seed=seed) for s in sets]
             halves = np.array([(k >> 64, k & (2**64 - 1)) for k in keys], dtype=np.uint64).reshape(-1, 2)
             columns = [np.zeros(len(sets), np.int32), batch.column("doc_id"), np.array([len(s) for s in sets], np.int64)]
             columns = [*map(pa.array, columns), *(pa.array(h.view(np.int64)) for h in halves.T.copy()), pa.array(map(parity_bits, sets), pa.binary(), size=len(sets))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
-        chunks = counts.reshape(-1, 1 << CHUNK_BITS)
+        chunks = np.minimum(counts, 2**32 - 1).reshape(-1, 1 << CHUNK_BITS)  # more than a task can read
         used = np.nonzero(chunks.any(axis=1))[0]
         zeros = np.zeros(len(used), np.int64)
         columns = [np.ones(len(used), np.int32), zeros, zeros, used, zeros]
-        raw = pa.array([np.minimum(chunks[i], 65_535).astype("<u2").tobytes() for i in used], pa.binary())
+        raw = pa.array([chunks[i].astype("<u4").tobytes() for i in used], pa.binary())
         yield pa.RecordBatch.from_arrays([*map(pa.array, columns), raw], names=names)
 
     return read
 
 
 def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per chunk, its counts summed and put on a scale of 256 levels; rows come sorted by chunk."""
+    """One row per chunk, its counts summed and put on a logarithmic scale; rows come sorted by chunk."""
 
     def out(chunk: int, total: np.ndarray) -> pa.RecordBatch:
-        levels = np.minimum(16 * np.log2(1.0 + total), 255).astype(np.uint8)
+        levels = (4 * np.log2(1.0 + total)).astype(np.uint8)  # 252 at most, for a 64-bit count
         return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([levels.tobytes()], pa.binary())], names=["node", "raw"])
 
     now, total = None, None
@@ -121,7 +120,7 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now is not None:
                     yield out(now, total)
                 now, total = chunk, np.zeros(1 << CHUNK_BITS, dtype=np.int64)
-            total += np.frombuffer(raw, dtype="<u2")
+            total += np.frombuffer(raw, dtype="<u4")
     if now is not None:
         yield out(now, total)
 
@@ -131,7 +130,7 @@ def _posting_sender(size: int, percent: int, seed: int, levels: bytes, parts: in
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.frombuffer(levels, dtype=np.uint8)
         tokens, nodes, places, held = [], [], [], 0
-        for batch in batches:
+        for batch in slices(batches, "text"):
             for text in column_bytes(batch, "text"):
                 s = shingles(word_hashes((text or b"").lower()), size)
                 if len(s):
@@ -211,7 +210,7 @@ def _comparer(size: int, percent: int, seed: int):
     """Of rows (a, b, text_a, text_b) the pairs of nodes whose sets are similar."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text_b"):
             keep = []
             for at, (a, b, *texts) in enumerate(zip(*(batch.column(c).to_pylist() for c in "ab"), column_bytes(batch, "text_a"), column_bytes(batch, "text_b"), strict=True)):
                 x, y = (shingles(word_hashes((t or b"").lower()), size) for t in texts)
@@ -293,7 +292,8 @@ def _links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, levels: bytes, se
         found = _verified(rows, nodes, _leads(posts, bits, turn, percent), seed, words, percent)
         near = found if near is None else near.unionByName(found)
         groups = components(near).withColumnsRenamed({"id": "node", "component": "grp"})
-        posts = _across(posts, groups)
+        before, posts = posts, _across(posts, groups)
+        discard(before)
     opened = _opened_groups(posts, percent)
     left = stored(_left(_in_parts(opened, groups, bits), bits, percent), "left")
     far = _verified(rows, nodes, _closest(left), seed, words, percent)
@@ -304,6 +304,7 @@ def _links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, levels: bytes, se
     apart = F.coalesce("now", "node") != F.coalesce("then", "target")
     still = left.join(merged, "node", "left").join(other, "target", "left").where(apart).select("node", F.explode("left").alias("m")).select("node", F.col("m.other").alias("other"))
     rest = _verified(rows, nodes, still.distinct(), seed, words, percent)
+    discard(posts, opened, left)
     rep = nodes.select("node", "rep")
     both = near.unionByName(far).unionByName(rest)
     both = both.join(rep.withColumnsRenamed({"node": "a", "rep": "ra"}), "a").join(rep.withColumnsRenamed({"node": "b", "rep": "rb"}), "b")
@@ -337,25 +338,28 @@ def _leads(posts: DataFrame, bits: DataFrame, turn: int, percent: int) -> DataFr
 def _opened_groups(posts: DataFrame, percent: int) -> DataFrame:
     """node and target: the groups that the token-group matrix leaves to be looked into for a node.
 
-    What counts is the first token shared. Where the token before it, too, is the same in a node and in all of a group's members
-    that have it, it isn't the first, and the pair is found there: a passage is met once and not at each of its tokens.
+    The matrix has a group's token union (of prefix tokens), the sizes of the members that have a token, and how many tokens they have
+    from it on. How many of a node's prefix tokens are in the union is what it can share with any member there; beyond
+    the end of the shorter prefix two sets of n and m share at most need - 1 tokens, the larger need of theirs. So a
+    group is opened if those tokens could make up what is missing for some size that its members have.
     """
-    posts = posts.withColumn("prev", F.lag("token").over(Window.partitionBy("node").orderBy(F.desc("after"))))
     matrix = posts.groupBy("token", F.col("grp").alias("target")).agg(
-        F.first("size").alias("target_size"),
-        F.min("n").alias("low"),
-        F.max("n").alias("high"),
-        F.max("after").alias("most_after"),
-        F.when((F.min("prev") == F.max("prev")) & (F.count("prev") == F.count("*")), F.min("prev")).alias("one_prev"),
+        F.first("size").alias("target_size"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("after").alias("most_after")
     )
-    later = F.coalesce(F.col("prev") == F.col("one_prev"), F.lit(False))
     # Of two groups the members of the smaller one ask: they are the fewer rows.
     asks = (F.col("size") < F.col("target_size")) | ((F.col("size") == F.col("target_size")) & (F.col("grp") > F.col("target")))
-    # The least overlap that any member needs is that of the smallest one which could match at all.
-    need = _needed(F.col("n"), F.greatest(F.col("low"), _ceil(percent * F.col("n"), 100)), percent)
-    fits = asks & ~later & (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
-    opened = posts.join(matrix, "token").where(fits & (F.col("after") >= need) & (F.col("most_after") >= need))
-    return stored(opened.select("node", "target").distinct(), "opened")
+    sized = (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
+    met = posts.join(matrix, "token").where(asks & sized)
+    overlap = met.groupBy("node", "target").agg(
+        F.first("n").alias("n"), F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("after").alias("after"), F.max("most_after").alias("most_after")
+    )
+    n = F.col("n")
+    low, high = F.greatest(F.col("low"), _ceil(percent * n, 100)), F.least(F.col("high"), F.floor(100 * n / percent).cast("long"))
+    # What is missing is least at one end of the sizes, but for rounding: below n it grows with the other's size, above it falls.
+    missing = lambda m: _needed(n, m, percent) - F.greatest(_ceil(percent * n, 100), _ceil(percent * m, 100)) + 1
+    need = _needed(n, low, percent)
+    enough = (F.col("shared") >= F.least(missing(low), missing(high)) - 1) & (F.col("after") >= need) & (F.col("most_after") >= need)
+    return stored(overlap.where((low <= high) & enough).select("node", "target"), "opened")
 
 
 def _in_parts(opened: DataFrame, groups: DataFrame, bits: DataFrame) -> DataFrame:
@@ -407,4 +411,6 @@ def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, seed: int, wo
     first = texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b"))
     both = ends.join(first, "doc_a").join(second, "doc_b").select("a", "b", "text_a", "text_b")
-    return stored(both.mapInArrow(_comparer(words, percent, seed), "a long, b long").distinct(), "links")
+    links = stored(both.mapInArrow(_comparer(words, percent, seed), "a long, b long").distinct(), "links")
+    discard(ends)
+    return links

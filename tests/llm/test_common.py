@@ -1,7 +1,9 @@
 """Shared helpers: ranks in groups of any size, stored tables, A-Z lower-casing."""
 
+import os
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,3 +41,20 @@ def test_stored(spark):
     again = common.stored(df, "test")
     assert sorted(map(tuple, again.collect())) == [(1, None), (2, "x")] and again.schema == df.schema
     assert common.stored(df.where("a > 5"), "empty").count() == 0
+
+
+def test_discard(spark):
+    table = common.stored(spark.range(5).toDF("n"), "gone")
+    path = table.stored_at.removeprefix("file://")
+    assert table.count() == 5 and os.path.isdir(path)
+    common.discard(table)
+    assert not os.path.exists(path)
+
+
+def test_slices():
+    texts = ["a" * 10, None, "b" * 100, "", "c", "d" * 30, "é" * 20]
+    batch = pa.RecordBatch.from_pydict({"n": list(range(7)), "text": texts})
+    for most in (1, 10, 35, 1000):
+        parts = list(common.slices(iter([batch, batch.slice(0, 0)]), "text", most))
+        assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+        assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p.column("text").to_pylist()) <= most for p in parts)
