@@ -1,12 +1,9 @@
 """Chat formatting by prefix-target expansion, with DataFrame functions only.
 
-Every assistant turn becomes an example of its own: all earlier turns are its
-context, and only that reply carries loss. The contexts of one conversation are
-prefixes of each other, so an example row holds just the part that is new since
-the previous one (`segment`) and the length of what stands before it
-(`context_before`); `full_examples` writes the contexts out. Turns after the
-last reply go into a last row without a target, so that the rows hold the
-whole conversation.
+Every assistant turn becomes an example of its own, written out: all earlier turns are its
+context, and only that reply carries loss. By nature a conversation's examples are as large as the square of its turns; they
+are made one row at a time from the conversation's formatted turns, and never shuffled or held together. Turns after the last
+reply go into a last row without a target, so that the last row of a conversation always holds all of it.
 
 Template: <|im_start|>role NEWLINE text<|im_end|>NEWLINE. Inside roles and texts
 every "<" + backslashes + "|" gets one more backslash, so that neither mark can
@@ -15,7 +12,7 @@ occur there, and loses it again when read; a role is kept on one line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -43,16 +40,14 @@ def format_turn(role: Column, text: Column) -> Column:
 
 
 def prefix_target_examples(conversations: DataFrame) -> DataFrame:
-    """One row per assistant turn: conv_id, example, segment, target_start, target_chars, context_before.
+    """One row per assistant turn: conv_id, example, last, text, target_start, target_chars.
 
     Turns stand in the order of (turn, role, text), nulls first; null roles and
     texts are empty, a null conv_id is a conversation like any other, and
-    repeated rows are turns of their own. segment is the formatted text
-    since the previous example; its target is the `target_chars` characters
-    from `target_start` (from 0), in escaped form; null where a last row only
-    holds trailing turns. The example's whole text is the segments of the
-    conversation up to and including its own, context_before characters before
-    it. Other columns are not read; an empty table gives no rows.
+    repeated rows are turns of their own. text is all turns up to the reply, formatted; its target is the `target_chars`
+    characters from `target_start` (from 0), in escaped form; null where a last row ends with other
+    turns. last: whether text is the whole conversation. Other columns are not read; an empty table gives no rows.
+    A conversation's turns must fit one row, as must its longest example.
     """
     turn = F.struct(
         F.col("turn").cast("long").alias("turn"),
@@ -60,61 +55,45 @@ def prefix_target_examples(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     grouped = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    replies = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: F.get(F.col("turns"), i)["role"] == "assistant")
-    last = F.size("turns") - 1
-    cuts = grouped.select("conv_id", "turns", replies.alias("replies")).select(
+    formatted = grouped.select(
         "conv_id",
-        "turns",
-        F.when(F.array_contains("replies", last), F.col("replies")).otherwise(F.array_append("replies", last)).alias("ends"),
+        F.transform("turns", lambda t: format_turn(t["role"], t["text"])).alias("parts"),
+        F.transform("turns", lambda t: F.when(t["role"] == "assistant", F.char_length(escape(t["text"])))).alias("replies"),
     )
-
-    def segment(turns: Column, first: Column, end: Column) -> Column:
-        final = F.get(turns, end)
-        head = F.array_join(F.transform(F.slice(turns, first + 1, end - first), lambda t: format_turn(t["role"], t["text"])), "")
-        opening = F.concat(F.lit(START), escape_role(final["role"]), F.lit("\n"))
-        body, reply = escape(final["text"]), final["role"] == "assistant"
-        return F.struct(
-            F.concat(head, opening, body, F.lit(END + "\n")).alias("segment"),
-            F.when(reply, F.char_length(head) + F.char_length(opening)).cast("long").alias("target_start"),
-            F.when(reply, F.char_length(body)).cast("long").alias("target_chars"),
-        )
-
-    rows = F.transform(
-        F.col("ends"),
-        lambda end, i: segment(F.col("turns"), F.coalesce(F.get(F.col("ends"), i - 1) + 1, F.lit(0)), end),
-    )
-    parts = cuts.select("conv_id", rows.alias("parts"))
-    out = parts.select("conv_id", F.posexplode("parts").alias("example", "part")).select("conv_id", "example", "part.*")
-    running = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, -1)
-    return out.withColumn("context_before", F.coalesce(F.sum(F.char_length("segment").cast("long")).over(running), F.lit(0).cast("long")))
-
-
-def full_examples(examples: DataFrame) -> DataFrame:
-    """conv_id, example, context and target written out; by nature as large as the square of a conversation's turns."""
-    earlier = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, 0)
-    text = F.array_join(F.collect_list("segment").over(earlier), "")
-    rows = examples.withColumn("whole", text).where(F.col("target_start").isNotNull())
-    start = (F.col("context_before") + F.col("target_start")).cast("int")
-    return rows.select(
+    # One row for each turn that ends an example; only then is its text put together.
+    ends = formatted.select("conv_id", "parts", F.posexplode("replies").alias("end", "reply_chars")).where("reply_chars is not null or end = size(parts) - 1")
+    row = ends.select("conv_id", "end", (F.col("end") == F.size("parts") - 1).alias("last"), "reply_chars", F.array_join(F.slice("parts", F.lit(1), F.col("end") + 1), "").alias("text"))
+    return row.select(
         "conv_id",
-        "example",
-        F.substring(F.col("whole"), F.lit(1), start).alias("context"),
-        unescape(F.substring(F.col("segment"), (F.col("target_start") + 1).cast("int"), F.col("target_chars").cast("int"))).alias("target"),
+        F.col("end").alias("example"),
+        "last",
+        "text",
+        (F.char_length("text") - len(END + "\n") - F.col("reply_chars")).cast("long").alias("target_start"),
+        F.col("reply_chars").cast("long").alias("target_chars"),
     )
 
 
+def context_and_target(examples: DataFrame) -> DataFrame:
+    """conv_id, example, context (up to where the reply begins, formatted) and target (the reply itself) of each example with a target."""
+    start, chars = F.col("target_start").cast("int"), F.col("target_chars").cast("int")
+    rows = examples.where(F.col("target_start").isNotNull())
+    return rows.select("conv_id", "example", F.substring("text", F.lit(1), start).alias("context"), unescape(F.substring("text", start + 1, chars)).alias("target"))
+
+
 def read_back(examples: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, from the example rows alone.
 
-    formatted_chars is the summed length of all examples, contexts included.
+    formatted_chars is the summed length of all examples, contexts included. What is brought together of a conversation is
+    its targets and its last row, which holds all turns.
     """
-    target = F.substring(F.col("segment"), (F.col("target_start") + 1).cast("int"), F.col("target_chars").cast("int"))
-    grouped = examples.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("example", "segment", target.alias("target")))).alias("rows"),
-        F.sum(F.col("context_before") + F.char_length("segment")).alias("formatted_chars"),
+    target = F.substring(F.col("text"), (F.col("target_start") + 1).cast("int"), F.col("target_chars").cast("int"))
+    narrow = examples.select("conv_id", "example", target.alias("target"), F.char_length("text").cast("long").alias("chars"), F.when(F.col("last"), F.col("text")).alias("whole"))
+    grouped = narrow.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("target").isNotNull(), F.struct("example", "target")))).alias("rows"),
+        F.max("whole").alias("whole"),
+        F.sum("chars").alias("formatted_chars"),
     )
-    whole = F.array_join(F.transform("rows", lambda r: r["segment"]), "")
-    pieces = F.filter(F.split(whole, r"<\|im_start\|>"), lambda p: p != "")
+    pieces = F.filter(F.split("whole", r"<\|im_start\|>"), lambda p: p != "")
 
     def turn(piece: Column) -> Column:
         role = F.substring_index(piece, "\n", 1)
@@ -122,15 +101,12 @@ def read_back(examples: DataFrame) -> DataFrame:
         text = F.substring(body, F.lit(1), F.char_length(body) - len(END) - 1)
         return F.concat(unescape_role(role), F.lit("\n"), unescape(text), F.lit("\n"))
 
-    loss = F.array_join(F.transform(F.filter("rows", lambda r: r["target"].isNotNull()), lambda r: unescape(r["target"])), "")
-    return (
-        grouped.select("conv_id", "formatted_chars", F.transform(pieces, turn).alias("turns"), loss.alias("loss"))
-        .select(
-            "conv_id",
-            F.size("turns").cast("long").alias("n_turns"),
-            F.sha2(F.array_join("turns", "").cast("binary"), 256).alias("turns_sha256"),
-            F.char_length("loss").cast("long").alias("loss_chars"),
-            F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
-            F.col("formatted_chars").cast("long"),
-        )
+    loss = F.array_join(F.transform("rows", lambda r: unescape(r["target"])), "")
+    return grouped.select("conv_id", "formatted_chars", F.transform(pieces, turn).alias("turns"), loss.alias("loss")).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("turns", "").cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
     )

@@ -336,9 +336,24 @@ def test_chat(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"segment": F.lit(1), "example": F.lit("x")})
     examples = chat.prefix_target_examples(df)
     same([tuple(r)[:5] for r in chat.read_back(examples).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256").collect()], want)
-    full = chat.full_examples(examples).where("conv_id = 4").orderBy("example").collect()
+    full = chat.context_and_target(examples).where("conv_id = 4").orderBy("example").collect()
     assert [r.target for r in full] == ["same", "same"]
     assert full[1].context == "<|im_start|>assistant\nsame<|im_end|>\n<|im_start|>assistant\n"
+    for r in chat.context_and_target(examples).where("conv_id = 1").collect():
+        before = groups[1][: r.example]
+        assert r.target == groups[1][r.example][2] and r.context.count(chat.START) == len(before) + 1 and r.context.count(chat.END) == len(before)
+    assert Counter(r.conv_id for r in examples.where("target_start is not null").collect()) == Counter(c for c, turns in groups.items() for _, role, _ in turns if role == "assistant")
+    chars = {r[0]: r[1] for r in examples.groupBy("conv_id").agg(F.sum(F.length("text"))).collect()}
+    assert chars == {r.conv_id: r.formatted_chars for r in chat.read_back(examples).collect()}
+
+
+def test_chat_of_many_turns(spark):
+    """Each reply's context is all of the conversation before it, however long."""
+    rows = [(1, t, ("user", "assistant")[t % 2], f"turn {t} <|im_end|> " + "x" * 200) for t in range(600)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = chat.read_back(chat.prefix_target_examples(df)).collect()
+    each = [len(f"<|im_start|>{r}\n{x}<|im_end|>\n") + 1 for _, _, r, x in rows]
+    assert [(r.n_turns, r.loss_chars, r.formatted_chars) for r in got] == [(600, sum(len(x) for _, _, r, x in rows if r == "assistant"), sum(sum(each[: t + 1]) for t in range(1, 600, 2)))]
 
 
 def test_url_filter(spark):
