@@ -6,7 +6,7 @@ least `threshold` of the template's distinct words. Template words are ordered b
 the number of documents that hold them, rarest first; a block can match only if it
 holds one of a template's prefix words (prefix filter), has words enough (length filter)
 and if what is left behind the matched place can still make up the threshold
-(positional filter). The templates are configuration: a few, of bounded length.
+(positional filter). The templates are configuration, and their size is checked.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_bytes, slices
+from .license_texts import TEXTS
 
 #: Fixed phrases and labels of query op5.
 PHRASES = (
@@ -30,8 +31,8 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-#: Opening sentences of common licenses, by label.
-TEMPLATES = (
+#: Opening sentences of common licenses, by label.
+OPENINGS = (
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("apache", "Licensed under the Apache License; you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
@@ -42,6 +43,11 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
+#: All templates: opening sentences, whole texts, and the notices that name a license.
+TEMPLATES = (*OPENINGS, *TEXTS)
+#: Largest templates, all together, that are shipped with every task.
+MAX_TEMPLATE_BYTES = 8_000_000
+
 THRESHOLD = 0.8
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -66,44 +72,48 @@ def find_phrases(words: list[bytes], phrases: list[tuple[list[bytes], str]]) ->
 
 
 class Templates:
-    """Templates with their words in one global order, and the words that open a look at a block."""
+    """Templates with their words in one global order, and the words that open a look at a block.
+
+    A template of L words is held against blocks of 2 L words, one every L words: any L words of a document are in one of them.
+    """
 
     def __init__(self, templates, order: dict[bytes, int], threshold: float):
-        self.vocabulary = frozenset(w for _, text in templates for w in words_of(text.encode()))
-        self.rank = {w: (order.get(w, 0), w) for w in self.vocabulary}
-        self.items = []
+        texts = [(label, words_of(text.encode())) for label, text in templates]
+        if sum(len(w) for _, words in texts for w in words) > MAX_TEMPLATE_BYTES:
+            raise ValueError(f"the templates exceed {MAX_TEMPLATE_BYTES} bytes")
+        self.items: list[tuple[str, dict[bytes, int], int, int]] = []
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
-        for label, text in templates:
-            tokens = sorted(set(words_of(text.encode())), key=self.rank.__getitem__)
+        for label, words in texts:
+            tokens = sorted(set(words), key=lambda w: (order.get(w, 0), w))
             if not tokens:
                 raise ValueError(f"template {label!r} has no words")
             need = math.ceil(threshold * len(tokens) - 1e-9)
             for place, token in enumerate(tokens[: len(tokens) - need + 1]):
                 self.prefix.setdefault(token, []).append((len(self.items), place))
-            self.items.append((label, frozenset(tokens), need))
-        longest = max(len(words_of(text.encode())) for _, text in templates)
-        self.step, self.span = longest, 2 * longest
+            self.items.append((label, {w: i for i, w in enumerate(tokens)}, need, len(words)))
 
     def matches(self, words: list[bytes]) -> dict[str, float]:
         """Label -> best containment of all blocks that meet the threshold."""
         if self.prefix.keys().isdisjoint(words):
             return {}
+        first: dict[tuple[int, int], int] = {}  # template and block -> place of its rarest word there: none before it is there
+        for at, word in enumerate(words):
+            for number, place in self.prefix.get(word, ()):
+                step = self.items[number][3]
+                last = max(0, -(-(len(words) - step) // step) - 1)  # the last block starts here, however much it has
+                for block in {min(at // step, last), min(max(0, at // step - 1), last)}:
+                    if place < first.get((number, block), len(words) + place + 1):
+                        first[number, block] = place
         found: dict[str, float] = {}
-        for start in range(0, max(1, len(words) - self.step), self.step):
-            block = set(words[start : start + self.span])
-            known = sorted(block & self.vocabulary, key=self.rank.__getitem__)
-            done = set()
-            for after, token in enumerate(known):
-                for number, place in self.prefix.get(token, ()):
-                    label, tokens, need = self.items[number]
-                    if number in done or len(block) < need:
-                        continue
-                    done.add(number)  # the rarest shared word: none before it is shared
-                    if min(len(tokens) - place, len(known) - after) < need:
-                        continue
-                    hits = len(tokens & block)
-                    if hits >= need:
-                        found[label] = max(found.get(label, 0.0), hits / len(tokens))
+        for (number, block), place in first.items():
+            label, tokens, need, step = self.items[number]
+            part = words[block * step : (block + 2) * step]
+            # Length filter, then positional filter: what stands behind the rarest word there must be enough.
+            if len(part) < need or len(tokens) - place < need:
+                continue
+            hits = len(tokens.keys() & part)
+            if hits >= need:
+                found[label] = max(found.get(label, 0.0), hits / len(tokens))
         return found
 
 

@@ -90,6 +90,17 @@ def _split(text: str) -> str:
     return f"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _license_words(text: str) -> list[str]:
+    return [w.decode() for w in license_scan.words_of(text.encode())]
+
+
+_PHRASES = ", ".join(f"({_list(_license_words(p))}, '{label}')" for p, label in license_scan.PHRASES)
+_TEMPLATES = ", ".join(f"('{label}', {_list(_license_words(text))})" for label, text in license_scan.TEMPLATES)
+
 ORACLE_SQL = {
     "op1_line_dedup": f"""
 WITH l AS (
@@ -126,6 +137,31 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) A
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op4_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM d),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b USING (t) WHERE a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN c ON a = doc_id""",
+    "op5_license_scan": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p(phrase, label) AS (VALUES {_PHRASES}),
+s AS (SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), p WHERE w[i] = phrase[1] AND list_slice(w, i, i + len(phrase) - 1) = phrase),
+b AS (SELECT doc_id, count(*) AS n, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM s GROUP BY 1),
+t(label, words) AS (VALUES {_TEMPLATES}),
+k AS (SELECT label, list_distinct(words) AS tokens, len(words) AS size FROM t),
+c AS (SELECT doc_id, label, len(list_intersect(tokens, list_slice(w, start + 1, start + 2 * size))) / len(tokens) AS share
+  FROM (SELECT *, unnest(range(0, greatest(1, len(w) - size), size)) AS start FROM d, k)),
+m AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM c WHERE share >= {license_scan.THRESHOLD} - 1e-9 GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word, last_word,
+       array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') AS labels,
+       CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)""",
     # formatted_chars by lengths: marks, role (where one more backslash goes before each bar after "<"), text alike.
     "op6_chat_format": r"""
 WITH c AS (

@@ -303,19 +303,48 @@ def test_license_scan(spark, table):
     assert extra[900] == ("apache,cc-by,mit", 1.0) and extra[902][0] == "bsd" and 0.8 <= extra[902][1] <= 1 and extra[903] == ("", 0.0)
 
 
+def plain_matches(words, templates, threshold=0.8):
+    """Best containment by label, of every block in full."""
+    want = {}
+    for label, text in templates:
+        own = license_scan.words_of(text.encode())
+        tokens, size = set(own), len(own)
+        for start in range(0, max(1, len(words) - size), size):
+            share = len(tokens & set(words[start : start + 2 * size])) / len(tokens)
+            if share >= threshold - 1e-9:
+                want[label] = max(want.get(label, 0), share)
+    return want
+
+
 def test_license_filters_lose_nothing():
     rng = random.Random(3)
-    table = license_scan.Templates(license_scan.TEMPLATES, {}, 0.8)
-    for _ in range(300):
+    every = [w for _, text in license_scan.TEMPLATES for w in license_scan.words_of(text.encode())]
+    order = Counter(every)
+    table = license_scan.Templates(license_scan.TEMPLATES, order, 0.8)
+    for k in range(300):
         label, text = rng.choice(license_scan.TEMPLATES)
-        words = license_scan.words_of(text.encode())
-        words = [w for w in words if rng.random() > 0.15]
-        block = set(words)
-        want = {}
-        for name, tokens, need in table.items:
-            if len(tokens & block) >= need:
-                want[name] = max(want.get(name, 0), len(tokens & block) / len(tokens))
-        assert table.matches([b"x"] * 7 + words) == want
+        words = [w for w in license_scan.words_of(text.encode()) if rng.random() > 0.15]
+        around = rng.choices(every if k % 2 else [b"x"], k=rng.choice([0, 3, 170, 900]))
+        words = around[: len(around) // 3] + words + around[len(around) // 3 :]
+        assert table.matches(words) == plain_matches(words, license_scan.TEMPLATES)
+
+
+def test_licenses_are_found_wherever_they_stand(spark):
+    """Whole texts, a word in ten lost, across the borders of blocks and behind much else."""
+    rng = random.Random(9)
+    rows, want = [], {}
+    for i, (label, text) in enumerate(license_scan.TEXTS):
+        words = [w.decode() for w in license_scan.words_of(text.encode())]
+        for k, before in enumerate((0, 7, 101, 20_000)):
+            kept = [w for n, w in enumerate(words) if len(words) < 20 or n % 10 != k]
+            rows.append((10 * i + k, " ".join(["filler"] * before + kept + ["end"] * rng.randrange(300)), "en", "s", 1))
+            want[10 * i + k] = label
+    rows.append((9999, "an apache flew under the general license of public work " * 30, "en", "s", 1))
+    got = {r.doc_id: r for r in license_scan.scan_licenses(frame(spark, rows)).collect()}
+    assert {i: want[i] for i in want if want[i] not in got[i].labels.split(",") or got[i].score < 0.8} == {}
+    assert got[9999].labels == "" and got[9999].score < 0.8
+    with pytest.raises(ValueError):
+        license_scan.Templates([("a", "word " * 3_000_000)], {}, 0.8)
 
 
 def test_chat(spark):
