@@ -178,6 +178,29 @@ SELECT conv_id, max(n) AS n_turns, sha256(string_agg(role || chr(10) || text ||
        sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
        (sum(upto) FILTER (role = 'assistant' OR i = n))::BIGINT AS formatted_chars
 FROM u GROUP BY conv_id""",
+    "op7_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_split("text")} AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: list_slice(w, i, i + 2))) AS g FROM d),
+t AS (SELECT doc_id, i FROM g JOIN (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) > 1) USING (doc_id, g)),
+r AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM t, unnest(range(3)) AS o(o) GROUP BY 1),
+l AS (SELECT doc_id, unnest(lines) AS line FROM d),
+b AS (SELECT doc_id, line, trim(line, {_BLANKS}) AS body FROM l),
+j AS (SELECT *, len(regexp_extract_all(body, '[^ 	-
+]+')) AS words FROM b WHERE body <> ''),
+f AS (SELECT doc_id, line, body, NOT regexp_matches(body, '[\p{{L}}\p{{N}}]') OR 4 * len(regexp_extract_all(body, '{quality._MARKS}+')) > words
+  OR (words <= {quality.SHORT_LINE} AND (len(regexp_extract_all(body, '[ 	-
+]{quality._BARS}[ 	-
+]')) >= 2
+      OR regexp_matches(translate(body, {_LOWER}), '{quality.any_of(quality.BOILERPLATE)}'))) AS fails FROM j),
+x AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (fails) AS failed,
+  coalesce(sum(length(regexp_replace(body, '[ 	-
+]', '', 'g'))) FILTER (fails), 0) AS lost FROM f GROUP BY 1),
+v AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[ 	-
+]', '', 'g')) AS word_chars, len(regexp_extract_all(text, '{quality.SYMBOLS}')) AS n_symbols,
+  coalesce(dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(failed, 0) AS n_failed_lines, coalesce(lost, 0) AS lost
+  FROM d LEFT JOIN x USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_failed_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR lost > {quality.MAX_LOST} * word_chars) AS kept FROM v""",
     "op8_substring_dedup": f"""
 WITH w AS (SELECT doc_id, {_split("text")} AS w FROM documents),
 p AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS k FROM w, unnest(range(1, len(w) - 48)) AS t(i)),
