@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import sys
 import tempfile
@@ -70,11 +71,31 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
+#: Rows that are sent to a Python worker at once while a table is stored, where the session has Spark's default.
+ROWS_PER_BATCH = 2_000
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Small batches for the time of one job; the session's setting is put back after it."""
+    before = spark.conf.get(_BATCH_SETTING, None)
+    if before not in (None, _BATCH_DEFAULT):
+        yield
+        return
+    spark.conf.set(_BATCH_SETTING, str(ROWS_PER_BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH_SETTING) if before is None else spark.conf.set(_BATCH_SETTING, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again, so that no later job repeats its work."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path
     return table
@@ -92,7 +113,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 #: Text, in bytes, that a worker has as Python objects at once. What reaches it at once is bounded by Spark itself
-#: (spark.sql.execution.arrow.maxBytesPerBatch), which no operator changes.
+#: (spark.sql.execution.arrow.maxBytesPerBatch).
 SLICE_BYTES = 4_000_000
 
 

@@ -38,6 +38,8 @@ TOKENS_PER_PART, FILTER_SLOTS = 200_000, 1 << 20
 TOKENS_PER_BATCH = 1_000_000
 #: Members per part of an opened group; bits of a bitmap per token of its set, at least.
 MEMBERS_PER_PART, BITS_PER_TOKEN = 64, 1.7
+#: Nodes with a part of a group each that a worker has as Python objects at once.
+ROWS_AT_ONCE = 200
 #: Rounds in which groups form; more of them leave fewer pairs of groups to look into.
 ROUNDS = 2
 
@@ -85,22 +87,23 @@ def _set_reader(size: int, seed: int):
     """Kind 0: doc_id, n, node and check hash of each set. Kind 1: this task's count of tokens by slot, in chunks."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        counts = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
         names = ["kind", "doc_id", "n", "node", "check", "raw"]
         for batch in slices(batches, "text"):
             sets = [shingles(word_hashes((t or b"").lower()), size) for t in column_bytes(batch, "text")]
             if sets:
-                counts += np.bincount(_slots(np.concatenate(sets)), minlength=len(counts))
+                slots, n = np.unique(_slots(np.concatenate(sets)), return_counts=True)
+                counts[slots] += n.astype(np.uint32)  # a task reads fewer tokens than overflow it
             keys = [xxhash.xxh3_128_intdigest(s.tobytes(), seed=seed) for s in sets]
             halves = np.array([(k >> 64, k & (2**64 - 1)) for k in keys], dtype=np.uint64).reshape(-1, 2)
             columns = [np.zeros(len(sets), np.int32), batch.column("doc_id"), np.array([len(s) for s in sets], np.int64)]
             columns = [*map(pa.array, columns), *(pa.array(h.view(np.int64)) for h in halves.T.copy()), pa.array(map(parity_bits, sets), pa.binary(), size=len(sets))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
-        chunks = np.minimum(counts, 2**32 - 1).reshape(-1, 1 << CHUNK_BITS)  # more than a task can read
+        chunks = counts.reshape(-1, 1 << CHUNK_BITS)
         used = np.nonzero(chunks.any(axis=1))[0]
         zeros = np.zeros(len(used), np.int64)
         columns = [np.ones(len(used), np.int32), zeros, zeros, used, zeros]
-        raw = pa.array([chunks[i].astype("<u4").tobytes() for i in used], pa.binary())
+        raw = pa.array([chunks[i].tobytes() for i in used], pa.binary())
         yield pa.RecordBatch.from_arrays([*map(pa.array, columns), raw], names=names)
 
     return read
@@ -376,7 +379,7 @@ def _left(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """node, target, left: of the members those whose bitmap leaves a similarity at the threshold possible, with how much."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, len(b), ROWS_AT_ONCE)):
             rows = []
             for row in batch.to_pylist():
                 close = [(m["other"], _closeness(row["bits"], row["n"], m["bits"], m["n"], percent)) for m in row["members"]]
