@@ -35,7 +35,7 @@ SLOT_BITS, CHUNK_BITS = 22, 14
 #: Prefix tokens per part of the posting table; slots of the filter that keeps texts nobody asks for off the network.
 TOKENS_PER_PART, FILTER_SLOTS = 200_000, 1 << 20
 #: Prefix tokens that a mapper compares at once.
-TOKENS_PER_BATCH = 1_000_000
+TOKENS_PER_BATCH = 600_000
 #: Members per part of an opened group; bits of a bitmap per token of its set, at least.
 MEMBERS_PER_PART, BITS_PER_TOKEN = 64, 1.7
 #: Nodes with a part of a group each that a worker has as Python objects at once.
@@ -289,7 +289,8 @@ def _links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, levels: bytes, se
     postings = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_posting_reader, "token long, node long, place int")
     bits = nodes.select("node", "n", "bits")
     # after: tokens from this one on. If it is the first that two sets share, they share no more than either has after it.
-    posts = stored(postings.join(nodes.select("node", "n"), "node").select("token", "node", "n", (F.col("n") - F.col("place")).alias("after"), F.col("node").alias("grp"), F.lit(1).cast("long").alias("size")), "posts")
+    placed = postings.groupBy("token", "node").agg(F.min("place").alias("place")).join(nodes.select("node", "n"), "node")
+    posts = stored(_lists(placed.select("token", "node", "n", (F.col("n") - F.col("place")).alias("after"))), "posts")
     near = groups = None
     for turn in range(ROUNDS):
         found = _verified(rows, nodes, _leads(posts, bits, turn, percent), seed, words, percent)
@@ -314,12 +315,23 @@ def _links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, levels: bytes, se
     return both.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
+def _lists(posts: DataFrame) -> DataFrame:
+    """One row for all tokens of a node that have the same nodes (a passage's, or a group of copies'), as one token of that weight.
+
+    Lists of nodes are told apart by a hash; should two of them clash, there are more candidates, and none is lost.
+    """
+    hashes = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"h{i}") for i in range(2)]
+    lists = posts.groupBy("token").agg(F.count("*").alias("c"), *hashes).select("token", F.xxhash64("c", "h0", "h1").alias("list"))
+    merged = posts.join(lists, "token").groupBy(F.col("list").alias("token"), "node").agg(F.first("n").alias("n"), F.max("after").alias("after"), F.count("*").alias("weight"))
+    return merged.select("token", "node", "n", "after", "weight", F.col("node").alias("grp"), F.lit(1).cast("long").alias("size"))
+
+
 def _across(posts: DataFrame, groups: DataFrame) -> DataFrame:
     """Posts with their groups of now, of the tokens that more than one group has."""
     sized = groups.join(groups.groupBy("grp").agg(F.count("*").alias("size")), "grp")
     posts = posts.drop("grp", "size").join(sized, "node", "left").withColumns({"grp": F.coalesce("grp", "node"), "size": F.coalesce("size", F.lit(1).cast("long"))})
     several = posts.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("token")
-    return stored(posts.join(several, "token", "left_semi").select("token", "node", "n", "after", "grp", "size"), "posts")
+    return stored(posts.join(several, "token", "left_semi").select("token", "node", "n", "after", "weight", "grp", "size"), "posts")
 
 
 def _leads(posts: DataFrame, bits: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -332,7 +344,7 @@ def _leads(posts: DataFrame, bits: DataFrame, turn: int, percent: int) -> DataFr
     first = posts.groupBy("token").agg(F.min(lead).alias("lead")).select("token", "lead.*")
     need = _needed(F.col("n"), F.col("lead_n"), percent)
     tries = posts.join(first, "token").where((F.col("grp") != F.col("lead_grp")) & (F.col("after") >= need) & (F.col("lead_after") >= need))
-    counted = tries.groupBy("node", "lead_node").agg(F.count("*").alias("c"))
+    counted = tries.groupBy("node", "lead_node").agg(F.sum("weight").alias("c"))
     best = counted.groupBy("node").agg(F.max(F.struct("c", "lead_node")).alias("best")).select("node", F.col("best.lead_node").alias("other"))
     theirs = bits.select(F.col("node").alias("other"), F.array(F.struct(F.col("node").alias("other"), "n", "bits")).alias("members"))
     return _closest(_left(best.join(theirs, "other").select("node", F.lit(0).cast("long").alias("target"), "members"), bits, percent))
@@ -354,7 +366,7 @@ def _opened_groups(posts: DataFrame, percent: int) -> DataFrame:
     sized = (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
     met = posts.join(matrix, "token").where(asks & sized)
     overlap = met.groupBy("node", "target").agg(
-        F.first("n").alias("n"), F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("after").alias("after"), F.max("most_after").alias("most_after")
+        F.first("n").alias("n"), F.sum("weight").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("after").alias("after"), F.max("most_after").alias("most_after")
     )
     n = F.col("n")
     low, high = F.greatest(F.col("low"), _ceil(percent * n, 100)), F.least(F.col("high"), F.floor(100 * n / percent).cast("long"))
