@@ -71,30 +71,34 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
-#: Rows that are sent to a Python worker at once while a table is stored, where the session has Spark's default.
-ROWS_PER_BATCH = 2_000
-_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+#: Settings for the time in which a table is stored, where the session has Spark's defaults: few rows at once for a Python
+#: worker, and no tables sent to all executors but those that an operator has checked itself.
+_WHILE_STORED = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+    "spark.sql.autoBroadcastJoinThreshold": ("10485760b", "-1"),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": (None, "-1"),
+}
 
 
 @contextlib.contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Small batches for the time of one job; the session's setting is put back after it."""
-    before = spark.conf.get(_BATCH_SETTING, None)
-    if before not in (None, _BATCH_DEFAULT):
-        yield
-        return
-    spark.conf.set(_BATCH_SETTING, str(ROWS_PER_BATCH))
+def _own_settings(spark: SparkSession) -> Iterator[None]:
+    """_WHILE_STORED for one job; the session's settings are put back after it."""
+    before = {key: spark.conf.get(key, None) for key in _WHILE_STORED}
+    changed = [key for key, (default, _) in _WHILE_STORED.items() if before[key] in (None, default)]
+    for key in changed:
+        spark.conf.set(key, _WHILE_STORED[key][1])
     try:
         yield
     finally:
-        spark.conf.unset(_BATCH_SETTING) if before is None else spark.conf.set(_BATCH_SETTING, before)
+        for key in changed:
+            spark.conf.unset(key) if before[key] is None else spark.conf.set(key, before[key])
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again, so that no later job repeats its work."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    with _small_batches(spark):
+    with _own_settings(spark):
         df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path

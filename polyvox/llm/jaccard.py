@@ -252,7 +252,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sets, levels, seed = _read_sets(rows, words)
     real = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    nodes = real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = stored(real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
     links = _links(rows, nodes, sets, levels, seed, words, percent)
     twice = real.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     own = real.join(twice.select("doc_id"), "doc_id", "left_semi").join(nodes.select("node", "rep"), "node").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

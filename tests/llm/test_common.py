@@ -58,3 +58,14 @@ def test_slices():
         parts = list(common.slices(iter([batch, batch.slice(0, 0)]), "text", most))
         assert [t for p in parts for t in p.column("text").to_pylist()] == texts
         assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p.column("text").to_pylist()) <= most for p in parts)
+
+
+def test_settings_are_put_back(spark):
+    keys = list(common._WHILE_STORED)
+    before = [spark.conf.get(k, None) for k in keys]
+    inside = []
+    table = spark.range(3).mapInArrow(lambda batches: batches, "id long")
+    with common._own_settings(spark):
+        inside = [spark.conf.get(k) for k in keys]
+    common.stored(table, "settings")
+    assert inside == ["2000", "-1", "-1"] and [spark.conf.get(k, None) for k in keys] == before
