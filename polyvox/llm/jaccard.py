@@ -290,7 +290,9 @@ def _links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, levels: bytes, se
     bits = nodes.select("node", "n", "bits")
     # after: tokens from this one on. If it is the first that two sets share, they share no more than either has after it.
     placed = postings.groupBy("token", "node").agg(F.min("place").alias("place")).join(nodes.select("node", "n"), "node")
-    posts = stored(_lists(placed.select("token", "node", "n", (F.col("n") - F.col("place")).alias("after"))), "posts")
+    placed = stored(placed.select("token", "node", "n", (F.col("n") - F.col("place")).alias("after")), "placed")
+    posts = stored(_lists(placed), "posts")
+    discard(placed)
     near = groups = None
     for turn in range(ROUNDS):
         found = _verified(rows, nodes, _leads(posts, bits, turn, percent), seed, words, percent)
