@@ -74,7 +74,7 @@ def shared_folder(spark: SparkSession) -> str:
 #: Settings for the time in which a table is stored, where the session has Spark's defaults: few rows at once for a Python
 #: worker, and no tables sent to all executors but those that an operator has checked itself.
 _WHILE_STORED = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
     "spark.sql.autoBroadcastJoinThreshold": ("10485760b", "-1"),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": (None, "-1"),
 }

@@ -68,4 +68,4 @@ def test_settings_are_put_back(spark):
     with common._own_settings(spark):
         inside = [spark.conf.get(k) for k in keys]
     common.stored(table, "settings")
-    assert inside == ["2000", "-1", "-1"] and [spark.conf.get(k, None) for k in keys] == before
+    assert inside == ["1000", "-1", "-1"] and [spark.conf.get(k, None) for k in keys] == before
