@@ -150,19 +150,19 @@ def _cut(n: int) -> str:
     return "CASE " + " ".join(cuts) + " END"
 
 
-@query(f"SELECT doc_id, {_cut(101)} AS prefix FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, {_cut(101)} AS prefix FROM documents")
 def utf8_prefix(spark, sf):
-    docs = table(spark, sf, "documents").where("text is not null")
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", T.utf8_prefix(F.col("text"), 101).alias("prefix"))
 
 
 @query(r"""SELECT doc_id, trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS collapsed,
 CASE WHEN length(text) <= 60 THEN text ELSE coalesce(nullif(regexp_extract(left(text, 60), '(?s)^(.*) ', 1), ''), left(text, 60)) || '...' END AS cut,
 upper(left(text, 1)) || substr(text, 2) AS capital, CASE WHEN regexp_matches(lower(text), '^[aeiou]') THEN 'an' ELSE 'a' END AS article,
-replace(replace(text, ' ', '▁'), chr(10), '↵') AS shown FROM documents WHERE text IS NOT NULL""")
+replace(replace(text, ' ', '▁'), chr(10), '↵') AS shown FROM documents""")
 def text_forms(spark, sf):
     t = F.col("text")
-    docs = table(spark, sf, "documents").where("text is not null")
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", T.collapse_blanks(t).alias("collapsed"), T.truncate_words(t, 60).alias("cut"), T.capitalized(t).alias("capital"), T.article(t).alias("article"), T.token_display(t).alias("shown"))
 
 
@@ -716,17 +716,17 @@ def _mode_samples(spark, sf):
     return docs.withColumn("k", F.row_number().over(Window.partitionBy("mode").orderBy("doc_id")).cast("long") - 1)
 
 
-def _mode_bits(spark, sf, pairs=pairwise.rotated_pairs):
+def _mode_bits(spark, sf):
     samples = _mode_samples(spark, sf)
     words = samples.select("mode", "k", F.explode(T.ws_words(F.col("text"))).alias("word")).groupBy("mode", "k", "word").agg(F.count("*").alias("c"))
-    return pairwise.conditional_bits(pairs(samples.select("mode", "k"), "mode", "k"), words)
+    return pairwise.conditional_bits(pairwise.whole_pairs(samples.select("mode", "k"), "mode", "k"), words)
 
 
 _MODES = f"""s AS (SELECT lang AS mode, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k, coalesce(text, '') AS text FROM documents),
 wc AS (SELECT mode, k, word, count(*) AS c FROM (SELECT mode, k, unnest({_words('text')}) AS word FROM s) GROUP BY ALL),
 ty AS (SELECT count(DISTINCT word) AS types FROM wc), tot AS (SELECT mode, k, sum(c)::BIGINT AS total FROM wc GROUP BY 1, 2),
-sz AS (SELECT min(n) AS m FROM (SELECT mode, count(*) AS n FROM s GROUP BY 1)),
-pr AS (SELECT c.mode AS ctx, t.mode AS tgt, t.k, c.k AS ctx_k FROM s t JOIN sz ON t.k < m JOIN s c ON c.k = (t.k + 1) % m),
+sz AS (SELECT mode, count(*) AS n FROM s GROUP BY 1),
+pr AS (SELECT c.mode AS ctx, t.mode AS tgt, t.k, c.k AS ctx_k FROM s t CROSS JOIN sz JOIN s c ON c.mode = sz.mode AND c.k = (t.k + 1) % n WHERE c.mode <> t.mode OR c.k <> t.k),
 bits AS (SELECT pr.ctx, pr.tgt, pr.k, pr.ctx_k, sum(-w.c * log2((coalesce(h.c, 0) + 0.5) / (total + 0.5 * (types + 1)))) AS bits, sum(w.c * log2(types + 1.0)) AS alone
   FROM pr JOIN wc w ON w.mode = pr.tgt AND w.k = pr.k LEFT JOIN wc h ON h.mode = pr.ctx AND h.k = pr.ctx_k AND h.word = w.word JOIN tot ON tot.mode = pr.ctx AND tot.k = pr.ctx_k, ty GROUP BY ALL),
 mx AS (SELECT ctx, tgt, avg(alone - bits) AS mean, stddev_pop(alone - bits) AS std, stddev_pop(alone - bits) / sqrt(count(*)) AS sem FROM bits GROUP BY 1, 2)"""
@@ -768,52 +768,6 @@ def symmetry_fit(spark, sf):
     return rounded(pairwise.symmetry_fit(_matrix(spark, sf)), 4)
 
 
-# The same over all documents: the six above hold to the numbers that the smallest language has, as their SQL does.
-
-_WHOLE_PAIRS = """sz AS (SELECT mode, count(*) AS n FROM s GROUP BY 1),
-pr AS (SELECT c.mode AS ctx, t.mode AS tgt, t.k, c.k AS ctx_k FROM s t CROSS JOIN sz JOIN s c ON c.mode = sz.mode AND c.k = (t.k + 1) % n WHERE c.mode <> t.mode OR c.k <> t.k),
-"""
-
-
-def _whole(name: str) -> str:
-    sql = ORACLE_SQL[name]
-    return sql[: sql.index("sz AS (")] + _WHOLE_PAIRS + sql[sql.index("bits AS (") :]
-
-
-def _whole_matrix(spark, sf):
-    return pairwise.reduction(_mode_bits(spark, sf, pairwise.whole_pairs))
-
-
-@query(_whole("pairwise_reduction"))
-def pairwise_reduction_whole(spark, sf):
-    return rounded(_whole_matrix(spark, sf), 4)
-
-
-@query(_whole("row_means"))
-def row_means_whole(spark, sf):
-    return rounded(pairwise.margins(_whole_matrix(spark, sf), "ctx"), 4)
-
-
-@query(_whole("asymmetry"))
-def asymmetry_whole(spark, sf):
-    return rounded(pairwise.asymmetry(_whole_matrix(spark, sf)), 4)
-
-
-@query(_whole("diagonal_means"))
-def diagonal_means_whole(spark, sf):
-    return rounded(pairwise.diagonal_means(_whole_matrix(spark, sf)), 4)
-
-
-@query(_whole("top_bottom_pairs"))
-def top_bottom_pairs_whole(spark, sf):
-    return rounded(pairwise.extremes(_whole_matrix(spark, sf), 3), 4)
-
-
-@query(_whole("symmetry_fit"))
-def symmetry_fit_whole(spark, sf):
-    return rounded(pairwise.symmetry_fit(_whole_matrix(spark, sf)), 4)
-
-
 @query("""WITH t AS (SELECT l_orderkey AS id, l_linenumber - 1 AS t, l_extendedprice / 1000 - 30 AS delta FROM lineitem), n AS (SELECT id, count(*) AS n, sum(delta) AS total FROM t GROUP BY 1)
 SELECT id, n, round(CASE WHEN abs(total) > 0.1 THEN share / total END, 4) + 0.0 AS share FROM (SELECT id, any_value(n) AS n, any_value(total) AS total, sum(CASE WHEN t < n // 4 THEN delta ELSE 0 END) AS share FROM t JOIN n USING (id) GROUP BY 1)""")
 def token_first_quarter(spark, sf):

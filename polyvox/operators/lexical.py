@@ -16,13 +16,19 @@ def distinct_ngrams(texts: DataFrame, keys: Sequence[str], words: Callable[[Colu
     """
     if any(n < 1 for n in sizes):
         raise ValueError("n-gram sizes start at 1")
-    split = texts.select(*keys, words(F.col("text")).alias("_words"))
-    all_sizes = [F.struct(F.lit(n).alias("n"), _gram_hashes(F.col("_words"), n).alias("grams")) for n in sizes]
-    grams = split.select(*keys, F.explode(F.array(*all_sizes)).alias("_g")).select(*keys, F.col("_g.n").alias("n"), F.explode("_g.grams").alias("_gram"))
-    counted = grams.groupBy(*keys, "n", "_gram").agg(F.count("*").alias("c")).groupBy(*keys, "n").agg(F.count("*").alias("uniq"), F.sum("c").alias("total"))
-    grid = texts.select(*keys).distinct().withColumn("n", F.explode(F.array(*[F.lit(n) for n in sizes])))
+    # A group goes by a number in place of its keys, and a word by two hashes, so that all that is shuffled has a fixed width.
+    group = F.xxhash64(*keys).alias("_group")
+    split = texts.select(group, words(F.col("text")).alias("_words"))
+    hashed = split.select("_group", F.transform("_words", lambda w: F.xxhash64(w)).alias("_h0"), F.transform("_words", lambda w: F.xxhash64(F.lit(1), w)).alias("_h1"))
+    # Behind a generator, so that words are hashed once and not for every gram.
+    once = hashed.select("_group", F.explode(F.array(F.struct("_h0", "_h1"))).alias("_h")).select("_group", "_h.*")
+    all_sizes = [F.struct(F.lit(n).alias("n"), _gram_hashes(F.col("_h0"), F.col("_h1"), n).alias("grams")) for n in sizes]
+    grams = once.select("_group", F.explode(F.array(*all_sizes)).alias("_g")).select("_group", F.col("_g.n").alias("n"), F.explode("_g.grams").alias("_gram"))
+    fixed = grams.select("_group", "n", F.col("_gram.a").alias("_a"), F.col("_gram.b").alias("_b"))
+    counted = fixed.groupBy("_group", "n", "_a", "_b").agg(F.count("*").alias("c")).groupBy("_group", "n").agg(F.count("*").alias("uniq"), F.sum("c").alias("total"))
+    grid = texts.select(*keys).distinct().withColumn("n", F.explode(F.array(*[F.lit(n) for n in sizes]))).select("*", group)
     zero = F.lit(0).cast("long")
-    return grid.join(counted, [*keys, "n"], "left").select(
+    return grid.join(counted, ["_group", "n"], "left").select(
         *keys,
         "n",
         F.coalesce("uniq", zero).alias("uniq"),
@@ -31,11 +37,11 @@ def distinct_ngrams(texts: DataFrame, keys: Sequence[str], words: Callable[[Colu
     )
 
 
-def _gram_hashes(words: Column, n: int) -> Column:
-    """Two hashes of each run of n words."""
-    run = lambda i: [F.get(words, i + j) for j in range(n)]
-    grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(F.xxhash64(*run(i)).alias("a"), F.xxhash64(F.lit(n), *run(i)).alias("b")))
-    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<struct<a: bigint, b: bigint>>"))
+def _gram_hashes(first: Column, second: Column, n: int) -> Column:
+    """Two hashes of each run of n words, from two hashes of each word."""
+    run = lambda words, i: [F.get(words, i + j) for j in range(n)]
+    grams = F.transform(F.sequence(F.lit(0), F.size(first) - n), lambda i: F.struct(F.xxhash64(*run(first, i)).alias("a"), F.xxhash64(F.lit(n), *run(second, i)).alias("b")))
+    return F.when(F.size(first) >= n, grams).otherwise(F.array().cast("array<struct<a: bigint, b: bigint>>"))
 
 
 def averaged_distinct(distinct: DataFrame, keys: Sequence[str]) -> DataFrame:
