@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_bytes, discard, gram_hashes, slices, stored, word_hashes
@@ -360,24 +360,38 @@ def _opened_groups(posts: DataFrame, percent: int) -> DataFrame:
     from it on. How many of a node's prefix tokens are in the union is what it can share with any member there; beyond
     the end of the shorter prefix two sets of n and m share at most need - 1 tokens, the larger need of theirs. So a
     group is opened if those tokens could make up what is missing for some size that its members have.
+
+    Which pairs of a node and a group are looked up at all is told by the first token that they share: where the token before one, too,
+    is the same in the node and in all of the group's members that have it, it isn't the first.
     """
-    matrix = posts.groupBy("token", F.col("grp").alias("target")).agg(
-        F.first("size").alias("target_size"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("after").alias("most_after")
+    posts = posts.withColumn("prev", F.lag("token").over(Window.partitionBy("node").orderBy(F.desc("after"))))
+    matrix = stored(
+        posts.groupBy("token", F.col("grp").alias("target")).agg(
+            F.first("size").alias("target_size"),
+            F.min("n").alias("low"),
+            F.max("n").alias("high"),
+            F.max("after").alias("most_after"),
+            F.when((F.min("prev") == F.max("prev")) & (F.count("prev") == F.count("*")), F.min("prev")).alias("one_prev"),
+        ),
+        "matrix",
     )
+    n = F.col("n")
     # Of two groups the members of the smaller one ask: they are the fewer rows.
     asks = (F.col("size") < F.col("target_size")) | ((F.col("size") == F.col("target_size")) & (F.col("grp") > F.col("target")))
-    sized = (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
-    met = posts.join(matrix, "token").where(asks & sized)
-    overlap = met.groupBy("node", "target").agg(
-        F.first("n").alias("n"), F.sum("weight").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("after").alias("after"), F.max("most_after").alias("most_after")
-    )
-    n = F.col("n")
+    sized = (100 * F.col("high") >= percent * n) & (percent * F.col("low") <= 100 * n)
+    later = F.coalesce(F.col("prev") == F.col("one_prev"), F.lit(False))
+    need = _needed(n, F.greatest(F.col("low"), _ceil(percent * n, 100)), percent)
+    met = posts.join(matrix, "token").where(asks & sized & ~later & (F.col("after") >= need) & (F.col("most_after") >= need))
+    pairs = met.select("node", "target").distinct()
+    shared = pairs.join(posts.select("node", "token", "n", "weight"), "node").join(matrix.select("token", "target", "low", "high"), ["token", "target"]).where(sized)
+    overlap = shared.groupBy("node", "target").agg(F.first("n").alias("n"), F.sum("weight").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
     low, high = F.greatest(F.col("low"), _ceil(percent * n, 100)), F.least(F.col("high"), F.floor(100 * n / percent).cast("long"))
     # What is missing is least at one end of the sizes, but for rounding: below n it grows with the other's size, above it falls.
     missing = lambda m: _needed(n, m, percent) - F.greatest(_ceil(percent * n, 100), _ceil(percent * m, 100)) + 1
-    need = _needed(n, low, percent)
-    enough = (F.col("shared") >= F.least(missing(low), missing(high)) - 1) & (F.col("after") >= need) & (F.col("most_after") >= need)
-    return stored(overlap.where((low <= high) & enough).select("node", "target"), "opened")
+    enough = F.col("shared") >= F.least(missing(low), missing(high)) - 1
+    opened = stored(overlap.where((low <= high) & enough).select("node", "target"), "opened")
+    discard(matrix)
+    return opened
 
 
 def _in_parts(opened: DataFrame, groups: DataFrame, bits: DataFrame) -> DataFrame:
