@@ -324,9 +324,12 @@ def _lists(posts: DataFrame) -> DataFrame:
     Lists of nodes are told apart by a hash; should two of them clash, there are more candidates, and none is lost.
     """
     hashes = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"h{i}") for i in range(2)]
-    lists = posts.groupBy("token").agg(F.count("*").alias("c"), *hashes).select("token", F.xxhash64("c", "h0", "h1").alias("list"))
-    merged = posts.join(lists, "token").groupBy(F.col("list").alias("token"), "node").agg(F.first("n").alias("n"), F.max("after").alias("after"), F.count("*").alias("weight"))
-    return merged.select("token", "node", "n", "after", "weight", F.col("node").alias("grp"), F.lit(1).cast("long").alias("size"))
+    lists = posts.groupBy("token").agg(F.count("*").alias("c"), *hashes).select("token", "c", F.xxhash64("c", "h0", "h1").alias("list"))
+    merged = posts.join(lists, "token").groupBy(F.col("list").alias("token"), "node").agg(
+        F.first("n").alias("n"), F.max("after").alias("after"), F.count("*").alias("weight"), F.sum("c").alias("c")
+    )
+    central = F.sum("c").over(Window.partitionBy("node")) / F.col("n")
+    return merged.select("token", "node", "n", "after", "weight", central.alias("central"), F.col("node").alias("grp"), F.lit(1).cast("long").alias("size"))
 
 
 def _across(posts: DataFrame, groups: DataFrame) -> DataFrame:
@@ -334,16 +337,18 @@ def _across(posts: DataFrame, groups: DataFrame) -> DataFrame:
     sized = groups.join(groups.groupBy("grp").agg(F.count("*").alias("size")), "grp")
     posts = posts.drop("grp", "size").join(sized, "node", "left").withColumns({"grp": F.coalesce("grp", "node"), "size": F.coalesce("size", F.lit(1).cast("long"))})
     several = posts.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("token")
-    return stored(posts.join(several, "token", "left_semi").select("token", "node", "n", "after", "weight", "grp", "size"), "posts")
+    return stored(posts.join(several, "token", "left_semi").select("token", "node", "n", "after", "weight", "central", "grp", "size"), "posts")
 
 
 def _leads(posts: DataFrame, bits: DataFrame, turn: int, percent: int) -> DataFrame:
     """node and other: for each node the node of another group that leads most of its tokens, where they could be similar.
 
-    Of a token's nodes one of the largest group leads; which one is a matter of hash and turn, so that most tokens of a
-    group of copies have the same leader, and another one each turn.
+    Of a token's nodes one of the largest group leads. At first, when all are alone, it is the one whose tokens most nodes have: edits
+    make tokens that no other has, so that is the text that the others were made from, if it is there. Then it is a matter
+    of hash and turn, so that most tokens of a group of copies have the same leader, and another one each turn.
     """
-    lead = F.struct((-F.col("size")).alias("s"), F.xxhash64(F.lit(turn), "node").alias("h"), *[F.col(c).alias(f"lead_{c}") for c in ("node", "n", "after", "grp")])
+    central = -F.col("central") if turn == 0 else F.lit(0.0)
+    lead = F.struct((-F.col("size")).alias("s"), central.alias("c"), F.xxhash64(F.lit(turn), "node").alias("h"), *[F.col(c).alias(f"lead_{c}") for c in ("node", "n", "after", "grp")])
     first = posts.groupBy("token").agg(F.min(lead).alias("lead")).select("token", "lead.*")
     need = _needed(F.col("n"), F.col("lead_n"), percent)
     tries = posts.join(first, "token").where((F.col("grp") != F.col("lead_grp")) & (F.col("after") >= need) & (F.col("lead_after") >= need))
@@ -362,15 +367,19 @@ def _opened_groups(posts: DataFrame, percent: int) -> DataFrame:
     group is opened if those tokens could make up what is missing for some size that its members have.
 
     Which pairs of a node and a group are looked up at all is told by the first token that they share: where the token before one, too,
-    is the same in the node and in all of the group's members that have it, it isn't the first.
+    is the same in the node and in all of the group's members that have it, it isn't the first. From the first one on the node, and some
+    member, must have as many tokens of other groups, too, as are missing.
     """
-    posts = posts.withColumn("prev", F.lag("token").over(Window.partitionBy("node").orderBy(F.desc("after"))))
+    order = Window.partitionBy("node").orderBy(F.desc("after"))
+    from_here = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    posts = posts.withColumns({"prev": F.lag("token").over(order), "rest": from_here})
     matrix = stored(
         posts.groupBy("token", F.col("grp").alias("target")).agg(
             F.first("size").alias("target_size"),
             F.min("n").alias("low"),
             F.max("n").alias("high"),
             F.max("after").alias("most_after"),
+            F.max("rest").alias("most_rest"),
             F.when((F.min("prev") == F.max("prev")) & (F.count("prev") == F.count("*")), F.min("prev")).alias("one_prev"),
         ),
         "matrix",
@@ -380,16 +389,16 @@ def _opened_groups(posts: DataFrame, percent: int) -> DataFrame:
     asks = (F.col("size") < F.col("target_size")) | ((F.col("size") == F.col("target_size")) & (F.col("grp") > F.col("target")))
     sized = (100 * F.col("high") >= percent * n) & (percent * F.col("low") <= 100 * n)
     later = F.coalesce(F.col("prev") == F.col("one_prev"), F.lit(False))
-    need = _needed(n, F.greatest(F.col("low"), _ceil(percent * n, 100)), percent)
-    met = posts.join(matrix, "token").where(asks & sized & ~later & (F.col("after") >= need) & (F.col("most_after") >= need))
-    pairs = met.select("node", "target").distinct()
-    shared = pairs.join(posts.select("node", "token", "n", "weight"), "node").join(matrix.select("token", "target", "low", "high"), ["token", "target"]).where(sized)
-    overlap = shared.groupBy("node", "target").agg(F.first("n").alias("n"), F.sum("weight").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
     low, high = F.greatest(F.col("low"), _ceil(percent * n, 100)), F.least(F.col("high"), F.floor(100 * n / percent).cast("long"))
+    need = _needed(n, low, percent)
     # What is missing is least at one end of the sizes, but for rounding: below n it grows with the other's size, above it falls.
     missing = lambda m: _needed(n, m, percent) - F.greatest(_ceil(percent * n, 100), _ceil(percent * m, 100)) + 1
-    enough = F.col("shared") >= F.least(missing(low), missing(high)) - 1
-    opened = stored(overlap.where((low <= high) & enough).select("node", "target"), "opened")
+    least = F.least(missing(low), missing(high)) - 1
+    met = posts.join(matrix, "token").where(asks & sized & ~later & (F.least("after", "most_after") >= need) & (F.least("rest", "most_rest") >= least))
+    pairs = met.select("node", "target").distinct()
+    shared = pairs.join(posts.select("node", "token", "n", "weight"), "node").join(matrix.select("token", "target", "low", "high"), ["token", "target"]).where(sized)
+    overlap = shared.groupBy("node", "target").agg(F.first("n").alias("n"), F.sum("weight").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
+    opened = stored(overlap.where((low <= high) & (F.col("shared") >= least)).select("node", "target"), "opened")
     discard(matrix)
     return opened
 
