@@ -805,14 +805,14 @@ def fit_sigmoid(spark, sf):
 
 @query()
 def bootstrap_ratio(spark, sf):
-    return rounded(fits.bootstrap_ratio(_pairs(spark, sf), [], "a", "b", 2000))
+    return rounded(fits.bootstrap_ratio(_pairs(spark, sf), [], "a", "b", 10_000))
 
 
 @query()
 def bootstrap_fit(spark, sf):
     sets = response_sets(spark, sf)
     curve = scorers.prequential(sets, ["set_id"]).join(sets.groupBy("set_id").agg(F.count("*").alias("m")), "set_id")
-    return rounded(fits.bootstrap_fit(curve, ["m"], "set_id", "bits", 50), 3)
+    return rounded(fits.bootstrap_fit(curve, ["m"], "set_id", "bits", 1_000), 3)
 
 
 @query()
