@@ -8,6 +8,7 @@ are sources. Labels come from `labels`, vectors from `embeddings`.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -651,6 +652,24 @@ def holm(spark, sf):
     return rounded(stats.holm(_test_p(spark, sf), ["lang"], "p", "source").select("lang", "source", "p_holm"))
 
 
+@query()
+def test_p_values(spark, sf):
+    """Every test of two labels or two scores by language, with its p-value, and both corrections over all of them."""
+    rows, n = _labelled(spark, sf), F.col("n")
+    found = [
+        stats.spearman(rows, ["lang"], "chars", "lines").select("lang", F.lit("spearman").alias("test"), stats.correlation_t(F.col("rho"), n).alias("statistic"), (n - 2).alias("df")),
+        stats.pearson(rows, ["lang"], "chars", "lines").select("lang", F.lit("pearson").alias("test"), stats.correlation_t(F.col("r"), n).alias("statistic"), (n - 2).alias("df")),
+        stats.welch(rows, ["lang"], "chars", "quality").select("lang", F.lit("welch").alias("test"), F.col("t").alias("statistic"), "df"),
+        stats.rank_sum(rows, ["lang"], "chars", "quality").select("lang", F.lit("mann_whitney").alias("test"), F.col("z").alias("statistic"), F.lit(None).cast("double").alias("df")),
+    ]
+    tests = reduce(DataFrame.unionByName, [t.withColumn("df", F.col("df").cast("double")) for t in found])
+    normal = F.col("test") == "mann_whitney"
+    tailed = tests.withColumn("p", F.when(normal, stats.normal_p(F.col("statistic"), sides=1)).otherwise(stats.t_p(F.col("statistic"), F.col("df")))).where("p IS NOT NULL")
+    corrected = tailed.withColumn("all", F.lit(1)).withColumn("id", F.concat_ws(" ", "test", "lang"))
+    corrected = stats.holm(corrected, ["all"], "p", "id").withColumn("p_bonferroni", stats.bonferroni(F.col("p"), F.count("*").over(Window.partitionBy("all"))))
+    return rounded(corrected.select("test", "lang", "statistic", "df", "p", "p_bonferroni", "p_holm"))
+
+
 @query(f"WITH {_MEANS} SELECT source, lang, round((score - avg(score) OVER w) / stddev_samp(score) OVER w, 6) + 0.0 AS z FROM m WINDOW w AS (PARTITION BY lang)")
 def zscore(spark, sf):
     return rounded(stats.zscores(_stage_means(spark, sf), ["lang"], "score").select("source", "lang", "z"))

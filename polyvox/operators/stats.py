@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,7 +209,38 @@ def threshold_checks(df: DataFrame, keys: Sequence[str], value: str, threshold:
     return df.groupBy(*keys).agg(mean.alias("mean"), ((mean > threshold) if above else (mean < threshold)).alias("passed"))
 
 
-# --- p-values, for driver-side use on aggregate rows ------------------------
+# --- p-values of aggregate rows ---------------------------------------------
+
+
+def normal_p(z: Column, sides: int = 2) -> Column:
+    """Chance of a standard normal value as far out as z, on both sides or above it; null for null or NaN."""
+
+    @F.pandas_udf("double")
+    def tail(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if pd.isna(v) else 2 * normal_sf(abs(v)) if sides == 2 else normal_sf(v)).astype("float64")
+
+    return tail(z.cast("double"))
+
+
+def t_p(t: Column, freedom: Column, sides: int = 2) -> Column:
+    """The same of Student's t; null, too, where there is no degree of freedom."""
+
+    def one(v: float, df: float) -> float | None:
+        if pd.isna(v) or pd.isna(df) or df <= 0:
+            return None
+        return 2 * t_sf(abs(v), df) if sides == 2 else t_sf(v, df)
+
+    @F.pandas_udf("double")
+    def tail(values: pd.Series, dfs: pd.Series) -> pd.Series:
+        return pd.Series([one(v, d) for v, d in zip(values, dfs, strict=True)], dtype="float64")
+
+    return tail(t.cast("double"), freedom.cast("double"))
+
+
+def correlation_t(r: Column, n: Column) -> Column:
+    """t of a correlation of n pairs, with n - 2 degrees of freedom; infinite for a perfect one."""
+    t = r * F.sqrt(F.try_divide((n - 2).cast("double"), 1 - r * r))
+    return F.when(F.abs(r) >= 1, F.signum(r) * F.lit(math.inf)).otherwise(t)
 
 
 def normal_sf(z: float) -> float:

@@ -75,6 +75,24 @@ def test_tails():
     assert stats.t_sf(0.0, 5) == pytest.approx(0.5)
 
 
+def test_p_values_as_columns(spark):
+    df = spark.createDataFrame([(1.959963985, 10.0), (-1.959963985, 0.0), (None, 3.0), (float("nan"), 3.0), (math.inf, 4.0)], "z double, df double")
+    got = df.select(stats.normal_p(F.col("z")).alias("two"), stats.normal_p(F.col("z"), 1).alias("above"), stats.t_p(F.col("z"), F.col("df")).alias("t")).collect()
+    assert [got[i].two for i in (0, 1, 4)] == pytest.approx([0.05, 0.05, 0], abs=1e-7)
+    assert [got[i].above for i in (0, 1)] == pytest.approx([0.025, 0.975], abs=1e-7)
+    assert all(v is None for v in (*got[2], *got[3])) and got[1].t is None and got[4].t == 0
+    assert got[0].t == pytest.approx(2 * stats.t_sf(1.959963985, 10))
+
+
+def test_p_value_of_a_correlation(spark):
+    # r = 0.632 is the textbook limit of 10 pairs at 5 %.
+    df = spark.createDataFrame([(0.6318969, 10), (1.0, 5), (-1.0, 5), (None, 5)], "r double, n long")
+    t = stats.correlation_t(F.col("r"), F.col("n"))
+    got = df.select(t.alias("t"), stats.t_p(t, F.col("n") - 2).alias("p")).collect()
+    assert got[0].p == pytest.approx(0.05, abs=1e-5) and got[1].t == math.inf and got[2].t == -math.inf
+    assert (got[1].p, got[2].p, got[3].p) == (0, 0, None)
+
+
 def test_welch_and_effect_sizes(spark):
     df = spark.createDataFrame([(1, x, 1.0) for x in (4.0, 5.0, 6.0)] + [(1, x, 0.0) for x in (1.0, 2.0, 3.0)], ROWS)
     r = one(stats.welch(df, ["g"], "x", "y"))
