@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, license_scan, line_dedup, mixing, packing, quality, substring, topk, urlfilter
+from . import chat, filter_audit, jaccard, license_scan, line_dedup, media, mixing, packing, periodic, quality, substring, topk, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,11 +73,44 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    start = lambda n: g % n
+    told = periodic.repeat_tail(F.col("text"), start, lambda n: 1 + F.floor((n - start(n)) / (3 + g % 8)))
+    out = periodic.periodic_runs(docs.withColumn("text", F.when(h % 10 == 0, told).otherwise(F.col("text"))))
+    best = periodic.longest_run(F.col("runs"))
+    told_runs = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return out.select(F.col("doc.doc_id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), best.alias("best"), "n_words", _sha(F.array_join(told_runs, "")).alias("runs_sha256"), _sha(F.col("collapsed")).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words"
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = media.text_media(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    files = files.select("doc.doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    out = media.media_columns(files, payload=True).withColumn("track", F.get("tracks", F.lit(0)))
+    keys = F.col("track.keyframes")
+    span = lambda k: F.concat(k["start"], F.lit("+"), k["length"])
+    told = [F.trim("track.codec"), F.concat("track.width", F.lit("x"), "track.height"), F.concat("track.duration", F.lit("/"), "track.timescale", F.lit("s")),
+            F.concat(F.size(keys), F.lit(" of "), "track.n_samples", F.lit(" key")), F.array_join(F.transform(keys, span), ",")]
+    return out.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), "media_bytes", "media_sha256", F.concat_ws(" ", *told).alias("feature"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_source_mixing, op3_top_k, op4_jaccard_join, op5_license_scan, op6_chat_format,
-        op7_quality_rules, op8_substring_dedup, op9_url_filter, op10_packing,
+        op7_quality_rules, op8_substring_dedup, op9_url_filter, op10_packing, op11_periodic_runs, op12_filter_audit,
+        op13_media_columns,
     )
 }
 
@@ -101,6 +134,17 @@ def _license_words(text: str) -> list[str]:
 _PHRASES = ", ".join(f"({_list(_license_words(p))}, '{label}')" for p, label in license_scan.PHRASES)
 _TEMPLATES = ", ".join(f"('{label}', {_list(_license_words(text))})" for label, text in license_scan.TEMPLATES)
 
+def _crc32(digits: str) -> str:
+    """SQL for the CRC-32 of bytes told as hex digits: each byte is taken in, then eight times a bit is shifted out."""
+    steps = f"list_transform(range(1, 1 + length({digits}) // 2), lambda i: [('0x' || substr({digits}, 2 * i - 1, 2))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])"
+    change = "CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+    return f"xor(list_reduce(flatten({steps}), lambda c, x: {change}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _be(number: str) -> str:
+    return f"printf('%08x', ({number})::BIGINT)"
+
+
 ORACLE_SQL = {
     "op1_line_dedup": f"""
 WITH l AS (
@@ -224,4 +268,64 @@ t(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/
 m AS (SELECT page_id, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rh) DESC, length(rp) DESC) AS n
       FROM s JOIN t ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
 SELECT s.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s LEFT JOIN m ON s.page_id = m.page_id AND n = 1""",
+    "op11_periodic_runs": f"""
+WITH d AS (SELECT doc_id, {_split("text")} AS w, {_crc32("hex(encode(doc_id::VARCHAR))")} AS h FROM documents),
+a AS (SELECT doc_id, w, h, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a FROM d),
+p AS (SELECT doc_id, w, a, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM a),
+t AS (SELECT doc_id, i, CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END AS word, len(w) AS n FROM (SELECT *, unnest(range(len(w))) AS i FROM p)),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+g AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM m),
+s AS (SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM g GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(12, 2 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY 1, 2, 3),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+b AS (SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(s := start, l := length, p := period), [-length, start, period]) AS b,
+  sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM r GROUP BY 1),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.b.s AS start, b.b.l AS length, b.b.p AS period, 1000 * b.b.l // b.b.p AS exponent_milli,
+  coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256, len(w)::BIGINT AS n_words
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op12_filter_audit": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_split("text")} AS w FROM documents),
+x AS (SELECT text, min(doc_id) AS first FROM d GROUP BY 1),
+f AS (SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text),
+  regexp_matches(text, '[#$%&*|]'), doc_id > first] AS fails FROM d JOIN x USING (text)),
+h AS (SELECT part, fails, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM f LEFT JOIN labels USING (doc_id) GROUP BY 1, 2),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || l FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) WHERE NOT contains(filter_order, l)),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(filter_order) = 5),
+y AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, n, good, toxic, fails[ascii(substr(filter_order, step, 1)) - 64] AS here,
+  len(list_filter(range(1, step), lambda k: fails[ascii(substr(filter_order, k, 1)) - 64])) > 0 AS before, len(list_filter(fails, lambda x: x)) = 1 AS alone FROM h, s),
+z AS (SELECT part, filter_order, step, letter, sum(CASE WHEN NOT here AND NOT before THEN n ELSE 0 END) AS kept, sum(CASE WHEN here AND NOT before THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN here AND before THEN n ELSE 0 END) AS redundant, sum(CASE WHEN here AND alone THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN here AND NOT before THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN here AND NOT before THEN toxic ELSE 0 END) AS toxic_lost FROM y GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM z""",
+    # Frames of 16 x 12, eight to a chunk; 587 bytes of boxes stand in moov besides its tables of chunks.
+    "op13_media_columns": f"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, octet_length(b) AS n_bytes, b || encode(repeat(' ', (CASE WHEN octet_length(b) = 0 THEN 192 ELSE (192 - octet_length(b) % 192) % 192 END)::BIGINT)) AS payload FROM t),
+c AS (SELECT *, octet_length(payload) // 192 AS frames, (octet_length(payload) // 192 + 7) // 8 AS chunks, octet_length(payload) // 192 % 8 AS rest FROM p),
+r AS (SELECT *, CASE WHEN rest > 0 AND chunks > 1 THEN 2 ELSE 1 END AS runs FROM c),
+s AS (SELECT *, 8 * chunks + 12 * runs AS more FROM r),
+k AS (SELECT *, list_transform(range(chunks), lambda i: 24 + 559 + more + 8 + 1536 * i) AS starts FROM s),
+m AS (SELECT *, unhex('00000018' || hex('ftypisom'::BLOB) || '00000200' || hex('isommp41'::BLOB)
+  || {_be("559 + more")} || hex('moov'::BLOB) || '0000006c' || hex('mvhd'::BLOB) || repeat('00', 12) || '00000019' || {_be("frames")} || '0001000001000000' || repeat('00', 8)
+  || '00010000' || repeat('00', 12) || '00010000' || repeat('00', 12) || '40000000' || repeat('00', 24) || '00000002'
+  || {_be("443 + more")} || hex('trak'::BLOB) || '0000005c' || hex('tkhd'::BLOB) || '00000003' || repeat('00', 8) || '0000000100000000' || {_be("frames")} || repeat('00', 16)
+  || '00010000' || repeat('00', 12) || '00010000' || repeat('00', 12) || '40000000' || '00100000000c0000'
+  || {_be("343 + more")} || hex('mdia'::BLOB) || '00000020' || hex('mdhd'::BLOB) || repeat('00', 12) || '00000019' || {_be("frames")} || '55c40000'
+  || '00000025' || hex('hdlr'::BLOB) || repeat('00', 8) || hex('vide'::BLOB) || repeat('00', 12) || hex('grey'::BLOB) || '00'
+  || {_be("266 + more")} || hex('minf'::BLOB) || '00000014' || hex('vmhd'::BLOB) || '00000001' || repeat('00', 8)
+  || '00000024' || hex('dinf'::BLOB) || '0000001c' || hex('dref'::BLOB) || '0000000000000001' || '0000000c' || hex('url '::BLOB) || '00000001'
+  || {_be("202 + more")} || hex('stbl'::BLOB) || '00000066' || hex('stsd'::BLOB) || '0000000000000001' || '00000056' || hex('raw '::BLOB) || repeat('00', 6) || '0001' || repeat('00', 16)
+  || '0010000c' || '0048000000480000' || '00000000' || '0001' || repeat('00', 32) || '0028ffff'
+  || '00000018' || hex('stts'::BLOB) || '0000000000000001' || {_be("frames")} || '00000001'
+  || {_be("16 + 4 * chunks")} || hex('stss'::BLOB) || '00000000' || {_be("chunks")} || array_to_string(list_transform(range(chunks), lambda i: {_be("8 * i + 1")}), '')
+  || {_be("16 + 12 * runs")} || hex('stsc'::BLOB) || '00000000' || {_be("runs")} || '00000001' || {_be("least(8, frames)")} || '00000001'
+  || CASE WHEN runs = 2 THEN {_be("chunks")} || {_be("rest")} || '00000001' ELSE '' END
+  || '00000014' || hex('stsz'::BLOB) || '00000000' || '000000c0' || {_be("frames")}
+  || {_be("16 + 4 * chunks")} || hex('stco'::BLOB) || '00000000' || {_be("chunks")} || array_to_string(list_transform(starts, lambda i: {_be("i")}), '')
+  || {_be("8 + 192 * frames")} || hex('mdat'::BLOB)) || payload AS media FROM k)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_sha256, {_crc32("right(hex(payload), 32)")} AS tail_crc32,
+  octet_length(media)::BIGINT AS media_bytes, sha256(media) AS media_sha256,
+  'raw 16x12 ' || frames || '/25s ' || chunks || ' of ' || frames || ' key ' || array_to_string(list_transform(starts, lambda i: i || '+192'), ',') AS feature FROM m""",
 }
