@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polyvox.functions import text as T
-from polyvox.operators import curves, fits, length, lexical, pairwise, stats, tables
+from polyvox.operators import curves, fits, length, lexical, pairwise, ranks, resample, stats, tables
 from polyvox.plans import scorers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -571,7 +571,26 @@ def pearson(spark, sf):
 q AS (SELECT lang, count(*) AS n FROM c GROUP BY 1)
 SELECT lang, any_value(n) AS n, round(sum(s) / sqrt((count(*) - count_if(tx))::DOUBLE * (count(*) - count_if(ty))), 6) AS tau FROM p JOIN q USING (lang) GROUP BY 1""")
 def kendall(spark, sf):
-    return rounded(stats.kendall(_stage_means(spark, sf).withColumn("score", F.round("score")), ["lang"], "score", "n"))
+    return rounded(stats.kendall(_stage_means(spark, sf).withColumn("score", F.round("score")), ["lang"], "score", "n").select("lang", "n", "tau"))
+
+
+def _upper_tail(z: str) -> str:
+    """SQL for the chance of a standard normal value above z, by Simpson's rule over a thousand steps from 0."""
+    terms = f"list_transform(range(1001), lambda i: (CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow({z} * i / 1000.0, 2) / 2))"
+    return f"(0.5 - {z} / 3000.0 / sqrt(2 * pi()) * list_sum({terms}))"
+
+
+@query(f"""WITH p AS (SELECT lang, n_chars::DOUBLE AS x, (length(text) - length(replace(text, chr(10), '')) + 1)::DOUBLE AS y, count(*)::DOUBLE AS c FROM documents WHERE text IS NOT NULL GROUP BY ALL),
+q AS (SELECT a.lang, sum(a.c * b.c * sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s FROM p a JOIN p b USING (lang) GROUP BY 1),
+tx AS (SELECT lang, sum(t * (t - 1) / 2) AS x0, sum(t * (t - 1) * (t - 2)) AS x1, sum(t * (t - 1) * (2 * t + 5)) AS x2 FROM (SELECT lang, sum(c) AS t FROM p GROUP BY lang, x) GROUP BY 1),
+ty AS (SELECT lang, sum(t * (t - 1) / 2) AS y0, sum(t * (t - 1) * (t - 2)) AS y1, sum(t * (t - 1) * (2 * t + 5)) AS y2 FROM (SELECT lang, sum(c) AS t FROM p GROUP BY lang, y) GROUP BY 1),
+n AS (SELECT lang, sum(c) AS n FROM p GROUP BY 1),
+z AS (SELECT lang, n, s, s / (sqrt(n * (n - 1) / 2 - x0) * sqrt(n * (n - 1) / 2 - y0)) AS tau,
+  s / sqrt((n * (n - 1) * (2 * n + 5) - x2 - y2) / 18 + 2 * x0 * y0 / (n * (n - 1)) + x1 * y1 / (9 * n * (n - 1) * (n - 2))) AS z FROM n JOIN q USING (lang) JOIN tx USING (lang) JOIN ty USING (lang))
+SELECT lang, n::BIGINT AS n, round(tau, 6) + 0.0 AS tau, s, round(z, 6) + 0.0 AS z, round(2 * {_upper_tail('abs(z)')}, 6) + 0.0 AS p FROM z""")
+def kendall_points(spark, sf):
+    """Length against number of lines over all documents of a language."""
+    return rounded(stats.kendall(_doc_metrics(spark, sf), ["lang"], "chars", "lines"))
 
 
 _U = f"""r AS (SELECT lang, quality, {_RANK.format(x='chars')} AS r FROM l), t AS (SELECT lang, sum(c * c * c - c) AS ties FROM (SELECT lang, chars, count(*)::DOUBLE AS c FROM l GROUP BY 1, 2) GROUP BY 1),
@@ -715,6 +734,28 @@ def three_way(spark, sf):
     return d.select("effect", F.round("ss", 4).alias("ss"), F.round("fraction", 6).alias("fraction"))
 
 
+_VIEWS = {"all": ["chars", "bytes", "lines"], "sizes": ["chars", "bytes"], "chars_lines": ["chars", "lines"]}
+_VIEW_ROWS = ", ".join(f"('{v}', '{g}')" for v, graders in _VIEWS.items() for g in graders)
+_EFFECTS = "grader stage unit grader_x_stage grader_x_unit stage_x_unit residual".split()
+
+
+@query(f"""WITH {_CUBE}, w(view, g) AS (VALUES {_VIEW_ROWS}), k AS (SELECT view, count(*) AS n_graders FROM w GROUP BY 1),
+x0 AS (SELECT view, metric AS g, lang AS s, source AS u, v FROM c JOIN w ON g = metric WHERE lang IN ('de', 'en', 'es', 'fr')),
+n AS (SELECT view, u, count(*) = 4 * any_value(n_graders) AS whole FROM x0 JOIN k USING (view) GROUP BY 1, 2), nd AS (SELECT view, count_if(whole)::BIGINT AS n_units, count_if(NOT whole)::BIGINT AS n_dropped FROM n GROUP BY 1),
+x AS (SELECT x0.* FROM x0 JOIN n USING (view, u) WHERE whole),
+e AS (SELECT view, v, avg(v) OVER (PARTITION BY view) AS m, avg(v) OVER (PARTITION BY view, g) AS a, avg(v) OVER (PARTITION BY view, s) AS b, avg(v) OVER (PARTITION BY view, u) AS c,
+  avg(v) OVER (PARTITION BY view, g, s) AS ab, avg(v) OVER (PARTITION BY view, g, u) AS ac, avg(v) OVER (PARTITION BY view, s, u) AS bc FROM x),
+q AS (SELECT view, sum(pow(a - m, 2)) AS ss_grader, sum(pow(b - m, 2)) AS ss_stage, sum(pow(c - m, 2)) AS ss_unit, sum(pow(ab - a - b + m, 2)) AS ss_grader_x_stage, sum(pow(ac - a - c + m, 2)) AS ss_grader_x_unit,
+  sum(pow(bc - b - c + m, 2)) AS ss_stage_x_unit, sum(pow(v - ab - ac - bc + a + b + c - m, 2)) AS ss_residual, sum(pow(v - m, 2)) AS ss_total FROM e GROUP BY 1),
+r AS (SELECT *, ss_unit / nullif(ss_total, 0) AS unit_frac_of_total, (ss_grader + ss_grader_x_unit) / nullif(ss_total - ss_unit, 0) AS within_grader, (ss_stage + ss_stage_x_unit) / nullif(ss_total - ss_unit, 0) AS within_stage,
+  (ss_grader_x_stage + ss_residual) / nullif(ss_total - ss_unit, 0) AS within_interaction, ss_grader + ss_stage + ss_grader_x_stage AS t FROM q)
+SELECT view, n_graders::INTEGER AS n_graders, n_units, n_dropped, {_round(" ".join(f"ss_{n}" for n in _EFFECTS) + " ss_total unit_frac_of_total within_grader within_stage within_interaction")},
+round(ss_grader / t, 6) AS cell_grader, round(ss_stage / t, 6) AS cell_stage, round(ss_grader_x_stage / t, 6) AS cell_interaction FROM r JOIN nd USING (view) JOIN k USING (view)""")
+def decomposition_views(spark, sf):
+    """Metrics grade, languages are stages, sources are units: all metrics, and two panels of two, over the sources that each has whole."""
+    return rounded(tables.decompose_views(_cube(spark, sf), "metric", "lang", "source", "v", _VIEWS, ["de", "en", "es", "fr"]))
+
+
 @query(f"WITH {_CUBE} SELECT metric, lang, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std FROM c GROUP BY 1, 2")
 def theta_stage_matrix(spark, sf):
     return rounded(_cube(spark, sf).groupBy("metric", "lang").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")))
@@ -822,21 +863,97 @@ def fit_sigmoid(spark, sf):
     return rounded(fits.fit_curves(scorers.prequential(response_sets(spark, sf), ["set_id"]), ["set_id"], "bits", "sigmoid", 4), 3)
 
 
-@query()
+def _draws(rows: str, row: str, reps: int) -> str:
+    """CTE `drawn`: the rows of a CTE for each replicate rep, with u, the number that a row draws."""
+    a, b, c, d = resample._MULTIPLIERS
+    p = resample.PRIME
+    return f"""h0 AS (SELECT *, (({row} % {p}) * {a} + (rep + 1) * {b}) % {p} AS h FROM {rows}, (SELECT unnest(range({reps})) AS rep)),
+h1 AS (SELECT *, xor(h, h >> 15) * {c} % {p} AS g FROM h0), drawn AS (SELECT *, xor(g, g >> 13) * {d} % {p} AS u FROM h1)"""
+
+
+#: Chances of a Poisson number of mean 1 that is at most 0 to 9, times 2^31 - 1.
+_POISSON = "[790015084, 1580030168, 1975037710, 2106706891, 2139624186, 2146207645, 2147304888, 2147461637, 2147481231, 2147483408]"
+_TAKEN = f"taken AS (SELECT *, len(list_filter({_POISSON}, lambda x: u >= x)) AS w FROM drawn)"
+
+
+def _spread(name: str, digits: int = 6) -> str:
+    return f"round(stddev_samp({name}), {digits}) + 0.0 AS {name}_se, round(quantile_cont({name}, 0.025), {digits}) + 0.0 AS {name}_low, round(quantile_cont({name}, 0.975), {digits}) + 0.0 AS {name}_high"
+
+
+@query(f"""{_PAIR}, x AS (SELECT regexp_extract(source, '[0-9]+')::BIGINT AS id, a, b FROM p), {_draws("x", "id", 10_000)}, {_TAKEN},
+r AS (SELECT sum(w * a) / nullif(sum(w * b), 0) AS ratio FROM taken WHERE w > 0 GROUP BY rep)
+SELECT (SELECT count(*) FROM x) AS n, (SELECT round(sum(a) / sum(b), 6) FROM x) AS ratio, {_spread("ratio")} FROM r""")
 def bootstrap_ratio(spark, sf):
-    return rounded(fits.bootstrap_ratio(_pairs(spark, sf), [], "a", "b", 10_000))
+    pairs = _pairs(spark, sf).withColumn("id", F.regexp_extract("source", "[0-9]+", 0).cast("long"))
+    return rounded(resample.bootstrap_ratio(pairs, [], "a", "b", "id", 10_000))
 
 
-@query()
-def bootstrap_fit(spark, sf):
+@query(f"""WITH x AS (SELECT lang, doc_id, n_chars::DOUBLE AS x FROM documents), {_draws("x", "doc_id", 1_000)}, {_TAKEN},
+r AS (SELECT lang, sum(w * x) / sum(w) AS mean FROM taken WHERE w > 0 GROUP BY lang, rep), g AS (SELECT lang, {_spread("mean", 4)} FROM r GROUP BY 1)
+SELECT lang, count(*) AS n, round(avg(x), 4) AS mean, any_value(mean_se) AS mean_se, any_value(mean_low) AS mean_low, any_value(mean_high) AS mean_high FROM x JOIN g USING (lang) GROUP BY 1""")
+def bootstrap_mean(spark, sf):
+    return rounded(resample.bootstrap_mean(table(spark, sf, "documents"), ["lang"], "n_chars", "doc_id", 1_000), 4)
+
+
+@query(f"""WITH x AS (SELECT lang, d.doc_id, n_chars::DOUBLE / 1000 AS x, (length(text) - length(replace(text, chr(10), '')) + 1)::DOUBLE AS y FROM documents d JOIN labels USING (doc_id)), {_draws("x", "doc_id", 1_000)}, {_TAKEN},
+m AS (SELECT lang, rep, sum(w) AS n, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS xx, sum(w * x * y) AS xy, sum(w * y * y) AS yy FROM taken WHERE w > 0 GROUP BY 1, 2),
+v AS (SELECT lang, xx - sx * sx / n AS cxx, xy - sx * sy / n AS cxy, yy - sy * sy / n AS cyy, xx, yy FROM m),
+r AS (SELECT lang, CASE WHEN cxx > 1e-9 * xx THEN cxy / cxx END AS slope, CASE WHEN cxx > 1e-9 * xx AND cyy > 1e-9 * yy THEN cxy * cxy / (cxx * cyy) END AS r2 FROM v),
+g AS (SELECT lang, {_spread("slope")}, {_spread("r2")} FROM r GROUP BY 1)
+SELECT lang, count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r2, any_value(COLUMNS('(slope|r2)_.*')) FROM x JOIN g USING (lang) GROUP BY 1""".replace("any_value(COLUMNS('(slope|r2)_.*'))", ", ".join(f"any_value({n}_{e}) AS {n}_{e}" for n in ("slope", "r2") for e in ("se", "low", "high"))))
+def bootstrap_slope(spark, sf):
+    """Lines against thousands of characters of labelled documents, by language."""
+    points = _labelled(spark, sf).withColumn("kilo", F.col("chars") / 1000)
+    return rounded(resample.bootstrap_slope(points, ["lang"], "kilo", "lines", "doc_id", 1_000))
+
+
+def _sized_curves(spark, sf):
     sets = response_sets(spark, sf)
-    curve = scorers.prequential(sets, ["set_id"]).join(sets.groupBy("set_id").agg(F.count("*").alias("m")), "set_id")
-    return rounded(fits.bootstrap_fit(curve, ["m"], "set_id", "bits", 1_000), 3)
+    return scorers.prequential(sets, ["set_id"]).join(sets.groupBy("set_id").agg(F.count("*").alias("m")), "set_id")
+
+
+@query(f"""{_BASE}, x AS (SELECT m, set_id, k, bits FROM curve JOIN (SELECT set_id, count(*) AS m FROM sets GROUP BY 1) USING (set_id)), {_draws("x", "set_id", 1_000)}, {_TAKEN},
+r AS (SELECT m, k, sum(w * bits) / sum(w) AS mean FROM taken WHERE w > 0 GROUP BY m, k, rep), g AS (SELECT m, k, {_spread("mean", 4)} FROM r GROUP BY 1, 2)
+SELECT m, k, count(*) AS draws, round(avg(bits), 4) + 0.0 AS mean, any_value(mean_se) AS mean_se, any_value(mean_low) AS mean_low, any_value(mean_high) AS mean_high FROM x JOIN g USING (m, k) GROUP BY 1, 2""")
+def bootstrap_curves(spark, sf):
+    """Mean curves of conversations with as many responses, with their bands."""
+    return rounded(resample.bootstrap_curves(_sized_curves(spark, sf), ["m"], "set_id", "bits", 1_000), 4)
 
 
 @query()
+def bootstrap_fit(spark, sf):
+    return rounded(resample.bootstrap_fit(_sized_curves(spark, sf), ["m"], "set_id", "bits", 1_000), 3)
+
+
+_RHO = """rk AS (SELECT {g}, rank() OVER (PARTITION BY {g} ORDER BY a) + (count(*) OVER (PARTITION BY {g}, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY {g} ORDER BY b) + (count(*) OVER (PARTITION BY {g}, b) - 1) / 2.0 AS rb FROM {t}),
+rhos AS (SELECT {g}, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN round(corr(ra, rb), 12) END AS rho FROM rk GROUP BY ALL)"""
+
+
+@query(f"""WITH {_LAB}, {_draws("l", "doc_id", 200)}, s AS (SELECT *, row_number() OVER (PARTITION BY lang, rep ORDER BY u, doc_id) AS place, count(*) OVER (PARTITION BY lang, rep) AS held FROM drawn),
+pts AS (SELECT lang, n, rep, chars AS a, lines AS b FROM s, (SELECT unnest([5, 10, 25, 50]) AS n) WHERE place <= n AND held >= n), {_RHO.format(g="lang, n, rep", t="pts")}
+SELECT lang, n, count(rho) AS reps, round(avg(rho), 6) + 0.0 AS rho, round(stddev_pop(rho), 6) + 0.0 AS std, round(quantile_cont(rho, 0.025), 6) + 0.0 AS low, round(quantile_cont(rho, 0.975), 6) + 0.0 AS high FROM rhos GROUP BY 1, 2""")
 def subsample_rho(spark, sf):
-    return rounded(fits.subsample_rho(_labelled(spark, sf), ["lang"], "chars", "lines", (5, 10, 25, 50)))
+    rhos = resample.subsampled_points(_labelled(spark, sf), ["lang"], "chars", "lines", "doc_id", (5, 10, 25, 50))
+    return rounded(resample.rho_range(rhos, ["lang"]))
+
+
+@query(f"""WITH x AS (SELECT lang, source, doc_id, n_chars::DOUBLE AS x FROM documents), {_draws("x", "doc_id", 200)}, ref AS (SELECT source, avg(x) AS b FROM x WHERE lang = 'en' GROUP BY 1),
+s AS (SELECT *, row_number() OVER (PARTITION BY lang, source, rep ORDER BY u, doc_id) AS place FROM drawn),
+pts AS (SELECT lang, n, rep, source, avg(x) AS a, any_value(b) AS b FROM s JOIN ref USING (source), (SELECT unnest([3, 5, 10, 20]) AS n) WHERE place <= n GROUP BY lang, n, rep, source), {_RHO.format(g="lang, n, rep", t="pts")},
+d AS (SELECT o.lang, o.n, o.rho, e.rho AS base FROM rhos o JOIN rhos e ON e.lang = 'en' AND o.lang <> 'en' AND o.n = e.n AND o.rep = e.rep),
+f AS (SELECT lang, n, rho, 1 AS own FROM d UNION ALL SELECT lang, n, base, 0 FROM d),
+q AS (SELECT lang, n, own, rank() OVER w + (count(*) OVER (PARTITION BY lang, n, rho) - 1) / 2.0 AS r FROM f WHERE rho IS NOT NULL WINDOW w AS (PARTITION BY lang, n ORDER BY rho)),
+c AS (SELECT lang, n, sum(t * t * t - t) AS ties FROM (SELECT lang, n, count(*)::DOUBLE AS t FROM f WHERE rho IS NOT NULL GROUP BY lang, n, rho) GROUP BY 1, 2),
+u AS (SELECT lang, n, sum(own)::DOUBLE AS n1, sum(1 - own)::DOUBLE AS n0, sum(r) FILTER (own = 1) - sum(own) * (sum(own) + 1) / 2.0 AS u FROM q GROUP BY 1, 2),
+z AS (SELECT lang, n, u, (u - n1 * n0 / 2 - 0.5) / nullif(sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1)))), 0) AS z FROM u JOIN c USING (lang, n)),
+g AS (SELECT lang, n, avg(rho) AS rho, avg(base) AS base_rho, avg(rho - base) AS delta, quantile_cont(rho - base, 0.025) AS delta_low, quantile_cont(rho - base, 0.975) AS delta_high FROM d GROUP BY 1, 2)
+SELECT lang, n, {_round("rho base_rho delta delta_low delta_high")}, u::DOUBLE AS u, round(z, 6) + 0.0 AS z, round({_upper_tail("z")}, 6) + 0.0 AS p FROM g JOIN z USING (lang, n)""")
+def subsample_efficiency(spark, sf):
+    """How well a few documents of each source tell how long its English ones are, for each other language against English itself."""
+    docs = table(spark, sf, "documents")
+    truth = docs.where("lang = 'en'").groupBy("source").agg(F.avg(F.col("n_chars").cast("double")).alias("truth"))
+    rhos = resample.subsampled_means(docs, ["lang"], "source", "n_chars", "doc_id", truth, "truth", (3, 5, 10, 20))
+    return rounded(resample.efficiency(rhos, "lang", "en"))
 
 
 @query("SELECT lang, round(avg(n_chars), 4) AS mean, avg(n_chars) > 2000 AS passed FROM documents GROUP BY 1")
@@ -844,6 +961,30 @@ def threshold_checks(spark, sf):
     return rounded(stats.threshold_checks(table(spark, sf, "documents"), ["lang"], "n_chars", 2000), 4)
 
 
+@query(f"""{_BASE}, x AS (SELECT set_id % 3 AS part, k, bits FROM curve), g AS (SELECT part, k, count(*) AS n, avg(bits) AS mean, stddev_pop(bits) AS sd, stddev_pop(bits) / sqrt(count(*)) AS sem FROM x GROUP BY 1, 2)
+SELECT part, k, n, {_round("mean sd sem", 4)}, round(mean - sd, 4) + 0.0 AS sd_low, round(mean + sd, 4) + 0.0 AS sd_high, round(mean - sem, 4) + 0.0 AS sem_low, round(mean + sem, 4) + 0.0 AS sem_high FROM g""")
+def curve_bands(spark, sf):
+    """Mean curve of three parts of the conversations, which have curves of any length, with both bands."""
+    curve = scorers.prequential(response_sets(spark, sf), ["set_id"])
+    return rounded(curves.bands(curve.withColumn("part", F.col("set_id") % 3), ["part"], "bits"), 4)
+
+
+@query(f"""{_ALL_SCORES}, l AS (SELECT *, (mean_byte_length > 1000)::INTEGER AS label FROM r), u AS (SELECT n, label, unnest(['e', 'e_rate', 'd_c_an']) AS metric, unnest([e, e_rate, d_c_an]) AS v FROM l),
+g AS (SELECT n AS m, metric, avg(v) FILTER (label = 1) AS high_mean, avg(v) FILTER (label = 0) AS low_mean, count(v) FILTER (label = 1) AS n_high, count(v) FILTER (label = 0) AS n_low FROM u GROUP BY 1, 2)
+SELECT m, metric, {_round("high_mean low_mean", 4)}, n_high, n_low, round(high_mean - low_mean, 4) + 0.0 AS diff FROM g WHERE n_high > 0 AND n_low > 0""")
+def e_rate_separation(spark, sf):
+    """Excess entropy, in all and per byte, of sets with long and with short responses."""
+    s = _scores(spark, sf).withColumn("label", (F.col("mean_byte_length") > 1000).cast("int")).withColumnRenamed("n", "m")
+    return rounded(curves.separation(s, ["m"], "label", ["e", "e_rate", "d_c_an"]), 4)
+
+
+@query()
+def fitted_floor(spark, sf):
+    curve = _sized_curves(spark, sf)
+    scores = _scores(spark, sf).withColumnRenamed("n", "m")
+    return rounded(curves.fitted_floor_means(curve, scores, ["set_id"], ["m"]), 3)
+
+
 @query(f"{_FULL}, {_CURVE_SCORES} SELECT n AS m, count(*) AS sets, round(avg(a_n / nullif(a_1, 0)), 4) AS drop_ratio FROM scores GROUP BY n")
 def drop_ratio(spark, sf):
     s = curves.excess_entropy(scorers.prequential(response_sets(spark, sf), ["set_id"]), ["set_id"])
@@ -861,9 +1002,9 @@ def norm_position(spark, sf):
 
 @query(f"""{_FULL} SELECT round(quantile_cont(h, 0.05), 4) AS p5, round(quantile_cont(h, 0.95), 4) AS p95, round(pow(2, -quantile_cont(h, 0.5)), 4) AS c_median, count(*) AS n FROM (SELECT bits / bytes AS h FROM alone WHERE bytes > 0)""")
 def coherence_percentiles(spark, sf):
-    alone = scorers.prequential(response_sets(spark, sf), ["set_id"], alone=True).where("bytes > 0")
-    at = lambda q: F.percentile(F.col("bits") / F.col("bytes"), F.lit(q))
-    return rounded(alone.agg(at(0.05).alias("p5"), at(0.95).alias("p95"), F.pow(F.lit(2.0), -at(0.5)).alias("c_median"), F.count("*").alias("n")), 4)
+    alone = scorers.prequential(response_sets(spark, sf), ["set_id"], alone=True).where("bytes > 0").select((F.col("bits") / F.col("bytes")).alias("h"), F.lit(1).alias("one"))
+    q = ranks.quantiles(alone, ["one"], "h", {"p5": 0.05, "p95": 0.95, "middle": 0.5}).join(alone.groupBy("one").agg(F.count("*").alias("n")), "one")
+    return rounded(q.select("p5", "p95", F.pow(F.lit(2.0), -F.col("middle")).alias("c_median"), "n"), 4)
 
 
 @query(f"""WITH {_MEANS}, a AS (SELECT source, rank() OVER (ORDER BY avg(score) DESC) AS r FROM m GROUP BY 1), b AS (SELECT source, rank() OVER (ORDER BY max(score) DESC) AS r FROM m GROUP BY 1)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyvox.functions.text import safe_divide
+from polyvox.operators import fits
 
 
 def mean_of_ratios(curves: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -80,3 +81,41 @@ def permutation_spread(curves: DataFrame, alone: DataFrame, keys: Sequence[str])
         spread(F.col("c") * F.col("e")).alias("d_std"),
         spread(F.col("c") * F.col("e_rate")).alias("d_rate_std"),
     )
+
+
+def bands(curves: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, k, n, mean, sd (population), sem, of the curves that reach slot k, and the bands of one sd and one sem around the mean.
+
+    Curves may have any lengths; null and NaN values are slots that a curve doesn't have.
+    """
+    v = F.col(value).cast("double")
+    moments = curves.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, "k").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"))
+    sem = moments.withColumn("sem", F.col("sd") / F.sqrt("n"))
+    return sem.withColumns({f"{b}_{side}": F.col("mean") + sign * F.col(b) for b in ("sd", "sem") for side, sign in (("low", -1), ("high", 1))})
+
+
+def fitted_floor_means(curve: DataFrame, scores: DataFrame, keys: Sequence[str], by: Sequence[str], value: str = "bits") -> DataFrame:
+    """by, sets, a_inf and e_fit of the sigmoid fitted to the mean curve, and mean and standard error over sets of e, c, a_n, sigma, d and of
+    e_sig = sum of (a_k - a_inf), d_sig = c e_sig.
+
+    curve: by, keys, k and value; scores: by, keys, e, c, a_n, sigma. One fit for each group of sets, on its mean curve alone; where that
+    cannot be made (fewer than four slots) what needs it is null.
+    """
+    by, keys = list(by), list(keys)
+    mean_curve = curve.groupBy(*by, "k").agg(F.avg(value).alias("_mean"))
+    fitted = fits.fit_curves(mean_curve, by, "_mean", "sigmoid", 4).select(F.struct(*by).alias("_by"), "a_inf", "e_fit")
+    sums = curve.groupBy(*by, *keys).agg(F.sum(value).alias("_sum"), F.count("*").alias("_slots"))
+    sets = scores.join(sums, [*by, *keys]).withColumn("_by", F.struct(*by)).join(fitted, "_by", "left")
+    e_sig = F.col("_sum") - F.col("_slots") * F.col("a_inf")
+    values = {"e": F.col("e"), "c": F.col("c"), "a_n": F.col("a_n"), "sigma": F.col("sigma"), "d": F.col("c") * F.col("e"), "e_sig": e_sig, "d_sig": F.col("c") * e_sig}
+    moments = [x for n, v in values.items() for x in (F.avg(v).alias(n), (F.stddev_pop(v) / F.sqrt(F.count("*"))).alias(f"{n}_sem"))]
+    out = sets.groupBy("_by", "a_inf", "e_fit").agg(F.count("*").alias("sets"), *moments)
+    return out.select("_by.*", "sets", "a_inf", "e_fit", (F.col("e_fit") * F.col("c")).alias("d_fit"), *[x for n in values for x in (n, f"{n}_sem")])
+
+
+def separation(scores: DataFrame, keys: Sequence[str], label: str, metrics: Sequence[str]) -> DataFrame:
+    """keys, metric, high_mean, low_mean, diff, n_high, n_low: of sets labelled 1 and 0, for each metric; groups without either label give no row."""
+    long = scores.select(*keys, label, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("_v")) for m in metrics])).alias("_s")).select(*keys, label, "_s.*")
+    side = lambda x: F.when(F.col(label) == x, F.col("_v"))
+    means = long.groupBy(*keys, "metric").agg(F.avg(side(1)).alias("high_mean"), F.avg(side(0)).alias("low_mean"), F.count(side(1)).alias("n_high"), F.count(side(0)).alias("n_low"))
+    return means.where("n_high > 0 AND n_low > 0").withColumn("diff", F.col("high_mean") - F.col("low_mean"))

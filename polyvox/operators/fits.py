@@ -80,78 +80,6 @@ def fit_curves(curves: DataFrame, keys: Sequence[str], value: str, kind: str = "
     return rows.where(F.size("curve") >= least).select(*keys, run("curve").alias("fit")).select(*keys, "fit.*")
 
 
-def bootstrap_ratio(pairs: DataFrame, keys: Sequence[str], num: str, den: str, reps: int = 10_000, seed: int = 0) -> DataFrame:
-    """keys, ratio of means and its 95 % interval, paired resampling; the same seed for every group."""
-    @F.pandas_udf("ratio double, low double, high double")
-    def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, y in zip(xs, ys, strict=True):
-            rng = np.random.default_rng(seed)
-            x, y, ratios = np.asarray(x), np.asarray(y), []
-            for done in range(0, reps, 500):  # a bounded number of draws in memory
-                at = rng.integers(0, len(x), (min(500, reps - done), len(x)))
-                ratios.append(x[at].mean(axis=1) / y[at].mean(axis=1))
-            low, high = np.percentile(np.concatenate(ratios), [2.5, 97.5])
-            out.append((x.mean() / y.mean(), low, high))
-        return pd.DataFrame(out, columns=["ratio", "low", "high"])
-
-    pair = F.array_sort(F.collect_list(F.struct(F.col(num).cast("double").alias("x"), F.col(den).cast("double").alias("y")))).alias("p")
-    rows = pairs.where(F.col(num).isNotNull() & F.col(den).isNotNull()).groupBy(*keys).agg(pair) if keys else pairs.agg(pair)
-    return rows.select(*keys, run(F.col("p.x"), F.col("p.y")).alias("b")).select(*keys, "b.*")
-
-
-def bootstrap_fit(curves: DataFrame, keys: Sequence[str], draw: str, value: str, reps: int = 200, seed: int = 0) -> DataFrame:
-    """keys, draws, and for a_inf, alpha, beta and e_fit the value fitted to the mean curve, its error and 95 % interval over resampled draws.
-
-    A group's curves are cut to its shortest; groups with fewer than two draws or three slots give no row.
-    """
-    names = ["a_inf", "alpha", "beta", "e_fit"]
-    columns = [f"{n}{s}" for n in names for s in ("", "_se", "_low", "_high")]
-
-    @F.pandas_udf(", ".join(f"{c} double" for c in columns))
-    def run(groups: pd.Series) -> pd.DataFrame:
-        out = []
-        for group in groups:
-            y = np.array([np.asarray(c[: min(map(len, group))], dtype=float) for c in group])
-            k, rng = np.arange(1.0, y.shape[1] + 1), np.random.default_rng(seed)
-            whole = exponential_fit(k, y.mean(axis=0))
-            again = np.array([[f[n] for n in names] for f in (exponential_fit(k, y[rng.integers(0, len(y), len(y))].mean(axis=0)) for _ in range(reps))])
-            low, high = np.percentile(again, [2.5, 97.5], axis=0)
-            out.append([v for i, n in enumerate(names) for v in (whole[n], again[:, i].std(ddof=1), low[i], high[i])])
-        return pd.DataFrame(out, columns=columns)
-
-    point = F.array_sort(F.collect_list(F.struct("k", F.col(value).cast("double").alias("v"))))
-    each = curves.groupBy(*keys, draw).agg(F.transform(point, lambda x: x["v"]).alias("_c")).where(F.size("_c") >= 3)
-    rows = each.groupBy(*keys).agg(F.count("*").alias("draws"), F.transform(F.array_sort(F.collect_list(F.struct(draw, "_c"))), lambda x: x["_c"]).alias("_all")).where("draws > 1")
-    return rows.select(*keys, "draws", run("_all").alias("_f")).select(*keys, "draws", "_f.*")
-
-
-def subsample_rho(points: DataFrame, keys: Sequence[str], x: str, y: str, sizes: Sequence[int], reps: int = 200, seed: int = 0) -> DataFrame:
-    """keys, n, rho, low, high: rank correlation in random subsets of n points without replacement, its mean and 95 % range; null where a group is smaller."""
-
-    def ranks(v: np.ndarray) -> np.ndarray:
-        _, at, counts = np.unique(v, return_inverse=True, return_counts=True)
-        return (np.cumsum(counts) - (counts - 1) / 2)[at]
-
-    @F.pandas_udf("rho double, low double, high double")
-    def run(xs: pd.Series, ys: pd.Series, ns: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b, n in zip(xs, ys, ns, strict=True):
-            a, b, rng, got = np.asarray(a), np.asarray(b), np.random.default_rng(seed), []
-            for _ in range(reps if len(a) >= n else 0):
-                pick = rng.choice(len(a), n, replace=False)
-                ra, rb = ranks(a[pick]), ranks(b[pick])
-                if ra.std() > 0 and rb.std() > 0:
-                    got.append(np.corrcoef(ra, rb)[0, 1])
-            out.append((np.mean(got), *np.percentile(got, [2.5, 97.5])) if got else (None, None, None))
-        return pd.DataFrame(out, columns=["rho", "low", "high"])
-
-    pair = F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("_p")
-    real = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = real.groupBy(*keys).agg(pair).withColumn("n", F.explode(F.array(*[F.lit(n) for n in sizes])))
-    return rows.select(*keys, "n", run(F.col("_p.x"), F.col("_p.y"), F.col("n")).alias("_r")).select(*keys, "n", "_r.*")
-
-
 def seen_before(counts: DataFrame, keys: Sequence[str], count: str, slots: int) -> DataFrame:
     """keys, k, p: chance that the k-th draw (from 0) without replacement repeats a category drawn before.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyvox.functions.text import n_bytes, utf8_prefix
+from polyvox.operators.ranks import quantiles
 
 
 def shortest(rows: DataFrame, prompt: str, origin: Sequence[str], order: str) -> DataFrame:
@@ -26,15 +27,7 @@ def length_matched(rows: DataFrame, prompt: str, floor: int) -> DataFrame:
 
 def exclusive_quantile(rows: DataFrame, keys: Sequence[str], value: str, q: float) -> DataFrame:
     """keys, quantile at position q (n + 1) between neighbours, clamped to the ends."""
-    keys = list(keys)
-    order = Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.row_number().over(order).alias("_r"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
-    place = F.greatest(F.lit(1.0), F.least(F.col("_n").cast("double"), F.lit(q) * (F.col("_n") + 1)))
-    low = F.floor(place)
-    near = ranked.withColumn("_p", place).where((F.col("_r") == low) | (F.col("_r") == low + 1))
-    part = F.col("_p") - F.floor("_p")
-    weight = F.when(F.col("_r") == F.floor("_p"), 1 - part).otherwise(part)
-    return near.groupBy(*keys).agg(F.sum(weight * F.col("_v")).alias("quantile"))
+    return quantiles(rows, keys, value, {"quantile": q}, exclusive=True)
 
 
 def length_report(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -5,9 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from polyvox.operators.ranks import GROUP, average_rank, group_of, keys_of, positions, running_sums, with_part
 
 
 def real_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -16,18 +20,6 @@ def real_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.where(xc.isNotNull() & yc.isNotNull() & ~F.isnan(xc) & ~F.isnan(yc))
 
 
-def average_rank(values: DataFrame, keys: Sequence[str], column: str, rank: str) -> DataFrame:
-    """Adds the average rank of `column` within each group.
-
-    Equal values are counted first, so the window runs over distinct values only, and the ranks are joined back.
-    """
-    keys = list(keys)
-    counts = values.groupBy(*keys, column).agg(F.count("*").alias("_c"))
-    below = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(rank, F.coalesce(F.sum("_c").over(below), F.lit(0)) + (F.col("_c") + 1) / 2).drop("_c")
-    return values.join(ranks, [*keys, column])
-
-
 def _when_enough(n: int, value: Column) -> Column:
     return F.when(F.col("n") >= n, value)
 
@@ -51,24 +43,69 @@ def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 3)
 
 
 def kendall(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """keys, n, tau (tau-b, ties in either taken out). Pairs are formed between distinct (x, y) with their counts."""
-    keys = list(keys)
-    rows = real_pairs(df, x, y).groupBy(*keys, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
-    a, b = rows.alias("a"), rows.alias("b")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    before = (F.col("a.x") < F.col("b.x")) | ((F.col("a.x") == F.col("b.x")) & (F.col("a.y") < F.col("b.y")))
-    weight = F.col("a.c") * F.col("b.c")
-    sign = F.signum(F.col("b.x") - F.col("a.x")) * F.signum(F.col("b.y") - F.col("a.y"))
-    pairs = a.join(b, [*same, before]).groupBy(*[F.col(f"a.{k}") for k in keys]).agg(
-        F.sum(weight * sign).alias("s"),
-        F.sum(F.when(F.col("a.x") == F.col("b.x"), weight).otherwise(0)).alias("tx"),
-        F.sum(F.when(F.col("a.y") == F.col("b.y"), weight).otherwise(0)).alias("ty"),
-    )
-    own = rows.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("t"))
-    zero = F.lit(0.0)
-    total = F.col("n") * (F.col("n") - 1) / 2
-    free = lambda c: total - F.coalesce(F.col(c), zero) - F.col("t")
-    return own.join(pairs, keys, "left").select(*keys, "n", F.try_divide(F.coalesce("s", zero), F.sqrt(free("tx") * free("ty"))).alias("tau"))
+    """keys, n, tau (tau-b, ties in either taken out), s (concordant less discordant pairs), z and the two-sided p of no order.
+
+    p is exact for up to 33 pairs without ties, else normal, corrected for ties. Discordant pairs are counted without forming any: x and y are cut into
+    parts. Pairs within one part of x are counted there, those across parts of x but within one of y in that part, and the
+    rest from the numbers of points in each cell of parts. A part that holds one value has no such pair and isn't looked at.
+    """
+    xs, ys = F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
+    points = real_pairs(df, x, y).groupBy(group_of(keys), xs, ys).agg(F.count("*").alias("c"))
+    parted = with_part(with_part(points, "x", "px"), "y", "py")
+    listed = lambda *c: F.array_sort(F.collect_list(F.struct(*c, "c"))).alias("p")
+    inner = parted.where("px % 2 = 0").groupBy(GROUP, "px").agg(listed("x", "y"))
+    cells = parted.groupBy(GROUP, "px", "py").agg(F.sum("c").alias("c"))
+    lanes = parted.where("py % 2 = 0").groupBy(GROUP, "py", "px", "y").agg(F.sum("c").alias("c")).groupBy(GROUP, "py").agg(listed("px", "y"))
+    grid = cells.groupBy(GROUP).agg(listed("px", F.col("py").alias("y")))
+    against = [t.select(GROUP, _inversions(F.col("p.y"), F.col("p.c")).alias("d")) for t in (inner, lanes, grid)]
+    discordant = against[0].unionByName(against[1]).unionByName(against[2]).groupBy(GROUP).agg(F.sum("d").alias("d"))
+    ties = lambda by, c, name: points.groupBy(GROUP, by).agg(F.sum("c").cast("double").alias("c")).groupBy(GROUP).agg(*[F.sum(f(F.col("c"))).alias(f"{name}{i}") for i, f in enumerate(c)])
+    pairs, triples, var = (lambda c: c * (c - 1) / 2), (lambda c: c * (c - 1) * (c - 2)), (lambda c: c * (c - 1) * (2 * c + 5))
+    own = points.groupBy(GROUP).agg(F.sum("c").alias("n"), F.sum(pairs(F.col("c").cast("double"))).alias("both"))
+    all_of = own.join(discordant, GROUP).join(ties("x", (pairs, triples, var), "x"), GROUP).join(ties("y", (pairs, triples, var), "y"), GROUP)
+    n = F.col("n").cast("double")
+    total = pairs(n)
+    s = total - F.col("x0") - F.col("y0") + F.col("both") - 2 * F.col("d")
+    tau = F.try_divide(s, F.sqrt(total - F.col("x0")) * F.sqrt(total - F.col("y0")))
+    spread = (var(n) - F.col("x2") - F.col("y2")) / 18 + F.try_divide(2 * F.col("x0") * F.col("y0"), n * (n - 1)) + F.coalesce(F.try_divide(F.col("x1") * F.col("y1"), 9 * triples(n)), F.lit(0.0))
+    scored = all_of.select(*keys_of(keys), "n", tau.alias("tau"), s.alias("s"), F.try_divide(s, F.sqrt(spread)).alias("z"), ((F.col("x0") == 0) & (F.col("y0") == 0) & (n <= 33) & (n > 1)).alias("_exact"))
+    return scored.select(*keys, "n", "tau", "s", "z", F.when(F.col("_exact"), _kendall_exact(F.col("n"), F.col("s"))).otherwise(normal_p(F.col("z"))).alias("p"))
+
+
+def inversions(y: np.ndarray, c: np.ndarray) -> int:
+    """Sum of c_i c_j over pairs i < j with y_i > y_j: for each bit of the ranks of y, from the highest, the pairs that differ there first."""
+    rank = np.unique(y, return_inverse=True)[1].astype(np.int64)
+    c, found = c.astype(np.int64), 0
+    for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
+        one = (rank >> bit & 1).astype(bool)
+        before = np.cumsum(np.where(one, c, 0))
+        same = rank >> (bit + 1)
+        starts = np.flatnonzero(np.r_[True, same[1:] != same[:-1]])
+        earlier = before - np.repeat(np.r_[0, before][starts], np.diff(np.r_[starts, len(rank)]))
+        found += int((c[~one] * earlier[~one]).sum())
+        order = np.argsort(rank >> bit, kind="stable")  # ranks that agree so far stay in the order of x
+        rank, c = rank[order], c[order]
+    return found
+
+
+@F.pandas_udf(T.LongType())
+def _inversions(ys: pd.Series, cs: pd.Series) -> pd.Series:
+    return pd.Series([inversions(np.asarray(y), np.asarray(c)) for y, c in zip(ys, cs, strict=True)], dtype="int64")
+
+
+def kendall_exact_p(n: int, s: float) -> float:
+    """Chance that n points in random order have as many pairs out of balance as s says, on either side, by counting orders."""
+    ways = [1]
+    for m in range(2, n + 1):
+        running = np.cumsum([*map(int, ways), *[0] * (m - 1)], dtype=object)
+        ways = [running[i] - (running[i - m] if i >= m else 0) for i in range(len(running))]
+    fewest = round((n * (n - 1) / 2 - abs(s)) / 2)
+    return min(1.0, 2 * sum(ways[: fewest + 1]) / math.factorial(n))
+
+
+@F.pandas_udf(T.DoubleType())
+def _kendall_exact(ns: pd.Series, ss: pd.Series) -> pd.Series:
+    return pd.Series([kendall_exact_p(int(n), s) if 1 < n <= 33 else None for n, s in zip(ns, ss, strict=True)], dtype="float64")
 
 
 def rank_sum(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
@@ -77,18 +114,17 @@ def rank_sum(df: DataFrame, keys: Sequence[str], score: str, label: str) -> Data
     auc is null with fewer than two of either label.
     """
     keys = list(keys)
-    rows = real_pairs(df, score, label).where(F.col(label).isin(0, 1)).select(*keys, F.col(score).alias("_x"), F.col(label).alias("_l"))
-    counts = rows.groupBy(*keys, "_x").agg(F.count("*").alias("c"), F.sum("_l").alias("p"))
-    below = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("r", F.coalesce(F.sum("c").over(below), F.lit(0)) + (F.col("c") + 1) / 2)
-    sums = ranked.groupBy(*keys).agg(
+    rows = real_pairs(df, score, label).where(F.col(label).isin(0, 1)).select(group_of(keys), F.col(score).alias("_x"), F.col(label).alias("_l"))
+    counts = rows.groupBy(GROUP, "_x").agg(F.count("*").alias("c"), F.sum("_l").alias("p"))
+    ranked = running_sums(counts, "_x", ["c"]).withColumn("r", F.col("c_before") + (F.col("c") + 1) / 2)
+    sums = ranked.groupBy(GROUP).agg(
         F.sum("p").cast("long").alias("n_pos"), F.sum(F.col("c") - F.col("p")).cast("long").alias("n_neg"), F.sum(F.col("r") * F.col("p")).alias("w"), F.sum(F.pow("c", F.lit(3.0)) - F.col("c")).alias("ties")
     )
     pos, neg, n = F.col("n_pos"), F.col("n_neg"), F.col("n_pos") + F.col("n_neg")
     u = F.col("w") - pos * (pos + 1) / 2
     var = pos * neg / 12.0 * (n + 1 - F.try_divide(F.col("ties"), (n * (n - 1)).cast("double")))
     return sums.select(
-        *keys,
+        *keys_of(keys),
         "n_pos",
         "n_neg",
         u.alias("u"),
@@ -101,24 +137,22 @@ def roc_points(df: DataFrame, keys: Sequence[str], score: str, label: str, tie:
     """keys, pos, fpr, tpr after each row in descending score; ties stay apart, in the order of `tie`."""
     keys = list(keys)
     rows = real_pairs(df, score, label)
-    order = Window.partitionBy(*keys).orderBy(F.desc(score), tie).rowsBetween(Window.unboundedPreceding, 0)
     one = F.when(F.col(label) == 1, 1).otherwise(0)
-    run = rows.select(*keys, F.row_number().over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("pos"), F.sum(one).over(order).alias("tp"), F.sum(1 - one).over(order).alias("fp"))
-    totals = rows.groupBy(*keys).agg(F.sum(one).alias("n_pos"), F.sum(1 - one).alias("n_neg"))
-    return run.join(totals, keys).select(*keys, "pos", F.try_divide(F.col("fp").cast("double"), F.col("n_neg").cast("double")).alias("fpr"), F.try_divide(F.col("tp").cast("double"), F.col("n_pos").cast("double")).alias("tpr"))
+    run = positions(rows, keys, score, tie, {"tp": one, "fp": 1 - one}, descending=True).withColumn(GROUP, group_of(keys))
+    totals = rows.groupBy(group_of(keys)).agg(F.sum(one).alias("n_pos"), F.sum(1 - one).alias("n_neg"))
+    share = lambda c, n: F.try_divide(F.col(c).cast("double"), F.col(n).cast("double"))
+    return run.join(totals, GROUP).select(*keys, F.col("pos").cast("int").alias("pos"), share("fp_upto", "n_neg").alias("fpr"), share("tp_upto", "n_pos").alias("tpr"))
 
 
 def best_threshold_accuracy(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
     """keys, oca: accuracy of the best single threshold that calls everything at or above it positive, or nothing."""
     keys = list(keys)
     rows = real_pairs(df, score, label)
-    counts = rows.groupBy(*keys, F.col(score).alias("_x")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.count("*").alias("c"))
-    up = Window.partitionBy(*keys).orderBy(F.desc("_x")).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(*keys)
-    neg = F.sum(F.col("c") - F.col("p")).over(total)
-    right = F.sum("p").over(up) + neg - F.sum(F.col("c") - F.col("p")).over(up)
-    best = counts.select(*keys, right.alias("right"), neg.alias("none"), F.sum("c").over(total).alias("n"))
-    return best.groupBy(*keys).agg(F.max("n").alias("n"), (F.greatest(F.max("right"), F.max("none")) / F.max("n")).alias("oca"))
+    counts = rows.groupBy(group_of(keys), F.col(score).alias("_x")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.count("*").alias("c"))
+    run = running_sums(counts, "_x", ["p", "c"], descending=True)
+    ahead = 2 * (F.col("p_before") + F.col("p")) - (F.col("c_before") + F.col("c"))  # hits less misses among those called positive
+    best = run.groupBy(GROUP).agg(F.sum("c").alias("n"), F.sum(F.col("c") - F.col("p")).alias("none"), F.greatest(F.max(ahead), F.lit(0)).alias("more"))
+    return best.select(*keys_of(keys), "n", ((F.col("none") + F.col("more")) / F.col("n")).alias("oca"))
 
 
 def median_split_accuracy(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
@@ -134,14 +168,13 @@ def signed_rank(diffs: DataFrame, keys: Sequence[str], column: str, least: int =
     """keys, n, w_plus, z: Wilcoxon signed ranks of the non-zero differences, tie-corrected; z null with fewer than `least`."""
     keys = list(keys)
     d = F.col(column).cast("double")
-    rows = diffs.where(d.isNotNull() & ~F.isnan(d) & (d != 0)).select(*keys, F.abs(d).alias("_a"), (d > 0).cast("int").alias("_s"))
-    counts = rows.groupBy(*keys, "_a").agg(F.count("*").alias("c"), F.sum("_s").alias("p"))
-    below = Window.partitionBy(*keys).orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("r", F.coalesce(F.sum("c").over(below), F.lit(0)) + (F.col("c") + 1) / 2)
-    sums = ranked.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.col("r") * F.col("p")).alias("w_plus"), F.sum(F.pow("c", F.lit(3.0)) - F.col("c")).alias("ties"))
+    rows = diffs.where(d.isNotNull() & ~F.isnan(d) & (d != 0)).select(group_of(keys), F.abs(d).alias("_a"), (d > 0).cast("int").alias("_s"))
+    counts = rows.groupBy(GROUP, "_a").agg(F.count("*").alias("c"), F.sum("_s").alias("p"))
+    ranked = running_sums(counts, "_a", ["c"]).withColumn("r", F.col("c_before") + (F.col("c") + 1) / 2)
+    sums = ranked.groupBy(GROUP).agg(F.sum("c").alias("n"), F.sum(F.col("r") * F.col("p")).alias("w_plus"), F.sum(F.pow("c", F.lit(3.0)) - F.col("c")).alias("ties"))
     n = F.col("n")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
-    return sums.select(*keys, "n", "w_plus", _when_enough(least, F.try_divide(F.col("w_plus") - n * (n + 1) / 4, F.sqrt(var))).alias("z"))
+    return sums.select(*keys_of(keys), "n", "w_plus", _when_enough(least, F.try_divide(F.col("w_plus") - n * (n + 1) / 4, F.sqrt(var))).alias("z"))
 
 
 def welch(df: DataFrame, keys: Sequence[str], value: str, label: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,6 +119,54 @@ def three_way(cells: DataFrame, factors: Sequence[str], value: str) -> DataFrame
     return agg.unpivot(["_total"], effects, "effect", "ss").select("effect", "ss", F.try_divide("ss", "_total").alias("fraction"))
 
 
+def decompose_views(
+    cells: DataFrame, grader: str, stage: str, unit: str, value: str, views: Mapping[str, Sequence[str]], stages: Sequence[str], tolerance: float = 1e-9
+) -> DataFrame:
+    """One row per view, a named set of graders: two- and three-way decompositions of value over the units that the view has whole.
+
+    cells has a value for each grader, stage and unit. A view's units are those with a value of each of its graders in each of stages; n_dropped counts
+    the others. Gives view, n_graders, n_units, n_dropped, the sums of squares of the seven effects (residual: all three factors) and
+    their total, unit_frac_of_total, the shares within units (grader, stage and interaction, each with its part across units) and the shares of the table of
+    cell means. Raises where a cell is there twice or the effects don't add up to the total. A view without a whole unit gives no row.
+    Each row is copied to the views that have its grader once, and all sums come from one pass over grouping sets.
+    """
+    levels = sorted({g for graders in views.values() for g in graders})
+    member = F.create_map(*[x for g in levels for x in (F.lit(g), F.array(*[F.lit(v) for v, graders in views.items() if g in graders]))])
+    sizes = F.create_map(*[x for v, graders in views.items() for x in (F.lit(v), F.lit(len(set(graders))))])
+    g, s, u = F.col(grader).alias("_g"), F.col(stage).alias("_s"), F.col(unit).alias("_u")
+    rows = cells.where(F.col(grader).isin(levels) & F.col(stage).isin(list(stages)) & F.col(unit).isNotNull()).select(g, s, u, F.col(value).cast("double").alias("_v"))
+    seen = rows.select("*", F.explode(F.element_at(member, F.col("_g"))).alias("view"))
+    found = seen.groupBy("view", "_u").agg(F.count("*").alias("_rows"), F.count("_v").alias("_values"), F.count_distinct("_g", "_s").alias("_cells"))
+    once = F.when(F.col("_rows") > F.col("_cells"), F.raise_error(F.concat(F.lit("a cell is there twice: "), F.col("_u").cast("string")))).otherwise(F.col("_values"))
+    units = found.select("view", "_u", (once == F.element_at(sizes, F.col("view")) * len(set(stages))).alias("_whole"))
+    kept = seen.join(units.where("_whole"), ["view", "_u"], "left_semi")
+    centred = kept.join(kept.groupBy("view").agg(F.avg("_v").alias("_m")), "view").select("view", "_g", "_s", "_u", (F.col("_v") - F.col("_m")).alias("_d"))
+    factors = ["_g", "_s", "_u"]
+    sets = [[f for i, f in enumerate(factors) if mask >> i & 1] for mask in range(8)]
+    by = centred.groupingSets([["view", *x] for x in sets], "view", *factors).agg(*[F.grouping(f).alias(f"_no{f}") for f in factors], F.sum("_d").alias("_sum"), F.count("*").alias("_n"), F.sum(F.col("_d") * F.col("_d")).alias("_square"))
+    is_set = lambda x: reduce(lambda a, b: a & b, [F.col(f"_no{f}") == int(f not in x) for f in factors])
+    names = {tuple(x): "q" + "".join(x) for x in sets}
+    moments = by.groupBy("view").agg(*[F.sum(F.when(is_set(x), F.col("_sum") * F.col("_sum") / F.col("_n"))).alias(names[tuple(x)]) for x in sets], F.max(F.when(is_set([]), F.col("_square"))).alias("ss_total"), F.count_if(is_set(["_u"])).alias("n_units"))
+
+    def effect(x: list[str]) -> Column:
+        return reduce(lambda a, b: a + b, [(-1) ** (len(x) - len(t)) * F.col(names[tuple(t)]) for t in sets if {*t} <= {*x}])
+
+    effects = {"grader": ["_g"], "stage": ["_s"], "unit": ["_u"], "grader_x_stage": ["_g", "_s"], "grader_x_unit": ["_g", "_u"], "stage_x_unit": ["_s", "_u"], "residual": factors}
+    ss = moments.select("*", *[effect(x).alias(f"ss_{n}") for n, x in effects.items()])
+    added = reduce(lambda a, b: a + b, [F.col(f"ss_{n}") for n in effects])
+    open_by = F.abs(added - F.col("ss_total")) > tolerance * F.col("ss_total") + 1e-15
+    closed = ss.withColumn("ss_total", F.when(open_by, F.raise_error(F.lit("sums of squares don't add up"))).otherwise(F.col("ss_total")))
+    part = lambda names, of: F.try_divide(reduce(lambda a, b: a + b, [F.col(f"ss_{n}") for n in names]), of)
+    within, table = F.col("ss_total") - F.col("ss_unit"), F.col("ss_grader") + F.col("ss_stage") + F.col("ss_grader_x_stage")
+    dropped = units.groupBy("view").agg(F.count_if(~F.col("_whole")).alias("n_dropped"))
+    return closed.join(dropped, "view").select(
+        "view", F.element_at(sizes, F.col("view")).alias("n_graders"), "n_units", "n_dropped", *[f"ss_{n}" for n in effects], "ss_total",
+        part(["unit"], F.col("ss_total")).alias("unit_frac_of_total"),
+        part(["grader", "grader_x_unit"], within).alias("within_grader"), part(["stage", "stage_x_unit"], within).alias("within_stage"), part(["grader_x_stage", "residual"], within).alias("within_interaction"),
+        part(["grader"], table).alias("cell_grader"), part(["stage"], table).alias("cell_stage"), part(["grader_x_stage"], table).alias("cell_interaction"),
+    )
+
+
 def ordering_passes(means: DataFrame, rank: str, value: str) -> DataFrame:
     """passes, pairs: how many pairs of stages have their means in descending order of the stages."""
     a, b = means.alias("a"), means.alias("b")

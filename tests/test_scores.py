@@ -155,27 +155,8 @@ def test_seen_before_by_counting(spark):
         assert got[k] == pytest.approx(share)
 
 
-def test_bootstrap_holds_the_ratio(spark):
-    df = spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(1, 60)], "a double, b double")
-    r = fits.bootstrap_ratio(df, [], "a", "b", 500).first()
-    assert r.low <= r.ratio <= r.high and r.high - r.low < 0.1
-    assert fits.bootstrap_ratio(df, [], "a", "b", 500).first() == r
-
-
 def test_token_bits_add_up(spark):
     s = sets(spark, (1, 1, "p a", "a b a"), (1, 2, "p a", ""), (1, 3, "p a", "b c"), (2, 1, "", "x"))
     whole = {(r.set_id, r.k): r.bits for r in scorers.prequential(s, ["set_id"]).collect()}
     got = {(r.set_id, r.k): r.b for r in scorers.token_bits(s, ["set_id"]).groupBy("set_id", "k").agg(F.sum("bits").alias("b")).collect()}
     assert got == pytest.approx({k: v for k, v in whole.items() if k != (1, 2)})
-
-
-def test_bootstrapped_fits_and_subsamples(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    rows = [(1, d, k, float(5 + 40 * math.exp(-0.7 * (k - 1)) + rng.normal() / 10)) for d in range(12) for k in range(1, 10)]
-    r = fits.bootstrap_fit(spark.createDataFrame(rows, "g long, d long, k long, v double"), ["g"], "d", "v", 30).first()
-    assert r.draws == 12 and r.alpha_low <= r.alpha <= r.alpha_high and abs(r.beta - 0.7) < 0.05
-    points = spark.createDataFrame([(1, float(i), float(i * i)) for i in range(20)], "g long, x double, y double")
-    got = {r.n: r.rho for r in fits.subsample_rho(points, ["g"], "x", "y", (5, 50)).collect()}
-    assert got[5] == pytest.approx(1) and got[50] is None
