@@ -2,33 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Words that a worker has at once, one text at least.
+WORDS_AT_ONCE = 400_000
+#: Odd multipliers of the two halves of a gram's hash; fixed values.
+_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
+
+
 def distinct_ngrams(texts: DataFrame, keys: Sequence[str], words: Callable[[Column], Column], sizes: Sequence[int] = (1, 2, 3, 4, 5)) -> DataFrame:
     """keys, n, uniq, total, distinct: n-grams pooled over the texts of a group, every size of every group; 0 without n-grams.
 
-    Grams stand as 128-bit hashes and are counted per group and size first (with map-side sums), so no group's grams
-    ever meet in one place.
+    Grams stand as 128-bit hashes, and groups too, null keys told apart from all others. They are counted by batch of texts first, then by
+    group and size with map-side sums, so no group's grams ever meet in one place.
     """
     if any(n < 1 for n in sizes):
         raise ValueError("n-gram sizes start at 1")
-    # A group goes by a number in place of its keys, and a word by two hashes, so that all that is shuffled has a fixed width.
-    group = F.xxhash64(*keys).alias("_group")
-    split = texts.select(group, words(F.col("text")).alias("_words"))
-    hashed = split.select("_group", F.transform("_words", lambda w: F.xxhash64(w)).alias("_h0"), F.transform("_words", lambda w: F.xxhash64(F.lit(1), w)).alias("_h1"))
-    # Behind a generator, so that words are hashed once and not for every gram.
-    once = hashed.select("_group", F.explode(F.array(F.struct("_h0", "_h1"))).alias("_h")).select("_group", "_h.*")
-    all_sizes = [F.struct(F.lit(n).alias("n"), _gram_hashes(F.col("_h0"), F.col("_h1"), n).alias("grams")) for n in sizes]
-    grams = once.select("_group", F.explode(F.array(*all_sizes)).alias("_g")).select("_group", F.col("_g.n").alias("n"), F.explode("_g.grams").alias("_gram"))
-    fixed = grams.select("_group", "n", F.col("_gram.a").alias("_a"), F.col("_gram.b").alias("_b"))
-    counted = fixed.groupBy("_group", "n", "_a", "_b").agg(F.count("*").alias("c")).groupBy("_group", "n").agg(F.count("*").alias("uniq"), F.sum("c").alias("total"))
-    grid = texts.select(*keys).distinct().withColumn("n", F.explode(F.array(*[F.lit(n) for n in sizes]))).select("*", group)
+    marked = [x for k in keys for x in (F.col(k).isNull(), F.col(k))]
+    group = [F.xxhash64(F.lit(0), *marked).alias("_g1"), F.xxhash64(F.lit(1), *marked).alias("_g2")]
+    wanted = sorted({*sizes})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("_words")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            start = 0
+            while start < len(batch):
+                before = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + WORDS_AT_ONCE, side="right")))
+                yield from _gram_counts(batch.slice(start, stop - start), wanted)
+                start = stop
+
+    fixed = texts.select(*group, words(F.col("text")).alias("_words")).mapInArrow(count, "_g1 long, _g2 long, n int, _a long, _b long, c long")
+    by = ["_g1", "_g2", "n"]
+    counted = fixed.groupBy(*by, "_a", "_b").agg(F.sum("c").alias("c")).groupBy(*by).agg(F.count("*").alias("uniq"), F.sum("c").alias("total"))
+    grid = texts.select(*keys).distinct().withColumn("n", F.explode(F.array(*[F.lit(n) for n in sizes]))).select("*", *group)
     zero = F.lit(0).cast("long")
-    return grid.join(counted, ["_group", "n"], "left").select(
+    return grid.join(counted, by, "left").select(
         *keys,
         "n",
         F.coalesce("uniq", zero).alias("uniq"),
@@ -37,11 +54,33 @@ def distinct_ngrams(texts: DataFrame, keys: Sequence[str], words: Callable[[Colu
     )
 
 
-def _gram_hashes(first: Column, second: Column, n: int) -> Column:
-    """Two hashes of each run of n words, from two hashes of each word."""
-    run = lambda words, i: [F.get(words, i + j) for j in range(n)]
-    grams = F.transform(F.sequence(F.lit(0), F.size(first) - n), lambda i: F.struct(F.xxhash64(*run(first, i)).alias("a"), F.xxhash64(F.lit(n), *run(second, i)).alias("b")))
-    return F.when(F.size(first) >= n, grams).otherwise(F.array().cast("array<struct<a: bigint, b: bigint>>"))
+def _gram_counts(texts: pa.RecordBatch, sizes: Sequence[int]) -> Iterator[pa.RecordBatch]:
+    """How often each gram of each size is in these texts, by group. A word is hashed once, a gram is made from the one a word shorter."""
+    lists = texts.column("_words")
+    told = lists.flatten().dictionary_encode()
+    if not len(told):
+        return
+    digests = b"".join(hashlib.blake2b(w.encode(), digest_size=16).digest() for w in told.dictionary.to_pylist())
+    own = np.frombuffer(digests, dtype="<u8").reshape(-1, 2)[told.indices.to_numpy()]
+    row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    groups = np.stack([texts.column(g).to_numpy() for g in ("_g1", "_g2")], axis=1)
+    gram, size = own, 1
+    for n in sizes:
+        while size < n:  # grams of the next size, where the text goes on
+            gram = gram[: max(0, len(own) - size)] * _MULTIPLIERS + own[size:]
+            size += 1
+        at = np.flatnonzero(row[: len(gram)] == row[n - 1 :])
+        if not len(at):
+            return
+        key = groups[row[at]]
+        found = gram[at]
+        order = np.argsort(found[:, 0] + key[:, 0].view(np.uint64))
+        key, found = key[order], found[order]
+        fresh = np.r_[True, (found[1:] != found[:-1]).any(axis=1) | (key[1:] != key[:-1]).any(axis=1)]
+        starts = np.flatnonzero(fresh)
+        key, found, counts = key[starts], found[starts].view(np.int64), np.diff(np.r_[starts, len(order)])
+        columns = [key[:, 0], key[:, 1], np.full(len(starts), n, dtype=np.int32), found[:, 0], found[:, 1], counts]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["_g1", "_g2", "n", "_a", "_b", "c"])
 
 
 def averaged_distinct(distinct: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -160,3 +160,25 @@ def test_token_bits_add_up(spark):
     whole = {(r.set_id, r.k): r.bits for r in scorers.prequential(s, ["set_id"]).collect()}
     got = {(r.set_id, r.k): r.b for r in scorers.token_bits(s, ["set_id"]).groupBy("set_id", "k").agg(F.sum("bits").alias("b")).collect()}
     assert got == pytest.approx({k: v for k, v in whole.items() if k != (1, 2)})
+
+
+def test_groups_of_null_keys_are_apart(spark):
+    df = spark.createDataFrame([("x", None, "a b c"), (None, "x", "a b"), (None, None, "a"), ("x", "x", "a a"), ("x", None, None)], "g string, h string, text string")
+    got = {(r.g, r.h, r.n): (r.uniq, r.total) for r in lexical.distinct_ngrams(df, ["g", "h"], T.ws_words, (1, 2)).collect()}
+    assert got == {
+        ("x", None, 1): (3, 3), ("x", None, 2): (2, 2), (None, "x", 1): (2, 2), (None, "x", 2): (1, 1), (None, None, 1): (1, 1), (None, None, 2): (0, 0), ("x", "x", 1): (1, 2), ("x", "x", 2): (1, 1),
+    }
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 400_000])
+def test_grams_over_batches(spark, monkeypatch, at_once):
+    import random
+
+    rng = random.Random(5)
+    texts = [(rng.choice("ab"), " ".join(rng.choices("uvwxé", k=rng.randrange(12)))) for _ in range(60)]
+    monkeypatch.setattr(lexical, "WORDS_AT_ONCE", at_once)
+    got = {(r.g, r.n): (r.uniq, r.total) for r in lexical.distinct_ngrams(spark.createDataFrame(texts, "g string, text string"), ["g"], T.ws_words, (1, 3, 4)).collect()}
+    for g in "ab":
+        for n in (1, 3, 4):
+            grams = [tuple(w[i : i + n]) for w in (t.split() for x, t in texts if x == g) for i in range(len(w) - n + 1)]
+            assert got[g, n] == (len(set(grams)), len(grams))
