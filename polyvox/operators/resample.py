@@ -86,12 +86,12 @@ def bootstrap_ratio(pairs: DataFrame, keys: Sequence[str], num: str, den: str, r
 def bootstrap_slope(points: DataFrame, keys: Sequence[str], x: str, y: str, row: str, reps: int = 1_000, seed: int = 0) -> DataFrame:
     """keys, n, slope, intercept and r2 of y on x, and errors and intervals of slope and r2; null where x doesn't vary.
 
-    Sums are of distances from the group's means, so that large values lose no digits.
+    Sums are of distances from the means of all points, one row that goes to every task, so that values far from 0 lose no digits.
     """
     real = stats.real_pairs(points, x, y).withColumn("_k", ranks.group_of(keys))
     xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
-    whole = real.groupBy("_k").agg(F.count("*").alias("n"), F.avg(xc).alias("_mx"), F.avg(yc).alias("_my"), F.regr_slope(yc, xc).alias("slope"), F.regr_intercept(yc, xc).alias("intercept"), F.regr_r2(yc, xc).alias("r2"))
-    near = real.join(whole.select("_k", "_mx", "_my"), "_k")
+    whole = real.groupBy("_k").agg(F.count("*").alias("n"), F.regr_slope(yc, xc).alias("slope"), F.regr_intercept(yc, xc).alias("intercept"), F.regr_r2(yc, xc).alias("r2"))
+    near = real.join(F.broadcast(real.agg(F.avg(xc).alias("_mx"), F.avg(yc).alias("_my"))))
     dx, dy = xc - F.col("_mx"), yc - F.col("_my")
     s = weighted_sums(near, ["_k"], row, {"_x": dx, "_y": dy, "_xx": dx * dx, "_xy": dx * dy, "_yy": dy * dy}, reps, seed)
     w = F.col("weight")
