@@ -105,11 +105,51 @@ def tensor(df: DataFrame, column: str, names: list[str]) -> DataFrame:
     return out.withColumnRenamed("_v", "value").drop(column)
 
 
+def _tex(spark: SparkSession, path: str) -> DataFrame:
+    """path, file name and text of TeX files, comments left out."""
+    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.tex").text(path)
+    return whole.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", r"(?m)(?<!\\)%.*$", "").alias("tex"))
+
+
+def _cited(tex: DataFrame) -> DataFrame:
+    keys = tex.select("path", "file", F.explode(F.regexp_extract_all("tex", F.lit(r"\\cite[a-zA-Z]*\*?(?:\[[^\]]*\])*\{([^}]*)\}"), F.lit(1))).alias("keys"))
+    return keys.select("path", "file", F.explode(F.split("keys", ",")).alias("key")).withColumn("key", F.trim("key")).where("key <> ''").distinct()
+
+
 def cite_keys(spark: SparkSession, path: str) -> DataFrame:
     r"""file and key of every citation command in TeX files, comments left out."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", r"(?m)(?<!\\)%.*$", "").alias("tex"))
-    keys = text.select("file", F.explode(F.regexp_extract_all("tex", F.lit(r"\\cite[a-zA-Z]*\*?(?:\[[^\]]*\])*\{([^}]*)\}"), F.lit(1))).alias("keys"))
-    return keys.select("file", F.explode(F.split("keys", ",")).alias("key")).select("file", F.trim("key").alias("key")).where("key <> ''").distinct()
+    return _cited(_tex(spark, path)).select("file", "key")
+
+
+def included_files(spark: SparkSession, folder: str, main: str) -> DataFrame:
+    r"""path and `found` of the TeX files that main, a file name in folder, reaches by \input and \include, itself included.
+
+    Names are relative to the folder of the file that has them, with or without .tex. Each round follows the files that the round before was the
+    first to reach, until there is none, so files that include one another end it as well.
+    """
+    tex = _tex(spark, folder)
+    named = tex.select("path", F.explode(F.regexp_extract_all("tex", F.lit(r"\\(?:input|include)\s*\{([^}]*)\}"), F.lit(1))).alias("name"))
+    name = F.regexp_replace(F.trim("name"), r"(\.tex)?$", "")
+    to = F.concat(F.regexp_replace("path", "[^/]*$", ""), name, F.lit(".tex"))
+    to = F.regexp_replace(to, r"/(\./)+", "/")
+    for _ in range(8):  # folders up
+        to = F.regexp_replace(to, r"/(?!\.\./)[^/]+/\.\./", "/")
+    edges = named.where(F.trim("name") != "").select("path", to.alias("to")).distinct()
+    newest = reached = tex.where(F.col("path").endswith(f"/{main}")).orderBy(F.length("path")).limit(1).select("path")
+    if newest.isEmpty():
+        raise FileNotFoundError(f"no {main} in {folder}")
+    while not newest.isEmpty():
+        newest = edges.join(newest, "path").select(F.col("to").alias("path")).distinct().join(reached, "path", "left_anti")
+        newest = spark.createDataFrame(newest.collect(), reached.schema)  # names of files, a round's worth
+        reached = reached.unionByName(newest)
+    return reached.join(tex.select("path", F.lit(True).alias("found")), "path", "left").select("path", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def reached_cite_keys(spark: SparkSession, folder: str, main: str) -> DataFrame:
+    """file and key of every citation in main and all files that it includes, directly or not; a file that isn't there raises when the table is read."""
+    files = included_files(spark, folder, main)
+    there = files.where(F.col("found") | F.raise_error(F.concat(F.lit("no file "), F.col("path"))).cast("boolean")).select("path")
+    return _cited(_tex(spark, folder)).join(there, "path", "right").where("key IS NOT NULL").select("file", "key")
 
 
 def bib_keys(spark: SparkSession, path: str) -> DataFrame:

@@ -3,31 +3,46 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyvox.operators.length import skip_rate_guard
 from polyvox.operators.tables import rename_tagged
 
 
+def appended(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all batches that append_new has committed to path."""
+    return spark.read.parquet(path).drop("batch")
+
+
 def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
-    """Appends the rows whose key the Parquet table at path doesn't hold, and gives back those rows' keys.
+    """Adds the rows whose key no batch at path has yet, and gives back their keys. Read the table by `appended`.
 
-    Run again after a stop, it writes what is missing and nothing twice: files of a
-    failed write are never seen, for the commit is the table's own.
+    A batch is written to a folder that readers don't see and becomes part of the table by one rename, so a write that stops half-way leaves nothing
+    behind that is read, and running it again writes what is missing. Null keys are keys like others. Of rows of df that share a key, one
+    is written. Two writers at once may both add a key. Needs a file system whose renames are whole, as HDFS and local ones are.
     """
     spark = df.sparkSession
+    of = lambda rows: F.struct(F.lit(0), *[rows[k] for k in keys])
+    fresh = df.dropDuplicates(list(keys))
     try:
-        done = spark.read.parquet(path).select(*keys).distinct()
-        df = df.join(done, list(keys), "left_anti")
+        done = appended(spark, path).select(*keys)
+        fresh = fresh.join(done, of(fresh) == of(done), "left_anti")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
-    df.write.mode("append").parquet(path)
-    return df.select(*keys)
+    name = uuid.uuid4().hex
+    staged, batch = f"{path}/_staged/{name}", f"{path}/batch={name}"
+    fresh.write.parquet(staged)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.rename(hadoop(staged), hadoop(batch)):
+        raise OSError(f"could not commit {batch}")
+    return spark.read.schema(fresh.schema).parquet(batch).select(*keys)
 
 
 def split_skips(df: DataFrame, reason: Column, path: str, skips: str, most: float = 0.1) -> None:

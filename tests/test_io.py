@@ -64,12 +64,41 @@ def test_seeded_sample(spark):
 
 def test_append_new_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "out")
-    df = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
-    assert sinks.append_new(df, path, ["k"]) is not None
-    more = spark.createDataFrame([(2, "again"), (3, "c")], "k long, v string")
-    for _ in range(2):
-        sinks.append_new(more, path, ["k"])
-    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "b"), (3, "c")}
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "n"), (None, "n")], "k long, v string")
+    assert sorted(map(tuple, sinks.append_new(df, path, ["k"]).collect()), key=str) == [(1,), (2,), (None,)]
+    more = spark.createDataFrame([(2, "again"), (3, "c"), (None, "n")], "k long, v string")
+    assert [r.k for r in sinks.append_new(more, path, ["k"]).collect()] == [3]
+    assert sinks.append_new(more, path, ["k"]).count() == 0
+    assert sorted((tuple(r) for r in sinks.appended(spark, path).collect()), key=str) == [(1, "a"), (2, "b"), (3, "c"), (None, "n")]
+
+
+def test_a_write_that_stops_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "out")
+    df = spark.createDataFrame([(i, float(i)) for i in range(20)], "k long, v double").repartition(4)
+    failing = df.withColumn("v", F.when(F.col("k") == 13, F.raise_error(F.lit("stopped")).cast("double")).otherwise(F.col("v")))
+    sinks.append_new(df.where("k < 5"), path, ["k"])
+    with pytest.raises(Exception, match="stopped"):
+        sinks.append_new(failing, path, ["k"])
+    assert sinks.appended(spark, path).count() == 5
+    assert sinks.append_new(df, path, ["k"]).count() == 15 and sinks.appended(spark, path).count() == 20
+
+
+def test_citations_through_included_files(spark, tmp_path):
+    (tmp_path / "parts" / "deep").mkdir(parents=True)
+    (tmp_path / "main.tex").write_text("\\cite{a}\n\\input{parts/one} % \\input{parts/unused}\n\\include{./parts/two.tex}")
+    (tmp_path / "parts" / "one.tex").write_text("\\citep{b, c} \\input{deep/three}")
+    (tmp_path / "parts" / "two.tex").write_text("\\input{one}\\input{../main}")  # back again
+    (tmp_path / "parts" / "deep" / "three.tex").write_text("\\cite{d}\\input{../two}\\input{../../parts/one}")
+    (tmp_path / "parts" / "unused.tex").write_text("\\cite{z}")
+    files = {r.path.rsplit(f"{tmp_path}/")[-1]: r.found for r in readers.included_files(spark, str(tmp_path), "main.tex").collect()}
+    assert files == {"main.tex": True, "parts/one.tex": True, "parts/two.tex": True, "parts/deep/three.tex": True}
+    got = {(r.file, r.key) for r in readers.reached_cite_keys(spark, str(tmp_path), "main.tex").collect()}
+    assert got == {("main.tex", "a"), ("one.tex", "b"), ("one.tex", "c"), ("three.tex", "d")}
+    (tmp_path / "parts" / "two.tex").write_text("\\input{gone}")
+    with pytest.raises(Exception, match="no file"):
+        readers.reached_cite_keys(spark, str(tmp_path), "main.tex").collect()
+    with pytest.raises(FileNotFoundError):
+        readers.included_files(spark, str(tmp_path), "other.tex")
 
 
 def test_sinks(spark, tmp_path):
