@@ -889,10 +889,10 @@ def bootstrap_ratio(spark, sf):
 
 
 @query(f"""WITH x AS (SELECT lang, doc_id, n_chars::DOUBLE AS x FROM documents), {_draws("x", "doc_id", 1_000)}, {_TAKEN},
-r AS (SELECT lang, sum(w * x) / sum(w) AS mean FROM taken WHERE w > 0 GROUP BY lang, rep), g AS (SELECT lang, {_spread("mean", 4)} FROM r GROUP BY 1)
-SELECT lang, count(*) AS n, round(avg(x), 4) AS mean, any_value(mean_se) AS mean_se, any_value(mean_low) AS mean_low, any_value(mean_high) AS mean_high FROM x JOIN g USING (lang) GROUP BY 1""")
+r AS (SELECT lang, sum(w * x) / sum(w) AS mean FROM taken WHERE w > 0 GROUP BY lang, rep), g AS (SELECT lang, {_spread("mean")} FROM r GROUP BY 1)
+SELECT lang, count(*) AS n, round(avg(x), 6) AS mean, any_value(mean_se) AS mean_se, any_value(mean_low) AS mean_low, any_value(mean_high) AS mean_high FROM x JOIN g USING (lang) GROUP BY 1""")
 def bootstrap_mean(spark, sf):
-    return rounded(resample.bootstrap_mean(table(spark, sf, "documents"), ["lang"], "n_chars", "doc_id", 1_000), 4)
+    return rounded(resample.bootstrap_mean(table(spark, sf, "documents"), ["lang"], "n_chars", "doc_id", 1_000))
 
 
 @query(f"""WITH x AS (SELECT lang, d.doc_id, n_chars::DOUBLE / 1000 AS x, (length(text) - length(replace(text, chr(10), '')) + 1)::DOUBLE AS y FROM documents d JOIN labels USING (doc_id)), {_draws("x", "doc_id", 1_000)}, {_TAKEN},
