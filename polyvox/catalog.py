@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polyvox.functions import text as T
-from polyvox.operators import curves, fits, length, lexical, pairwise, ranks, resample, stats, tables
+from polyvox.operators import curves, fits, length, lexical, pairwise, ranks, resample, stats, tables, temperatures
 from polyvox.plans import scorers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +102,12 @@ coh AS (SELECT set_id, pow(2.0, -avg(CASE WHEN bytes > 0 THEN bits / bytes ELSE
   stddev_pop(CASE WHEN bytes > 0 THEN bits / bytes ELSE 0 END) AS sigma, avg(bytes) AS mean_byte_length FROM alone GROUP BY 1)"""
 
 
+def _upper_tail(z: str) -> str:
+    """SQL for the chance of a standard normal value above z, by Simpson's rule over a thousand steps from 0."""
+    terms = f"list_transform(range(1001), lambda i: (CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow({z} * i / 1000.0, 2) / 2))"
+    return f"(0.5 - {z} / 3000.0 / sqrt(2 * pi()) * list_sum({terms}))"
+
+
 def _round(cols: str, digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in cols.split())
 
@@ -354,6 +360,57 @@ def perm_std(spark, sf):
     return rounded(curves.permutation_spread(_perm_curves(spark, sf), alone, ["set_id"]), 4)
 
 
+TEMPERATURES = (0.5, 1.0, 2.0)
+_HOT_SCORES = f"""WITH {_SETS}, {_COUNTS}, {_CURVE}, {_ALONE}, coh AS (SELECT set_id, pow(2.0, -avg(CASE WHEN bytes > 0 THEN bits / bytes ELSE 0 END)) AS c FROM alone GROUP BY 1),
+p0 AS (SELECT set_id, perm, row_number() OVER (PARTITION BY set_id, perm ORDER BY md5(perm || ':' || k), k) AS k, prompt, response FROM sets, (SELECT unnest(range({PERMS})) AS perm)),
+pw AS (SELECT set_id, perm, k, unnest({_words('response')}) AS word FROM p0 UNION ALL SELECT set_id, perm, 0, unnest({_words('prompt')}) FROM p0 WHERE k = 1),
+pc AS (SELECT set_id, perm, k, word, count(*) AS c FROM pw GROUP BY ALL),
+before AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY set_id, perm, word ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h FROM pc),
+z AS (SELECT set_id, perm, t, k, sum(c) AS n, sum(c * log2(h + 0.5) / t) AS gain, sum(pow(h + c + 0.5, 1 / t) - pow(h + 0.5, 1 / t)) AS delta FROM before, (SELECT unnest({list(TEMPERATURES)}::DOUBLE[]) AS t) GROUP BY ALL),
+y AS (SELECT *, coalesce(sum(delta) OVER (PARTITION BY set_id, perm, t ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grown FROM z),
+b AS (SELECT set_id, perm, t, k, n * log2((types + 1) * pow(0.5, 1 / t) + grown) - gain AS bits FROM y JOIN types USING (set_id) WHERE k > 0),
+full_curve AS (SELECT p0.set_id, p0.perm, x.t AS temperature, p0.k, coalesce(bits, 0) AS bits FROM p0 CROSS JOIN (SELECT unnest({list(TEMPERATURES)}::DOUBLE[]) AS t) x LEFT JOIN b ON b.set_id = p0.set_id AND b.perm = p0.perm AND b.t = x.t AND b.k = p0.k),
+pe AS (SELECT set_id, temperature, perm, count(*) AS n, sum(bits) - count(*) * arg_max(bits, k) AS e FROM full_curve GROUP BY 1, 2, 3),
+pd AS (SELECT set_id, temperature, perm, n, e, c * e AS d FROM pe JOIN coh USING (set_id))"""
+
+
+def _hot_scores(spark, sf):
+    """Scores of every permutation at every temperature, with the coherence of the set at temperature 1."""
+    sets = response_sets(spark, sf)
+    hot = scorers.static(scorers.hash_permutations(sets, ["set_id"], PERMS), ["set_id", "perm"], TEMPERATURES)
+    return curves.permutation_scores(hot, scorers.prequential(sets, ["set_id"], alone=True), ["set_id"], ["temperature"])
+
+
+@query(f"{_HOT_SCORES} SELECT set_id, temperature, perm, n, {_round('e d', 4)} FROM pd")
+def permutation_scores(spark, sf):
+    return rounded(_hot_scores(spark, sf).select("set_id", "temperature", F.col("perm").cast("long"), "n", "e", "d"), 4)
+
+
+@query(f"""{_HOT_SCORES}, s AS (SELECT set_id, temperature, round(stddev_pop(d), 6) AS sd FROM pd GROUP BY 1, 2),
+x AS (SELECT o.temperature, o.sd, r.sd AS ref, round(r.sd - o.sd, 6) AS diff FROM s o JOIN s r ON r.set_id = o.set_id AND r.temperature = 1 AND o.temperature <> 1),
+m AS (SELECT temperature, count(*) AS units, avg(sd) AS mean_sd, avg(ref) AS ref_mean_sd, count_if(diff <> 0)::BIGINT AS n FROM x GROUP BY 1),
+r AS (SELECT *, rank() OVER (PARTITION BY temperature ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY temperature, abs(diff)) - 1) / 2.0 AS r FROM x WHERE diff <> 0),
+t AS (SELECT temperature, sum(c * c * c - c) AS ties FROM (SELECT temperature, count(*)::DOUBLE AS c FROM r GROUP BY temperature, abs(diff)) GROUP BY 1),
+w AS (SELECT temperature, sum(CASE WHEN diff > 0 THEN r ELSE 0 END)::DOUBLE AS w_plus FROM r GROUP BY 1),
+q AS (SELECT *, (w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48) AS z FROM m JOIN w USING (temperature) JOIN t USING (temperature))
+SELECT temperature, units, {_round("mean_sd ref_mean_sd", 4)}, n, w_plus, round(z, 5) + 0.0 AS z, round({_upper_tail("z")}, 5) + 0.0 AS p, {_upper_tail("z")} < 0.05 AS reject FROM q""")
+def spread_reduction(spark, sf):
+    """Whether D spreads less over permutations at other temperatures than at 1. (The twin has the normal tail, which more than 50 sets take.)"""
+    spread = rounded(temperatures.spreads(_hot_scores(spark, sf), ["set_id"]))
+    found = temperatures.spread_reduction(spread, ["set_id"])
+    return found.select("temperature", "units", *[(F.round(c, 4) + 0.0).alias(c) for c in ("mean_sd", "ref_mean_sd")], "n", "w_plus", *[(F.round(c, 5) + 0.0).alias(c) for c in ("z", "p")], "reject")
+
+
+@query()
+def temperature_order(spark, sf):
+    """Whether sixteen parts of the conversations keep the order of their fitted diversity at other temperatures."""
+    sets = response_sets(spark, sf)
+    part = (F.col("set_id") % 16).alias("part")
+    curve = scorers.static(sets, ["set_id"], TEMPERATURES).select(part, "temperature", "k", "bits")
+    c = curves.coherence(scorers.prequential(sets, ["set_id"], alone=True), ["set_id"]).select(part, "c")
+    return rounded(temperatures.order_preservation(temperatures.fitted_diversity(curve, c, ["part"]), "part"), 3)
+
+
 _TOKENS = f"""raw AS (SELECT set_id, k, unnest({_words('response')}) AS word, generate_subscripts({_words('response')}, 1) AS i FROM sets)"""
 
 
@@ -574,12 +631,6 @@ def kendall(spark, sf):
     return rounded(stats.kendall(_stage_means(spark, sf).withColumn("score", F.round("score")), ["lang"], "score", "n").select("lang", "n", "tau"))
 
 
-def _upper_tail(z: str) -> str:
-    """SQL for the chance of a standard normal value above z, by Simpson's rule over a thousand steps from 0."""
-    terms = f"list_transform(range(1001), lambda i: (CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow({z} * i / 1000.0, 2) / 2))"
-    return f"(0.5 - {z} / 3000.0 / sqrt(2 * pi()) * list_sum({terms}))"
-
-
 @query(f"""WITH p AS (SELECT lang, n_chars::DOUBLE AS x, (length(text) - length(replace(text, chr(10), '')) + 1)::DOUBLE AS y, count(*)::DOUBLE AS c FROM documents WHERE text IS NOT NULL GROUP BY ALL),
 q AS (SELECT a.lang, sum(a.c * b.c * sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s FROM p a JOIN p b USING (lang) GROUP BY 1),
 tx AS (SELECT lang, sum(t * (t - 1) / 2) AS x0, sum(t * (t - 1) * (t - 2)) AS x1, sum(t * (t - 1) * (2 * t + 5)) AS x2 FROM (SELECT lang, sum(c) AS t FROM p GROUP BY lang, x) GROUP BY 1),

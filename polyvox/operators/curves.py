@@ -70,17 +70,20 @@ def diversity(curve: DataFrame, alone: DataFrame, keys: Sequence[str]) -> DataFr
     )
 
 
+def permutation_scores(curves: DataFrame, alone: DataFrame, keys: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """keys, within, perm, n, e, e_rate, c, d = c e, d_rate = c e_rate of each permutation of a set.
+
+    c is that of the set (keys), whatever `within` says: with curves at several temperatures, one coherence for all of them.
+    """
+    keys, within = list(keys), list(within)
+    per = excess_entropy(curves, [*keys, *within, "perm"]).join(coherence(alone, keys).select(*keys, "c"), keys)
+    return per.select(*keys, *within, "perm", "n", "e", "e_rate", "c", (F.col("c") * F.col("e")).alias("d"), (F.col("c") * F.col("e_rate")).alias("d_rate"))
+
+
 def permutation_spread(curves: DataFrame, alone: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sample deviations across permutations of e, e_rate, c * e and c * e_rate; 0 with fewer than two."""
-    keys = list(keys)
-    per = excess_entropy(curves, [*keys, "perm"]).join(coherence(alone, keys).select(*keys, "c"), keys)
-    spread = lambda x: F.coalesce(F.stddev_samp(x), F.lit(0.0))
-    return per.groupBy(*keys).agg(
-        spread(F.col("e")).alias("e_std"),
-        spread(F.col("e_rate")).alias("e_rate_std"),
-        spread(F.col("c") * F.col("e")).alias("d_std"),
-        spread(F.col("c") * F.col("e_rate")).alias("d_rate_std"),
-    )
+    spread = [F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"{x}_std") for x in ("e", "e_rate", "d", "d_rate")]
+    return permutation_scores(curves, alone, keys).groupBy(*keys).agg(*spread)
 
 
 def bands(curves: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -25,42 +25,102 @@ def _nonneg_line(basis: np.ndarray, y: np.ndarray) -> tuple[float, float, float]
     return *best, float(((y - best[0] - best[1] * basis) ** 2).sum())
 
 
-def _search(loss, lo: float, hi: float, steps: int = 200) -> float:
-    """The minimiser of loss on a log grid, refined by golden section."""
-    grid = np.exp(np.linspace(math.log(lo), math.log(hi), steps))
-    values = [loss(x) for x in grid]
-    i = int(np.argmin(values))
-    a, b = grid[max(0, i - 1)], grid[min(steps - 1, i + 1)]
+def _nonneg_errors(bases: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared error of the best a, b >= 0 for each row of bases."""
+    mean, centred = bases.mean(axis=1), bases - bases.mean(axis=1, keepdims=True)
+    spread, size = (centred**2).sum(axis=1), (bases**2).sum(axis=1)
+    slope = np.divide(centred @ y, spread, out=np.zeros(len(bases)), where=spread > 0)
+    through = np.maximum(0.0, np.divide(bases @ y, size, out=np.zeros(len(bases)), where=size > 0))
+    floor = y.mean() - slope * mean
+    b = np.where(floor >= 0, np.maximum(slope, 0.0), np.where(slope >= 0, through, 0.0))
+    a = np.where((floor >= 0) & (slope >= 0), floor, np.where(slope >= 0, 0.0, max(0.0, y.mean())))
+    return ((y - a[:, None] - b[:, None] * bases) ** 2).sum(axis=1)
+
+
+def _golden(loss, a: float, b: float, rounds: int) -> float:
+    """The minimiser of loss between a and b by golden section, one look a round."""
     ratio = (math.sqrt(5) - 1) / 2
-    for _ in range(80):
-        c, d = b - ratio * (b - a), a + ratio * (b - a)
-        if loss(c) < loss(d):
-            b = d
+    c, d = b - ratio * (b - a), a + ratio * (b - a)
+    at_c, at_d = loss(c), loss(d)
+    for _ in range(rounds):
+        if at_c < at_d:
+            b, d, at_d = d, c, at_c
+            c = b - ratio * (b - a)
+            at_c = loss(c)
         else:
-            a = c
+            a, c, at_c = c, d, at_d
+            d = a + ratio * (b - a)
+            at_d = loss(d)
     return (a + b) / 2
 
 
+def _best_rate(bases, y: np.ndarray, lo: float, hi: float, steps: int, rounds: int) -> float:
+    """The rate with the least squared error, bases(rates) giving a row for each: a log grid, then golden section between its neighbours."""
+    grid = np.exp(np.linspace(math.log(lo), math.log(hi), steps))
+    i = int(np.argmin(_nonneg_errors(bases(grid), y)))
+    loss = lambda rate: _nonneg_line(bases(np.array([rate]))[0], y)[2]
+    found = _golden(loss, grid[max(0, i - 1)], grid[min(steps - 1, i + 1)], rounds)
+    return min((found, float(grid[i])), key=loss)
+
+
+def _errors(names: Sequence[str], values: Sequence[float], bounds: Sequence[tuple[float, float]], slopes: np.ndarray, sse: float) -> dict[str, float]:
+    """Standard errors of the parameters from the slopes of the curve in each (a column a parameter) where it fits best.
+
+    A parameter at one of its bounds has none and counts as fixed for the others; nor has any without more points than free parameters, or
+    where the points can't tell the free ones apart.
+    """
+    inside = lambda v, lo, hi: v - lo > 1e-6 * max(abs(lo), 1e-3) and hi - v > 1e-6 * abs(v)
+    free = [j for j, v in enumerate(values) if inside(v, *bounds[j])]
+    found = dict.fromkeys((f"{n}_se" for n in names), float("nan"))
+    spare, jacobian = len(slopes) - len(free), slopes[:, free]
+    scale = np.sqrt((jacobian**2).sum(axis=0))
+    if free and spare > 0 and (scale > 0).all() and np.linalg.matrix_rank(jacobian / scale, tol=1e-9) == len(free):
+        scaled = jacobian / scale
+        covariance = np.linalg.inv(scaled.T @ scaled) / np.outer(scale, scale) * sse / spare
+        for j, v in zip(free, np.diag(covariance), strict=True):
+            found[f"{names[j]}_se"] = math.sqrt(v)
+    return found
+
+
+#: Bounds of the rates of both curves, and where a sigmoid's middle may lie (upper bound: times the number of slots).
+EXPONENTIAL_RATES, SIGMOID_RATES, MIDDLES = (0.001, 50.0), (0.01, 50.0), (-10.0, 3)
+
+
 def exponential_fit(k: np.ndarray, y: np.ndarray) -> dict[str, float]:
-    """a_inf + alpha exp(-beta (k - 1)), a_inf and alpha >= 0, beta in [0.001, 50]: for each beta the rest is linear."""
-    solve = lambda beta: _nonneg_line(np.exp(-beta * (k - 1)), y)
-    beta = _search(lambda b: solve(b)[2], 0.001, 50)
-    a_inf, alpha, sse = solve(beta)
-    return _summary({"a_inf": a_inf, "alpha": alpha, "beta": beta, "e_fit": alpha / beta}, y, sse)
+    """a_inf + alpha exp(-beta (k - 1)), a_inf and alpha >= 0, beta in [0.001, 50]: for each beta the rest is linear. With standard errors."""
+    shape = lambda beta: np.exp(-np.outer(beta, k - 1))
+    beta = _best_rate(shape, y, *EXPONENTIAL_RATES, 200, 80)
+    basis = shape(np.array([beta]))[0]
+    a_inf, alpha, sse = _nonneg_line(basis, y)
+    slopes = np.column_stack([np.ones(len(k)), basis, -alpha * (k - 1) * basis])
+    errors = _errors(("a_inf", "alpha", "beta"), (a_inf, alpha, beta), ((0.0, math.inf), (0.0, math.inf), EXPONENTIAL_RATES), slopes, sse)
+    return _summary({"a_inf": a_inf, "alpha": alpha, "beta": beta, "e_fit": alpha / beta}, y, sse) | errors
 
 
 def sigmoid_fit(k: np.ndarray, y: np.ndarray) -> dict[str, float]:
-    """a_inf + alpha / (1 + exp(beta (k - k0))); e_fit is the area above a_inf from 1 on, (alpha / beta) ln(1 + exp(-beta (1 - k0)))."""
-    best = None
-    for k0 in np.linspace(-10, float(k.max()) + 5, 61):
-        basis = lambda beta, k0=k0: 1 / (1 + np.exp(np.clip(beta * (k - k0), -500, 500)))
-        beta = _search(lambda b, basis=basis: _nonneg_line(basis(b), y)[2], 0.01, 20, 60)
-        a_inf, alpha, sse = _nonneg_line(basis(beta), y)
-        if best is None or sse < best[-1]:
-            best = (a_inf, alpha, beta, k0, sse)
-    a_inf, alpha, beta, k0, sse = best
+    """a_inf + alpha / (1 + exp(beta (k - k0))); e_fit is the area above a_inf from 1 on, (alpha / beta) ln(1 + exp(-beta (1 - k0))).
+
+    a_inf and alpha >= 0, beta in [0.01, 50], k0 from -10 to three times the number of slots. For each k0 the best beta is looked for, for
+    each beta the rest is linear; k0 comes from a grid of at most half a slot and is refined by golden section. With standard errors.
+    """
+    low, high = MIDDLES[0], float(MIDDLES[1] * len(k))
+    shape = lambda k0: lambda beta: 1 / (1 + np.exp(np.clip(np.outer(beta, k - k0), -500, 500)))
+    rates = np.exp(np.linspace(*np.log(SIGMOID_RATES), 60))
+    grid = np.linspace(low, high, 2 * math.ceil(high - low) + 1)
+    i = int(np.argmin([_nonneg_errors(shape(k0)(rates), y).min() for k0 in grid]))
+    best = lambda k0: _best_rate(shape(k0), y, *SIGMOID_RATES, 60, 40)
+    loss = lambda k0: _nonneg_line(shape(k0)(np.array([best(k0)]))[0], y)[2]
+    k0 = _golden(loss, grid[max(0, i - 1)], grid[min(len(grid) - 1, i + 1)], 40)
+    k0 = min((k0, float(grid[i])), key=loss)
+    beta = best(k0)
+    basis = shape(k0)(np.array([beta]))[0]
+    a_inf, alpha, sse = _nonneg_line(basis, y)
     area = alpha / beta * float(np.logaddexp(0, -beta * (1 - k0)))
-    return _summary({"a_inf": a_inf, "alpha": alpha, "beta": beta, "k0": float(k0), "e_fit": area}, y, sse)
+    steep = alpha * basis * (1 - basis)
+    slopes = np.column_stack([np.ones(len(k)), basis, -steep * (k - k0), steep * beta])
+    bounds = ((0.0, math.inf), (0.0, math.inf), SIGMOID_RATES, (low, high))
+    errors = _errors(("a_inf", "alpha", "beta", "k0"), (a_inf, alpha, beta, k0), bounds, slopes, sse)
+    return _summary({"a_inf": a_inf, "alpha": alpha, "beta": beta, "k0": float(k0), "e_fit": area}, y, sse) | errors
 
 
 def _summary(values: dict[str, float], y: np.ndarray, sse: float) -> dict[str, float]:
@@ -69,8 +129,10 @@ def _summary(values: dict[str, float], y: np.ndarray, sse: float) -> dict[str, f
 
 
 def fit_curves(curves: DataFrame, keys: Sequence[str], value: str, kind: str = "exponential", least: int = 3) -> DataFrame:
-    """keys and the fit of each curve (k, value) with at least `least` points; a curve is one row's array, not a group in a worker."""
-    fit, names = {"exponential": (exponential_fit, ["a_inf", "alpha", "beta", "e_fit", "rmse", "r2"]), "sigmoid": (sigmoid_fit, ["a_inf", "alpha", "beta", "k0", "e_fit", "rmse", "r2"])}[kind]
+    """keys and the fit of each curve (k, value) with at least `least` points: parameters, e_fit, rmse, r2 and the parameters' standard errors
+    (null for those at a bound, and without points to spare); a curve is one row's array, not a group in a worker."""
+    fit, parameters = {"exponential": (exponential_fit, ["a_inf", "alpha", "beta"]), "sigmoid": (sigmoid_fit, ["a_inf", "alpha", "beta", "k0"])}[kind]
+    names = [*parameters, "e_fit", "rmse", "r2", *(f"{n}_se" for n in parameters)]
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
     def run(curve: pd.Series) -> pd.DataFrame:

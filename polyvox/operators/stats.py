@@ -164,17 +164,49 @@ def median_split_accuracy(df: DataFrame, keys: Sequence[str], score: str, label:
     return rows.join(middle, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(hit).alias("oca"))
 
 
-def signed_rank(diffs: DataFrame, keys: Sequence[str], column: str, least: int = 5) -> DataFrame:
-    """keys, n, w_plus, z: Wilcoxon signed ranks of the non-zero differences, tie-corrected; z null with fewer than `least`."""
-    keys = list(keys)
+def _signed_sums(diffs: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """The group with n, w_plus and ties (sum of t^3 - t) of the ranks of the non-zero differences."""
     d = F.col(column).cast("double")
     rows = diffs.where(d.isNotNull() & ~F.isnan(d) & (d != 0)).select(group_of(keys), F.abs(d).alias("_a"), (d > 0).cast("int").alias("_s"))
     counts = rows.groupBy(GROUP, "_a").agg(F.count("*").alias("c"), F.sum("_s").alias("p"))
     ranked = running_sums(counts, "_a", ["c"]).withColumn("r", F.col("c_before") + (F.col("c") + 1) / 2)
-    sums = ranked.groupBy(GROUP).agg(F.sum("c").alias("n"), F.sum(F.col("r") * F.col("p")).alias("w_plus"), F.sum(F.pow("c", F.lit(3.0)) - F.col("c")).alias("ties"))
+    return ranked.groupBy(GROUP).agg(F.sum("c").alias("n"), F.sum(F.col("r") * F.col("p")).alias("w_plus"), F.sum(F.pow("c", F.lit(3.0)) - F.col("c")).alias("ties"))
+
+
+def _signed_z() -> Column:
     n = F.col("n")
-    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
-    return sums.select(*keys_of(keys), "n", "w_plus", _when_enough(least, F.try_divide(F.col("w_plus") - n * (n + 1) / 4, F.sqrt(var))).alias("z"))
+    return F.try_divide(F.col("w_plus") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48))
+
+
+def signed_rank(diffs: DataFrame, keys: Sequence[str], column: str, least: int = 5) -> DataFrame:
+    """keys, n, w_plus, z: Wilcoxon signed ranks of the non-zero differences, tie-corrected; z null with fewer than `least`."""
+    sums = _signed_sums(diffs, list(keys), column)
+    return sums.select(*keys_of(keys), "n", "w_plus", _when_enough(least, _signed_z()).alias("z"))
+
+
+#: Differences up to which the distribution of signed ranks is counted out, as long as none are tied.
+SIGNED_EXACT = 50
+
+
+def signed_rank_test(diffs: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """keys, n, w_plus, z, p_greater, p_less, p of Wilcoxon's signed ranks: differences above 0, below 0, either.
+
+    Exact for up to 50 differences without ties or zeros, else normal, corrected for ties. A group without any non-zero difference gives no row.
+    """
+    zero = diffs.groupBy(group_of(keys)).agg(F.count_if(F.col(column) == 0).alias("zeros"))
+    sums = _signed_sums(diffs, list(keys), column).join(zero, GROUP)
+    exact = (F.col("n") <= SIGNED_EXACT) & (F.col("ties") == 0) & (F.col("zeros") == 0)
+    n, w, z = F.col("n"), F.col("w_plus"), _signed_z()
+    up = F.when(exact, _signed_exact(n, w)).otherwise(normal_p(z, 1))
+    down = F.when(exact, _signed_exact(n, n * (n + 1) / 2 - w)).otherwise(normal_p(-z, 1))
+    found = sums.select(*keys_of(keys), "n", "w_plus", z.alias("z"), up.alias("p_greater"), down.alias("p_less"))
+    return found.withColumn("p", F.least(F.lit(1.0), 2 * F.least("p_greater", "p_less")))
+
+
+@F.pandas_udf(T.DoubleType())
+def _signed_exact(ns: pd.Series, ws: pd.Series) -> pd.Series:
+    """Asked for all rows of a batch, so larger groups, which don't use it, are skipped here."""
+    return pd.Series([signed_rank_exact_sf(w, int(n)) if n <= SIGNED_EXACT else float("nan") for n, w in zip(ns, ws, strict=True)])
 
 
 def welch(df: DataFrame, keys: Sequence[str], value: str, label: str) -> DataFrame:

@@ -8,7 +8,8 @@ on counts only, so the plan aggregates to word counts before it orders anything.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from polyvox.functions.text import n_bytes, ws_words
 
 SMALLEST_P = 1e-45
+SET = "_set"
 
 
 def _keys(responses: DataFrame, keys: Sequence[str]) -> list[str]:
@@ -25,6 +27,19 @@ def _keys(responses: DataFrame, keys: Sequence[str]) -> list[str]:
     return list(keys)
 
 
+def _whole_keys(scorer: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Gives a scorer the keys as one struct, so that its joins match nulls with nulls, as its groups do: a set whose key is null is a set."""
+
+    @wraps(scorer)
+    def run(responses: DataFrame, keys: Sequence[str], *args, **kwargs) -> DataFrame:
+        keys = _keys(responses, keys)
+        packed = responses.select(F.struct(*keys).alias(SET), *[c for c in responses.columns if c not in keys])
+        found = scorer(packed, [SET], *args, **kwargs)
+        return found.select(f"{SET}.*", *[c for c in found.columns if c != SET])
+
+    return run
+
+
 def word_counts(responses: DataFrame, keys: Sequence[str], alone: bool = False) -> DataFrame:
     """keys, k, word, c; the prompt's words stand at k = 0. alone: each response is a history of its own."""
     keys = _keys(responses, keys)
@@ -69,6 +84,7 @@ def _history(responses: DataFrame, keys: list[str], alone: bool) -> DataFrame:
     return rows.join(types, keys).select(*keys, "k", "word", "c", "n", F.coalesce("h", zero).alias("h"), F.coalesce("total", zero).alias("total"), "types")
 
 
+@_whole_keys
 def prequential(responses: DataFrame, keys: Sequence[str], alpha: float = 0.5, alone: bool = False) -> DataFrame:
     """Words one after the other: p(w) = (count so far + alpha) / (tokens so far + alpha (types + 1)).
 
@@ -84,12 +100,15 @@ def prequential(responses: DataFrame, keys: Sequence[str], alpha: float = 0.5, a
     return _with_bytes(responses, keys, bits)
 
 
+@_whole_keys
 def static(responses: DataFrame, keys: Sequence[str], temperatures: Sequence[float] = (1.0,), alpha: float = 0.5) -> DataFrame:
     """Counts as of the start of each response, at several temperatures: p(w) proportional to (count + alpha)^(1/T).
 
     The normaliser changes only by the words of earlier slots, so it is a running sum; one pass serves all
     temperatures. Adds column temperature.
     """
+    if not all(t > 0 for t in temperatures):
+        raise ValueError(f"temperatures must be above 0: {list(temperatures)}")
     keys = _keys(responses, keys)
     counts = word_counts(responses, keys)
     types = counts.groupBy(*keys).agg(F.count_distinct("word").alias("types"))
@@ -110,6 +129,7 @@ def static(responses: DataFrame, keys: Sequence[str], temperatures: Sequence[flo
     return _with_bytes(grid, [*keys, "temperature"], bits)
 
 
+@_whole_keys
 def ensemble(responses: DataFrame, keys: Sequence[str], alphas: Sequence[float]) -> DataFrame:
     """Mean of the probabilities of static scorers with these alphas, then the logarithm."""
     keys = _keys(responses, keys)
@@ -143,6 +163,7 @@ def hash_permutations(responses: DataFrame, keys: Sequence[str], count: int) ->
     return many.withColumn("idx", F.col("k")).withColumn("k", F.row_number().over(order).cast("long"))
 
 
+@_whole_keys
 def token_bits(responses: DataFrame, keys: Sequence[str], alpha: float = 0.5) -> DataFrame:
     """keys, k, t (from 0), word, bits: what each word costs after everything before it, in order. The sum over a response is `prequential`."""
     keys = _keys(responses, keys)
