@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,7 +134,7 @@ def _license_words(text: str) -> list[str]:
 
 
 _PHRASES = ", ".join(f"({_list(_license_words(p))}, '{label}')" for p, label in license_scan.PHRASES)
-_TEMPLATES = ", ".join(f"('{label}', {_list(_license_words(text))})" for label, text in license_scan.TEMPLATES)
+_TEMPLATES = ", ".join(f"('{label}', {_list(_license_words(text))}, {_list(re.split('[-.]', label))})" for label, text in license_scan.TEMPLATES)
 
 def _crc32(digits: str) -> str:
     """SQL for the CRC-32 of bytes told as hex digits: each byte is taken in, then eight times a bit is shifted out."""
@@ -196,11 +198,15 @@ WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOW
 p(phrase, label) AS (VALUES {_PHRASES}),
 s AS (SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), p WHERE w[i] = phrase[1] AND list_slice(w, i, i + len(phrase) - 1) = phrase),
 b AS (SELECT doc_id, count(*) AS n, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM s GROUP BY 1),
-t(label, words) AS (VALUES {_TEMPLATES}),
-k AS (SELECT label, list_distinct(words) AS tokens, len(words) AS size FROM t),
-c AS (SELECT doc_id, label, len(list_intersect(tokens, list_slice(w, start + 1, start + 2 * size))) / len(tokens) AS share
+t(label, words, parts) AS (VALUES {_TEMPLATES}),
+k AS (SELECT label, list_distinct(words) AS tokens, len(words) AS size, CASE WHEN len(words) < 20 THEN list_intersect(words, parts) ELSE [] END AS must,
+  CASE WHEN regexp_matches(label, '[0-9]') THEN parts[1] END AS family FROM t),
+c AS (SELECT doc_id, label, family, tokens, must, start, start + 2 * size AS stop, list_intersect(tokens, list_slice(w, start + 1, start + 2 * size)) AS hit
   FROM (SELECT *, unnest(range(0, greatest(1, len(w) - size), size)) AS start FROM d, k)),
-m AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM c WHERE share >= {license_scan.THRESHOLD} - 1e-9 GROUP BY 1)
+h AS (SELECT *, len(hit) / len(tokens) AS share FROM c WHERE len(hit) / len(tokens) >= {license_scan.THRESHOLD} - 1e-9 AND list_has_all(hit, must)),
+o AS (SELECT a.* FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.doc_id = a.doc_id AND b.family = a.family AND b.label <> a.label AND b.start < a.stop AND a.start < b.stop
+  AND (b.share > a.share OR (b.share = a.share AND len(b.tokens) > len(a.tokens) AND list_has_all(b.tokens, a.tokens))))),
+m AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM o GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word, last_word,
        array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') AS labels,

@@ -304,15 +304,22 @@ def test_license_scan(spark, table):
 
 
 def plain_matches(words, templates, threshold=0.8):
-    """Best containment by label, of every block in full."""
-    want = {}
+    """Best containment by label, of every block in full; of versions that overlap, the one that has most."""
+    hits = []
     for label, text in templates:
         own = license_scan.words_of(text.encode())
         tokens, size = set(own), len(own)
+        must = {w for w in re.split("[-.]", label.encode().decode()) if size < 20 and w.encode() in tokens}
         for start in range(0, max(1, len(words) - size), size):
-            share = len(tokens & set(words[start : start + 2 * size])) / len(tokens)
-            if share >= threshold - 1e-9:
-                want[label] = max(want.get(label, 0), share)
+            held = tokens & set(words[start : start + 2 * size])
+            if len(held) / len(tokens) >= threshold - 1e-9 and {w.encode() for w in must} <= held:
+                hits.append((label, tokens, start, start + 2 * size, len(held) / len(tokens)))
+    family = lambda label: re.search("[0-9]", label) and label.split("-")[0]
+    want = {}
+    for label, tokens, start, stop, share in hits:
+        rivals = [h for h in hits if family(label) and family(h[0]) == family(label) and h[0] != label and h[2] < stop and start < h[3]]
+        if not any(h[4] > share or (h[4] == share and tokens < h[1]) for h in rivals):
+            want[label] = max(want.get(label, 0), share)
     return want
 
 
@@ -329,6 +336,34 @@ def test_license_filters_lose_nothing():
         assert table.matches(words) == plain_matches(words, license_scan.TEMPLATES)
 
 
+def test_every_license_filter_removes_blocks():
+    rng = random.Random(8)
+    every = sorted({w for _, text in license_scan.TEMPLATES for w in license_scan.words_of(text.encode())})
+    table = license_scan.Templates(license_scan.TEMPLATES, Counter(rng.choices(every, k=5000)), 0.8)
+    for size in (3, 10, 40, 300):
+        for _ in range(40):
+            words = rng.choices(every, k=size)
+            assert table.matches(words) == plain_matches(words, license_scan.TEMPLATES)
+    assert min(table.removed[f] for f in ("length", "prefix", "position")) > 0
+
+
+def test_license_versions_do_not_contradict_one_another():
+    table = license_scan.Templates(license_scan.TEMPLATES, {}, 0.8)
+    found = lambda text: {x for x in table.matches(license_scan.words_of(text.encode())) if any(c.isdigit() for c in x)}
+    around = lambda text: f"{'some text before ' * 30}{text}{' and some after' * 30}"
+    for version in "23":
+        assert found(around(f"This work is licensed under the GNU General Public License, version {version}.")) == {f"gpl-{version}.0"}
+    for kind in ("", "-sa", "-nc"):
+        assert found(around(f"Licensed under CC BY{kind.upper()} 4.0.")) == {f"cc-by{kind}-4.0"}
+    assert found(around("This work is licensed under the GNU General Public License.")) == set()
+    assert found(around("Licensed under CC BY.")) == set()
+    for label, text in license_scan.TEXTS:
+        if label.startswith(("gpl", "cc-", "apache")):
+            assert found(around(text)) == {label}
+    two = around("Licensed under CC BY 4.0.") + around("Licensed under CC BY-SA 4.0.")
+    assert found(two) == {"cc-by-4.0", "cc-by-sa-4.0"}
+
+
 def test_licenses_are_found_wherever_they_stand(spark):
     """Whole texts, a word in ten lost, across the borders of blocks and behind much else."""
     rng = random.Random(9)
