@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyvox.operators import fits, stats
+from polyvox.session import settled
 
 T = "temperature"
 
@@ -23,12 +24,12 @@ def spread_reduction(spread: DataFrame, unit: Sequence[str], by: Sequence[str] =
 
     Each unit's spread at the reference is paired with its spread at the other temperature; p is that of signed ranks for a larger one at
     the reference. Units without both count nowhere. Where all pairs are equal nothing is tested: n and w_plus are 0, z is null, p is 1.
-    A unit's temperatures are few and meet in one window, so no table is joined with itself.
+    A unit's temperatures are few and meet in one window, so no table is joined with itself; the pairs are written once, since ranks read them often.
     """
     by = list(by)
     at_reference = F.max(F.when(F.col(T) == reference, F.col("sd"))).over(Window.partitionBy(*by, *unit))
     pairs = spread.withColumn("_ref", at_reference).where(f"{T} <> {float(reference)!r} AND sd IS NOT NULL AND _ref IS NOT NULL")
-    pairs = pairs.withColumn("_diff", F.col("_ref") - F.col("sd"))
+    pairs = settled(pairs.select(*by, T, "sd", "_ref", (F.col("_ref") - F.col("sd")).alias("_diff")))
     means = pairs.groupBy(*by, T).agg(F.count("*").alias("units"), F.avg("sd").alias("mean_sd"), F.avg("_ref").alias("ref_mean_sd"))
     tested = stats.signed_rank_test(pairs, [*by, T], "_diff").select(F.struct(*by, T).alias("_g"), "n", "w_plus", "z", "p_greater")
     p = F.coalesce("p_greater", F.lit(1.0))
@@ -55,7 +56,7 @@ def order_preservation(values: DataFrame, group: str, by: Sequence[str] = (), va
     is held against itself. p is two-sided, of Student's t; preserved: p below `level` and rho above 0. rho is null with fewer than three groups.
     """
     by = list(by)
-    values = values.where(F.col(value).isNotNull() & ~F.isnan(value))
+    values = settled(values.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, group, T, value))
     own = values.groupBy(*by, group).agg(F.max(F.when(F.col(T) == reference, F.col(value))).alias("_ref"), F.map_from_entries(F.collect_list(F.struct(T, value))).alias("_at")).where("_ref IS NOT NULL")
     seen = values.groupBy(F.struct(F.lit(0), *by).alias("_by")).agg(F.collect_set(T).alias("_ts"))
     grid = own.withColumn("_by", F.struct(F.lit(0), *by)).join(seen, "_by").select(*by, group, "_ref", "_at", F.explode("_ts").alias(T))
