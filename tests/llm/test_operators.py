@@ -442,6 +442,32 @@ def test_url_filter(spark):
     same([tuple(r) for r in got.collect()], [(i, *judge(u)) for i, u, _ in rows])
 
 
+def test_url_rules_deep_and_many(spark):
+    """A path of 5,000 segments, and 100,000 rules that end below one directory."""
+    deep = "/" + "a/" * 5_000
+    rules = [("block", "deep.org", deep), ("allow", "deep.org", deep + "b"), ("allow", "x.org", "/p/"), *(("block", "x.org", f"/p/{n}") for n in range(100_000))]
+    urls = [f"http://deep.org{deep}", f"http://deep.org{deep}bc", f"http://deep.org{deep[:-1]}", "http://x.org/p/99999/q", "http://x.org/p/1234567", "http://w.x.org/p/x", "http://x.org/p", "http://org/p/1"]
+    pages = spark.createDataFrame([*enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.filter_urls(pages, rules, "none").collect()}
+    assert got == {
+        0: (f"deep.org{deep}", "block"), 1: (f"deep.org{deep}b", "allow"), 2: (None, "none"), 3: ("x.org/p/99999", "block"),
+        4: ("x.org/p/12345", "block"), 5: ("x.org/p/", "allow"), 6: (None, "none"), 7: (None, "none"),
+    }
+
+
+def test_url_trie_against_prefixes():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("ab/", k=rng.randrange(5)))
+    hosts = ["a", "b.a", "c.b.a", "a.b", ""]
+    for _ in range(200):
+        rules = list({(h, p): (rng.choice(["allow", "block"]), h, p) for h, p in ((rng.choice(hosts), word()) for _ in range(8))}.values())
+        trie = urlfilter.Trie(rules)
+        for _ in range(20):
+            host, path = rng.choice(hosts), word()
+            fits = [(h.count(".") + 1, len(p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+            assert trie.longest(host, path) == (max(fits)[2:] if fits else None)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     vectors = [(i, rng.integers(-3, 4, 8) / 8) for i in range(400)] + [(500 + i, np.ones(8) * 0.3) for i in range(60)]
