@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyvox.llm import jaccard, line_dedup, mixing, packing, quality
@@ -12,6 +14,17 @@ from polyvox.llm.queries import tokenizer_path
 WEIGHTS = mixing.WEIGHTS
 
 
+def _column(name: str) -> Column:
+    """The column of that very name, dots and backticks in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _file_order(file: str) -> tuple[int, str]:
+    """Files in the order in which they were written: part-100000 comes after part-99999."""
+    number = re.match(r"part-(\d+)", file)
+    return int(number[1]) if number else -1, file
+
+
 def _documents(docs: DataFrame, text: str) -> DataFrame:
     """The columns of documents, from struct `doc`, with the text of a column in place of its own where it differs."""
     out = docs.select("doc.*", F.col(text).alias("_new_text")) if text != "text" else docs
@@ -21,7 +34,7 @@ def _documents(docs: DataFrame, text: str) -> DataFrame:
         "text": F.col("_new_text"),
         "n_chars": F.when(changed, F.char_length("_new_text").cast("long")).otherwise(F.col("n_chars")),
     }
-    return out.select(*(values.get(name, F.col(f"`{name}`")).alias(name) for name in fields))
+    return out.select(*(values.get(name, _column(name)).alias(name) for name in fields))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +61,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = jaccard.jaccard_components(docs).select("doc_id", "component_id").distinct()
     gone = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(_column, docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +80,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     start, starts = 0, []
-    for r in sorted(rows.groupBy("file").agg((F.max("row") + 1).alias("n")).collect()):
+    for r in sorted(rows.groupBy("file").agg((F.max("row") + 1).alias("n")).collect(), key=lambda r: _file_order(r["file"])):
         starts.append((r["file"], start))
         start += r["n"]
     files = F.broadcast(spark.createDataFrame(starts, "file string, start long"))
