@@ -102,3 +102,18 @@ def test_run_keeps_the_mix(spark, tmp_path, monkeypatch):
     assert [min(runs[s]) // 16 for s in sorted(runs)] == sorted(min(at) // 16 for at in runs.values())
     firsts = [min(runs[s]) for s in sorted(runs)]
     assert firsts == sorted(firsts)
+
+
+def test_names_with_dots_and_backticks(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text, "en", "s", len(text), 1, 2), (2, text, "en", "s", len(text), 3, 4), (3, "other " + text[:300], "en", "s", 306, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, `c``d` int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, "")
+        assert sorted(kept.columns) == sorted(docs.columns)
+        assert {r["doc_id"]: (r["a.b"], r["c`d"]) for r in kept.collect()}.items() <= {1: (1, 2), 2: (3, 4), 3: (5, 6)}.items()
+
+
+def test_files_in_the_order_of_their_numbers():
+    names = [f"part-{n:05d}-{tag}.parquet" for n, tag in ((0, "z"), (9, "b"), (99_999, "y"), (100_000, "a"), (1_000_000, "a"))]
+    assert sorted(reversed(names), key=corpus_pipeline._file_order) == names
