@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polyvox.functions import text as T
-from polyvox.operators import curves, fits, length, lexical, pairwise, ranks, resample, stats, tables, temperatures
+from polyvox.operators import curves, fits, length, lexical, pairwise, ranks, resample, stats, suites, tables, temperatures
 from polyvox.plans import scorers
+from polyvox.session import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,6 +109,13 @@ def _upper_tail(z: str) -> str:
     return f"(0.5 - {z} / 3000.0 / sqrt(2 * pi()) * list_sum({terms}))"
 
 
+def _t_tails(t: str, df: str) -> str:
+    """SQL for the chance of a Student's t as far from 0 as t, on both sides; Simpson's rule again, up to 40, beyond which there is nothing to see with ten degrees of freedom."""
+    end = f"(CASE WHEN abs({t}) < 40 THEN abs({t}) WHEN {t} IS NOT NULL THEN 40 END)"
+    terms = f"list_transform(range(1001), lambda i: (CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow({end} * i / 1000.0, 2) / {df}, -({df} + 1) / 2))"
+    return f"(1 - 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi()) * {end} / 3000.0 * list_sum({terms}))"
+
+
 def _round(cols: str, digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in cols.split())
 
@@ -722,7 +730,21 @@ def holm(spark, sf):
     return rounded(stats.holm(_test_p(spark, sf), ["lang"], "p", "source").select("lang", "source", "p_holm"))
 
 
-@query()
+_ABOUT = f"""r AS (SELECT lang, chars, lines, {_RANK.format(x='chars')} AS a, {_RANK.format(x='lines')} AS b FROM l),
+k AS (SELECT lang, count(*) AS n, corr(a, b) AS rho, corr(chars, lines) AS r FROM r GROUP BY 1)"""
+
+
+@query(f"""WITH {_LAB}, {_ABOUT}, w0 AS (SELECT lang, count_if(quality = 1) AS n1, count_if(quality = 0) AS n0, avg(chars) FILTER (quality = 1) - avg(chars) FILTER (quality = 0) AS diff,
+  var_samp(chars) FILTER (quality = 1) / count_if(quality = 1) AS a, var_samp(chars) FILTER (quality = 0) / count_if(quality = 0) AS b FROM l GROUP BY 1),
+{_U.replace('r AS (SELECT lang, quality', 'r2 AS (SELECT lang, quality').replace('FROM r GROUP BY', 'FROM r2 GROUP BY')},
+tests AS (SELECT 'spearman' AS test, lang, rho * sqrt((n - 2) / (1 - rho * rho)) AS statistic, (n - 2)::DOUBLE AS df FROM k
+  UNION ALL SELECT 'pearson', lang, r * sqrt((n - 2) / (1 - r * r)), n - 2 FROM k
+  UNION ALL SELECT 'welch', lang, diff / sqrt(a + b), (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n0 - 1)) FROM w0
+  UNION ALL SELECT 'mann_whitney', lang, (u - n_pos * n_neg / 2.0 - 0.5) / nullif(sqrt(n_pos * n_neg / 12.0 * (n_pos + n_neg + 1 - ties / ((n_pos + n_neg) * (n_pos + n_neg - 1)))), 0), NULL FROM u JOIN t USING (lang)),
+p AS (SELECT *, CASE WHEN test = 'mann_whitney' THEN {_upper_tail('statistic')} ELSE {_t_tails('statistic', 'df')} END AS p FROM tests WHERE statistic IS NOT NULL),
+h AS (SELECT *, count(*) OVER () AS m, (count(*) OVER () - row_number() OVER (ORDER BY p, test || ' ' || lang) + 1) * p AS step FROM p),
+o AS (SELECT *, least(1.0, p * m) AS p_bonferroni, least(1.0, max(step) OVER (ORDER BY p, test || ' ' || lang ROWS UNBOUNDED PRECEDING)) AS p_holm FROM h)
+SELECT test, lang, {_round('statistic df p p_bonferroni p_holm')} FROM o""")
 def test_p_values(spark, sf):
     """Every test of two labels or two scores by language, with its p-value, and both corrections over all of them."""
     rows, n = _labelled(spark, sf), F.col("n")
@@ -740,6 +762,72 @@ def test_p_values(spark, sf):
     return rounded(corrected.select("test", "lang", "statistic", "df", "p", "p_bonferroni", "p_holm"))
 
 
+_RULES = [
+    suites.Rule("English is longer than German", "rank_sum", "chars", ("en", "de"), "lengths"),
+    suites.Rule("French has more lines than Spanish", "rank_sum", "lines", ("fr", "es"), "lengths"),
+    suites.Rule("a source's German is longer than its English", "signed_rank", "chars", ("de", "en"), "sources"),
+    suites.Rule("a source's French has more bytes than its English", "signed_rank", "bytes", ("fr", "en"), "sources"),
+    suites.Rule("lengths fall from German to English to Spanish", "order", "chars", ("de", "en", "es"), "means"),
+    suites.Rule("English has over 1000 characters", "threshold", "chars", ("en",), "means", 1000),
+    suites.Rule("German has under five lines", "threshold", "lines", ("de",), "means", 5, above=False),
+    suites.Rule("French bytes over English bytes", "ratio", "bytes", ("fr", "en"), "means", 1),
+]
+
+
+@query(f"""WITH RECURSIVE ways(n, w) AS (SELECT 0, list_concat([1.0::DOUBLE], list_transform(range(1275), lambda i: 0.0::DOUBLE))
+  UNION ALL SELECT n + 1, list_transform(range(1276), lambda i: w[i + 1] + CASE WHEN i > n THEN w[i - n] ELSE 0 END) FROM ways WHERE n < 50),
+d AS (SELECT source AS unit, lang AS grp, n_chars::DOUBLE AS chars, octet_length(encode(coalesce(text, '')))::DOUBLE AS bytes, (length(text) - length(replace(text, chr(10), '')) + 1)::DOUBLE AS lines FROM documents),
+v AS (UNPIVOT d ON chars, bytes, lines INTO NAME metric VALUE value),
+claims(rule, family, test, metric, g, place, threshold, above) AS (VALUES
+  ('English is longer than German', 'lengths', 'rank_sum', 'chars', 'en', 0, NULL, true), ('English is longer than German', 'lengths', 'rank_sum', 'chars', 'de', 1, NULL, true),
+  ('French has more lines than Spanish', 'lengths', 'rank_sum', 'lines', 'fr', 0, NULL, true), ('French has more lines than Spanish', 'lengths', 'rank_sum', 'lines', 'es', 1, NULL, true),
+  ('a source''s German is longer than its English', 'sources', 'signed_rank', 'chars', 'de', 0, NULL, true), ('a source''s German is longer than its English', 'sources', 'signed_rank', 'chars', 'en', 1, NULL, true),
+  ('a source''s French has more bytes than its English', 'sources', 'signed_rank', 'bytes', 'fr', 0, NULL, true), ('a source''s French has more bytes than its English', 'sources', 'signed_rank', 'bytes', 'en', 1, NULL, true),
+  ('lengths fall from German to English to Spanish', 'means', 'order', 'chars', 'de', 0, NULL, true), ('lengths fall from German to English to Spanish', 'means', 'order', 'chars', 'en', 1, NULL, true),
+  ('lengths fall from German to English to Spanish', 'means', 'order', 'chars', 'es', 2, NULL, true),
+  ('English has over 1000 characters', 'means', 'threshold', 'chars', 'en', 0, 1000, true), ('German has under five lines', 'means', 'threshold', 'lines', 'de', 0, 5, false),
+  ('French bytes over English bytes', 'means', 'ratio', 'bytes', 'fr', 0, 1, true), ('French bytes over English bytes', 'means', 'ratio', 'bytes', 'en', 1, 1, true)),
+x AS (SELECT rule, test, place, unit, value FROM v JOIN claims ON v.metric = claims.metric AND grp = g),
+c AS (SELECT rule, any_value(family) AS family, any_value(test) AS test, any_value(metric) AS metric, max(place) AS last, any_value(threshold) AS threshold, bool_and(above) AS above FROM claims GROUP BY 1),
+m AS (SELECT rule, place, count(*) AS n, avg(value) AS mean FROM x GROUP BY 1, 2),
+f AS (SELECT *, lead(mean) OVER (PARTITION BY rule ORDER BY place) AS nxt FROM m),
+g AS (SELECT rule, bool_and(nxt IS NULL OR mean > nxt) AS falls, arg_min(n, place) AS n_first, arg_max(n, place) AS n_last, arg_min(mean, place) AS mean_first, arg_max(mean, place) AS mean_last FROM f GROUP BY 1),
+ur AS (SELECT rule, place, value, rank() OVER (PARTITION BY rule ORDER BY value) + (count(*) OVER (PARTITION BY rule, value) - 1) / 2.0 AS r FROM x WHERE test = 'rank_sum'),
+ut AS (SELECT rule, sum(c * c * c - c) AS ties FROM (SELECT rule, count(*)::DOUBLE AS c FROM ur GROUP BY rule, value) GROUP BY 1),
+us AS (SELECT rule, count_if(place = 0)::DOUBLE AS a, count_if(place = 1)::DOUBLE AS b, sum(CASE WHEN place = 0 THEN r END) - count_if(place = 0) * (count_if(place = 0) + 1) / 2.0 AS u FROM ur GROUP BY 1),
+uz AS (SELECT rule, u::DOUBLE AS s, (u - a * b / 2 - 0.5) / sqrt(a * b / 12 * (a + b + 1 - ties / ((a + b) * (a + b - 1)))) AS z FROM us JOIN ut USING (rule)),
+wd AS (SELECT rule, avg(CASE WHEN place = 0 THEN value END) - avg(CASE WHEN place = 1 THEN value END) AS d FROM x WHERE test = 'signed_rank' GROUP BY rule, unit),
+wr AS (SELECT rule, d, rank() OVER (PARTITION BY rule ORDER BY abs(d)) + (count(*) OVER (PARTITION BY rule, abs(d)) - 1) / 2.0 AS r FROM wd WHERE d <> 0),
+ws AS (SELECT rule, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END)::DOUBLE AS s FROM wr GROUP BY 1),
+wp AS (SELECT rule, s, list_sum(list_slice(w, ceil(s)::BIGINT + 1, 1276)) / pow(2.0, ws.n) AS p FROM ws JOIN ways ON ways.n = ws.n),
+p AS (SELECT rule, s, {_upper_tail('z')} AS p FROM uz UNION ALL SELECT rule, s, p FROM wp),
+h0 AS (SELECT rule, p, family, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, rule) + 1) * p AS step FROM p JOIN c USING (rule)),
+h AS (SELECT rule, least(1.0, max(step) OVER (PARTITION BY family ORDER BY p, rule ROWS UNBOUNDED PRECEDING)) AS p_holm FROM h0),
+o AS (SELECT *, CASE test WHEN 'threshold' THEN mean_first WHEN 'ratio' THEN mean_first / mean_last END AS reached FROM c LEFT JOIN g USING (rule) LEFT JOIN p USING (rule) LEFT JOIN h USING (rule))
+SELECT rule, family, test, metric, coalesce(n_first, 0) AS n_first, coalesce(n_last, 0) AS n_last, round(mean_first, 6) + 0.0 AS mean_first, round(mean_last, 6) + 0.0 AS mean_last, round(coalesce(s, reached), 6) + 0.0 AS statistic, {_round('p p_holm')},
+coalesce(CASE WHEN test IN ('rank_sum', 'signed_rank') THEN p_holm < 0.05 WHEN test = 'order' THEN falls WHEN above THEN reached > threshold ELSE reached < threshold END, false) AS passed FROM o""")
+def hypothesis_suite(spark, sf):
+    """Eight claims about lengths by language, in three families. (The twin counts signed ranks out, for up to 50 sources without ties.)"""
+    scores = tables.unpivot_metrics(_doc_metrics(spark, sf).select(F.col("source").alias("unit"), F.col("lang").alias("group"), "chars", "bytes", "lines"), ["unit", "group"], ["chars", "bytes", "lines"])
+    return rounded(suites.suite(scores.withColumnRenamed("score", "value"), _RULES))
+
+
+@query(f"""WITH {_LAB}, b AS (SELECT l.*, octet_length(encode(coalesce(text, '')))::DOUBLE AS bytes FROM l JOIN documents USING (doc_id)),
+v0 AS (SELECT lang, chars, bytes, lines, quality::DOUBLE AS quality, toxic::DOUBLE AS toxic FROM b),
+v1 AS (UNPIVOT v0 ON chars, bytes, lines INTO NAME metric VALUE x), v AS (UNPIVOT v1 ON quality, toxic INTO NAME label VALUE y),
+r AS (SELECT *, rank() OVER (PARTITION BY lang, metric, label ORDER BY x) + (count(*) OVER (PARTITION BY lang, metric, label, x) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY lang, metric, label ORDER BY y) + (count(*) OVER (PARTITION BY lang, metric, label, y) - 1) / 2.0 AS ry FROM v),
+k AS (SELECT lang, metric, label, count(*) AS n, CASE WHEN count(*) >= 5 AND min(rx) < max(rx) AND min(ry) < max(ry) THEN corr(rx, ry) END AS rho, count_if(y = 1)::DOUBLE AS a, count_if(y = 0)::DOUBLE AS b, sum(CASE WHEN y = 1 THEN rx END) AS w, bool_and(y IN (0, 1)) AND min(y) = 0 AND max(y) = 1 AS "binary" FROM r GROUP BY 1, 2, 3),
+c AS (SELECT lang, metric, label, x, sum(y) AS p, sum(1 - y) AS q FROM v GROUP BY ALL),
+t AS (SELECT lang, metric, label, sum(p) OVER (PARTITION BY lang, metric, label ORDER BY x DESC ROWS UNBOUNDED PRECEDING) - sum(q) OVER (PARTITION BY lang, metric, label ORDER BY x DESC ROWS UNBOUNDED PRECEDING) AS ahead FROM c),
+best AS (SELECT lang, metric, label, greatest(max(ahead), 0) AS ahead FROM t GROUP BY 1, 2, 3),
+o AS (SELECT *, rho * sqrt((n - 2) / (1 - rho * rho)) AS tt, (n - 2)::DOUBLE AS df, CASE WHEN "binary" AND a >= 2 AND b >= 2 THEN (w - a * (a + 1) / 2) / (a * b) END AS auc FROM k JOIN best USING (lang, metric, label))
+SELECT lang, metric, label, n, round(rho, 6) + 0.0 AS rho, round({_t_tails('tt', 'df')}, 6) + 0.0 AS p, "binary", round(auc, 6) AS auc, round(1 - auc, 6) AS auc_inverse, CASE WHEN "binary" THEN round((b + ahead) / n, 6) END AS oca FROM o""")
+def metric_label_table(spark, sf):
+    """Three metrics against both labels by language."""
+    return rounded(suites.label_associations(_labelled(spark, sf), ["lang"], ["chars", "bytes", "lines"], ["quality", "toxic"]))
+
+
 @query(f"WITH {_MEANS} SELECT source, lang, round((score - avg(score) OVER w) / stddev_samp(score) OVER w, 6) + 0.0 AS z FROM m WINDOW w AS (PARTITION BY lang)")
 def zscore(spark, sf):
     return rounded(stats.zscores(_stage_means(spark, sf), ["lang"], "score").select("source", "lang", "z"))
@@ -914,6 +1002,19 @@ def fit_sigmoid(spark, sf):
     return rounded(fits.fit_curves(scorers.prequential(response_sets(spark, sf), ["set_id"]), ["set_id"], "bits", "sigmoid", 4), 3)
 
 
+@query()
+def fitted_label_tests(spark, sf):
+    """E as summed, by the exponential and by the sigmoid fit (as summed where that fails), against a set's size and the quality of the document of its number."""
+    curve = settled(scorers.prequential(response_sets(spark, sf), ["set_id"]))
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("set_id"), F.col("quality").cast("double").alias("quality"))
+    sizes = curve.groupBy("set_id").agg(F.count("*").cast("double").alias("size"))
+    e = curves.excess_entropy(curve, ["set_id"]).select("set_id", "e")
+    one = suites.fitted_or_discrete(e, fits.fit_curves(curve, ["set_id"], "bits"), ["set_id"], "e", {"e_exp": "e_fit"})
+    both = suites.fitted_or_discrete(e, fits.fit_curves(curve, ["set_id"], "bits", "sigmoid", 4), ["set_id"], "e", {"e_sig": "e_fit"}).drop("e").join(one, "set_id")
+    rows = both.join(sizes, "set_id").join(labels, "set_id", "left").withColumn("all", F.lit("all"))
+    return rounded(suites.label_associations(rows, ["all"], ["e", "e_exp", "e_sig"], ["quality", "size"]).drop("all"), 3)
+
+
 def _draws(rows: str, row: str, reps: int) -> str:
     """CTE `drawn`: the rows of a CTE for each replicate rep, with u, the number that a row draws."""
     a, b, c, d = resample._MULTIPLIERS

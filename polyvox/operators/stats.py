@@ -108,29 +108,58 @@ def _kendall_exact(ns: pd.Series, ss: pd.Series) -> pd.Series:
     return pd.Series([kendall_exact_p(int(n), s) if 1 < n <= 33 else None for n, s in zip(ns, ss, strict=True)], dtype="float64")
 
 
-def rank_sum(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
-    """keys, n_pos, n_neg, u, auc, z: Mann-Whitney U of label 1 over label 0, with the tie-corrected normal score.
-
-    auc is null with fewer than two of either label.
-    """
-    keys = list(keys)
+def _rank_sums(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
+    """The group with n_pos, n_neg, u and ties (sum of t^3 - t) of the ranks of both labels' scores."""
     rows = real_pairs(df, score, label).where(F.col(label).isin(0, 1)).select(group_of(keys), F.col(score).alias("_x"), F.col(label).alias("_l"))
     counts = rows.groupBy(GROUP, "_x").agg(F.count("*").alias("c"), F.sum("_l").alias("p"))
     ranked = running_sums(counts, "_x", ["c"]).withColumn("r", F.col("c_before") + (F.col("c") + 1) / 2)
     sums = ranked.groupBy(GROUP).agg(
         F.sum("p").cast("long").alias("n_pos"), F.sum(F.col("c") - F.col("p")).cast("long").alias("n_neg"), F.sum(F.col("r") * F.col("p")).alias("w"), F.sum(F.pow("c", F.lit(3.0)) - F.col("c")).alias("ties")
     )
+    return sums.withColumn("u", F.col("w") - F.col("n_pos") * (F.col("n_pos") + 1) / 2)
+
+
+def _rank_sum_z() -> Column:
     pos, neg, n = F.col("n_pos"), F.col("n_neg"), F.col("n_pos") + F.col("n_neg")
-    u = F.col("w") - pos * (pos + 1) / 2
     var = pos * neg / 12.0 * (n + 1 - F.try_divide(F.col("ties"), (n * (n - 1)).cast("double")))
-    return sums.select(
-        *keys_of(keys),
-        "n_pos",
-        "n_neg",
-        u.alias("u"),
-        F.when((pos >= 2) & (neg >= 2), F.try_divide(u, (pos * neg).cast("double"))).alias("auc"),
-        F.try_divide(u - pos * neg / 2 - 0.5, F.sqrt(var)).alias("z"),
-    )
+    return F.try_divide(F.col("u") - pos * neg / 2 - 0.5, F.sqrt(var))
+
+
+def _auc() -> Column:
+    pos, neg = F.col("n_pos"), F.col("n_neg")
+    return F.when((pos >= 2) & (neg >= 2), F.try_divide(F.col("u"), (pos * neg).cast("double")))
+
+
+def rank_sum(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
+    """keys, n_pos, n_neg, u, auc, z: Mann-Whitney U of label 1 over label 0, with the tie-corrected normal score.
+
+    auc is null with fewer than two of either label.
+    """
+    sums = _rank_sums(df, list(keys), score, label)
+    return sums.select(*keys_of(keys), "n_pos", "n_neg", "u", _auc().alias("auc"), _rank_sum_z().alias("z"))
+
+
+#: The distribution of U is counted out if the smaller side has up to so many scores, none of them tied, and the pairs of both sides are no more than the second.
+RANK_EXACT, RANK_EXACT_PAIRS = 8, 20_000
+
+
+def rank_sum_test(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
+    """keys, n_pos, n_neg, u, auc, z and p_greater, the chance of a U as large without any difference: exact for small sides without ties, else normal.
+
+    p_greater is null where a label has no score, or all scores are equal.
+    """
+    sums = _rank_sums(df, list(keys), score, label)
+    pos, neg = F.col("n_pos"), F.col("n_neg")
+    exact = (F.least(pos, neg) >= 1) & (F.least(pos, neg) <= RANK_EXACT) & (pos * neg <= RANK_EXACT_PAIRS) & (F.col("ties") == 0)
+    p = F.when(exact, _rank_sum_exact("u", "n_pos", "n_neg")).when(F.least(pos, neg) >= 1, normal_p(_rank_sum_z(), 1))
+    return sums.select(*keys_of(keys), "n_pos", "n_neg", "u", _auc().alias("auc"), _rank_sum_z().alias("z"), p.alias("p_greater"))
+
+
+@F.pandas_udf(T.DoubleType())
+def _rank_sum_exact(us: pd.Series, ps: pd.Series, ns: pd.Series) -> pd.Series:
+    """Asked for all rows of a batch, so larger groups, which don't use it, are skipped here."""
+    small = lambda p, n: 1 <= min(p, n) <= RANK_EXACT and p * n <= RANK_EXACT_PAIRS
+    return pd.Series([rank_sum_exact_sf(u, int(p), int(n)) if small(p, n) else float("nan") for u, p, n in zip(us, ps, ns, strict=True)], dtype="float64")
 
 
 def roc_points(df: DataFrame, keys: Sequence[str], score: str, label: str, tie: str) -> DataFrame:
@@ -350,14 +379,12 @@ def signed_rank_exact_sf(w_plus: float, n: int) -> float:
 
 
 def rank_sum_exact_sf(u: float, n_pos: int, n_neg: int) -> float:
-    """P(U >= u) without ties, by counting arrangements."""
-    ways = [[[0] * (n_pos * n_neg + 1) for _ in range(n_neg + 1)] for _ in range(n_pos + 1)]
-    for i in range(n_pos + 1):
-        for j in range(n_neg + 1):
-            if not i or not j:
-                ways[i][j][0] = 1
-                continue
-            for s in range(i * j + 1):
-                ways[i][j][s] = (ways[i - 1][j][s - j] if s >= j else 0) + ways[i][j - 1][s]
-    last = ways[n_pos][n_neg]
-    return sum(last[math.ceil(u - 1e-9) :]) / sum(last)
+    """P(U >= u) without ties, by counting arrangements: the coefficients of the product of (1 - q^(m + i)) / (1 - q^i) for i up to the smaller side."""
+    few, m = sorted((n_pos, n_neg))
+    ways = [1] + [0] * (few * m)
+    for i in range(1, few + 1):
+        for s in range(few * m, m + i - 1, -1):
+            ways[s] -= ways[s - m - i]
+        for s in range(i, few * m + 1):
+            ways[s] += ways[s - i]
+    return sum(ways[math.ceil(u - 1e-9) :]) / sum(ways)
