@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyvox.operators import stats
-from polyvox.operators.ranks import GROUP, group_of, keys_of
+from polyvox.operators.ranks import GROUP, group_of, keys_of, running_sums
 from polyvox.session import settled
 
 #: Claims are configuration: they are sent to all tasks, so their number is checked.
@@ -109,24 +109,35 @@ def label_associations(rows: DataFrame, keys: Sequence[str], metrics: Sequence[s
 
     rho is Spearman's, null with fewer than `least` pairs, p two-sided by t. binary says that the labels of the group are 0 and 1, both and no
     others; only then are auc (null with fewer than two of either), 1 - auc and oca, the accuracy of the best threshold, given. Pairs with
-    a null or NaN are left out, pair by pair; a group without any pair gives no row. The columns asked for are written to the shared folder once; each row then becomes
-    metrics x labels rows.
+    a null or NaN are left out, pair by pair; a group without any pair gives no row. Equal pairs are counted first and the counts written to the shared folder; all statistics come
+    from them, by one ranking of metrics and one of labels.
     """
-    rows = settled(rows.select(*keys, *dict.fromkeys([*metrics, *labels])))
     by = [*keys, "metric", "label"]
     named = lambda names, field: F.array(*[F.struct(F.lit(c).alias(field), F.col(c).cast("double").alias(f"{field}_value")) for c in names])
     long = rows.select(*keys, F.explode(named(metrics, "metric")).alias("_m"), named(labels, "label").alias("_l")).select(*keys, "_m.*", F.explode("_l").alias("_l")).select(*keys, "metric", "metric_value", "_l.*")
-    long = stats.real_pairs(long, "metric_value", "label_value")
-    v = F.col("label_value")
-    kinds = long.groupBy(group_of(by)).agg((F.bool_and(v.isin(0.0, 1.0)) & (F.min(v) == 0) & (F.max(v) == 1)).alias("binary"))
-    grouped = lambda df, *cols: df.select(group_of(by), *cols)
-    rho = grouped(stats.spearman(long, by, "metric_value", "label_value", least), "n", "rho")
-    auc = grouped(stats.rank_sum(long, by, "metric_value", "label_value"), "auc")
-    oca = grouped(stats.best_threshold_accuracy(long, by, "metric_value", "label_value"), "oca")
-    both = rho.join(kinds, GROUP).join(auc, GROUP, "left").join(oca, GROUP, "left")
-    p = stats.t_p(stats.correlation_t(F.col("rho"), F.col("n")), F.col("n") - 2)
-    only = lambda c: F.when(F.col("binary"), c)
-    return both.select(*keys_of(by), "n", "rho", p.alias("p"), "binary", only(F.col("auc")).alias("auc"), only(1 - F.col("auc")).alias("auc_inverse"), only(F.col("oca")).alias("oca"))
+    pairs = stats.real_pairs(long, "metric_value", "label_value").groupBy(group_of(by), F.col("metric_value").alias("x"), F.col("label_value").alias("y")).agg(F.count("*").alias("c"))
+    pairs = settled(pairs)
+    rank = F.col("c_before") + (F.col("c") + 1) / 2
+    xs = running_sums(pairs.groupBy(GROUP, "x").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("y") == 1, F.col("c")).otherwise(0)).alias("p")), "x", ["c", "p"]).select(GROUP, "x", "p", "c_before", "p_before", rank.alias("rx"))
+    ys = running_sums(pairs.groupBy(GROUP, "y").agg(F.sum("c").alias("c")), "y", ["c"]).select(GROUP, "y", rank.alias("ry"))
+    # Hits less misses among those at or above x are these, less the like sum over all.
+    one = xs.groupBy(GROUP).agg(F.sum("p").alias("pos"), F.sum(F.col("rx") * F.col("p")).alias("w"), F.max(F.col("c_before") - 2 * F.col("p_before")).alias("ahead"))
+    v, c = F.col("y"), F.col("c")
+    product = lambda a, b: F.sum(c * F.col(a) * F.col(b))
+    moments = pairs.join(xs.select(GROUP, "x", "rx"), [GROUP, "x"]).join(ys, [GROUP, "y"]).groupBy(GROUP).agg(
+        F.sum("c").alias("n"), product("rx", "ry").alias("xy"), product("rx", "rx").alias("xx"), product("ry", "ry").alias("yy"),
+        ((F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))).alias("varies"), (F.bool_and(v.isin(0.0, 1.0)) & (F.min(v) == 0) & (F.max(v) == 1)).alias("binary"),
+    )
+    n, pos = F.col("n"), F.col("pos")
+    centre = n * F.pow((n + 1) / 2, F.lit(2.0))
+    rho = F.when(F.col("varies") & (n >= least), (F.col("xy") - centre) / F.sqrt(F.col("xx") - centre) / F.sqrt(F.col("yy") - centre))
+    both = moments.join(one, GROUP).withColumn("rho", F.least(F.lit(1.0), F.greatest(F.lit(-1.0), rho)))
+    both = both.withColumn("rho", F.when(rho.isNotNull(), F.col("rho")))
+    neg = n - pos
+    auc = F.when(F.col("binary") & (pos >= 2) & (neg >= 2), (F.col("w") - pos * (pos + 1) / 2) / (pos * neg))
+    oca = F.when(F.col("binary"), (neg + F.greatest(2 * pos - n + F.col("ahead"), F.lit(0))) / n)
+    p = stats.t_p(stats.correlation_t(F.col("rho"), n), n - 2)
+    return both.select(*keys_of(by), "n", "rho", p.alias("p"), "binary", auc.alias("auc"), (1 - auc).alias("auc_inverse"), oca.alias("oca"))
 
 
 def fitted_or_discrete(discrete: DataFrame, fitted: DataFrame, keys: Sequence[str], value: str, names: dict[str, str]) -> DataFrame:
