@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 _BLANK_RUN = r"[\x20\x09-\x0D]+"
 _BLANKS = " \t\n\x0b\x0c\r"
+#: Greek letters with a small iota below, and the one capital that stands for each; `upper` writes two letters.
+_SMALL_IOTA = "".join(chr(0x1F80 + 16 * i + j) for i in range(3) for j in range(8)) + "ᾳῃῳ"
+_CAPITAL_IOTA = "".join(chr(0x1F88 + 16 * i + j) for i in range(3) for j in range(8)) + "ᾼῌῼ"
 
 
 def n_bytes(text: Column) -> Column:
@@ -83,7 +86,11 @@ def token_display(token: Column) -> Column:
 
 
 def capitalized(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 2**31 - 1))
+    """The first letter as one capital: ß becomes ẞ, and a letter that only several capitals stand for stays as it is."""
+    first = F.substring(text, 1, 1)
+    capital = F.upper(F.translate(first, "ß" + _SMALL_IOTA, "ẞ" + _CAPITAL_IOTA))
+    one = F.when(F.char_length(capital) <= 1, capital).otherwise(F.translate(first, _SMALL_IOTA, _CAPITAL_IOTA))
+    return F.concat(one, F.substring(text, 2, 2**31 - 1))
 
 
 def article(word: Column) -> Column:
