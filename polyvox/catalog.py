@@ -910,15 +910,8 @@ def ordering_passes(spark, sf):
 # --- cross-mode -----------------------------------------------------------
 
 
-def _mode_samples(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("mode"), F.coalesce("text", F.lit("")).alias("text"))
-    return docs.withColumn("k", F.row_number().over(Window.partitionBy("mode").orderBy("doc_id")).cast("long") - 1)
-
-
 def _mode_bits(spark, sf):
-    samples = _mode_samples(spark, sf)
-    words = samples.select("mode", "k", F.explode(T.ws_words(F.col("text"))).alias("word")).groupBy("mode", "k", "word").agg(F.count("*").alias("c"))
-    return pairwise.conditional_bits(pairwise.whole_pairs(samples.select("mode", "k"), "mode", "k"), words)
+    return pairwise.whole_bits(table(spark, sf, "documents"), "lang", "doc_id", "text")
 
 
 _MODES = f"""s AS (SELECT lang AS mode, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k, coalesce(text, '') AS text FROM documents),
@@ -958,7 +951,7 @@ def diagonal_means(spark, sf):
 @query(f"""WITH {_MODES}, c AS (SELECT ctx, tgt, mean FROM mx WHERE ctx <> tgt) SELECT ctx, tgt, round(mean, 4) AS mean, side FROM (
 (SELECT *, 'top' AS side FROM c ORDER BY mean DESC, ctx, tgt LIMIT 3) UNION ALL (SELECT *, 'bottom' AS side FROM c ORDER BY mean, ctx, tgt LIMIT 3))""")
 def top_bottom_pairs(spark, sf):
-    return rounded(pairwise.extremes(_matrix(spark, sf), 3), 4)
+    return rounded(pairwise.extremes(settled(_matrix(spark, sf)), 3), 4)
 
 
 @query(f"""WITH {_MODES}, p AS (SELECT a.mean AS x, b.mean AS y FROM mx a JOIN mx b ON a.ctx = b.tgt AND a.tgt = b.ctx WHERE a.ctx < a.tgt)
