@@ -432,6 +432,7 @@ def span_overlap(spark, sf):
     size = F.char_length("response").cast("long")
     spans = response_sets(spark, sf).select("set_id", "k", (F.sum(size).over(order) - size).alias("s_start"), F.sum(size).over(order).alias("s_end"))
     total = spans.groupBy("set_id").agg(F.max("s_end").alias("total")).where("total > 0")
+    total = total.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "set_id", "total")  # few bytes, from which many tokens come
     tokens = total.select("set_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / 7))).alias("t"))
     tokens = tokens.select("set_id", "t", (F.col("t") * 7).alias("c_start"), (F.col("t") * 7 + 7).alias("c_end"), F.lit(1.0).alias("bits"))
     return scorers.span_overlap(tokens, spans.where("s_end > s_start"), ["set_id"])

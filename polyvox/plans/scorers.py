@@ -140,13 +140,30 @@ def ensemble(responses: DataFrame, keys: Sequence[str], alphas: Sequence[float])
     return _with_bytes(responses, keys, bits)
 
 
+#: Positions in a bin, in which tokens and spans meet.
+BIN = 1_024
+
+
+def _in_bins(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows once for each bin from their start to their end, both included."""
+    bin_of = lambda x: F.floor(x / BIN)
+    a, b = F.col(start), F.col(end)
+    found = F.when(a.isNotNull() & b.isNotNull(), F.sequence(bin_of(F.least(a, b)), bin_of(F.greatest(a, b))))
+    return rows.withColumn("_bin", F.explode(found))
+
+
 def span_overlap(tokens: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, k, first, stop, bits: tokens (t, c_start, c_end, bits) that overlap each span (k, s_start, s_end).
 
-    A token that straddles two spans counts for both; the keys are equality keys, the overlap only filters within them.
+    A token that straddles two spans counts for both. Tokens and spans meet by bins of positions, so a set's work grows with its length and not
+    with tokens times spans; what has several bins in common is taken in the one where the later of both starts. The sides are merged: a plan can't
+    know how many tokens an explosion makes, and would broadcast them.
     """
-    hit = (F.col("c_end") > F.col("s_start")) & (F.col("c_start") < F.col("s_end"))
-    return tokens.join(spans, list(keys)).where(hit).groupBy(*keys, "k").agg(F.min("t").alias("first"), (F.max("t") + 1).alias("stop"), F.sum("bits").alias("bits"))
+    hit = (F.col("c_end") > F.col("s_start")) & (F.col("c_start") < F.col("s_end")) & (F.col("_bin") == F.floor(F.greatest("c_start", "s_start") / BIN))
+    left = _in_bins(tokens.select(*keys, "t", "c_start", "c_end", "bits"), "c_start", "c_end")
+    right = _in_bins(spans.select(*keys, "k", "s_start", "s_end"), "s_start", "s_end")
+    met = left.join(right.hint("merge"), [*keys, "_bin"]).where(hit)
+    return met.groupBy(*keys, "k").agg(F.min("t").alias("first"), (F.max("t") + 1).alias("stop"), F.sum("bits").alias("bits"))
 
 
 def external(tokens: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
