@@ -1006,7 +1006,7 @@ def fitted_label_tests(spark, sf):
     one = suites.fitted_or_discrete(e, fits.fit_curves(curve, ["set_id"], "bits"), ["set_id"], "e", {"e_exp": "e_fit"})
     both = suites.fitted_or_discrete(e, fits.fit_curves(curve, ["set_id"], "bits", "sigmoid", 4), ["set_id"], "e", {"e_sig": "e_fit"}).drop("e").join(one, "set_id")
     rows = both.join(sizes, "set_id").join(labels, "set_id", "left").withColumn("all", F.lit("all"))
-    return rounded(suites.label_associations(rows, ["all"], ["e", "e_exp", "e_sig"], ["quality", "size"]).drop("all"), 3)
+    return rounded(suites.label_associations(settled(rows), ["all"], ["e", "e_exp", "e_sig"], ["quality", "size"]).drop("all"), 3)
 
 
 def _draws(rows: str, row: str, reps: int) -> str:

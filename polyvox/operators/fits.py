@@ -11,13 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _mean(x: np.ndarray) -> float:
+    return np.add.reduce(x) / len(x)
+
+
 def _nonneg_line(basis: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """a, b >= 0 and the squared error of y = a + b basis."""
-    best = (max(0.0, y.mean()), 0.0)
-    centred = basis - basis.mean()
-    if centred @ centred > 0:
-        b = (centred @ y) / (centred @ centred)
-        a = y.mean() - b * basis.mean()
+    middle, level = _mean(basis), _mean(y)
+    best = (max(0.0, level), 0.0)
+    centred = basis - middle
+    spread = centred @ centred
+    if spread > 0:
+        b = (centred @ y) / spread
+        a = level - b * middle
         if b >= 0 and a >= 0:
             best = (a, b)
         elif b >= 0:
@@ -82,6 +88,39 @@ def _errors(names: Sequence[str], values: Sequence[float], bounds: Sequence[tupl
     return found
 
 
+#: Slots of a curve beyond which the middles of a sigmoid are compared by running sums first; middles looked at one by one then, the first ones always.
+LONG, FIRST_MIDDLES, BEST_MIDDLES = 100, 34, 32
+
+
+def _likely_middles(y: np.ndarray, grid: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Places in the grid, ascending, among which the best middle of a long curve (slots from 1) is: the first ones, and those with the least errors.
+
+    The grid goes by half a slot, so all curves of a rate are windows of two tables of values, and the sums that make an error are running
+    sums and one convolution: n log n for a rate instead of n for each rate and middle. Windows of the first middles hold
+    small values only, which a convolution can't see; they are always among the places.
+    """
+    n, total = len(y), float(((y - y.mean()) ** 2).sum())
+    errors = np.full(len(grid), np.inf)
+    for rate in rates:
+        for half in (0, 1):
+            middles = grid[half::2]
+            d = np.arange(n + len(middles) - 1) + (1 - middles[-1])
+            v = 1 / (1 + np.exp(np.clip(rate * d, -500, 500)))
+            window = lambda x: (t := np.r_[np.cumsum(x[::-1])[::-1], 0.0])[: len(x) - n + 1] - t[n:]
+            size = 1 << (len(v) + n).bit_length()
+            inner = np.fft.irfft(np.fft.rfft(v, size) * np.fft.rfft(y[::-1], size), size)[n - 1 : len(v)]
+            sums, squares = window(v), window(v * v)
+            mean = sums / n
+            spread = squares - n * mean * mean
+            cross = inner - y.mean() * sums
+            slope = np.divide(cross, spread, out=np.zeros(len(v) - n + 1), where=spread > 1e-9 * n)
+            through = (y @ y) - np.divide(np.maximum(inner, 0) ** 2, squares, out=np.zeros(len(squares)), where=squares > 0)
+            found = np.where(slope < 0, total, np.where(y.mean() - slope * mean >= 0, total - slope * cross, through))
+            errors[half::2] = np.minimum(errors[half::2], found[::-1])
+    best = np.argsort(errors[FIRST_MIDDLES:], kind="stable")[:BEST_MIDDLES] + FIRST_MIDDLES
+    return np.r_[np.arange(FIRST_MIDDLES), np.sort(best)]
+
+
 #: Bounds of the rates of both curves, and where a sigmoid's middle may lie (upper bound: times the number of slots).
 EXPONENTIAL_RATES, SIGMOID_RATES, MIDDLES = (0.001, 50.0), (0.01, 50.0), (-10.0, 3)
 
@@ -101,13 +140,15 @@ def sigmoid_fit(k: np.ndarray, y: np.ndarray) -> dict[str, float]:
     """a_inf + alpha / (1 + exp(beta (k - k0))); e_fit is the area above a_inf from 1 on, (alpha / beta) ln(1 + exp(-beta (1 - k0))).
 
     a_inf and alpha >= 0, beta in [0.01, 50], k0 from -10 to three times the number of slots. For each k0 the best beta is looked for, for
-    each beta the rest is linear; k0 comes from a grid of at most half a slot and is refined by golden section. With standard errors.
+    each beta the rest is linear; k0 comes from a grid of at most half a slot and is refined by golden section. Of curves longer than LONG the
+    grid's errors are compared by running sums, the least again one by one. With standard errors.
     """
     low, high = MIDDLES[0], float(MIDDLES[1] * len(k))
-    shape = lambda k0: lambda beta: 1 / (1 + np.exp(np.clip(np.outer(beta, k - k0), -500, 500)))
+    shape = lambda k0: lambda beta: 1 / (1 + np.exp(np.minimum(np.maximum(beta[:, None] * (k - k0), -500), 500)))
     rates = np.exp(np.linspace(*np.log(SIGMOID_RATES), 60))
     grid = np.linspace(low, high, 2 * math.ceil(high - low) + 1)
-    i = int(np.argmin([_nonneg_errors(shape(k0)(rates), y).min() for k0 in grid]))
+    likely = _likely_middles(y, grid, rates) if len(k) > LONG and (k == np.arange(1, len(k) + 1)).all() else np.arange(len(grid))
+    i = int(likely[np.argmin([_nonneg_errors(shape(grid[j])(rates), y).min() for j in likely])])
     best = lambda k0: _best_rate(shape(k0), y, *SIGMOID_RATES, 60, 40)
     loss = lambda k0: _nonneg_line(shape(k0)(np.array([best(k0)]))[0], y)[2]
     k0 = _golden(loss, grid[max(0, i - 1)], grid[min(len(grid) - 1, i + 1)], 40)
@@ -130,7 +171,8 @@ def _summary(values: dict[str, float], y: np.ndarray, sse: float) -> dict[str, f
 
 def fit_curves(curves: DataFrame, keys: Sequence[str], value: str, kind: str = "exponential", least: int = 3) -> DataFrame:
     """keys and the fit of each curve (k, value) with at least `least` points: parameters, e_fit, rmse, r2 and the parameters' standard errors
-    (null for those at a bound, and without points to spare); a curve is one row's array, not a group in a worker."""
+    (null for those at a bound, and without points to spare); a curve is one row's array, not a group in a worker. Curves are few bytes and much
+    work, so they are dealt out to as many tasks as the session has shuffle partitions."""
     fit, parameters = {"exponential": (exponential_fit, ["a_inf", "alpha", "beta"]), "sigmoid": (sigmoid_fit, ["a_inf", "alpha", "beta", "k0"])}[kind]
     names = [*parameters, "e_fit", "rmse", "r2", *(f"{n}_se" for n in parameters)]
 
@@ -139,7 +181,9 @@ def fit_curves(curves: DataFrame, keys: Sequence[str], value: str, kind: str = "
         return pd.DataFrame([fit(np.arange(1.0, len(y) + 1), np.asarray(y, dtype=float)) for y in curve], columns=names)
 
     rows = curves.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("curve"))
-    return rows.where(F.size("curve") >= least).select(*keys, run("curve").alias("fit")).select(*keys, "fit.*")
+    tasks = int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.where(F.size("curve") >= least).repartition(tasks, F.xxhash64("curve"))
+    return dealt.select(*keys, run("curve").alias("fit")).select(*keys, "fit.*")
 
 
 def seen_before(counts: DataFrame, keys: Sequence[str], count: str, slots: int) -> DataFrame:
