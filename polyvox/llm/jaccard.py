@@ -35,8 +35,8 @@ WORDS, PERCENT = 5, 80
 SLOT_BITS, CHUNK_BITS = 22, 14
 #: Prefix tokens per part of the posting table; slots of the filter that keeps texts nobody asks for off the network.
 TOKENS_PER_PART, FILTER_SLOTS = 200_000, 1 << 20
-#: Prefix tokens that a mapper compares at once.
-TOKENS_PER_BATCH = 600_000
+#: Prefix tokens that a mapper compares at once, and bytes of text that a worker has as Python objects: an executor's workers share what its heap leaves.
+TOKENS_PER_BATCH, TEXT_AT_ONCE = 200_000, 1_000_000
 #: Members per part of an opened group; bits of a bitmap per token of its set, at least.
 MEMBERS_PER_PART, BITS_PER_TOKEN = 64, 1.7
 #: Nodes with a part of a group each that a worker has as Python objects at once.
@@ -90,7 +90,7 @@ def _set_reader(size: int, seed: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
         names = ["kind", "doc_id", "n", "node", "check", "raw"]
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_AT_ONCE):
             sets = [shingles(word_hashes((t or b"").lower()), size) for t in column_bytes(batch, "text")]
             if sets:
                 slots, n = np.unique(_slots(np.concatenate(sets)), return_counts=True)
@@ -134,7 +134,7 @@ def _posting_sender(size: int, percent: int, seed: int, levels: bytes, parts: in
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.frombuffer(levels, dtype=np.uint8)
         tokens, nodes, places, held = [], [], [], 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_AT_ONCE):
             for text in column_bytes(batch, "text"):
                 s = shingles(word_hashes((text or b"").lower()), size)
                 if len(s):
@@ -214,7 +214,7 @@ def _comparer(size: int, percent: int, seed: int):
     """Of rows (a, b, text_a, text_b) the pairs of nodes whose sets are similar."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_b"):
+        for batch in slices(batches, "text_b", TEXT_AT_ONCE):
             keep = []
             for at, (a, b, *texts) in enumerate(zip(*(batch.column(c).to_pylist() for c in "ab"), column_bytes(batch, "text_a"), column_bytes(batch, "text_b"), strict=True)):
                 x, y = (shingles(word_hashes((t or b"").lower()), size) for t in texts)
