@@ -203,7 +203,8 @@ def _gram_counts(packed: list[tuple[int, bytes]], sizes: Sequence[int]) -> pa.Re
         uniq = np.bincount(named[fresh], minlength=len(names))
         total = np.zeros(len(names), dtype=np.int64)
         np.add.at(total, of, counts[which])
-        out.append((names, np.full(len(names), n), uniq, total))
+        some = np.flatnonzero(total)
+        out.append((names[some], np.full(len(some), n), uniq[some], total[some]))
     columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, dtype=np.int64)] * 4
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)).cast(t) for c, t in zip(columns, types, strict=True)], names=["_g", "n", "uniq", "total"])
