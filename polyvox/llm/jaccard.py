@@ -257,7 +257,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     links = _links(rows, nodes, sets, levels, seed, words, percent)
     twice = real.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     own = real.join(twice.select("doc_id"), "doc_id", "left_semi").join(nodes.select("node", "rep"), "node").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.unionByName(own)).withColumnRenamed("id", "rep")
+    found = components(stored(links.unionByName(own), "links")).withColumnRenamed("id", "rep")
     labels = nodes.select("node", "rep").join(found, "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
     empty = (F.col("n") == 0) | F.col("doc_id").isNull()
     key = F.when(~empty, F.col("node"))
